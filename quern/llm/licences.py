@@ -13,6 +13,7 @@ score 0; overlapping places all count; repeated rows each give a row; an empty t
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -185,12 +186,17 @@ class Scanner:
         return len(words), places, self.spans(words, found) if found else []
 
 
+@functools.lru_cache(1)
+def _scanner() -> Scanner:
+    return Scanner()
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of docs (doc_id, text)."""
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = _scanner()
         for b in batches:
             out = defaultdict(list)
             for text in utf8(b.column("text")):

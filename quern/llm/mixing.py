@@ -54,7 +54,7 @@ def placed(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     """Rows (source, size, key, ...) with source_size, target and start: the words of the source before each row, first copies."""
     n = docs.count()
     buckets = max(16, -(-n // BUCKET_ROWS))
-    df = docs.withColumn("b", F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % buckets)
+    df = docs.withColumn("b", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets, 32))  # ranges of the hash, so order by (b, key) is order by key
     sums = df.groupBy("source", "b").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("b")
     sums = sums.withColumn("before", F.sum("bucket_size").over(before) - F.col("bucket_size"))

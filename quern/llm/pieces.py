@@ -7,8 +7,8 @@ surviving backpointer; the encoder keeps a window of the last ``longest`` bounda
 from all of them meet in one boundary it commits the ids before that. Memory is the window, whatever the text's length.
 Ids equal those of the sentencepiece library (tested), whose normaliser in this model is the identity with a dummy space in front.
 
-No piece holds a space after another character, nor a line feed, so such places are boundaries on every
-path; the units between them are looked up in a bounded memory of recent units.
+No piece holds a space after another character, a line feed, or a letter followed by certain marks, so such
+places are boundaries on every path; the units between them are looked up in a bounded memory of recent units.
 
 Cases: null and empty text have no ids; characters outside the vocabulary become byte pieces; U+2581 in a text
 decodes to a space, as in the library, and is reported as not restored; an empty table gives an empty table.
@@ -16,20 +16,26 @@ decodes to a space, as in the library, and is reported as not restored; an empty
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import utf8
 
 SPACE = "▁"
-UNITS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Distinct units and pairs of pieces that a worker remembers; beyond it the memory is emptied, which changes speed alone.
-UNIT_CACHE, PAIR_CACHE = 300_000, 300_000
+#: Distinct units and pairs of pieces that a worker remembers; older ones are forgotten, which changes speed alone.
+UNIT_CACHE, PAIR_CACHE = 200_000, 400_000
+
+
+@functools.lru_cache(1)
+def pieces_of(path: str) -> Pieces:
+    """One per Python worker: what it remembers serves all of the worker's tasks."""
+    return Pieces(path)
 
 
 class Pieces:
@@ -49,18 +55,35 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
-        # Units may be split where every path has a boundary.
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.spines: dict[tuple[str, int], list[tuple[float, str]]] = {}
+        # Units may be split where every path has a boundary: around line feeds, before spaces, and
+        # between a word's character and a mark that stands in no piece after one.
         self.units_hold = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
+        after = {c for p in self.ids for a, c in zip(p, p[1:]) if re.match(r"\w", a)}
+        marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in after))
+        self.units = re.compile((rf"\n| *\w++(?=[{marks}])" if marks else r"\n") + r"| *[^ \n]+| +")
 
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair merging of a short text; used for pairs of pieces alone."""
+    def merged(self, text: str, watch: int = 0) -> list:
+        """Byte-pair merging of a short text; with watch -1 or 1 the last or first symbol's course: (highest rank so far, symbol)."""
         parts, rank = list(text), self.rank
+        course, high = [(0.0, parts[-1] if watch < 0 else parts[0])], 0.0
         while True:
             best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=None)
             if best is None:
-                return parts
+                return course if watch else parts
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            high = max(high, best[0])
+            end = parts[-1] if watch < 0 else parts[0]
+            if end != course[-1][1]:
+                course.append((high, end))
+
+    def spine(self, piece: str, side: int) -> list[tuple[float, str]]:
+        found = self.spines.get((piece, side))
+        if found is None:
+            found = self.spines[piece, side] = self.merged(piece, side)
+        return found
 
     def follows(self, a: str, b: str) -> bool:
         key = (a, b)
@@ -68,9 +91,25 @@ class Pieces:
         if ok is None:
             if len(self.pairs) > PAIR_CACHE:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+            ok = self.pairs[key] = self._apart(self.spine(a, -1), self.spine(b, 1))
         return ok
 
+    def _apart(self, left: list[tuple[float, str]], right: list[tuple[float, str]]) -> bool:
+        """No merge crosses the boundary: none of the symbols that meet there makes a piece before one of them is merged away."""
+        rank, i, j, never = self.rank, 0, 0, float("inf")
+        while True:
+            up_left = left[i + 1][0] if i + 1 < len(left) else never
+            up_right = right[j + 1][0] if j + 1 < len(right) else never
+            cross = rank.get(left[i][1] + right[j][1], never)
+            if cross < up_left and cross <= up_right and cross < never:
+                return False
+            if up_left == up_right == never:
+                return True
+            if up_left <= up_right:
+                i += 1
+            else:
+                j += 1
+
     def stream(self, chars: Iterable[str]) -> Iterator[str]:
         """Pieces of a stream of characters (spaces already U+2581), committed as early as paths meet."""
         ids, follows, longest = self.ids, self.follows, self.longest
@@ -109,9 +148,32 @@ class Pieces:
             e = back[e][0]
         yield from reversed(done)
 
+    def short(self, text: str) -> list[str]:
+        """The same recurrence for a text no longer than the window."""
+        ids, pairs = self.ids, self.pairs
+        back: list = [(0, None)]
+        for i in range(1, len(text) + 1):
+            for j in range(i):
+                piece = text[j:i]
+                if piece in ids or i - j == 1:
+                    before = back[j][1]
+                    if before is None:
+                        break
+                    ok = pairs.get((before, piece))
+                    if ok or (ok is None and self.follows(before, piece)):
+                        break
+            back.append((j, piece))
+        done, e = [], len(text)
+        while e:
+            j, piece = back[e]
+            done.append(piece)
+            e = j
+        return done[::-1]
+
     def unit(self, unit: str) -> tuple[int, ...]:
         out: list[int] = []
-        for p in self.stream(unit.replace(" ", SPACE)):
+        text = unit.replace(" ", SPACE)
+        for p in self.short(text) if len(text) <= self.longest else self.stream(text):
             i = self.ids.get(p)
             if i is None:
                 out += [self.byte_ids[c] for c in p.encode()]
@@ -126,13 +188,14 @@ class Pieces:
         if not self.units_hold:
             return list(self.unit(text))
         known, out = self.known, []
-        for u in UNITS.findall(text):
+        for u in self.units.findall(text):
             ids = known.get(u)
             if ids is None:
-                ids = self.unit(u)
+                ids = self.old.get(u) or self.unit(u)
                 if len(u) <= 48:
-                    if len(known) > UNIT_CACHE:
-                        known.clear()
+                    if len(known) > UNIT_CACHE:  # units not seen since the last time are forgotten
+                        self.old, self.known = known, {}
+                        known = self.known
                     known[u] = ids
             out += ids
         return out
@@ -147,7 +210,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
     """(doc_id, keep..., n_pieces, ids array<int>, ids_crc32, restored) of docs (doc_id, text); ids are decoded again and compared."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for b in batches:
             ids, crc, ok = [], [], []
             for raw in utf8(b.column("text")):

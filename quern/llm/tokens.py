@@ -18,6 +18,7 @@ repeated doc_ids are kept, ordered by their encoded ids; an empty table gives an
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,8 +36,8 @@ LOW = np.uint64(1 << 31)
 END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
-#: Distinct words whose ids a worker remembers; beyond it the memory is emptied, which changes speed alone.
-WORD_CACHE = 250_000
+#: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
+WORD_CACHE = 200_000
 
 
 class WordEncoder:
@@ -49,15 +50,18 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.ids = Tokenizer.from_file(path), {}
+        self.tok, self.ids, self.old = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian uint16 or, for vocabularies beyond that, uint32."""
-        words = [t.split() for t in texts]
-        if len(self.ids) > WORD_CACHE:
-            self.ids.clear()
+        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # the normaliser lower-cases all but special tokens
+        if len(self.ids) > WORD_CACHE:  # words not seen since the last time are forgotten
+            self.old, self.ids = self.ids, {}
         ids = self.ids
-        new = list({w for ws in words for w in ws if w not in ids})
+        new = {w for ws in words for w in ws if w not in ids}
+        known = {w: x for w in new if (x := self.old.get(w)) is not None}
+        ids |= known
+        new = list(new.difference(known))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
@@ -65,6 +69,12 @@ class WordEncoder:
         return [b"".join([ids[w] for w in ws]) for ws in words]
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One per Python worker: what it remembers serves all of the worker's tasks."""
+    return WordEncoder(path)
+
+
 def quantised(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Frequencies that sum to 2**bits, at least 1 for each id that occurs."""
     total = 1 << bits
@@ -199,7 +209,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 16 <
     docs, _ = _shards(docs.select("doc_id", "text"), per_shard)
 
     def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
             ids = [x + end for x in encoder(utf8(b.column("text")))]

@@ -10,7 +10,8 @@ Running totals are taken in two steps, over hash buckets of a source and then in
 source that holds most rows is spread over many tasks.
 
 Cases: null text is a document of size 0, taken 0 times; null source is a source of its own, last; repeated doc_ids and
-rows each count, ordered by text; an empty table gives an empty table; other columns pass through ``stream``.
+rows each count, ordered by text; an empty table gives an empty table; other columns pass through
+``stream``, but those named copy, finish or taken are replaced.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     at = at.withColumn("finish", (begin + F.col("size")) / F.col("target")).withColumn("taken", F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")))
     at = at.where("taken > 0").select("doc_id", "source", "text_hash", "copy", "finish", "taken")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.xxhash64("d.text") == F.col("t.text_hash"))
-    mixed = docs.alias("d").join(at.alias("t"), same).select("d.*", "t.copy", "t.finish", "t.taken")
+    mixed = docs.drop("copy", "finish", "taken").alias("d").join(at.alias("t"), same).select("d.*", "t.copy", "t.finish", "t.taken")
     return mixed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
 
 

@@ -6,7 +6,8 @@ documents (``TRAIN_DOCS``, a parameter): each line takes its document's quality
 
 Cases: null and empty text: no words, so it fails the word rule; lines without a word are skipped;
 no usable labels (none, or one class): ``DEFAULT`` weights; labels that contradict each other or name no document: ignored or
-averaged by the fit; an empty table gives an empty table; other columns are ignored.
+averaged by the fit; an empty table gives an empty table; other columns are ignored or,
+with keep_columns, stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -145,9 +146,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_columns: b
     """(doc_id, counts, content_share, base_failed, kept); with keep_columns the columns of docs before them."""
     w, t = model[0].tolist(), model[1].tolist()
     out = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64())])
-    own = docs.columns if keep_columns else ["doc_id"]
-    if keep_columns and set(own) & set(out.names):
-        raise ValueError(f"columns {set(own) & set(out.names)} of the input clash with results")
+    own = [c for c in docs.columns if c.lower() not in out.names] if keep_columns else ["doc_id"]
 
     def verdicts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

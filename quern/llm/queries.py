@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from quern.llm import licences, mixing, pieces, quality, tokens
+from quern.llm import forest, jaccard, licences, lines, mixing, pieces, quality, tokens
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_licences": licences.op1_licences,
         "op2_pieces": pieces.op2_pieces,
+        "op4_embeddings": forest.op4_embeddings,
+        "op5_lines": lines.op5_lines,
         "op6_mixing": mixing.op6_mixing,
         "op8_quality": quality.op8_quality,
         "op9_token_ids": tokens.op9_token_ids,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op4_embeddings": forest.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL}

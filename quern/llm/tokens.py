@@ -19,8 +19,10 @@ repeated doc_ids are kept, ordered by their encoded ids; an empty table gives an
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,15 +38,17 @@ LOW = np.uint64(1 << 31)
 END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
+UNITS = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[\x00-&(-@\[-`{-\x7f]|\Z)|[^ \t-\r]+")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
-WORD_CACHE = 200_000
+WORD_CACHE = 400_000
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, so a text's
-    ids are those of its white-space-separated words in turn; each distinct word is encoded once.
+    The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, nor from an
+    ASCII letter to an ASCII mark or digit other than an apostrophe; so a text's ids are those of the units
+    between such places in turn, and each distinct unit is encoded once.
     """
 
     def __init__(self, path: str):
@@ -53,19 +57,17 @@ class WordEncoder:
         self.tok, self.ids, self.old = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Per text its ids as little-endian uint16 or, for vocabularies beyond that, uint32."""
-        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # the normaliser lower-cases all but special tokens
+        """Per text its ids as little-endian uint16."""
+        words = [t.split() if b"<|" in t else UNITS.findall(t.lower()) for t in texts]  # the normaliser lower-cases all but special tokens
         if len(self.ids) > WORD_CACHE:  # words not seen since the last time are forgotten
             self.old, self.ids = self.ids, {}
         ids = self.ids
-        new = {w for ws in words for w in ws if w not in ids}
+        new = set().union(*words).difference(ids)
         known = {w: x for w in new if (x := self.old.get(w)) is not None}
         ids |= known
         new = list(new.difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids[w] = np.array(e.ids, "<u2").tobytes()
+        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            ids[w] = array("H", e.ids).tobytes()
         return [b"".join([ids[w] for w in ws]) for ws in words]
 
 
@@ -203,7 +205,7 @@ def _shards(docs: DataFrame, per_shard: int) -> tuple[DataFrame, int]:
     return docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(place)), len(cuts) + 1
 
 
-def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 16 << 20) -> tuple[DataFrame, Table]:
+def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 << 20) -> tuple[DataFrame, Table]:
     """Writes the files of docs (doc_id, text) and returns (the table of files, the frequency table)."""
     spark = docs.sparkSession
     docs, _ = _shards(docs.select("doc_id", "text"), per_shard)
@@ -212,8 +214,10 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 16 <
         encoder = encoder_of(vocabulary)
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
-            ids = [x + end for x in encoder(utf8(b.column("text")))]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                ids = [x + end for x in encoder(utf8(part.column("text")))]
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     def shard_of(key: tuple, rows: pa.Table) -> pa.Table:
         doc_ids = rows.column("doc_id").to_pylist()

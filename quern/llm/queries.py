@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from quern.llm import forest, jaccard, licences, lines, mixing, pieces, quality, tokens
+from quern.llm import forest, jaccard, licences, lines, mixing, pieces, quality, repeats, tokens
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_licences": licences.op1_licences,
         "op2_pieces": pieces.op2_pieces,
+        "op3_repeats": repeats.op3_repeats,
         "op4_embeddings": forest.op4_embeddings,
         "op5_lines": lines.op5_lines,
         "op6_mixing": mixing.op6_mixing,

@@ -188,7 +188,7 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], x -> x * x)) > 0),
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 c AS (SELECT v, min(root) AS root FROM (WITH RECURSIVE w AS (SELECT vec_id AS v, vec_id AS root FROM v UNION SELECT p.b, w.root FROM w JOIN p ON w.v = p.a) SELECT * FROM w) GROUP BY v)
 SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.root, m.vec_id) AS component_id, coalesce(c.root, m.vec_id) = m.vec_id AS kept

@@ -187,7 +187,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) END AS s FROM d),
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM d),
 n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, s FROM g),
 r AS (SELECT s, n_shingles, min(doc_id) AS rep FROM (SELECT doc_id, n_shingles, list_sort(s) AS s FROM n WHERE n_shingles > 0) GROUP BY s, n_shingles),
 x AS (SELECT rep, n_shingles, unnest(s) AS t FROM r),

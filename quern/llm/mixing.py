@@ -11,7 +11,7 @@ source that holds most rows is spread over many tasks.
 
 Cases: null text is a document of size 0, taken 0 times; null source is a source of its own, last; repeated doc_ids and
 rows each count, ordered by text; an empty table gives an empty table; other columns pass through
-``stream``, but those named copy, finish or taken are replaced.
+``stream``, but those named size, copy, finish or taken are replaced.
 """
 
 from __future__ import annotations
@@ -86,15 +86,15 @@ def taken(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tupl
 
 
 def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The mix itself: docs' columns, copy, finish and taken, one row per copy that the cut leaves words, in order of finish time."""
+    """The mix itself: docs' columns, size, copy, finish and taken, one row per copy that the cut leaves words, in order of finish time."""
     rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash")).distinct()
     at = placed(rows, share, most, weights, seed)
     at = at.select("doc_id", "source", "text_hash", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
     begin = F.col("copy") * F.col("source_size") + F.col("start")
     at = at.withColumn("finish", (begin + F.col("size")) / F.col("target")).withColumn("taken", F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")))
-    at = at.where("taken > 0").select("doc_id", "source", "text_hash", "copy", "finish", "taken")
+    at = at.where("taken > 0").select("doc_id", "source", "text_hash", "size", "copy", "finish", "taken")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.xxhash64("d.text") == F.col("t.text_hash"))
-    mixed = docs.drop("copy", "finish", "taken").alias("d").join(at.alias("t"), same).select("d.*", "t.copy", "t.finish", "t.taken")
+    mixed = docs.drop("size", "copy", "finish", "taken").alias("d").join(at.alias("t"), same).select("d.*", "t.size", "t.copy", "t.finish", "t.taken")
     return mixed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
 
 

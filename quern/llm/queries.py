@@ -5,7 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from quern.llm import forest, jaccard, licences, lines, mixing, pieces, quality, repeats, tokens
+from quern.llm import forest, jaccard, licences, lines, lm, mixing, pieces, quality, repeats, tokens
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable]:
@@ -16,9 +22,11 @@ def queries() -> dict[str, Callable]:
         "op4_embeddings": forest.op4_embeddings,
         "op5_lines": lines.op5_lines,
         "op6_mixing": mixing.op6_mixing,
+        "op7_lm": lm.op7_lm,
         "op8_quality": quality.op8_quality,
         "op9_token_ids": tokens.op9_token_ids,
         "op10_jaccard": jaccard.op10_jaccard,
+        "pipeline": pipeline,
     }
 
 

@@ -8,7 +8,9 @@ FLAGSHIP = "hybrid_search"
 
 
 def modules() -> list:
-    return []
+    from quern.plans import analytics_queries, corpus_queries, search_queries, text_queries
+
+    return [search_queries, text_queries, analytics_queries, corpus_queries]
 
 
 def queries() -> dict[str, Callable]:

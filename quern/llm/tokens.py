@@ -19,7 +19,7 @@ repeated doc_ids are kept, ordered by their encoded ids; an empty table gives an
 from __future__ import annotations
 
 import functools
-import re
+import os
 import struct
 import zlib
 from array import array
@@ -38,31 +38,30 @@ LOW = np.uint64(1 << 31)
 END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
-UNITS = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[\x00-&(-@\[-`{-\x7f]|\Z)|[^ \t-\r]+")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, nor from an
-    ASCII letter to an ASCII mark or digit other than an apostrophe; so a text's ids are those of the units
-    between such places in turn, and each distinct unit is encoded once.
+    The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, so a text's
+    ids are those of its white-space-separated words in turn; each distinct word is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tok, self.ids, self.old = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian uint16."""
-        words = [t.split() if b"<|" in t else UNITS.findall(t.lower()) for t in texts]  # the normaliser lower-cases all but special tokens
+        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # the normaliser lower-cases all but special tokens
         if len(self.ids) > WORD_CACHE:  # words not seen since the last time are forgotten
             self.old, self.ids = self.ids, {}
         ids = self.ids
-        new = set().union(*words).difference(ids)
+        new = {w for ws in words for w in ws if w not in ids}
         known = {w: x for w in new if (x := self.old.get(w)) is not None}
         ids |= known
         new = list(new.difference(known))
@@ -248,7 +247,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
     def files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(shipped.value, np.int64))
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 data = write_file(np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["ids"], "<u2"), r["first"], table)
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int32()), pa.array([data], pa.binary())], ["shard", "file"])
 
@@ -264,7 +263,7 @@ def decode(files: DataFrame, freq: np.ndarray) -> DataFrame:
     def docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(shipped.value, np.int64))
         for b in batches:
-            for data in b.column("file").to_pylist():
+            for data in (x.as_py() for x in b.column("file")):
                 first, doc_ids, counts, ids = read_file(data, table)
                 ends = np.cumsum(counts, dtype=np.int64)
                 for i in range(0, len(doc_ids), 512):

@@ -163,17 +163,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = stand.select(F.col("key").alias("a"), F.col("rep").alias("ra")), stand.select(F.col("key").alias("b"), F.col("rep").alias("rb"))
-        reps = scratch.stage(pairs.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.col("a").alias("ka"), F.col("b").alias("kb")), f"pairs-{len(staged)}")
-        staged.append(reps)
-        shingler = Shingler(n)
-        linked = links.compared(reps.select("a", "b"), docs.withColumnRenamed("doc_id", "id"), _similar(num, den), shingler)
-        return linked.join(reps, ["a", "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        ids = pairs.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        linked = links.compared(ids, docs.withColumnRenamed("doc_id", "id"), _similar(num, den), Shingler(n))
+        a, b = stand.select(F.col("rep").alias("a"), F.col("key").alias("ka")), stand.select(F.col("rep").alias("b"), F.col("key").alias("kb"))
+        return linked.join(a, "a").join(b, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
-    staged: list = []
     comps = links.link(found, verify, scratch)
-    of_key = comps.withColumnRenamed("id", "key").join(stand, "key")
-    least = of_key.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_key = of_key.join(least, "component").select("key", "component_id")
+    of_key = comps.select(F.col("id").alias("key"), F.col("component").alias("c")).join(stand, "key")
+    least = of_key.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of_key = of_key.join(least, "c").select("key", "component_id")
     # Documents with one key are copies: hot keys, in joins that Spark can split.
     ids = sizes.join(stand, "key", "left").join(of_key, "key", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))

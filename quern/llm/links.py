@@ -2,10 +2,10 @@
 
 An entry (signature, key) says that the item ``key`` (64 bits) has the signature; items that share one are
 candidates. Entries travel packed by hash bucket. A group of items with one signature is first tried as a
-star (its smallest key against each other one); what that links is one component, and only pairs of the
-group that lie in different components after that are tried in a second round. So a group of g mutual
-copies costs g comparisons, and yet no candidate pair whose link could matter is left out: pairs inside one
-component cannot change it.
+star around its most popular item (the one whose groups hold most items: of many copies of a text, the text itself);
+what that links is one component. Then, ``STARS`` times, the next popular item is tried against those in other components, and
+last all pairs of a group that still lie in different components. So a group of g mutual copies costs g comparisons,
+and yet no candidate pair whose link could matter is left out: pairs inside one component cannot change it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from quern.llm.common import Scratch, components, release_shuffles
 
 #: Entries that a task gathers before it sends them on.
 FLUSH = 400_000
+#: Further rounds of stars before all pairs that are left are tried.
+STARS = 3
 
 
 def packed(entries: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -48,7 +50,7 @@ def packed(entries: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> It
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0: (smallest key, other key) of each group; kind 1: (group, key) of groups of three or more."""
+    """Of one bucket: kind 0: pairs that are a group; kind 1: (group, key) of larger groups; kind 2: (key, sum of their sizes)."""
     sigs, keys = [], []
     for p in table.column("payload").to_pylist():
         a = np.frombuffer(p, np.uint64)
@@ -64,22 +66,22 @@ def _groups(table: pa.Table) -> pa.Table:
     keep = np.repeat(size > 1, size)
     s, k, size = s[keep], k[keep], size[size > 1]
     start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-    hub = np.repeat(k[start], size) if len(size) else k
-    rest = np.ones(len(k), bool)
-    rest[start] = False
-    pairs = np.unique(np.stack((hub[rest], k[rest]), 1), axis=0) if len(size) else np.zeros((0, 2), np.uint64)
+    two = np.repeat(size == 2, size)
+    pairs = np.unique(k[two].reshape(-1, 2), axis=0)
     seen: dict[bytes, int] = {}
     gid, member = [], []
     for g in np.flatnonzero(size > 2).tolist():
         own = k[start[g] : start[g] + size[g]]
         raw = own.tobytes()
         if raw not in seen:
-            seen[raw] = int(s[start[g]])
+            seen[raw] = g
             gid.append(np.full(len(own), s[start[g]]))
             member.append(own)
-    a = np.concatenate([pairs[:, 0], *gid]).view(np.int64)
-    b = np.concatenate([pairs[:, 1], *member]).view(np.int64)
-    kind = np.concatenate([np.zeros(len(pairs), np.int32), *(np.ones(len(x), np.int32) for x in gid)])
+    known, place = np.unique(k[~two], return_inverse=True)
+    weight = np.bincount(place, np.repeat(size, size)[~two]).astype(np.uint64) if len(known) else known
+    a = np.concatenate([pairs[:, 0], *gid, known]).view(np.int64)
+    b = np.concatenate([pairs[:, 1], *member, weight]).view(np.int64)
+    kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), sum(map(len, gid)), len(known)])
     return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -89,41 +91,55 @@ def candidates(entries: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """(id, component) of all items with a link. verify: pairs (a, b) to those of them that are links; found: from ``candidates``."""
-    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = scratch.stage(verify(pairs), "links")
-    release_shuffles(found.sparkSession)
-    first = scratch.stage(components(edges, scratch, "cc1"), "components1")
-    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"))
-    groups = groups.join(first, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c"))
-    mixed = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    groups = groups.join(mixed, "g", "left_semi")
-    x, y = groups.select("g", F.col("id").alias("a"), F.col("c").alias("ca")), groups.select("g", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "g").where("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.stage(rest, "rest")
-    if rest.isEmpty():
-        return first
-    more = scratch.stage(verify(rest), "links2")
-    release_shuffles(found.sparkSession)
-    return scratch.stage(components(edges.select("a", "b").unionByName(more.select("a", "b")), scratch, "cc2"), "components2")
-
-
-def compared(pairs: DataFrame, items: DataFrame, same: Callable[[bytes, bytes], bool] | Callable, prepare: Callable, rows_per_task: int = 2_000, salt: int = 200) -> DataFrame:
+    """(id, component) of all items with a link. verify: distinct pairs (a, b), a the item that many pairs share, to those that are links; found: from ``candidates``."""
+    spark = found.sparkSession
+    popular = found.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("w"))
+    groups = scratch.stage(found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).join(popular, "id").withColumn("c", F.col("id")), "groups-0")
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    edges, comps = None, None
+    for k in range(STARS + 2):
+        if k <= STARS:
+            hub = groups.groupBy("g").agg(F.max(F.struct("w", "id", "c")).alias("h")).select("g", F.col("h.id").alias("a"), F.col("h.c").alias("ca"))
+            star = groups.join(hub, "g").where("c <> ca").select("a", F.col("id").alias("b")).distinct()
+            pairs = pairs.unionByName(star) if k == 0 else star
+        else:
+            x, y = groups.select("g", F.col("id").alias("a"), F.col("c").alias("ca")), groups.select("g", F.col("id").alias("b"), F.col("c").alias("cb"))
+            pairs = x.join(y, "g").where("ca <> cb and a < b").select("a", "b").distinct()
+        new = scratch.stage(verify(scratch.stage(pairs, f"tried-{k}")), f"links-{k}")
+        edges = new if edges is None else scratch.stage(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new), f"edges-{k}")
+        release_shuffles(spark)
+        comps = scratch.stage(components(edges, scratch, f"cc-{k}"), f"components-{k}")
+        # Groups of one component are done; so are hubs, which were compared with all others.
+        if k <= STARS:
+            groups = groups.join(hub.select("g", F.col("a").alias("id")), ["g", "id"], "left_anti")
+        left = groups.select("g", "id", "w").join(comps, "id", "left").select("g", "id", "w", F.coalesce("component", "id").alias("c"))
+        open_ = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+        left = scratch.stage(left.join(open_, "g", "left_semi"), f"groups-{k + 1}")
+        scratch.drop(f"groups-{k}", f"tried-{k}")
+        groups = left
+        if k > STARS or groups.isEmpty():
+            break
+    return comps
+
+
+def compared(pairs: DataFrame, items: DataFrame, same: Callable, prepare: Callable, rows_per_task: int = 2_000, salt: int = 250) -> DataFrame:
     """Links (a, b) among pairs (a, b) of items (id, text). prepare: text to what ``same(x, y)`` compares.
 
-    Pairs are dealt by their smaller item and a salt of the other, so that no item's pairs meet in one task; each
-    task gets its texts once.
+    Pairs are dealt by a, the item that many share, and by a salt of b where they are very many, so that no item's pairs
+    meet in one task; each task gets a text once.
     """
     n = pairs.count()
-    tasks = max(1, -(-2 * n // rows_per_task), 1)
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(max(1, n // salt)))), F.lit(tasks)).cast("int").alias("t"))
+    tasks = max(1, -(-2 * n // rows_per_task))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > salt)
+    dealt = pairs.join(many, "a", "left").withColumn("salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / salt))))
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a", "salt"), F.lit(tasks)).cast("int").alias("t"))
     need = dealt.select("t", F.col("a").alias("id")).unionByName(dealt.select("t", F.col("b").alias("id"))).distinct()
     texts = need.join(items.select("id", "text"), "id").select("t", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("text").cast("binary").alias("text"))
     both = texts.unionByName(dealt.select("t", "a", "b", F.lit(None).cast("binary").alias("text")))
 
     def run(table: pa.Table) -> pa.Table:
         a, b, text = (table.column(c).to_pylist() for c in ("a", "b", "text"))
-        ready = {i: prepare(t) for i, j, t in zip(a, b, text) if j is None}
+        ready = {i: prepare(t or b"") for i, j, t in zip(a, b, text) if j is None}
         out = [(i, j) for i, j in zip(a, b) if j is not None and i in ready and j in ready and same(ready[i], ready[j])]
         return pa.table({"a": pa.array([i for i, _ in out], pa.int64()), "b": pa.array([j for _, j in out], pa.int64())})
 

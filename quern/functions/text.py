@@ -27,6 +27,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once for a row, also where f uses it in a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 

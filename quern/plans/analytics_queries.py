@@ -161,7 +161,7 @@ def rebind_unique(t):
     words = lambda c: F.filter(F.split(bare(c), r"\s+"), lambda w: w != "")
     q = t.benchmark.select("item_id", bare(F.col("text")).alias("q"), F.xxhash64(F.slice(F.filter(F.split(bare(F.col("text")), r"\s+"), lambda w: w != ""), 2, 3)).alias("h"))
     d = t.documents.select("doc_id", bare(F.col("text")).alias("body"), words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))).alias("h"))
+    grams = d.select("doc_id", F.explode(F.array_distinct(T.let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))))).alias("h"))
     pairs = grams.join(q, "h").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("q")))
     return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).where("n = 1").select("item_id", "doc_id")
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Code points of the search normalisation (Java and RE2 escapes).
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
@@ -21,7 +22,7 @@ SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 SENTENCE_END = r"(?<=[.\x{061F}!\x{061B}\x{06D4}:\x{060C}])\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which no built-in function offers; text that is composed already passes unchanged."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

@@ -11,14 +11,18 @@ from quern.plans.base import Registry
 
 QUERIES = Registry()
 query = QUERIES.query
-N = F.count(F.lit(1))
+
+
+def rows():
+    return F.count(F.lit(1))
+
 
 
 @query("SELECT r_name, n_name, count(DISTINCT s_suppkey) AS documents, count(c_custkey) AS chunks FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def corpus_stats(t):
     """Left joins keep parents without children. The two counts are taken before the join, so it makes no product."""
-    s = t.supplier.groupBy("s_nationkey").agg(N.alias("ns"))
-    c = t.customer.groupBy("c_nationkey").agg(N.alias("nc"))
+    s = t.supplier.groupBy("s_nationkey").agg(rows().alias("ns"))
+    c = t.customer.groupBy("c_nationkey").agg(rows().alias("nc"))
     df = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     df = df.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     docs = F.coalesce("ns", F.lit(0))
@@ -28,13 +32,13 @@ def corpus_stats(t):
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
 def status_counts(t):
     """A2."""
-    return t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(N.alias("n"))
+    return t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(rows().alias("n"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS missed, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE event_type = 'error') / count(*) ELSE 0 END, 6) AS rate FROM events")
 def miss_rate(t):
     """A3."""
-    a = t.events.agg(N.alias("total"), F.count_if(F.col("event_type") == "error").alias("missed"))
+    a = t.events.agg(rows().alias("total"), F.count_if(F.col("event_type") == "error").alias("missed"))
     return a.withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("missed") / F.col("total")).otherwise(0.0), 6))
 
 
@@ -43,7 +47,7 @@ def miss_queue(t):
     """The most asked misses with their best answer; groups without any score still have one."""
     score = F.when(F.col("event_id") % 3 > 0, F.col("value"))
     best = F.max_by("event_id", F.struct(score.isNotNull(), F.coalesce(score, F.lit(0.0)), -F.col("event_id")))
-    q = t.events.where("event_type = 'error'").groupBy(F.col("user_id").alias("query")).agg(N.alias("n"), F.max(score).alias("top_score"), best.alias("top_answer"))
+    q = t.events.where("event_type = 'error'").groupBy(F.col("user_id").alias("query")).agg(rows().alias("n"), F.max(score).alias("top_score"), best.alias("top_answer"))
     return q.orderBy(F.desc("n"), F.col("top_score").desc_nulls_last(), "query").limit(50)
 
 
@@ -51,13 +55,13 @@ def miss_queue(t):
 def section_progress(t):
     """A12, J19."""
     q = F.col("quality")
-    return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").groupBy(F.col("lang").alias("section")).agg(N.alias("total"), F.count_if(q == 1).alias("published"), F.count_if(q == 0).alias("rejected"), F.count_if(q.isNull()).alias("remaining"))
+    return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").groupBy(F.col("lang").alias("section")).agg(rows().alias("total"), F.count_if(q == 1).alias("published"), F.count_if(q == 0).alias("rejected"), F.count_if(q.isNull()).alias("remaining"))
 
 
 @query("SELECT l_returnflag AS collection, count(*) AS n, count(*) FILTER (WHERE 1 - l_discount < 0.95) AS partial FROM lineitem GROUP BY ALL")
 def translation_stats(t):
     """A13."""
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("collection")).agg(N.alias("n"), F.count_if(1 - F.col("l_discount") < 0.95).alias("partial"))
+    return t.lineitem.groupBy(F.col("l_returnflag").alias("collection")).agg(rows().alias("n"), F.count_if(1 - F.col("l_discount") < 0.95).alias("partial"))
 
 
 @query("SELECT answer_id, count(*) AS missing FROM (SELECT label AS answer_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 11 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS e FROM embeddings) WHERE e IS NULL OR len(list_filter(e, lambda x: x <> 0)) = 0 GROUP BY answer_id")
@@ -66,20 +70,20 @@ def unembedded(t):
     from quern.functions.vector import unembedded as missing
 
     e = F.when(F.col("vec_id") % 7 == 0, F.lit(None)).when(F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
-    return t.embeddings.select(F.col("label").alias("answer_id"), e.alias("e")).where(missing(F.col("e"))).groupBy("answer_id").agg(N.alias("missing"))
+    return t.embeddings.select(F.col("label").alias("answer_id"), e.alias("e")).where(missing(F.col("e"))).groupBy("answer_id").agg(rows().alias("missing"))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS turns FROM conversations GROUP BY conv_id")
 def joined_phrasings(t):
     """A7, in order of turn."""
-    return t.conversations.groupBy("conv_id").agg(F.expr("listagg(text, ' ') within group (order by turn)").alias("joined"), N.alias("turns"))
+    return t.conversations.groupBy("conv_id").agg(F.expr("listagg(text, ' ') within group (order by turn)").alias("joined"), rows().alias("turns"))
 
 
 @query("WITH k AS (SELECT lower(substring(text, 1, 12)) AS phrasing, source FROM documents) SELECT phrasing, count(DISTINCT source) AS answers, string_agg(DISTINCT source, ', ' ORDER BY source) AS slugs FROM k GROUP BY phrasing HAVING count(DISTINCT source) > 1")
 def shared_phrasing(t):
     """A8."""
     k = t.documents.select(F.lower(F.substring("text", 1, 12)).alias("phrasing"), "source").distinct()
-    return k.groupBy("phrasing").agg(N.alias("answers"), F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("slugs")).where("answers > 1")
+    return k.groupBy("phrasing").agg(rows().alias("answers"), F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("slugs")).where("answers > 1")
 
 
 @query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -112,7 +116,7 @@ def semi_by_ids(t):
 @query("SELECT o_orderkey, count(l_orderkey) AS citations FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_discount > 0.08 GROUP BY o_orderkey")
 def citation_counts(t):
     """Zero when none."""
-    c = t.lineitem.where("l_discount > 0.08").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(N.alias("n"))
+    c = t.lineitem.where("l_discount > 0.08").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows().alias("n"))
     return t.orders.select("o_orderkey").join(c, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("citations"))
 
 
@@ -136,8 +140,8 @@ def thread_rebuild(t):
 @query("SELECT o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS translations, count(l_linenumber)::INT AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_tax > 0.05 GROUP BY o_orderkey")
 def attached_lists(t):
     """A nested list in order, empty when there is none (flattened for comparison)."""
-    rows = t.lineitem.where("l_tax > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("xs"))
-    df = t.orders.select("o_orderkey").join(rows, "o_orderkey", "left")
+    lists = t.lineitem.where("l_tax > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("xs"))
+    df = t.orders.select("o_orderkey").join(lists, "o_orderkey", "left")
     flat = F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_returnflag"])), ",")
     return df.select("o_orderkey", F.coalesce(flat, F.lit("")).alias("translations"), F.coalesce(F.size("xs"), F.lit(0)).alias("n"))
 
@@ -189,15 +193,15 @@ def markup_audit_top(t):
     """Suspect marks, most frequent first."""
     found = F.regexp_extract_all("text", F.lit(r"[A-Za-z@#~%$^&*_|\\]*[@#~%$^&*_|\\][A-Za-z@#~%$^&*_|\\]*"), F.lit(0))
     x = t.documents.select("doc_id", "source", F.explode(found).alias("tok")).where(F.length("tok") >= 2)
-    per = x.groupBy(F.lower("tok").alias("token"), "source").agg(N.alias("k"), F.min("doc_id").alias("d"))
-    return per.groupBy("token").agg(F.sum("k").alias("n"), N.alias("books"), F.min("d").alias("first_seen")).orderBy(F.desc("n"), "token").limit(20)
+    per = x.groupBy(F.lower("tok").alias("token"), "source").agg(rows().alias("k"), F.min("doc_id").alias("d"))
+    return per.groupBy("token").agg(F.sum("k").alias("n"), rows().alias("books"), F.min("d").alias("first_seen")).orderBy(F.desc("n"), "token").limit(20)
 
 
 @query("SELECT source, round(avg(CASE WHEN n_chars % 4 > 0 THEN 1.0 ELSE 0 END), 6) AS coverage, count(*) AS blocks FROM documents GROUP BY source")
 def coverage_ratio(t):
     """Share of blocks with a page."""
     page = F.when(F.col("n_chars") % 4 > 0, F.col("n_chars"))
-    return t.documents.groupBy("source").agg(F.round(F.avg(page.isNotNull().cast("double")), 6).alias("coverage"), N.alias("blocks"))
+    return t.documents.groupBy("source").agg(F.round(F.avg(page.isNotNull().cast("double")), 6).alias("coverage"), rows().alias("blocks"))
 
 
 @query("SELECT l_orderkey AS book, nullif(l_linenumber % 3, 0)::INT AS volume, min(floor(l_quantity))::INT AS lo, max(floor(l_quantity))::INT AS hi, CASE WHEN min(floor(l_quantity)) = max(floor(l_quantity)) THEN min(floor(l_quantity))::INT || '' ELSE min(floor(l_quantity))::INT || '-' || max(floor(l_quantity))::INT END AS span FROM lineitem GROUP BY ALL")
@@ -212,9 +216,9 @@ def page_spans(t):
 def quantile_lower_index(t):
     """The value at floor((n - 1) * p), found by rank so that no group is gathered into a list."""
     ps = t.spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "p double")
-    n = t.events.groupBy("event_type").agg(N.alias("n")).crossJoin(F.broadcast(ps)).select("event_type", "p", (F.floor((F.col("n") - 1) * F.col("p")) + 1).alias("want"))
+    n = t.events.groupBy("event_type").agg(rows().alias("n")).crossJoin(F.broadcast(ps)).select("event_type", "p", (F.floor((F.col("n") - 1) * F.col("p")) + 1).alias("want"))
     # Equal values are counted first: what is ranked is the distinct values of a type.
-    v = t.events.groupBy("event_type", "value").agg(N.alias("k"))
+    v = t.events.groupBy("event_type", "value").agg(rows().alias("k"))
     upto = v.withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
     j = upto.join(F.broadcast(n), "event_type").where((F.col("want") <= F.col("upto")) & (F.col("want") > F.col("upto") - F.col("k")))
     return j.select("event_type", "p", F.col("value").alias("q"))
@@ -251,7 +255,7 @@ def best_chunk(t):
 @query("SELECT p_brand, p_type, n, coverage FROM (SELECT p_brand, p_type, count(*) AS n, round(avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0 END), 6) AS coverage FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) <= 6")
 def version_ranking(t):
     """Up to six candidates of each work."""
-    g = t.part.groupBy("p_brand", "p_type").agg(N.alias("n"), F.round(F.avg((F.col("p_size") > 25).cast("double")), 6).alias("coverage"))
+    g = t.part.groupBy("p_brand", "p_type").agg(rows().alias("n"), F.round(F.avg((F.col("p_size") > 25).cast("double")), 6).alias("coverage"))
     return g.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("r <= 6").drop("r")
 
 
@@ -283,9 +287,9 @@ def replace_chunks(t):
 def cascades(t):
     """Children go with a parent, or keep their row without it."""
     gone = t.customer.where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("parent")).unionByName(t.orders.where("o_custkey % 9 = 0").select(F.col("o_custkey").alias("parent")))
-    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent"))
-    a = tables.cascade(rows, gone, "parent").select(F.lit("citations").alias("side"), "id", "parent")
-    return a.unionByName(tables.cascade(rows, gone, "parent", set_null=True).select(F.lit("log").alias("side"), "id", "parent"))
+    log = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent"))
+    a = tables.cascade(log, gone, "parent").select(F.lit("citations").alias("side"), "id", "parent")
+    return a.unionByName(tables.cascade(log, gone, "parent", set_null=True).select(F.lit("log").alias("side"), "id", "parent"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 'published' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0 THEN 'published' ELSE 'draft' END AS status FROM customer")
@@ -323,13 +327,13 @@ def kind_histogram(t):
     """A20 over the first rows of each kind."""
     r = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
     x = t.embeddings.select(F.col("label").alias("kind"), r.cast("long").alias("r")).where("r <= 20")
-    return x.groupBy("kind").agg(N.alias("n"), F.min("r").alias("lo"))
+    return x.groupBy("kind").agg(rows().alias("n"), F.min("r").alias("lo"))
 
 
 @query("SELECT event_type AS query_text, user_id, min(ts) AS first_ts, count(*) AS asked FROM events GROUP BY ALL HAVING count(*) > 1")
 def repeated_queries(t):
     """D11 read back: appended log rows, repeated texts."""
-    return t.events.groupBy(F.col("event_type").alias("query_text"), "user_id").agg(F.min("ts").alias("first_ts"), N.alias("asked")).where("asked > 1")
+    return t.events.groupBy(F.col("event_type").alias("query_text"), "user_id").agg(F.min("ts").alias("first_ts"), rows().alias("asked")).where("asked > 1")
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)todo|lorem ipsum') AS placeholder, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> ''))::INT < 150 AS thin, regexp_matches(text, '(?m)^##\\s') AS heading_in_body, contains(text, '\\\"') AS escaped_quote FROM documents")
@@ -343,7 +347,7 @@ def body_sweeps(t):
 @query("SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) <> list(rn ORDER BY l_linenumber) AS gap, count(*) - count(DISTINCT l_partkey) AS duplicate_quotes FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem WHERE l_linenumber <> 3) GROUP BY l_orderkey")
 def ordinal_gaps(t):
     """Section 2.11: ordinals that are not 1..n, quotes cited twice."""
-    g = t.lineitem.where("l_linenumber <> 3").groupBy("l_orderkey").agg(N.alias("n"), F.max("l_linenumber").alias("hi"), F.min("l_linenumber").alias("lo"), F.countDistinct("l_linenumber").alias("u"), F.countDistinct("l_partkey").alias("parts"))
+    g = t.lineitem.where("l_linenumber <> 3").groupBy("l_orderkey").agg(rows().alias("n"), F.max("l_linenumber").alias("hi"), F.min("l_linenumber").alias("lo"), F.countDistinct("l_linenumber").alias("u"), F.countDistinct("l_partkey").alias("parts"))
     return g.select("l_orderkey", ((F.col("hi") != F.col("n")) | (F.col("lo") != 1) | (F.col("u") != F.col("n"))).alias("gap"), (F.col("n") - F.col("parts")).alias("duplicate_quotes"))
 
 

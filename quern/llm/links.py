@@ -1,10 +1,10 @@
 """From signatures to verified links, for the near-duplicate operators.
 
 An entry (signature, key) says that the item ``key`` (64 bits) has the signature; items that share one are
-candidates. Entries travel packed by hash bucket. A group of items with one signature is first tried as a
-star around its most popular item (the one whose groups hold most items: of many copies of a text, the text itself);
-what that links is one component. Then, ``STARS`` times, the next popular item is tried against those in other components, and
-last all pairs of a group that still lie in different components. So a group of g mutual copies costs g comparisons,
+candidates. Entries travel packed by hash bucket. An item's popularity is the number of items in its groups: of many
+near copies of a text, the text itself is most popular. First each item is tried against the most popular one of its groups
+alone; what that links is one component. Then, ``STARS`` + 1 times, each group's most popular item is tried against those in other
+components, and last all pairs of a group that still lie in different components. So a group of g mutual copies costs g comparisons,
 and yet no candidate pair whose link could matter is left out: pairs inside one component cannot change it.
 """
 
@@ -94,30 +94,38 @@ def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Sc
     """(id, component) of all items with a link. verify: distinct pairs (a, b), a the item that many pairs share, to those that are links; found: from ``candidates``."""
     spark = found.sparkSession
     popular = found.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("w"))
-    groups = scratch.stage(found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).join(popular, "id").withColumn("c", F.col("id")), "groups-0")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    groups = scratch.stage(found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).join(popular, "id").withColumn("c", F.col("id")), "groups")
+    pairs = scratch.stage(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     edges, comps = None, None
-    for k in range(STARS + 2):
+    for k in range(-1, STARS + 2):
         if k <= STARS:
-            hub = groups.groupBy("g").agg(F.max(F.struct("w", "id", "c")).alias("h")).select("g", F.col("h.id").alias("a"), F.col("h.c").alias("ca"))
-            star = groups.join(hub, "g").where("c <> ca").select("a", F.col("id").alias("b")).distinct()
-            pairs = pairs.unionByName(star) if k == 0 else star
+            hub = groups.groupBy("g").agg(F.max(F.struct("w", "id", "c")).alias("h")).select("g", "h")
+            star = groups.join(hub, "g").where("c <> h.c").select(F.col("h.w").alias("w"), F.col("h.id").alias("a"), F.col("id").alias("b"))
+            if k < 0:  # first each item with one hub alone, the most popular of its groups
+                tried = star.groupBy("b").agg(F.max(F.struct("w", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+            else:
+                tried = star.select("a", "b").distinct()
         else:
             x, y = groups.select("g", F.col("id").alias("a"), F.col("c").alias("ca")), groups.select("g", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y, "g").where("ca <> cb and a < b").select("a", "b").distinct()
-        new = scratch.stage(verify(scratch.stage(pairs, f"tried-{k}")), f"links-{k}")
-        edges = new if edges is None else scratch.stage(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new), f"edges-{k}")
+            tried = x.join(y, "g").where("ca <> cb and a < b").select("a", "b").distinct()
+        if k == 0:  # pairs that are a group of their own, unless they are linked by now
+            ca, cb = comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), comps.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+            open_pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+            tried = tried.unionByName(open_pairs).distinct()
+        new = scratch.stage(verify(scratch.stage(tried, f"tried-{k}")), f"links-{k}")
         release_shuffles(spark)
-        comps = scratch.stage(components(edges, scratch, f"cc-{k}"), f"components-{k}")
+        if comps is None or not new.isEmpty():
+            edges = new if comps is None else scratch.stage(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new), f"edges-{k}")
+            comps = scratch.stage(components(edges, scratch, f"cc-{k}"), f"components-{k}")
         # Groups of one component are done; so are hubs, which were compared with all others.
-        if k <= STARS:
-            groups = groups.join(hub.select("g", F.col("a").alias("id")), ["g", "id"], "left_anti")
+        if 0 <= k <= STARS:
+            groups = groups.join(hub.select("g", F.col("h.id").alias("id")), ["g", "id"], "left_anti")
         left = groups.select("g", "id", "w").join(comps, "id", "left").select("g", "id", "w", F.coalesce("component", "id").alias("c"))
         open_ = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
         left = scratch.stage(left.join(open_, "g", "left_semi"), f"groups-{k + 1}")
-        scratch.drop(f"groups-{k}", f"tried-{k}")
+        scratch.drop(f"groups-{k}" if k >= 0 else "groups", f"tried-{k}")
         groups = left
-        if k > STARS or groups.isEmpty():
+        if k > STARS or (k >= 0 and groups.isEmpty()):
             break
     return comps
 

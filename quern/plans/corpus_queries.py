@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import linkage, markup
+from quern.operators import linkage, markup, worksheets
 from quern.plans.base import Registry
+from quern.streaming import misses
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -133,3 +134,39 @@ def expected_sets(t):
     c = F.col("text")
     parts = F.when(c == "-", F.array().cast("array<string>")).otherwise(F.split(c, " "))
     return t.conversations.where(~c.startswith("#") & (F.trim(c) != "")).select("conv_id", "turn", F.get(parts, F.lit(0)).alias("first_word"), F.size(parts).alias("n"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS missed, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS rate FROM events GROUP BY 1")
+def daily_miss_rate(t):
+    """Section 2.8: the log by day; the same function serves a stream."""
+    log = t.events.select(F.col("ts").alias("created_at"), (F.col("event_type") != "error").alias("matched"))
+    return misses.daily_miss_rate(log).withColumn("rate", F.round("rate", 6))
+
+
+SHEETS = [("s", '## Answer\nBody [1] <!-- no -->\n## Passages\n### [1] ref chunk:42\n### [2] ref chunk:43\n## Citations\n[1] passage 1: "some words"\n[2] passage 3: "others"\n')]
+
+
+@query("SELECT * FROM (VALUES ('s', 1::INT, 'some words', 42::BIGINT), ('s', 2::INT, 'others', NULL)) v(slug, ordinal, quote, chunk_id)")
+def worksheet_citations(t):
+    """Citations of a worksheet with the chunk of their passage; a passage it lacks is null."""
+    df = t.spark.createDataFrame(SHEETS, "slug string, text string")
+    p = worksheets.passages(df).select("slug", F.col("number").alias("passage"), "chunk_id")
+    return worksheets.citations(df).join(p, ["slug", "passage"], "left").select("slug", "ordinal", "quote", "chunk_id")
+
+
+ANSWERS = [(1, "See 2:255 and 3:1; Tirmidhi, Sahih\nMuslim and a Muslim.", ["on 2:255", "Sunan Abi Dawud"]), (2, "x " * 300, []), (3, "Abi Dawud", ["abu  dawud 5"])]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, '3:1|Tirmidhi|Muslim', false), (2::BIGINT, '', true), (3::BIGINT, '', false)) v(id, unverified, uncited)")
+def grounding(t):
+    """H30, U9, A.8: references that stand in no cited text."""
+    df = t.spark.createDataFrame(ANSWERS, "id long, answer string, cited array<string>")
+    return df.select("id", F.array_join(worksheets.unverified(F.col("answer"), F.col("cited")), "|").alias("unverified"), worksheets.uncited(F.col("answer"), F.col("cited")).alias("uncited"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def inline_markup(t):
+    """Plain turns are one text node each; the grammar is tested apart."""
+    df = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", r"[*`\[\]]", "_").alias("text"))
+    nodes = worksheets.inline_nodes(df).where("kind = 'text'")
+    return t.conversations.select("conv_id", "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id")).join(nodes.select("id"), "id").select("conv_id", "turn", "text")

@@ -202,7 +202,7 @@ def test_lm_base_and_bits(spark, documents, rows):
 
 
 def test_lm_code_length_is_a_distribution():
-    code = lm.Code(np.arange(256))
+    code = lm.Code(np.arange(1 << 16) % 977)
     tables = [np.random.default_rng(0).integers(-40, 40, 1 << 12).astype(np.int8) for _ in range(3)]
     bits = (12, 12, 12)
     total = sum(math.exp(-x) for x in lm.lengths([bytes([c]) + b"" for c in range(256)], code, tables, bits))

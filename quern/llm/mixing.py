@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2, "mix"
@@ -82,12 +84,14 @@ def _taken(most: int):
 def taken(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """Per document (doc_id, size, source_size, target, taken)."""
     rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash"))
+    rows = Scratch(docs.sparkSession, "mixing").stage(rows, "sizes")  # so that texts are read once
     return placed(rows, share, most, weights, seed).select("doc_id", "size", "source_size", "target", _taken(most).alias("taken"))
 
 
 def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix itself: docs' columns, size, copy, finish and taken, one row per copy that the cut leaves words, in order of finish time."""
     rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash")).distinct()
+    rows = Scratch(docs.sparkSession, "mixing").stage(rows, "sizes")
     at = placed(rows, share, most, weights, seed)
     at = at.select("doc_id", "source", "text_hash", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
     begin = F.col("copy") * F.col("source_size") + F.col("start")

@@ -22,7 +22,7 @@ from quern.llm.common import Scratch, components, release_shuffles
 #: Entries that a task gathers before it sends them on.
 FLUSH = 400_000
 #: Further rounds of stars before all pairs that are left are tried.
-STARS = 3
+STARS = 1
 
 
 def packed(entries: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quern.llm import forest, jaccard, licences, lines, lm, mixing, pieces, quality, repeats, tokens  # noqa: E402
+from quern.llm import common, forest, jaccard, licences, lines, lm, mixing, pieces, quality, repeats, tokens  # noqa: E402
 from quern.llm.common import Scratch, components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -346,7 +346,9 @@ def test_partenum_shares_a_signature():
                 assert set(enum(x).tolist()) & set(enum(y).tolist())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "c")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}

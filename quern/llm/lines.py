@@ -150,7 +150,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     firsts = scratch.stage(places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
 
     # Texts of the candidates, each from its first place.
-    keys = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = found.where("kind < 2").select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("key")).distinct()
     wanted = keys.join(firsts, "key").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "key")).alias("lines"))
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,7 +134,7 @@ def compared(pairs: DataFrame, items: DataFrame, same: Callable, prepare: Callab
     """Links (a, b) among pairs (a, b) of items (id, text). prepare: text to what ``same(x, y)`` compares.
 
     Pairs are dealt by a, the item that many share, and by a salt of b where they are very many, so that no item's pairs
-    meet in one task; each task gets a text once.
+    meet in one task; each task gets a text once. A pair whose text is not among the items is an error.
     """
     n = pairs.count()
     tasks = max(1, -(-2 * n // rows_per_task))
@@ -148,7 +148,10 @@ def compared(pairs: DataFrame, items: DataFrame, same: Callable, prepare: Callab
     def run(table: pa.Table) -> pa.Table:
         a, b, text = (table.column(c).to_pylist() for c in ("a", "b", "text"))
         ready = {i: prepare(t or b"") for i, j, t in zip(a, b, text) if j is None}
-        out = [(i, j) for i, j in zip(a, b) if j is not None and i in ready and j in ready and same(ready[i], ready[j])]
+        tried = [(i, j) for i, j in zip(a, b) if j is not None]
+        if lost := {x for pair in tried for x in pair} - ready.keys():
+            raise ValueError(f"no text for {len(lost)} of the items to compare, such as {min(lost)}")
+        out = [(i, j) for i, j in tried if same(ready[i], ready[j])]
         return pa.table({"a": pa.array([i for i, _ in out], pa.int64()), "b": pa.array([j for _, j in out], pa.int64())})
 
     return both.groupBy("t").applyInArrow(run, "a long, b long")

@@ -11,7 +11,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quern.llm import common, forest, jaccard, licences, lines, lm, mixing, pieces, quality, repeats, tokens  # noqa: E402
+from quern.llm import common, forest, jaccard, licences, lines, links, lm, mixing, pieces, quality, repeats, tokens  # noqa: E402
 from quern.llm.common import Scratch, components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +150,41 @@ def test_lines_keep_one_of_each_group(spark):
     assert got[4].text is None and got[5].text == "" and got[None].n_removed == 0 and got[1].x == 7
 
 
+def template_lines(rng, variants):
+    """Lines of 60 words, each but the first with one word changed."""
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    out = [" ".join(words)]
+    while len(out) < variants:
+        w = list(words)
+        w[rng.randrange(60)] = "".join(rng.choice("qrstuvwxyz") for _ in range(6))
+        out.append(" ".join(w))
+    return out
+
+
+def test_lines_of_large_groups_against_brute_force(spark):
+    rng = random.Random(6)
+    made = [x for n in (1, 2, 3, 10, 1000) for x in template_lines(rng, n)]
+    rng.shuffle(made)
+    sets, first = [lines.grams(x.encode()) for x in made], []
+    up = common.Unions()
+    for i, x in enumerate(sets):
+        for j in first:
+            if up.find(i) != up.find(j) and lines.similar(x, sets[j]):
+                up.join(i, j)
+        if up.find(i) == i:
+            first.append(i)
+    want = {i for i in range(len(made)) if up.find(i) != i}
+    assert len(made) - len(want) == 5
+    got = lines.dedup(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id for r in got if r.n_removed} == want
+
+
+def test_compared_needs_every_text(spark):
+    pairs, items = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), spark.createDataFrame([(1, "x"), (2, "x")], "id long, text string")
+    with pytest.raises(Exception, match="no text for 1"):
+        links.compared(pairs, items, lambda a, b: a == b, bytes).collect()
+
+
 def test_line_signatures_catch_similar_lines():
     rng = random.Random(2)
     hit = total = 0

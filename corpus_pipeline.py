@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that are alike the first stays; documents left without any text go, n_chars follows the text."""
-    done = lines.dedup(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    done = lines.dedup(docs, short=True).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -1,8 +1,9 @@
 """Operator 5: fuzzy line dedup by MinHash.
 
-A line's item is its text without surrounding white space, from ``MIN_CHARS`` characters on (shorter lines
-are left alone: they are joints of a text rather than content). Its character 5-gram hashes fill ``BANDS * ROWS``
-bins by one permutation, each bin keeping the least hash; empty bins take the value of a bin chosen by hash.
+A line's item is its text without surrounding white space. With ``short``, as in op5_lines and the pipeline, every line with a
+word counts; without it, lines under ``MIN_CHARS`` characters are left alone. A line's character 5-gram hashes fill ``BANDS * ROWS``
+bins by one permutation, each bin keeping the least hash; empty bins take the value of a bin chosen by hash. A line under
+5 characters is one gram that no other line has: it goes by its key alone, without a signature.
 Bands of the signature give candidates (at similarity 0.8, all but 0.8 % of pairs), each verified by exact Jaccard
 similarity of 5-gram sets. Of each component, found by distributed stars, the line of the smallest
 (doc_id, line number) stays.
@@ -35,14 +36,14 @@ _F = u64(505, GRAM) | np.uint64(1)
 _BAND = u64(506, BINS) | np.uint64(1)
 
 
-def lines_of(text: bytes) -> list[tuple[int, bytes]]:
+def at_least(line: bytes, chars: int) -> bool:
+    return len(line) >= chars and (len(line) >= 4 * chars or len(line.decode()) >= chars)
+
+
+def lines_of(text: bytes, short: bool = False) -> list[tuple[int, bytes]]:
     """(line number, stripped line) of the lines that count."""
-    out = []
-    for i, line in enumerate(text.split(b"\n")):
-        line = line.strip()
-        if len(line) >= MIN_CHARS and (len(line) >= 4 * MIN_CHARS or len(line.decode()) >= MIN_CHARS):
-            out.append((i, line))
-    return out
+    least = 1 if short else MIN_CHARS
+    return [(i, line) for i, line in enumerate(map(bytes.strip, text.split(b"\n"))) if at_least(line, least)]
 
 
 def key_of(line: bytes) -> int:
@@ -94,8 +95,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * shared >= NUM * (both - shared)
 
 
-def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) with duplicate lines taken out of text; n_lines and n_removed count the lines before and those taken."""
+def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) with duplicate lines taken out of text; n_lines and n_removed count the lines before and those taken. short: lines under ``MIN_CHARS`` too."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
@@ -114,10 +115,10 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
                     if doc is None:
                         continue
-                    for i, line in lines_of(text):
+                    for i, line in lines_of(text, short):
                         k = key_of(line)
                         rows.append((doc, i, k))
-                        if k not in seen:
+                        if k not in seen and at_least(line, GRAM):
                             seen.add(k)
                             wait.append(line)
                             keys.append(k)
@@ -194,4 +195,4 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

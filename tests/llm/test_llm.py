@@ -179,6 +179,18 @@ def test_lines_of_large_groups_against_brute_force(spark):
     assert {r.doc_id for r in got if r.n_removed} == want
 
 
+def test_op5_lines_takes_short_lines_too(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    made = ["All rights reserved.\nab\none", "ab\n  All rights reserved. \n\ntwo", "é\n\nab\n日本語で", "é\naé\n日本語で\n\nthree"]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").selectExpr("*", "length(text) as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: made[0], 1: "\ntwo", 2: "é\n\n日本語で", 3: "aé\n\nthree"}
+    got = {r.doc_id: r for r in lines.op5_lines(spark, str(tmp_path)).collect()}
+    assert {d: r.kept_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    assert [got[d].n_removed for d in range(4)] == [0, 2, 1, 2]
+    assert {r.doc_id: r.text for r in cp.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()} == want
+
+
 def test_compared_needs_every_text(spark):
     pairs, items = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), spark.createDataFrame([(1, "x"), (2, "x")], "id long, text string")
     with pytest.raises(Exception, match="no text for 1"):

@@ -7,9 +7,9 @@ log odds by weights of a gate (how far into a word), and an adaptive refinement
 at that level of confidence. Weights and refinement start alike in each run of ``RUN`` decisions of a document and are trained
 online, after each ``STEP`` decisions; so runs are independent lanes that numpy carries together. The total is a proper code length.
 
-Counts are sums over all training documents: tasks send their tables by ranges of slots, and words by bucket with
-the counts coming back to each chunk, so nothing but the three probability tables (one byte a slot, their size following
-the corpus up to ``MAX_BITS``) is sent to every task.
+Counts are sums over all training documents: chunks send the counts of their slots by ranges of slots, and of their words by
+bucket; what all chunks together have of each comes back to the chunk. The number of slots follows the corpus without a bound, and no table is
+sent to every task.
 
 Cases: null and empty text: the end alone (n_tokens 1, bits of the closing zero byte); no training documents: unknown tokens with N = V = 0
 give log10(0.1 / 0.1) = 0 and even odds; a null doc_id is held out (the CRC-32 of nothing is 0) and comes back null; repeated rows each count;
@@ -35,13 +35,13 @@ from quern.llm import chunks
 from quern.llm.common import Scratch, mix64, release_shuffles, spread
 
 RUN, STEP, LANES = 4096, 32, 1024
-MAX_BITS = 24  # 2**24 slots for words, half for 4 bytes, a quarter at most for 2 bytes
 SCALE = 12.0  # steps of a log odds of 1 in the tables
 RATE, REFINE, FIRST_WEIGHT = 0.02, 0.02, 0.4
 GATES, LEVELS = 4, 8
 PAD = 4
 END = b"\0"
-RANGES = 32  # of slots, for summing tables
+RANGES, WIDE = 5, 22  # of a table: 2**5 ranges at least, each of 2**22 slots at most
+RAW = 1 << 24  # decisions of a chunk whose slots are held before they are counted
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
 
@@ -113,7 +113,11 @@ def decisions(texts: list[bytes], code: Code, bits: tuple[int, int, int]) -> tup
     for context, b in zip((two, four, word), bits):
         h = context[coded] * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        h = np.repeat((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32), per)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        if b > 32:
+            slots.append(mix64(np.repeat(h, per) ^ node) & np.uint64((1 << b) - 1))
+            continue
+        h = np.repeat((h >> np.uint64(32)).astype(np.uint32), per)
         h ^= node
         h &= np.uint32((1 << b) - 1)
         slots.append(h)
@@ -234,37 +238,127 @@ def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
+def range_bits(bits: int) -> int:
+    """2 to this power is the number of ranges of a table of 2**bits slots."""
+    return max(RANGES, bits - WIDE)
+
+
+class Tally:
+    """Counts of zeros and ones by slot, of one chunk; slots of held-out texts with none."""
+
+    def __init__(self, bits: int):
+        self.kind = np.uint32 if bits <= 30 else np.uint64
+        self.raw: list[np.ndarray] = []
+        self.size = 0
+        self.keys, self.counts = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def add(self, slots: np.ndarray, bit: np.ndarray | None) -> None:
+        self.raw.append(slots.astype(self.kind) << self.kind(2) | (self.kind(2) if bit is None else bit))
+        self.size += len(slots)
+        if self.size >= RAW:
+            self.close()
+
+    def close(self) -> None:
+        key = np.sort(np.concatenate([*self.raw, self.keys[:0]]))
+        start = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+        keys, counts = key[start], np.diff(np.append(start, len(key)))
+        if len(self.keys):
+            keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, counts = keys[start], np.add.reduceat(counts, start)
+        self.raw, self.size, self.keys, self.counts = [], 0, keys, counts
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots in order, zeros, ones)."""
+        self.close()
+        slot, kind = self.keys >> self.kind(2), self.keys & self.kind(3)
+        fresh = np.concatenate((slot[:1] == slot[:1], slot[1:] != slot[:-1]))
+        place = np.cumsum(fresh) - 1
+        out = np.zeros((2, int(fresh.sum())), np.int64)
+        for k in (0, 1):
+            out[k, place[kind == k]] = self.counts[kind == k]
+        return slot[fresh], *out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _shut(at: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Packed slots of a range, in order, and what belongs to each."""
+    steps = np.diff(at.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return len(at).to_bytes(8, "little") + chunks.squeeze(_planes(steps) + b"".join(map(_planes, columns)))
+
+
+def _open(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, raw, at, out = int.from_bytes(data[:8], "little"), chunks.unsqueeze(data[8:]), 0, []
+    for kind in ("<u4", *kinds):
+        size = n * np.dtype(kind).itemsize
+        out.append(_unplanes(raw[at : at + size], kind))
+        at += size
+    out[0] = np.cumsum(out[0], dtype=np.int64)
+    return out
+
+
+class Sparse:
+    """What a chunk got for its slots, indexed by slots as a whole table would be."""
+
+    def __init__(self, slots: np.ndarray, values: np.ndarray, kind: type):
+        self.slots, self.values = slots.astype(kind), values
+        self.mask = kind((1 << min(23, len(slots).bit_length() + 2)) - 1)
+        self.at = np.zeros(int(self.mask) + 1, np.int32)
+        self.at[self.slots & self.mask] = np.arange(len(slots), dtype=np.int32)
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        at = self.at[slots & self.mask]
+        other = np.flatnonzero(self.slots[at] != slots)  # slots that share the low bits
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.slots, slots[other]), len(self.slots) - 1)
+            if (self.slots[at[other]] != slots[other]).any():
+                raise ValueError("a slot without a reply")
+        return self.values[at]
+
+
 def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
-    """Of the chunks of a task: words by bucket, and the task's counts of slots by range (as buckets below 0)."""
+    """Of each chunk: words by bucket, and counts of slots by range (as buckets below 0)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         code = code_of(pairs)
-        tables = [np.zeros(2 << b, np.uint32) for b in bits]  # zeros and ones of each slot
         names = ["bucket", "chunk", "payload"]
         for batch in batches:
             for row in batch.to_pylist():
                 trained: Counter = Counter()
                 others: set[bytes] = set()
-                group, size = [], 0
+                tallies = [Tally(b) for b in bits]
+                groups: dict[bool, list[bytes]] = {False: [], True: []}
 
-                def add() -> None:
-                    _, bit, slots, _ = decisions(group, code, bits)
-                    for table, s in zip(tables, slots):
-                        np.add.at(table, 2 * s.astype(np.int64) + bit, np.uint32(1))
+                def add(out: bool) -> None:
+                    _, bit, slots, _ = decisions(groups[out], code, bits)
+                    for tally, s in zip(tallies, slots):
+                        tally.add(s, None if out else bit)
+                    groups[out].clear()
 
+                size = {False: 0, True: 0}
                 for doc, text in chunks.texts_of(row):
-                    if held_out(doc):
-                        others.update(_words(text))
-                        continue
-                    low = text.lower()
-                    trained.update(low.split())
-                    group.append(low)
-                    size += len(low)
-                    if size >= 1 << 18:
-                        add()
-                        group, size = [], 0
-                if group:
-                    add()
+                    low, out = text.lower(), held_out(doc)
+                    if out:
+                        others.update(low.split())
+                    else:
+                        trained.update(low.split())
+                    groups[out].append(low)
+                    size[out] += len(low)
+                    if size[out] >= 1 << 18:
+                        add(out)
+                        size[out] = 0
+                for out in groups:
+                    if groups[out]:
+                        add(out)
                 found = _by_bucket({*trained, *others}, buckets)
                 payload = []
                 for ws in found.values():
@@ -272,15 +366,16 @@ def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
                     payload.append(chunks.squeeze(counts + b"\n".join(ws)))
                 n = [len(ws) for ws in found.values()]
                 payload = [k.to_bytes(8, "little") + p for k, p in zip(n, payload)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([row["chunk"]] * len(n), pa.int64()), pa.array(payload, pa.binary())], names)
-        for t, table in enumerate(tables):
-            width = len(table) // RANGES
-            for r in range(RANGES):
-                x, y = table[r * width : (r + 1) * width : 2], table[r * width + 1 : (r + 1) * width : 2]
-                at = np.flatnonzero(x | y)
-                if len(at):
-                    data = chunks.squeeze(at.astype("<u4").tobytes() + x[at].astype("<u4").tobytes() + y[at].astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - t * RANGES - r], pa.int32()), pa.array([None], pa.int64()), pa.array([data], pa.binary())], names)
+                bucket = list(found)
+                for t, (tally, b) in enumerate(zip(tallies, bits)):
+                    slots, zeros, ones = tally.table()
+                    shift = b - range_bits(b)
+                    cut = np.searchsorted(slots, (np.arange((1 << range_bits(b)) + 1, dtype=np.uint64) << np.uint64(shift)))
+                    for r in np.flatnonzero(np.diff(cut)).tolist():
+                        own = slice(cut[r], cut[r + 1])
+                        bucket.append(-1 - 3 * r - t)
+                        payload.append(_shut(slots[own].astype(np.int64) - (r << shift), zeros[own].astype("<u4"), ones[own].astype("<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(bucket), pa.int64()), pa.array(payload, pa.binary())], names)
 
     return run
 
@@ -289,15 +384,17 @@ def _summed(bits: tuple[int, int, int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         payloads = table.column("payload").to_pylist()
+        chunk = table.column("chunk").to_pylist()
         if bucket < 0:
-            width = (1 << bits[(-1 - bucket) // RANGES]) // RANGES
-            zeros, ones = np.zeros(width, np.int64), np.zeros(width, np.int64)
+            b = bits[(-1 - bucket) % 3]
+            zeros, ones = np.zeros((2, 1 << b - range_bits(b)), np.int64)
             for p in payloads:
-                at, x, y = np.frombuffer(chunks.unsqueeze(p), "<u4").reshape(3, -1)
+                at, x, y = _open(p, "<u4", "<u4")
                 zeros[at] += x
                 ones[at] += y
-            reply = [odds(zeros, ones).tobytes()]
-            chunk, n, v = [None], [0], [0]
+            values = odds(zeros, ones)
+            reply = [_shut(at, values[at]) for p in payloads for at in _open(p, "<u4", "<u4")[:1]]
+            n, v = [0] * len(reply), [0] * len(reply)
         else:
             total: dict[bytes, int] = {}
             parts = []
@@ -311,7 +408,6 @@ def _summed(bits: tuple[int, int, int]):
                     total[w] = total.get(w, 0) + c
             reply = [np.array([total[w] for w in ws], "<i8").tobytes() for ws in parts]
             reply = [chunks.squeeze(r) for r in reply]
-            chunk = table.column("chunk").to_pylist()
             n, v = [0] * len(reply), [0] * len(reply)
             n[0], v[0] = sum(total.values()), sum(c > 0 for c in total.values())
         return pa.table({"bucket": pa.array([bucket] * len(reply), pa.int32()), "chunk": pa.array(chunk, pa.int64()), "payload": pa.array(reply, pa.binary()), "n": pa.array(n, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -319,7 +415,27 @@ def _summed(bits: tuple[int, int, int]):
     return run
 
 
-def score(docs: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = None) -> DataFrame:
+def _replied(got: dict[int, bytes], bits: tuple[int, int, int]) -> list[Sparse]:
+    """The tables of one chunk from the replies by range."""
+    out = []
+    for t, b in enumerate(bits):
+        slots, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+        for r in range(1 << range_bits(b)):
+            if p := got.get(-1 - 3 * r - t):
+                at, x = _open(p, "i1")
+                slots.append(at + (r << b - range_bits(b)))
+                values.append(x)
+        out.append(Sparse(np.concatenate(slots), np.concatenate(values), np.uint32 if b <= 32 else np.uint64))
+    return out
+
+
+def table_bits(nbytes: int) -> tuple[int, int, int]:
+    """Slots of the tables of 2 bytes, 4 bytes and words, as powers of 2: in proportion to the corpus."""
+    top = max(14, nbytes.bit_length() - 4)
+    return top - 2, top - 1, top
+
+
+def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
@@ -341,21 +457,13 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = N
     counted = dict(packed.mapInArrow(tally, "k int, n long").groupBy("k").agg(F.sum("n")).collect())  # 2**16 + 2 sums at most
     ends, nbytes = counted.pop(-1, 0), counted.pop(-2, 0)
     seen = np.array([counted.get(i, 0) for i in range(1 << 16)], np.int64)
-    top = min(max_bits, max(14, nbytes.bit_length() - 4))
-    bits = (min(top - 2, 20), top - 1, top)
+    bits = table_bits(nbytes)
     buckets = spread(spark, nbytes, 16 << 20)
-    tasks = max(spark.sparkContext.defaultParallelism, nbytes >> 29)  # a task's tables are as large as those of 512 MB of text
-    sent = packed.coalesce(tasks).mapInArrow(_gather(seen.tobytes(), bits, buckets), "bucket int, chunk long, payload binary")
+    sent = packed.mapInArrow(_gather(seen.tobytes(), bits, buckets), "bucket int, chunk long, payload binary")
     replies = scratch.stage(sent.groupBy("bucket").applyInArrow(_summed(bits), "bucket int, chunk long, payload binary, n long, v long"), "replies")
     release_shuffles(spark)
     n, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + ends, v + bool(ends)
-    tables = [np.zeros(1 << b, np.int8) for b in bits]
-    for r in replies.where("bucket < 0").select("bucket", "payload").toLocalIterator():  # at most three tables of 2**max_bits bytes
-        t, k = divmod(-1 - r["bucket"], RANGES)
-        width = len(tables[t]) // RANGES
-        tables[t][k * width : (k + 1) * width] = np.frombuffer(r["payload"], np.int8)
-    shipped = spark.sparkContext.broadcast(tables)
     pairs = seen.tobytes()
 
     def run(row: dict, own: list[dict]) -> Iterator[pa.Table]:
@@ -370,7 +478,7 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = N
             counts = np.frombuffer(chunks.unsqueeze(got[b]), "<i8").tolist()
             count.update((w, logs[c] if c in logs else logs.setdefault(c, value(c))) for w, c in zip(ws, counts))
         unknown, end = value(0), value(ends)
-        nats = lengths([t.lower() for _, t in texts], code, shipped.value, bits)
+        nats = lengths([t.lower() for _, t in texts], code, _replied(got, bits), bits)
         rows = []
         for (doc, text), ws, cost in zip(texts, words, nats.tolist()):
             logs_of = list(map(count.__getitem__, ws))
@@ -379,9 +487,9 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = N
         kinds = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))
         yield pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds, zip(*rows))})
 
-    words = replies.where("bucket >= 0").select("chunk", "bucket", "payload")
+    answers = replies.select("chunk", "bucket", "payload")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = scratch.stage(chunks.with_replies(packed, words, run, schema), "out")
+    out = scratch.stage(chunks.with_replies(packed, answers, run, schema), "out")
     scratch.drop("chunks", "replies")
     return out
 

@@ -258,6 +258,46 @@ def test_lm_code_length_is_a_distribution():
     assert longer[1] > longer[0] > 0
 
 
+def test_lm_tables_grow_with_the_corpus():
+    assert [lm.table_bits(1 << k)[2] - lm.table_bits(1 << k - 1)[2] for k in range(20, 50)] == [1] * 30
+    code = lm.Code(np.arange(1 << 16) % 977)
+    for bits in ((30, 31, 32), (33, 34, 35)):
+        count, bit, slots, _ = lm.decisions([b"some words of a text " * 50], code, bits)
+        for b, s in zip(bits, slots):
+            assert int(s.max()) >> b == 0 and int(s.max()) >> b - 3
+            tally = lm.Tally(b)
+            tally.add(s, bit)
+            tally.close()
+            tally.add(s[:100], bit[:100])
+            tally.add(s[:7] ^ s.dtype.type(1), None)
+            at, zeros, ones = tally.table()
+            want = Counter(s.tolist()) + Counter(s[:100].tolist())
+            assert {x: z + o for x, z, o in zip(at.tolist(), zeros.tolist(), ones.tolist()) if z + o} == want
+            values = (at % at.dtype.type(200)).astype(np.uint8)
+            assert (lm.Sparse(at, values, s.dtype.type)[s] == s % s.dtype.type(200)).all()
+            with pytest.raises(ValueError):
+                lm.Sparse(at, values, s.dtype.type)[np.setdiff1d(s ^ s.dtype.type(2), at)]
+
+
+def test_lm_bits_against_whole_tables(spark, rows):
+    rows = [(i * 1000 + d, t) for i, (d, t) in enumerate(rows)]
+    raw = {d: t.encode().lower() for d, t in rows}
+    pairs = np.zeros(1 << 16, np.int64)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    joined = np.frombuffer(b"".join(raw.values()), np.uint8).astype(np.int64)
+    np.add.at(pairs, joined[:-1] << 8 | joined[1:], 1)
+    pairs[0x2E00] += len(rows)
+    code, bits = lm.Code(pairs), lm.table_bits(len(joined) + len(rows))
+    counts = [np.zeros((2, 1 << b), np.int64) for b in bits]
+    for d, t in raw.items():
+        if not lm.held_out(d):
+            _, bit, slots, _ = lm.decisions([t], code, bits)
+            for c, s in zip(counts, slots):
+                np.add.at(c, (bit, s), 1)
+    want = lm.lengths(list(raw.values()), code, [lm.odds(*c) for c in counts], bits)
+    assert all(math.isclose(got[d], -w / math.log(10), rel_tol=1e-4) for d, w in zip(raw, want))
+
+
 def test_lm_awkward_rows(spark):
     got = lm.score(docs_of(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r.n_tokens for r in got if r.doc_id in (900, 901, 902)} == {1}

@@ -64,7 +64,7 @@ def placed(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     goals = targets(df.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     # Both tables have few rows for each source; null sources meet by null-safe equality.
     facts = sums.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "b", "before", "source_size", "target")
-    tie = [c for c in ("doc_id", "text_hash") if c in df.columns]
+    tie = [c for c in ("doc_id", "text_hash", "nth") if c in df.columns]
     inside = Window.partitionBy("source", "b").orderBy("key", *tie)
     df = df.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     keep = [F.col(f"d.{c}") for c in docs.columns]
@@ -75,6 +75,11 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
 
 
+def _nth(text_hash: str):
+    """Number of a row among those of equal doc_id, source and text."""
+    return F.row_number().over(Window.partitionBy("doc_id", "source", text_hash).orderBy(text_hash))
+
+
 def _taken(most: int):
     """Words of all copies before the cut at virtual time 1."""
     copies = [F.least(F.greatest(F.floor("target") - e * F.col("source_size") - F.col("start"), F.lit(0)), F.col("size")) for e in range(most)]
@@ -90,15 +95,17 @@ def taken(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tupl
 
 def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix itself: docs' columns, size, copy, finish and taken, one row per copy that the cut leaves words, in order of finish time."""
-    rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash")).distinct()
+    rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash")).withColumn("nth", _nth("text_hash"))
     rows = Scratch(docs.sparkSession, "mixing").stage(rows, "sizes")
     at = placed(rows, share, most, weights, seed)
-    at = at.select("doc_id", "source", "text_hash", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
+    at = at.select("doc_id", "source", "text_hash", "nth", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
     begin = F.col("copy") * F.col("source_size") + F.col("start")
     at = at.withColumn("finish", (begin + F.col("size")) / F.col("target")).withColumn("taken", F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")))
-    at = at.where("taken > 0").select("doc_id", "source", "text_hash", "size", "copy", "finish", "taken")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.xxhash64("d.text") == F.col("t.text_hash"))
-    mixed = docs.drop("size", "copy", "finish", "taken").alias("d").join(at.alias("t"), same).select("d.*", "t.size", "t.copy", "t.finish", "t.taken")
+    at = at.where("taken > 0").select("doc_id", "source", "text_hash", "nth", "size", "copy", "finish", "taken")
+    own = docs.drop("size", "copy", "finish", "taken")
+    numbered = own.withColumn("text_hash_", F.xxhash64("text")).withColumn("nth_", _nth("text_hash_"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.text_hash_") == F.col("t.text_hash")) & (F.col("d.nth_") == F.col("t.nth"))
+    mixed = numbered.alias("d").join(at.alias("t"), same).select(*[F.col(f"d.`{c}`") for c in own.columns], "t.size", "t.copy", "t.finish", "t.taken")
     return mixed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
 
 

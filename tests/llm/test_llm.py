@@ -229,6 +229,15 @@ def test_mixing_shares_and_stream(spark):
     assert mixing.taken(docs_of(spark, [])).collect() == []
 
 
+def test_mixing_stream_counts_repeated_rows(spark):
+    made = [(i, "w " * (1 + i % 7), "en", f"s{i % 3}") for i in range(60)] + [(3, "a b c d", "en", "s0")] * 20 + [(None, "e f", "en", None)] * 5
+    df = docs_of(spark, made)
+    words = lambda rows: sorted((r.doc_id or -1, r.taken) for r in rows if r.taken)
+    got = mixing.stream(df).groupBy("doc_id").agg({"taken": "sum"}).toDF("doc_id", "taken").collect()
+    assert words(got) == words(mixing.taken(df).groupBy("doc_id").agg({"taken": "sum"}).toDF("doc_id", "taken").collect())
+    assert mixing.stream(df).columns == [*df.columns, "size", "copy", "finish", "taken"]
+
+
 def test_lm_base_and_bits(spark, documents, rows):
     c = Counter()
     for d, t in rows:

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t)[0] for t in utf8(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array([r[:512].astype("<f4").tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # Broadcast: at most ``most`` pairs of numbers.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(rows, "doc_id long, quality int, x binary").collect()

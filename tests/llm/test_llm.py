@@ -349,6 +349,13 @@ def test_quality_on_held_out_labels(spark):
     assert sum(clean) >= 0.97 * len(clean) and sum(junk) <= 0.35 * len(junk)
 
 
+def test_quality_fits_on_all_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda docs: seen.extend(docs) or quality.DEFAULT)
+    quality.fit(docs_of(spark, [(1, "some words\n" * 700, "en", "s")]), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert [len(x) for x, _ in seen] == [700]
+
+
 def test_quality_awkward_rows(spark):
     df = docs_of(spark, AWKWARD).selectExpr("*", "'x' as kept")
     got = quality.judge(df, quality.DEFAULT, keep_columns=True).collect()

@@ -1,8 +1,8 @@
 """Operator 3: removal of repeated passages: every byte inside a string of ``LENGTH`` bytes that also starts earlier.
 
 The column-wise construction (one symbol of each document a round, the collection's Burrows-Wheeler transform and
-common prefixes rewritten sequentially each round) is in ``bwt.py`` and gives the same result; it needs as many rounds as the longest
-document has bytes, each over the whole external files, so the production path finds the same strings another way (see README).
+common prefixes rewritten sequentially each round) was not built or measured: it needs as many rounds as the longest document has
+bytes, each over the whole external files. This module finds the same strings another way (see README).
 
 Each string of LENGTH bytes has an anchor: its GRAM-byte piece of least hash, the first of equal ones. Equal strings have equal
 anchors at equal offsets. Anchors lie about 35 bytes apart, each is the anchor of a run of neighbouring strings.

@@ -159,9 +159,8 @@ def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
     sign = bit.astype(np.float32) * 2 - 1
     for t in range(0, steps, STEP):
         part = s[:, t : t + STEP]
-        g = lane * GATES + gate[t]  # known before the block is
-        own = w[:, g]
-        x = np.einsum("ksl,kl->sl", part, own)
+        g = lane * GATES + gate[t : t + STEP]  # of each decision
+        x = np.einsum("ksl,ksl->sl", part, w[:, g])
         np.clip(x, -9, 9, out=x)
         level = g * LEVELS + np.clip((x + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
         shift = refine[level]
@@ -169,7 +168,8 @@ def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-y))
         cost[t : t + STEP] = -np.log(p)
         err = sign[t : t + STEP] * (1 - p)
-        w[:, g] = own + np.float32(RATE) * np.einsum("ksl,sl->kl", part, err)
+        for own, odd in zip(w, part):
+            np.add.at(own, g.ravel(), (np.float32(RATE) * odd * err).ravel())
         np.add.at(refine, level.ravel(), (np.float32(REFINE) * err).ravel())
     return cost
 

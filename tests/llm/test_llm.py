@@ -267,6 +267,26 @@ def test_lm_code_length_is_a_distribution():
     assert longer[1] > longer[0] > 0
 
 
+def test_lm_weights_by_own_gate():
+    rng = np.random.default_rng(3)
+    s, bit, gate = rng.normal(0, 2, (3, 256, 2)).astype(np.float32), rng.integers(0, 2, (256, 2)).astype(np.uint8), rng.integers(0, 4, (256, 2)).astype(np.uint8)
+    got = lm.mixed(s, bit, gate)
+    for j in range(2):
+        w, refine = np.full((4, 3), lm.FIRST_WEIGHT), np.zeros((4, lm.LEVELS))
+        for t in range(0, 256, lm.STEP):
+            later = []
+            for i in range(t, t + lm.STEP):
+                g, sign = gate[i, j], 2 * int(bit[i, j]) - 1
+                x = float(np.clip(w[g] @ s[:, i, j], -9, 9))
+                level = int(np.clip((x + 8) * 0.5, 0, lm.LEVELS - 1))
+                p = 1 / (1 + math.exp(-sign * (x + refine[g, level])))
+                assert math.isclose(got[i, j], -math.log(p), rel_tol=1e-3, abs_tol=1e-4)
+                later.append((g, level, sign * (1 - p), s[:, i, j]))
+            for g, level, err, x in later:
+                w[g] += lm.RATE * err * x
+                refine[g, level] += lm.REFINE * err
+
+
 def test_lm_tables_grow_with_the_corpus():
     assert [lm.table_bits(1 << k)[2] - lm.table_bits(1 << k - 1)[2] for k in range(20, 50)] == [1] * 30
     code = lm.Code(np.arange(1 << 16) % 977)

@@ -75,21 +75,6 @@ def spread(spark: SparkSession, nbytes: int, per_part: int = 16 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // per_part), 1)
 
 
-#: Up to so many edges (8 MB) one task unites them; beyond it rounds over the whole cluster do. The results are equal.
-SMALL_GRAPH = 500_000
-
-
-def _united(batches):
-    unions = Unions()
-    for b in batches:
-        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
-            unions.join(u, v)
-    ids = list(unions.up)
-    for i in range(0, len(ids), 10_000):
-        part = ids[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([unions.find(x) for x in part], pa.int64())], ["id", "component"])
-
-
 def components(nodes_edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """Connected components by alternating large and small stars; edges (a long, b long) in any direction.
 
@@ -100,8 +85,6 @@ def components(nodes_edges: DataFrame, scratch: Scratch, tag: str = "cc") -> Dat
     """
     edges = nodes_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before, k = scratch.stage(edges, f"{tag}-0"), None, 0
-    if edges.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        return edges.repartition(1).mapInArrow(_united, "id long, component long")
     while True:
         k += 1
         # Large star: each vertex hands its larger neighbours the smallest vertex around it.

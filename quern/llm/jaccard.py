@@ -1,12 +1,13 @@
 """Operator 10: n-gram Jaccard join by PartEnum signatures.
 
 Documents are sets of word n-grams. Sizes are cut into bands so that linked sets lie in one band or in
-neighbours. For a pair of neighbouring bands the Hamming distance of linked sets is at most k; the n-gram
-domain is hashed into k + 1 + spare parts, so at least spare + 1 parts hold the same members in both sets, and
-a part's content with its number is a signature. (Enumerating subsets of subdivided parts gives more, not
-fewer signatures at these distances, so each subset is one part.) A part that is empty says nothing; a set with at most ``spare`` empty parts
-shares a part with members with each of its partners and keeps empty parts to itself, the few other sets
-also send them. Signatures are exact candidates: no link is missed, and each candidate pair is verified on whole texts.
+neighbours. For a pair of neighbouring bands the Hamming distance of linked sets is at most k. The n-gram domain is hashed
+into n1 = k // 2 + 1 parts, so in some part linked sets differ by one member at most. Each part is cut in three, and
+all subsets of two of the three are enumerated: one of them has the same members in both sets. Its content, with its number, is a signature.
+A subset without members says nothing and is not sent. With ``spare`` parts more than n1, sets that have empty subsets in at most
+``spare`` parts still share a subset with members with each of their partners; other sets send, besides, the signatures of further
+hashings of the domain, up to the first that suits them. Of two linked sets the one that stops first shares that hashing with the other, so no link
+is missed. Where k is 0, linked sets are equal, and the whole set is the signature. Each candidate is verified exactly.
 
 Keys are 64-bit hashes of sets, so copies are one item from the start.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ from quern.llm.common import Scratch, mix64, release_shuffles, spread, u64, utf8
 
 #: Distinct words whose hashes a worker remembers; beyond it the memory is emptied, which changes speed alone.
 WORD_CACHE = 300_000
+#: Keys of sets that a task remembers.
+SEEN = 500_000
+#: Hashings of the domain that a set may need.
+HASHINGS = 16
+_SALT = u64(1010, HASHINGS)
 
 
 @functools.lru_cache(8)
@@ -38,6 +45,12 @@ def _factors(n: int) -> np.ndarray:
     return u64(7 * n + 1, n) | np.uint64(1)
 
 
+@functools.lru_cache(2)
+def shingler_of(n: int) -> Shingler:
+    """One per Python worker: the hashes that it remembers serve all of the worker's tasks."""
+    return Shingler(n)
+
+
 class Shingler:
     def __init__(self, n: int):
         self.n, self.words = n, {}
@@ -78,44 +91,44 @@ class PartEnum:
         return int(np.searchsorted(self.top, size))
 
     def parts(self, tag: int) -> tuple[int, int]:
-        """(number of parts, spare ones) for sets of bands tag - 1 and tag."""
+        """(number of parts, spare ones) for sets of bands tag - 1 and tag; no parts if linked sets are equal."""
         while len(self.top) <= tag:
             self.band(self.top[-1] + 1)
         k = 2 * self.top[tag] * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + k // 40
-        return k + 1 + spare, spare
+        spare = (k // 2 + 1) // 8
+        return (k // 2 + 1 + spare, spare) if k else (0, 0)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        out = []
-        band = self.band(len(grams))
+        out, band = [np.zeros(0, np.uint64)], self.band(len(grams))
         content = mix64(grams ^ np.uint64(0x9E3779B97F4A7C15))
         for tag in (band, band + 1):
             parts, spare = self.parts(tag)
-            part = (grams >> np.uint64(11)) % np.uint64(parts)
-            part = part.astype(np.int64)
-            held = np.bincount(part, minlength=parts)
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, content)
-            signature = mix64(total + mix64(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(tag)))
-            out.append(signature if (held == 0).sum() > spare else signature[held > 0])
+            if not parts:  # linked sets are equal: the whole set is the signature
+                out.append(mix64(content.sum(keepdims=True, dtype=np.uint64) + mix64(np.array([tag << 4], np.uint64))))
+            for hashing in range(HASHINGS if parts else 0):
+                third = (mix64(grams + _SALT[hashing]) >> np.uint64(11)) % np.uint64(3 * parts)
+                third = third.astype(np.int64)
+                held = np.bincount(third, minlength=3 * parts).reshape(parts, 3)
+                total = np.zeros(3 * parts, np.uint64)
+                np.add.at(total, third, content)
+                total = total.reshape(parts, 3)
+                # The three subsets of two thirds: all but the first, the second, the last.
+                some = (held.sum(1, keepdims=True) - held).ravel() > 0
+                number = np.arange(3 * parts, dtype=np.uint64) << np.uint64(24) | np.uint64(tag << 4 | hashing)
+                signature = mix64((total.sum(1, keepdims=True, dtype=np.uint64) - total).ravel() + mix64(number))
+                enough = np.count_nonzero(~some.reshape(parts, 3).all(1)) <= spare
+                if not enough and hashing == HASHINGS - 1:
+                    some[:] = True  # tiny sets: their empty subsets go too
+                out.append(signature[some])
+                if enough:
+                    break
         return np.concatenate(out)
 
 
-def _key(grams: np.ndarray) -> int:
+def key_of(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else 0
 
 
-def _similar(num: int, den: int):
-    def same(a: np.ndarray, b: np.ndarray) -> bool:
-        if not len(a) or not len(b):
-            return False
-        both = len(a) + len(b)
-        shared = both - len(np.union1d(a, b)) if len(a) < 50_000 else len(np.intersect1d(a, b, True))
-        return den * shared >= num * (both - shared)
-
-    return same
-
-
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): documents linked at similarity num / den or more."""
     spark = docs.sparkSession
@@ -125,57 +138,48 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
     buckets = spread(spark, nbytes, 8 << 20)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, enum, seen = Shingler(n), PartEnum(num, den), set()
-        rows: list[tuple] = []
-
-        def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
-                    grams = shingles(text)
-                    key = _key(grams)
-                    rows.append((doc, len(grams), key))
-                    if len(grams) and doc is not None and key not in seen:
-                        seen.add(key)
-                        s = enum(grams)
-                        yield s, np.full(len(s), key, np.uint64)
-
-        def table() -> pa.RecordBatch:
-            d, size, key = zip(*rows)
-            rows.clear()
-            nothing = pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())
-            return pa.RecordBatch.from_arrays([*nothing, pa.array(d, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64))], ["bucket", "payload", "doc_id", "n_shingles", "key"])
-
-        for p in links.packed(entries(), buckets):
-            none = pa.nulls(p.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*p.columns, none, none, none], ["bucket", "payload", "doc_id", "n_shingles", "key"])
-            if rows:
-                yield table()
-        if rows:
-            yield table()
-
-    both = scratch.stage(docs.mapInArrow(sets, "bucket int, payload binary, doc_id long, n_shingles long, key long"), "sets")
-    found = links.candidates(both.where("bucket is not null").select("bucket", "payload"), scratch)
-    sizes = scratch.stage(both.where("bucket is null").select("doc_id", "n_shingles", "key"), "sizes")
-    scratch.drop("sets")
+        shingles, enum, seen = shingler_of(n), PartEnum(num, den), set()
+        send = links.Sender(buckets, TaskContext.get().partitionId())
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
+                grams = shingles(text)
+                key = key_of(grams)
+                send.fact(doc, len(grams), key)
+                if len(grams) and doc is not None and key not in seen:
+                    if len(seen) >= SEEN:  # copies beyond it are sent again, which changes nothing
+                        seen.clear()
+                    seen.add(key)
+                    s = enum(grams)
+                    send.add(s, np.full(len(s), key, np.uint64))
+                if send.full:
+                    yield send.flush()
+        yield send.flush()
+
+    found = links.candidates(docs.mapInArrow(sets, links.PACKED), scratch)
     release_shuffles(spark)
+    sizes = links.facts(found, "doc_id", "n_shingles", "key")
     # The document that stands for each set.
     stand = scratch.stage(sizes.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "stand")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = stand.select(F.col("key").alias("a"), F.col("rep").alias("ra")), stand.select(F.col("key").alias("b"), F.col("rep").alias("rb"))
-        ids = pairs.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        linked = links.compared(ids, docs.withColumnRenamed("doc_id", "id"), _similar(num, den), Shingler(n))
-        a, b = stand.select(F.col("rep").alias("a"), F.col("key").alias("ka")), stand.select(F.col("rep").alias("b"), F.col("key").alias("kb"))
-        return linked.join(a, "a").join(b, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler_of(n)
+        for b in batches:
+            got = [(k, g.tobytes()) for k, t in zip(b.column("key").to_pylist(), utf8(b.column("text"))) if key_of(g := shingles(t)) == k & 0xFFFFFFFFFFFFFFFF]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([t for _, t in got], pa.binary())], ["id", "text"])
 
-    comps = links.link(found, verify, scratch)
+    # Sets of the candidates; another text under the same doc_id has another key and is left out.
+    wanted = links.items(found).withColumnRenamed("id", "key").join(stand, "key").withColumnRenamed("rep", "doc_id")
+    grams = scratch.stage(docs.join(wanted, "doc_id").select("key", "text").mapInArrow(chosen, "id long, text binary").dropDuplicates(["id"]), "grams")
+    release_shuffles(spark)
+    comps = links.link(found, grams, lambda t: np.frombuffer(t, np.uint64), num, den, scratch)
+    scratch.drop("grams")
     of_key = comps.select(F.col("id").alias("key"), F.col("component").alias("c")).join(stand, "key")
     least = of_key.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_key = of_key.join(least, "c").select("key", "component_id")
     # Documents with one key are copies: hot keys, in joins that Spark can split.
-    ids = sizes.join(stand, "key", "left").join(of_key, "key", "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
-    return scratch.stage(ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")), "out")
+    ids = sizes.join(stand.join(of_key, "key", "left").select("key", F.coalesce("component_id", "rep").alias("of_key")), "key", "left")
+    comp = F.when(F.col("n_shingles") > 0, F.col("of_key")).otherwise(F.col("doc_id"))
+    return ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ GRAM, BANDS, ROWS = 5, 16, 6
 NUM, DEN = 80, 100
 MIN_CHARS = 24
 BINS = BANDS * ROWS
+#: Keys of lines that a task remembers.
+SEEN = 1_000_000
 #: Characters whose signatures are made at once.
 AT_ONCE = 400_000
 _F = u64(505, GRAM) | np.uint64(1)
@@ -89,12 +92,6 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     return mix64(bands + mix64(np.arange(BANDS, dtype=np.uint64)))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(a) + len(b)
-    shared = both - len(np.union1d(a, b))
-    return DEN * shared >= NUM * (both - shared)
-
-
 def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with duplicate lines taken out of text; n_lines and n_removed count the lines before and those taken. short: lines under ``MIN_CHARS`` too."""
     spark = docs.sparkSession
@@ -106,52 +103,38 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
     buckets = spread(spark, nbytes, 8 << 20)
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        rows: list[tuple[int, int, int]] = []
-
-        def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            wait, keys, size = [], [], 0
-            for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
-                    if doc is None:
-                        continue
-                    for i, line in lines_of(text, short):
-                        k = key_of(line)
-                        rows.append((doc, i, k))
-                        if k not in seen and at_least(line, GRAM):
-                            seen.add(k)
-                            wait.append(line)
-                            keys.append(k)
-                            size += len(line)
-                            if size > AT_ONCE:
-                                yield signatures(wait).ravel(), np.repeat(np.array(keys, np.uint64), BANDS)
-                                wait, keys, size = [], [], 0
-            if wait:
-                yield signatures(wait).ravel(), np.repeat(np.array(keys, np.uint64), BANDS)
-
-        names = ["bucket", "payload", "doc_id", "line", "key"]
-
-        def table() -> pa.RecordBatch:
-            d, i, k = zip(*rows)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary()), pa.array(d, pa.int64()), pa.array(i, pa.int32()), pa.array(np.array(k, np.uint64).view(np.int64))], names)
-
-        for p in links.packed(signed(), buckets):
-            yield pa.RecordBatch.from_arrays([*p.columns, pa.nulls(p.num_rows, pa.int64()), pa.nulls(p.num_rows, pa.int32()), pa.nulls(p.num_rows, pa.int64())], names)
-            if rows:
-                yield table()
-        if rows:
-            yield table()
-
-    both = scratch.stage(narrow.mapInArrow(entries, "bucket int, payload binary, doc_id long, line int, key long"), "entries")
-    found = links.candidates(both.where("bucket is not null").select("bucket", "payload"), scratch)
-    places = scratch.stage(both.where("bucket is null").select("doc_id", "line", "key"), "places")
-    scratch.drop("entries")
+        send, seen = links.Sender(buckets, TaskContext.get().partitionId()), set()
+        wait, keys, size = [], [], 0
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
+                if doc is None:
+                    continue
+                for i, line in lines_of(text, short):
+                    k = key_of(line)
+                    send.fact(doc, i, k)
+                    if k not in seen and at_least(line, GRAM):
+                        if len(seen) >= SEEN:  # copies beyond it are sent again, which changes nothing
+                            seen.clear()
+                        seen.add(k)
+                        wait.append(line)
+                        keys.append(k)
+                        size += len(line)
+                        if size > AT_ONCE:
+                            send.add(signatures(wait).ravel(), np.repeat(np.array(keys, np.uint64), BANDS))
+                            wait, keys, size = [], [], 0
+                    if send.full:
+                        yield send.flush()
+        if wait:
+            send.add(signatures(wait).ravel(), np.repeat(np.array(keys, np.uint64), BANDS))
+        yield send.flush()
+
+    found = links.candidates(narrow.mapInArrow(entries, links.PACKED), scratch)
     release_shuffles(spark)
+    places = links.facts(found, "doc_id", "line", "key")
     firsts = scratch.stage(places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
 
     # Texts of the candidates, each from its first place.
-    keys = found.where("kind < 2").select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("key")).distinct()
+    keys = links.items(found).withColumnRenamed("id", "key")
     wanted = keys.join(firsts, "key").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "key")).alias("lines"))
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +151,14 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
 
     texts = scratch.stage(narrow.join(wanted, "doc_id").select("text", "lines").mapInArrow(cut_out, "id long, text binary").dropDuplicates(["id"]), "texts")
     release_shuffles(spark)
-    comps = links.link(found, lambda pairs: links.compared(pairs, texts, similar, grams), scratch)
+    comps = links.link(found, texts, grams, NUM, DEN, scratch)
 
     # What goes: each place of a repeated or linked line but the first of its component.
     many = firsts.join(comps.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").select("key", "first", F.coalesce("component", "key").alias("c"))
     best = many.join(many.groupBy("c").agg(F.min("first").alias("best")), "c").select("key", "best")
     gone = places.join(best, "key").where("not (doc_id = best.doc_id and line = best.line)")
     gone = scratch.stage(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "gone")
-    scratch.drop("texts", "places", "firsts", "candidates")
+    scratch.drop("texts", "firsts", "candidates")
     release_shuffles(spark)
 
     def rebuilt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

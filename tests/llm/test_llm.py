@@ -169,7 +169,7 @@ def test_lines_of_large_groups_against_brute_force(spark):
     up = common.Unions()
     for i, x in enumerate(sets):
         for j in first:
-            if up.find(i) != up.find(j) and lines.similar(x, sets[j]):
+            if up.find(i) != up.find(j) and links.similar(x, sets[j], lines.NUM, lines.DEN):
                 up.join(i, j)
         if up.find(i) == i:
             first.append(i)
@@ -194,7 +194,7 @@ def test_op5_lines_takes_short_lines_too(spark, tmp_path):
 def test_compared_needs_every_text(spark):
     pairs, items = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), spark.createDataFrame([(1, "x"), (2, "x")], "id long, text string")
     with pytest.raises(Exception, match="no text for 1"):
-        links.compared(pairs, items, lambda a, b: a == b, bytes).collect()
+        links.compared(pairs, items, lambda t: np.frombuffer(t, np.uint8), 1, 1).collect()
 
 
 def test_line_signatures_catch_similar_lines():
@@ -206,7 +206,7 @@ def test_line_signatures_catch_similar_lines():
         for _ in range(max(1, len(a) // 60)):
             b[rng.randrange(len(b))] = "#"
         b = "".join(b)
-        if lines.similar(lines.grams(a.encode()), lines.grams(b.encode())):
+        if links.similar(lines.grams(a.encode()), lines.grams(b.encode()), lines.NUM, lines.DEN):
             total += 1
             s = lines.signatures([a.encode(), b.encode()])
             hit += bool((s[0] == s[1]).any())
@@ -469,9 +469,7 @@ def test_partenum_shares_a_signature():
                 assert set(enum(x).tolist()) & set(enum(y).tolist())
 
 
-@pytest.mark.parametrize("small", [0, 500_000])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(common, "SMALL_GRAPH", small)
+def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "c")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}

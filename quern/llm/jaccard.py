@@ -169,7 +169,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
 
     # Sets of the candidates; another text under the same doc_id has another key and is left out.
     wanted = links.items(found).withColumnRenamed("id", "key").join(stand, "key").withColumnRenamed("rep", "doc_id")
-    grams = scratch.stage(docs.join(wanted, "doc_id").select("key", "text").mapInArrow(chosen, "id long, text binary").dropDuplicates(["id"]), "grams")
+    grams = scratch.stage(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("key", "text").mapInArrow(chosen, "id long, text binary").dropDuplicates(["id"]), "grams")
     release_shuffles(spark)
     comps = links.link(found, grams, lambda t: np.frombuffer(t, np.uint64), num, den, scratch)
     scratch.drop("grams")

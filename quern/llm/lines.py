@@ -149,7 +149,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
                         ts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ts, pa.binary())], ["id", "text"])
 
-    texts = scratch.stage(narrow.join(wanted, "doc_id").select("text", "lines").mapInArrow(cut_out, "id long, text binary").dropDuplicates(["id"]), "texts")
+    texts = scratch.stage(narrow.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "lines").mapInArrow(cut_out, "id long, text binary").dropDuplicates(["id"]), "texts")
     release_shuffles(spark)
     comps = links.link(found, texts, grams, NUM, DEN, scratch)
 
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*own, "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_removed long"])
-    return docs.join(gone, "doc_id", "left").select(*own, "gone").mapInArrow(rebuilt, schema)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*own, "gone").mapInArrow(rebuilt, schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

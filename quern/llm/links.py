@@ -28,6 +28,8 @@ from quern.llm.common import Scratch, Unions, components, release_shuffles
 
 #: Entries that a task gathers before it sends them on, and facts.
 FLUSH, FACTS = 400_000, 50_000
+#: Low bytes of a signature that travel: what they confuse inside a bucket is one more candidate, which is verified like any other.
+SIGNED = 6
 #: Items of a block, and columns of a block's matrix that hold one member each; as many more hold the rest by hash.
 BLOCK, COLUMNS = 1024, 2048
 #: Rows of a task that compares, and pairs of one item in a task.
@@ -63,7 +65,8 @@ class Sender:
             order = np.argsort(b, kind="stable")
             s, k, b = s[order], k[order], b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
-            payload = [x.tobytes() + y.tobytes() for x, y in zip(np.split(s, cut), np.split(k, cut))]
+            low = s.view(np.uint8).reshape(-1, 8)[:, :SIGNED]
+            payload = [x.tobytes() + y.tobytes() for x, y in zip(np.split(low, cut), np.split(k, cut))]
             bucket = b[np.concatenate(([0], cut))].tolist()
         fact = [False] * len(bucket)
         if self.facts:  # to any bucket, in turn
@@ -87,13 +90,15 @@ def _groups(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket: kind 0: pairs (a, b) that are a group; 1: the larger groups, packed; 2: (a: item, b: sum of their sizes); 3: facts."""
     bucket, out, sigs, keys = key[0].as_py(), [], [], []
     for fact, p in zip(table.column("fact").to_pylist(), table.column("payload").to_pylist()):
-        x = np.frombuffer(p, np.uint64)
         if fact:
-            a, b, c = x.view(np.int64).reshape(3, -1)
+            a, b, c = np.frombuffer(p, np.int64).reshape(3, -1)
             out.append(_table(3, len(a), bucket, a=pa.array(a, mask=a == NO_ID), b=pa.array(b), c=pa.array(c)))
         else:
-            sigs.append(x[: len(x) // 2])
-            keys.append(x[len(x) // 2 :].view(np.int64))
+            n = len(p) // (SIGNED + 8)
+            s = np.zeros((n, 8), np.uint8)
+            s[:, :SIGNED] = np.frombuffer(p, np.uint8, SIGNED * n).reshape(n, SIGNED)
+            sigs.append(s.view(np.uint64).ravel())
+            keys.append(np.frombuffer(p, np.int64, n, SIGNED * n))
     if not sigs:
         return pa.concat_tables(out)
     s, k = np.concatenate(sigs), np.concatenate(keys)
@@ -191,7 +196,7 @@ def _with_texts(dealt: DataFrame, ids: list[str], texts: DataFrame) -> DataFrame
     for c in ids:
         part = dealt.select("t", F.col(c).alias("id_"))
         need = part if need is None else need.unionByName(part)
-    got = need.distinct().join(texts.select(F.col("id").alias("id_"), F.col("text").cast("binary").alias("text")), "id_")
+    got = need.distinct().join(texts.select(F.col("id").alias("id_"), F.col("text").cast("binary").alias("text")).hint("merge"), "id_")
     return dealt.unionByName(got, allowMissingColumns=True)
 
 

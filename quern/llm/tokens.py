@@ -7,13 +7,14 @@ A checkpoint per block holds the first id's place, the number of words, the CRC-
 lanes' states, so that blocks can be decoded in parallel and any damage shows.
 
 A file's bytes, little-endian: magic ``QRNS``, uint32 version, n_docs, n_blocks, uint64 n_ids, uint64 first
-(ids in all files before), uint32 CRC-32 of the frequency table; int64 doc_id and uint32 count of each
+(ids before, in its part), uint32 CRC-32 of the frequency table; int64 doc_id and uint32 count of each
 document; of each block uint32 ids, words, CRC-32 and LANES uint64 states; then the words. Files are the
 ``file`` column of a Parquet table (one row each), so Spark's commit protocol makes them safe against lost
 and repeated tasks on any store.
 
 Cases: null text is an empty document (the end id alone); a null doc_id sorts first and comes back null;
-repeated doc_ids are kept, ordered by their encoded ids; an empty table gives an empty table; other columns are ignored.
+repeated doc_ids are kept, ordered by their encoded ids; an empty table gives an empty table; other columns are ignored;
+a vocabulary of more than 65,536 ids is an error.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ import functools
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, release_shuffles, spread, utf8
+from quern.llm import words
+from quern.llm.common import Scratch, release_shuffles, utf8
 
 BLOCK, LANES = 16_384, 32
 BITS = 20  # of the quantised frequencies: they sum to 2**BITS
@@ -40,34 +41,56 @@ NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
 WORD_CACHE = 250_000
+#: Bytes of text whose words are looked up at once; parts of a data set.
+AT_ONCE, MOST_PARTS = 2 << 20, 10_000
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, so a text's
-    ids are those of its white-space-separated words in turn; each distinct word is encoded once.
+    ids are those of its white-space-separated words in turn; each distinct word is encoded once. Ids are of 16 bits.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        self.tok, self.ids, self.old = Tokenizer.from_file(path), {}, {}
+        self.tok = Tokenizer.from_file(path)
+        if self.tok.get_vocab_size() > 1 << 16:
+            raise ValueError("a vocabulary of more than 65,536 ids")
+        self.numbers = words.Numbers(WORD_CACHE, self._new, self._clear)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids, self.start = np.zeros(0, "<u2"), np.zeros(1, np.int64)
+
+    def _new(self, found: list[bytes]) -> None:
+        ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) for x in ids])))
+        self.ids = np.concatenate((self.ids, *(np.array(x, "<u2") for x in ids)))
+
+    def flat(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of each text's), with an end id after each text where one is given."""
+        # The normaliser lower-cases all but special tokens.
+        own = [t if b"<|" in t else t.lower() for t in texts]
+        sizes = np.array([len(t) + 1 for t in own], np.int64)
+        raw = b" " + b" ".join(own) + b" " * 17
+        starts, ends = words.spans(np.frombuffer(raw, np.uint8))
+        number = self.numbers(raw, starts, ends)
+        size = np.diff(self.start)[number]
+        ids = self.ids[words.ragged(self.start[number], size)]
+        of_text = np.concatenate(([0], np.searchsorted(starts, np.cumsum(sizes) + 1)))
+        total = np.concatenate(([0], np.cumsum(size)))[of_text]
+        if end is not None:
+            ids = np.insert(ids, total[1:], end)
+            return ids, np.diff(total) + 1
+        return ids, np.diff(total)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian uint16."""
-        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # the normaliser lower-cases all but special tokens
-        if len(self.ids) > WORD_CACHE:  # words not seen since the last time are forgotten
-            self.old, self.ids = self.ids, {}
-        ids = self.ids
-        new = {w for ws in words for w in ws if w not in ids}
-        known = {w: x for w in new if (x := self.old.get(w)) is not None}
-        ids |= known
-        new = list(new.difference(known))
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            ids[w] = array("H", e.ids).tobytes()
-        return [b"".join([ids[w] for w in ws]) for ws in words]
+        ids, counts = self.flat(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 @functools.lru_cache(1)
@@ -183,50 +206,72 @@ def read_file(data: bytes, table: Table) -> tuple[int, np.ndarray, np.ndarray, n
     return first, doc_ids, counts, ids
 
 
-def _shards(docs: DataFrame, per_shard: int) -> tuple[DataFrame, int]:
-    """docs with the shard of each row: doc_id ranges cut at approximate quantiles, so a few MB of ids each."""
-    n, nbytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-nbytes // per_shard))
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 and n else []
-    cuts = sorted({int(c) for c in cuts})
-    if not cuts:
-        return docs.withColumn("shard", F.lit(0)), 1
-    cut = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 64 else F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
-    place = F.coalesce(F.size(F.filter(cut, lambda c: c < F.col("doc_id"))), F.lit(0)) if len(cuts) < 64 else None
-    if place is None:  # a search by halves over a constant array
-        import bisect
+def _cuts(docs: DataFrame, per_part: int) -> list[int]:
+    """Approximate quantiles of doc_id that cut docs into parts of per_part bytes about; at most ``MOST_PARTS`` parts."""
+    n, nbytes = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = min(MOST_PARTS, -(-nbytes // per_part))
+    if parts < 2 or not n:
+        return []
+    found = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    return sorted({int(c) for c in found})
 
-        @F.pandas_udf("int")
-        def place_of(s):
-            return s.map(lambda d: 0 if d != d else bisect.bisect_left(cuts, d)).astype("int32")
 
-        place = place_of("doc_id")
-    return docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(place)), len(cuts) + 1
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value for each size, out of data in turn."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 << 20) -> tuple[DataFrame, Table]:
-    """Writes the files of docs (doc_id, text) and returns (the table of files, the frequency table)."""
+    """Writes the files of docs (doc_id, text) and returns (the table of files (part, seq, n_ids, file), the frequency table).
+
+    Documents are dealt to parts by ranges of doc_id and sorted inside a part, which is then cut into files of ``per_shard`` ids at most, or of
+    one longer document. In the head of a file ``first`` counts from the start of its part.
+    """
     spark = docs.sparkSession
-    docs, _ = _shards(docs.select("doc_id", "text"), per_shard)
+    docs = docs.select("doc_id", "text")
+    cuts = np.array(_cuts(docs, 4 * per_shard), np.int64)  # at most MOST_PARTS numbers
 
     def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                ids = [x + end for x in encoder(utf8(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
-
-    def shard_of(key: tuple, rows: pa.Table) -> pa.Table:
-        doc_ids = rows.column("doc_id").to_pylist()
-        ids = rows.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (NO_DOC if doc_ids[i] is None else doc_ids[i], ids[i]))
-        counts = np.array([len(ids[i]) // 2 for i in order], "<u4")
-        doc_ids = np.array([NO_DOC if doc_ids[i] is None else doc_ids[i] for i in order], "<i8")
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n_ids": pa.array([int(counts.sum())], pa.int64()), "doc_ids": [doc_ids.tobytes()], "counts": [counts.tobytes()], "ids": [b"".join(ids[i] for i in order)]})
-
-    raw = out.stage(docs.mapInArrow(ids_of, "shard int, doc_id long, ids binary").groupBy("shard").applyInArrow(shard_of, "shard int, n_ids long, doc_ids binary, counts binary, ids binary"), "ids")
+            texts, lo = utf8(b.column("text")), 0
+            while lo < len(texts):  # a bounded number of bytes at a time
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= AT_ONCE):
+                    size += len(texts[hi])
+                    hi += 1
+                ids, counts = encoder.flat(texts[lo:hi], END_ID)
+                doc = b.column("doc_id").slice(lo, hi - lo)
+                part = np.searchsorted(cuts, doc.fill_null(NO_DOC).to_numpy(), side="left").astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(part), doc, _binaries(ids, 2 * counts)], ["part", "doc_id", "ids"])
+                lo = hi
+
+    def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[int, bytes]] = []
+        state = {"part": None, "seq": 0, "first": 0, "size": 0}
+
+        def row() -> pa.RecordBatch:
+            counts = np.array([len(x) // 2 for _, x in own], "<u4")
+            values = state["part"], state["seq"], state["first"], state["size"], np.array([d for d, _ in own], "<i8").tobytes(), counts.tobytes(), b"".join([x for _, x in own])
+            own.clear()
+            state.update(seq=state["seq"] + 1, first=state["first"] + state["size"], size=0)
+            kinds = (("part", pa.int32()), ("seq", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, kinds)], [c for c, _ in kinds])
+
+        for b in batches:
+            for part, doc, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+                if own and (part != state["part"] or 2 * state["size"] + len(ids) > per_shard):
+                    yield row()
+                if part != state["part"]:
+                    state.update(part=part, seq=0, first=0)
+                own.append((NO_DOC if doc is None else doc, ids))
+                state["size"] += len(ids) // 2
+        if own:
+            yield row()
+
+    dealt = docs.mapInArrow(ids_of, "part int, doc_id long, ids binary").repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    raw = out.stage(dealt.mapInArrow(filed, "part int, seq long, first long, n_ids long, doc_ids binary, counts binary, ids binary"), "ids")
     release_shuffles(spark)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,37 +287,41 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
         counts[r["id"]] = r["n"]
     freq = quantised(counts)
     shipped = spark.sparkContext.broadcast(freq.astype(np.int64).tobytes())  # 2**16 numbers
-    firsts = raw.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("first"))
 
     def files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(shipped.value, np.int64))
         for b in batches:
             for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 data = write_file(np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["ids"], "<u2"), r["first"], table)
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int32()), pa.array([data], pa.binary())], ["shard", "file"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["seq"]], pa.int64()), pa.array([r["n_ids"]], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "file"])
 
-    written = out.stage(raw.join(firsts, "shard").mapInArrow(files, "shard int, file binary"), "files")
+    written = out.stage(raw.mapInArrow(files, "part int, seq long, n_ids long, file binary"), "files")
     out.drop("ids")
     return written, Table(freq)
 
 
-def decode(files: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Reads files back: (doc_id, start, n_tokens, ids as little-endian uint32)."""
+def decode(files: DataFrame, freq: np.ndarray, crc: bool = False) -> DataFrame:
+    """Reads files back: (doc_id, start, n_tokens, ids as little-endian uint32), or with crc their CRC-32 in place of the ids."""
     shipped = files.sparkSession.sparkContext.broadcast(freq.astype(np.int64).tobytes())
+    sums = sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_ids")).collect())  # at most MOST_PARTS
+    bases = dict(zip((p for p, _ in sums), np.concatenate(([0], np.cumsum([n for _, n in sums]))).tolist()))
+    last = "ids_crc32" if crc else "ids"
 
     def docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(shipped.value, np.int64))
         for b in batches:
-            for data in (x.as_py() for x in b.column("file")):
+            for part, data in ((p.as_py(), x.as_py()) for p, x in zip(b.column("part"), b.column("file"))):
                 first, doc_ids, counts, ids = read_file(data, table)
+                first += bases[part]
                 ends = np.cumsum(counts, dtype=np.int64)
                 for i in range(0, len(doc_ids), 512):
-                    part = slice(i, i + 512)
-                    rows = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends[part].tolist(), counts[part].tolist())]
-                    names = pa.array([None if d == NO_DOC else d for d in doc_ids[part].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([names, pa.array(first + ends[part] - counts[part], pa.int64()), pa.array(counts[part], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    own = slice(i, i + 512)
+                    rows = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends[own].tolist(), counts[own].tolist())]
+                    rows = pa.array(map(zlib.crc32, rows), pa.int64()) if crc else pa.array(rows, pa.binary())
+                    names = pa.array([None if d == NO_DOC else d for d in doc_ids[own].tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([names, pa.array(first + ends[own] - counts[own], pa.int64()), pa.array(counts[own], pa.int64()), rows], ["doc_id", "start", "n_tokens", last])
 
-    return files.select("file").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("part", "file").mapInArrow(docs, f"doc_id long, start long, n_tokens long, {last} {'long' if crc else 'binary'}")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,4 +329,4 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = Scratch(spark, "tokens")
     files, table = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), out)
-    return decode(files, table.freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return decode(files, table.freq, crc=True)

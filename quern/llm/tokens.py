@@ -20,6 +20,7 @@ a vocabulary of more than 65,536 ids is an error.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -40,7 +41,7 @@ END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
-WORD_CACHE = 250_000
+WORD_CACHE = 1_000_000
 #: Bytes of text whose words are looked up at once; parts of a data set.
 AT_ONCE, MOST_PARTS = 2 << 20, 10_000
 
@@ -49,7 +50,8 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's normaliser and pre-tokeniser drop white space and match nothing across it, so a text's
-    ids are those of its white-space-separated words in turn; each distinct word is encoded once. Ids are of 16 bits.
+    ids are those of its white-space-separated words in turn. A run of letters ends before a mark such as a full stop, so words are cut there
+    too; each distinct part is encoded once. Ids are of 16 bits.
     """
 
     def __init__(self, path: str):
@@ -67,8 +69,9 @@ class WordEncoder:
 
     def _new(self, found: list[bytes]) -> None:
         ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) for x in ids])))
-        self.ids = np.concatenate((self.ids, *(np.array(x, "<u2") for x in ids)))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u2", int(sizes.sum()))))
 
     def flat(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of each text's), with an end id after each text where one is given."""
@@ -76,7 +79,7 @@ class WordEncoder:
         own = [t if b"<|" in t else t.lower() for t in texts]
         sizes = np.array([len(t) + 1 for t in own], np.int64)
         raw = b" " + b" ".join(own) + b" " * 17
-        starts, ends = words.spans(np.frombuffer(raw, np.uint8))
+        starts, ends = words.parts(np.frombuffer(raw, np.uint8))
         number = self.numbers(raw, starts, ends)
         size = np.diff(self.start)[number]
         ids = self.ids[words.ragged(self.start[number], size)]

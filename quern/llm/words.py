@@ -15,6 +15,9 @@ from quern.llm.common import mix64
 LONG = 15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = b".,;:!?"
+_KIND = np.full(256, 3, np.uint8)  # 0: space, 1: letter, 2: mark
+_KIND[_SPACE], _KIND[97:123], _KIND[list(MARKS)] = 0, 1, 2
 _MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
 
 
@@ -25,6 +28,17 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``spans``, but words are also cut before a mark of ``MARKS`` that follows a letter a-z."""
+    kind = _KIND[raw]
+    cut = (kind[1:] == 2) & (kind[:-1] == 1)
+    space = kind == 0
+    edge = space[1:] != space[:-1]
+    starts = np.flatnonzero((edge & ~space[1:]) | cut) + 1
+    ends = np.flatnonzero((edge & space[1:]) | cut) + 1
+    return starts, ends
+
+
 class Numbers:
     """Numbers 0, 1, ... of distinct words in order of first sight; ``new`` is told each new batch of words. Emptied at ``most`` words."""
 

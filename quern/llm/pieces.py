@@ -3,12 +3,13 @@
 The model file is a byte-pair model, whose ids are the ones that merging gives. Its segmentations have a
 Viterbi form: the last piece of the encoding of each prefix is unique, and a piece ending at i follows
 the last piece of the prefix before it exactly if that pair encodes to itself. So each boundary has one
-surviving backpointer; the encoder keeps a window of the last ``longest`` boundaries, and when the paths back
-from all of them meet in one boundary it commits the ids before that. Memory is the window, whatever the text's length.
+surviving backpointer; ``stream`` keeps a window of boundaries, and as soon as the paths back from the last ``longest`` of them
+meet in one boundary it commits the ids before that.
 Ids equal those of the sentencepiece library (tested), whose normaliser in this model is the identity with a dummy space in front.
 
-No piece holds a space after another character, a line feed, or a letter followed by certain marks, so such
-places are boundaries on every path; the units between them are looked up in a bounded memory of recent units.
+No piece holds a space after another character, a line feed, or a letter followed by certain marks, so at such
+places the paths meet whatever comes: texts are cut there into units, and what ``stream`` committed for a unit is remembered for
+the next time that it comes. A text is read in blocks of bounded size; beside a block and the window only the ids grow with the text.
 
 Cases: null and empty text have no ids; characters outside the vocabulary become byte pieces; U+2581 in a text
 decodes to a space, as in the library, and is reported as not restored; an empty table gives an empty table.
@@ -17,6 +18,7 @@ decodes to a space, as in the library, and is reported as not restored; an empty
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,11 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import words
 from quern.llm.common import utf8
 
 SPACE = "▁"
-#: Distinct units and pairs of pieces that a worker remembers; older ones are forgotten, which changes speed alone.
-UNIT_CACHE, PAIR_CACHE = 200_000, 400_000
+#: Distinct units and pairs of pieces that a worker remembers; beyond it the memory is emptied, which changes speed alone.
+UNIT_CACHE, PAIR_CACHE = 1_000_000, 400_000
+#: Bytes of text whose units are looked up at once.
+BLOCK = 1 << 20
+_EDGE = re.compile(rb"[^ ](?= )|\n")
 
 
 @functools.lru_cache(1)
@@ -54,15 +60,20 @@ class Pieces:
                 self.ids[p], self.rank[p], self.bytes[i] = i, -sp.get_score(i), p.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
         self.spines: dict[tuple[str, int], list[tuple[float, str]]] = {}
         # Units may be split where every path has a boundary: around line feeds, before spaces, and
         # between a word's character and a mark that stands in no piece after one.
         self.units_hold = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
-        after = {c for p in self.ids for a, c in zip(p, p[1:]) if re.match(r"\w", a)}
-        marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in after))
-        self.units = re.compile((rf"\n| *\w++(?=[{marks}])" if marks else r"\n") + r"| *[^ \n]+| +")
+        word = re.compile(r"[0-9A-Za-z_]")
+        after = {c for p in self.ids for a, c in zip(p, p[1:]) if word.match(a)}
+        marks = [c for c in range(33, 127) if not word.match(chr(c)) and chr(c) not in after]
+        self.kind = np.zeros(256, np.uint8)  # 1: character of a word, 2: mark
+        self.kind[[c for c in range(128) if word.match(chr(c))]], self.kind[marks] = 1, 2
+        self.numbers = words.Numbers(UNIT_CACHE, self._new, self._clear)
+        self._clear()
+        self.spelt = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spelt_size = np.array(list(map(len, self.bytes)), np.int64)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
 
     def merged(self, text: str, watch: int = 0) -> list:
         """Byte-pair merging of a short text; with watch -1 or 1 the last or first symbol's course: (highest rank so far, symbol)."""
@@ -127,7 +138,7 @@ class Pieces:
                         break
             else:
                 raise AssertionError("a prefix without an encoding")
-            if i >= 4 * longest:  # the survivors are the last ``longest`` boundaries: commit up to where their paths meet
+            if i >= longest:  # the survivors are the last ``longest`` boundaries: commit up to where their paths meet
                 ends = set(range(i - longest + 1, i + 1))
                 while len(ends) > 1:
                     e = max(ends)
@@ -148,57 +159,84 @@ class Pieces:
             e = back[e][0]
         yield from reversed(done)
 
-    def short(self, text: str) -> list[str]:
-        """The same recurrence for a text no longer than the window."""
-        ids, pairs = self.ids, self.pairs
-        back: list = [(0, None)]
-        for i in range(1, len(text) + 1):
-            for j in range(i):
-                piece = text[j:i]
-                if piece in ids or i - j == 1:
-                    before = back[j][1]
-                    if before is None:
-                        break
-                    ok = pairs.get((before, piece))
-                    if ok or (ok is None and self.follows(before, piece)):
-                        break
-            back.append((j, piece))
-        done, e = [], len(text)
-        while e:
-            j, piece = back[e]
-            done.append(piece)
-            e = j
-        return done[::-1]
-
-    def unit(self, unit: str) -> tuple[int, ...]:
+    def unit(self, unit: str) -> list[int]:
         out: list[int] = []
-        text = unit.replace(" ", SPACE)
-        for p in self.short(text) if len(text) <= self.longest else self.stream(text):
+        for p in self.stream(unit.replace(" ", SPACE)):
             i = self.ids.get(p)
             if i is None:
                 out += [self.byte_ids[c] for c in p.encode()]
             else:
                 out.append(i)
-        return tuple(out)
+        return out
+
+    def _clear(self) -> None:
+        self.flat_ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _new(self, found: list[bytes]) -> None:
+        ids = [self.unit(u.decode()) for u in found]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
+        self.flat_ids = np.concatenate((self.flat_ids, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))))
+
+    def _block(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids before each place of at) of a block of texts, each with its dummy space; units begin at the places of at."""
+        x = np.frombuffer(raw, np.uint8)
+        kind = self.kind[x]
+        begin = (x == 10) | ((x == 32) & np.concatenate(([True], x[:-1] != 32)))
+        begin[1:] |= (x[:-1] == 10) | ((kind[1:] == 2) & (kind[:-1] == 1))
+        begin[at] = True
+        starts = np.flatnonzero(begin)
+        number = self.numbers(raw + b" " * 16, starts, np.append(starts[1:], len(x)))
+        size = np.diff(self.start)[number]
+        before = np.concatenate(([0], np.cumsum(size)))
+        return self.flat_ids[words.ragged(self.start[number], size)], before[np.searchsorted(starts, at)]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, as int32; a bounded number of bytes at a time."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        block, owner, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal size
+            if block:
+                at = np.cumsum([0, *map(len, block)])[:-1]
+                ids, before = self._block(b"".join(block), at)
+                for i, own in zip(owner, np.split(ids, before[1:])):
+                    out[i].append(own)
+            block.clear()
+            owner.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            text, lo = b" " + text.replace(SPACE.encode(), b" "), 0
+            if not self.units_hold:
+                out[i].append(np.array(self.unit(text.decode()), np.int32))
+                continue
+            while lo < len(text):
+                hi = len(text) if len(text) - lo <= BLOCK else self._edge(text, lo + BLOCK)
+                block.append(text[lo:hi])
+                owner.append(i)
+                size += hi - lo
+                lo = hi
+                if size >= BLOCK:
+                    flush()
+        flush()
+        return [own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.int32) for own in out]
+
+    @staticmethod
+    def _edge(text: bytes, least: int) -> int:
+        """The first place from ``least`` on where a unit begins."""
+        found = _EDGE.search(text, least)
+        return found.start() + 1 if found else len(text)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = " " + text.replace(SPACE, " ")
-        if not self.units_hold:
-            return list(self.unit(text))
-        known, out = self.known, []
-        for u in self.units.findall(text):
-            ids = known.get(u)
-            if ids is None:
-                ids = self.old.get(u) or self.unit(u)
-                if len(u) <= 48:
-                    if len(known) > UNIT_CACHE:  # units not seen since the last time are forgotten
-                        self.old, self.known = known, {}
-                        known = self.known
-                    known[u] = ids
-            out += ids
-        return out
+        return self.encode_all([text.encode()])[0].tolist()
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, with the dummy space."""
+        return self.spelt[words.ragged(self.spelt_at[ids], self.spelt_size[ids])].tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         table = self.bytes
@@ -206,31 +244,32 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., n_pieces, ids array<int>, ids_crc32, restored) of docs (doc_id, text); ids are decoded again and compared."""
+def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
+    """(doc_id, keep..., n_pieces, ids array<int>, ids_crc32, restored) of docs (doc_id, text); ids are decoded again and compared. with_ids: else without ids."""
+    last = (["ids"] if with_ids else []) + ["ids_crc32", "restored"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for b in batches:
-            ids, crc, ok = [], [], []
-            for raw in utf8(b.column("text")):
-                text = raw.decode()
-                got = np.array(pieces.encode(text), "<i4")
-                ids.append(got)
-                crc.append(zlib.crc32(got.tobytes()))
-                ok.append(pieces.decode(got.tolist()) == text)
-            for i in range(0, len(ids), 256):  # small batches: ids take more room than their texts
-                part = ids[i : i + 256]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype("i4")
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part) if part else np.zeros(0, "i4"), pa.int32()))
-                own = [b.column(c).slice(i, len(part)) for c in ("doc_id", *keep)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets), pa.int64()), lists, pa.array(crc[i : i + 256], pa.int64()), pa.array(ok[i : i + 256])], ["doc_id", *keep, "n_pieces", "ids", "ids_crc32", "restored"])
+            for i in range(0, b.num_rows, 256):  # small batches: ids take more room than their texts
+                own = b.slice(i, 256)
+                texts = utf8(own.column("text"))
+                ids = pieces.encode_all(texts)
+                back = [pieces.spell(x)[1:] for x in ids]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                columns = [own.column(c) for c in ("doc_id", *keep)] + [pa.array(sizes)]
+                if with_ids:
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype("i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+                columns += [pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), pa.array([x == y for x, y in zip(back, texts)])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_pieces", *last])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
-    return docs.select("doc_id", *keep, "text").mapInArrow(rows, f"{own}, n_pieces long, ids array<int>, ids_crc32 long, restored boolean")
+    kinds = {"ids": "array<int>", "ids_crc32": "long", "restored": "boolean"}
+    return docs.select("doc_id", *keep, "text").mapInArrow(rows, f"{own}, n_pieces long, {', '.join(f'{c} {kinds[c]}' for c in last)}")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)

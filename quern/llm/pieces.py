@@ -7,8 +7,8 @@ surviving backpointer; ``stream`` keeps a window of boundaries, and as soon as t
 meet in one boundary it commits the ids before that.
 Ids equal those of the sentencepiece library (tested), whose normaliser in this model is the identity with a dummy space in front.
 
-No piece holds a space after another character, a line feed, or a letter followed by certain marks, so at such
-places the paths meet whatever comes: texts are cut there into units, and what ``stream`` committed for a unit is remembered for
+Two characters that stand side by side in no piece (a letter and a space after it, a line feed and anything) have a boundary between
+them on every path, whatever comes: texts are cut there into units, and what ``stream`` committed for a unit is remembered for
 the next time that it comes. A text is read in blocks of bounded size; beside a block and the window only the ids grow with the text.
 
 Cases: null and empty text have no ids; characters outside the vocabulary become byte pieces; U+2581 in a text
@@ -18,8 +18,6 @@ decodes to a space, as in the library, and is reported as not restored; an empty
 from __future__ import annotations
 
 import functools
-import itertools
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,10 +30,9 @@ from quern.llm.common import utf8
 
 SPACE = "▁"
 #: Distinct units and pairs of pieces that a worker remembers; beyond it the memory is emptied, which changes speed alone.
-UNIT_CACHE, PAIR_CACHE = 1_000_000, 400_000
+UNIT_CACHE, PAIR_CACHE = 2_500_000, 400_000
 #: Bytes of text whose units are looked up at once.
 BLOCK = 1 << 20
-_EDGE = re.compile(rb"[^ ](?= )|\n")
 
 
 @functools.lru_cache(1)
@@ -61,14 +58,13 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.spines: dict[tuple[str, int], list[tuple[float, str]]] = {}
-        # Units may be split where every path has a boundary: around line feeds, before spaces, and
-        # between a word's character and a mark that stands in no piece after one.
-        self.units_hold = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
-        word = re.compile(r"[0-9A-Za-z_]")
-        after = {c for p in self.ids for a, c in zip(p, p[1:]) if word.match(a)}
-        marks = [c for c in range(33, 127) if not word.match(chr(c)) and chr(c) not in after]
-        self.kind = np.zeros(256, np.uint8)  # 1: character of a word, 2: mark
-        self.kind[[c for c in range(128) if word.match(chr(c))]], self.kind[marks] = 1, 2
+        # Bytes that may stand side by side inside a piece; those of characters outside ASCII always may.
+        self.beside = np.ones((256, 256), bool)
+        self.beside[:128, :128] = False
+        for p in self.ids:
+            x = p.replace(SPACE, " ").encode()
+            for u, v in zip(x, x[1:]):
+                self.beside[u, v] = True
         self.numbers = words.Numbers(UNIT_CACHE, self._new, self._clear)
         self._clear()
         self.spelt = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -123,17 +119,18 @@ class Pieces:
 
     def stream(self, chars: Iterable[str]) -> Iterator[str]:
         """Pieces of a stream of characters (spaces already U+2581), committed as early as paths meet."""
-        ids, follows, longest = self.ids, self.follows, self.longest
+        ids, follows, longest, pairs = self.ids, self.follows, self.longest, self.pairs
         window, last = "", None  # characters after the committed boundary; the piece before it
         back: list[tuple[int, str] | None] = [None]  # per boundary of the window: where its last piece starts, and that piece
+        i = 0
         for ch in chars:
             window += ch
-            i = len(window)
-            for j in range(max(0, i - longest), i):
+            i += 1
+            for j in range(i - longest if i > longest else 0, i):
                 piece = window[j:]
                 if piece in ids or i - j == 1:
                     before = back[j][1] if j else last
-                    if before is None or follows(before, piece):
+                    if before is None or ((ok := pairs.get((before, piece))) is None and follows(before, piece)) or ok:
                         back.append((j, piece))
                         break
             else:
@@ -151,7 +148,7 @@ class Pieces:
                         done.append(back[e][1])
                         e = back[e][0]
                     yield from reversed(done)
-                    last, window = done[0], window[cut:]
+                    last, window, i = done[0], window[cut:], i - cut
                     back = [None] + [(j - cut, p) if j >= cut else None for j, p in back[cut + 1 :]]
         done, e = [], len(window)
         while e:
@@ -170,26 +167,21 @@ class Pieces:
         return out
 
     def _clear(self) -> None:
-        self.flat_ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.found = words.Lists("i4")
 
     def _new(self, found: list[bytes]) -> None:
-        ids = [self.unit(u.decode()) for u in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
-        self.flat_ids = np.concatenate((self.flat_ids, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))))
+        self.found.extend([self.unit(u.decode()) for u in found])
 
     def _block(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids before each place of at) of a block of texts, each with its dummy space; units begin at the places of at."""
         x = np.frombuffer(raw, np.uint8)
-        kind = self.kind[x]
-        begin = (x == 10) | ((x == 32) & np.concatenate(([True], x[:-1] != 32)))
-        begin[1:] |= (x[:-1] == 10) | ((kind[1:] == 2) & (kind[:-1] == 1))
+        begin = np.ones(len(x), bool)
+        begin[1:] = ~self.beside[x[:-1], x[1:]]
         begin[at] = True
         starts = np.flatnonzero(begin)
         number = self.numbers(raw + b" " * 16, starts, np.append(starts[1:], len(x)))
-        size = np.diff(self.start)[number]
-        before = np.concatenate(([0], np.cumsum(size)))
-        return self.flat_ids[words.ragged(self.start[number], size)], before[np.searchsorted(starts, at)]
+        ids, size = self.found[number]
+        return ids, np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, at)]
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as int32; a bounded number of bytes at a time."""
@@ -211,9 +203,6 @@ class Pieces:
             if not text:
                 continue
             text, lo = b" " + text.replace(SPACE.encode(), b" "), 0
-            if not self.units_hold:
-                out[i].append(np.array(self.unit(text.decode()), np.int32))
-                continue
             while lo < len(text):
                 hi = len(text) if len(text) - lo <= BLOCK else self._edge(text, lo + BLOCK)
                 block.append(text[lo:hi])
@@ -225,11 +214,15 @@ class Pieces:
         flush()
         return [own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.int32) for own in out]
 
-    @staticmethod
-    def _edge(text: bytes, least: int) -> int:
+    def _edge(self, text: bytes, least: int) -> int:
         """The first place from ``least`` on where a unit begins."""
-        found = _EDGE.search(text, least)
-        return found.start() + 1 if found else len(text)
+        while least < len(text):
+            x = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - least + 1), least - 1)
+            cut = np.flatnonzero(~self.beside[x[:-1], x[1:]])
+            if len(cut):
+                return least + int(cut[0])
+            least += len(x) - 1
+        return len(text)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text.encode()])[0].tolist()

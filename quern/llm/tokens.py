@@ -20,7 +20,6 @@ a vocabulary of more than 65,536 ids is an error.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import struct
 import zlib
@@ -41,7 +40,7 @@ END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 2_000_000
 #: Bytes of text whose words are looked up at once; parts of a data set.
 AT_ONCE, MOST_PARTS = 2 << 20, 10_000
 
@@ -65,13 +64,10 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids, self.start = np.zeros(0, "<u2"), np.zeros(1, np.int64)
+        self.ids = words.Lists("<u2")
 
     def _new(self, found: list[bytes]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(ids), "<u2", int(sizes.sum()))))
+        self.ids.extend([e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)])
 
     def flat(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of each text's), with an end id after each text where one is given."""
@@ -80,9 +76,7 @@ class WordEncoder:
         sizes = np.array([len(t) + 1 for t in own], np.int64)
         raw = b" " + b" ".join(own) + b" " * 17
         starts, ends = words.parts(np.frombuffer(raw, np.uint8))
-        number = self.numbers(raw, starts, ends)
-        size = np.diff(self.start)[number]
-        ids = self.ids[words.ragged(self.start[number], size)]
+        ids, size = self.ids[self.numbers(raw, starts, ends)]
         of_text = np.concatenate(([0], np.searchsorted(starts, np.cumsum(sizes) + 1)))
         total = np.concatenate(([0], np.cumsum(size)))[of_text]
         if end is not None:

@@ -6,6 +6,7 @@ A word is a run of bytes that are not ASCII white space. Its first 15 bytes and
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -123,6 +124,30 @@ class Numbers:
             self.slot[a] = i
 
 
+class Lists:
+    """Lists of integers, laid end to end; grows by doubling."""
+
+    def __init__(self, kind: str):
+        self.flat, self.start, self.n, self.end = np.zeros(1024, kind), np.zeros(1024, np.int64), 0, 0
+
+    def extend(self, lists: list) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        n, end = self.n + len(lists), self.end + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.end], np.zeros(2 * end - self.end, self.flat.dtype)))
+        if n >= len(self.start):
+            self.start = np.concatenate((self.start[: self.n + 1], np.zeros(2 * n - self.n, np.int64)))
+        self.flat[self.end : end] = np.fromiter(itertools.chain.from_iterable(lists), self.flat.dtype, end - self.end)
+        self.start[self.n + 1 : n + 1] = self.end + np.cumsum(sizes)
+        self.n, self.end = n, end
+
+    def __getitem__(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of these numbers in turn, their sizes)."""
+        at = self.start[number]
+        size = self.start[number + 1] - at
+        return self.flat[ragged(at, size)], size
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All of start[i], start[i] + 1, ... start[i] + size[i] - 1 in turn."""
     done = np.cumsum(size)

@@ -22,16 +22,14 @@ import functools
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chunks
+from quern.llm import chunks, words
 from quern.llm.common import Scratch, mix64, release_shuffles, spread
 
 RUN, STEP, LANES = 4096, 32, 1024
@@ -40,8 +38,9 @@ RATE, REFINE, FIRST_WEIGHT = 0.02, 0.02, 0.4
 GATES, LEVELS = 4, 8
 PAD = 4
 END = b"\0"
+AT_ONCE = 1 << 19  # bytes of text whose symbols are numbered at once
 RANGES, WIDE = 5, 22  # of a table: 2**5 ranges at least, each of 2**22 slots at most
-RAW = 1 << 24  # decisions of a chunk whose slots are held before they are counted
+RAW = 1 << 21  # slots of a chunk that are held before they are counted
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
 
@@ -81,48 +80,130 @@ def code_of(counts: bytes) -> Code:
     return Code(np.frombuffer(counts, np.int64))
 
 
-def decisions(texts: list[bytes], code: Code, bits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of texts in turn: decisions of each, the bits, the slots in each table, the gates."""
-    raw = np.frombuffer(b"".join([b"\0" * PAD + t + END for t in texts]), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    begin = np.cumsum(sizes + PAD) - sizes
-    coded = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    wide = raw.astype(np.uint64)
-    two = np.zeros(len(raw), np.uint64)
-    two[2:] = wide[1:-1] | wide[:-2] << np.uint64(8)
-    four = np.zeros(len(raw), np.uint64)
-    four[4:] = two[4:] | wide[1:-3] << np.uint64(16) | wide[:-4] << np.uint64(24)
-    # The word so far: bytes after the last white space; a polynomial over the text, cut at the word's start.
-    place = np.arange(len(raw))
-    fresh = np.zeros(len(raw), np.int64)
-    fresh[1:] = np.where(_SPACE[raw[:-1]], place[1:], 0)
-    first = np.maximum.accumulate(fresh)
-    power, inverse = chunks_powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((wide + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    word = (total[place] - total[first]) * inverse[first]
-    into = place - first
-    gate = np.where(into == 0, 0, np.where(into < 3, 1, np.where(into < 6, 2, 3))).astype(np.uint8)
-    symbol = raw[coded - 1].astype(np.int32) << 8 | raw[coded]
-    per = code.size[symbol]
-    done = np.cumsum(per)
-    nth = np.repeat(code.start[symbol] - (done - per), per)
-    nth += np.arange(len(nth), dtype=np.int32)
-    node = code.key[nth]
-    slots = []
-    for context, b in zip((two, four, word), bits):
-        h = context[coded] * np.uint64(0xD6E8FEB86659FD93)
+class Symbols:
+    """The coded bytes of texts in turn, each with the byte before it: ``symbol`` (16 bits), ``gate``, and its three contexts.
+
+    Where a context and a symbol come again, so do their decisions and slots: ``numbers`` of a context tells them apart once.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"".join([b"\0" * PAD + t + END for t in texts]), np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts])
+        begin = np.cumsum(self.sizes + PAD) - self.sizes
+        coded = chunks_ragged(begin, self.sizes)
+        wide = raw.astype(np.uint64)
+        two = np.zeros(len(raw), np.uint64)
+        two[2:] = wide[1:-1] | wide[:-2] << np.uint64(8)
+        four = np.zeros(len(raw), np.uint64)
+        four[4:] = two[4:] | wide[1:-3] << np.uint64(16) | wide[:-4] << np.uint64(24)
+        # The word so far: bytes after the last white space; a polynomial over the text, cut at the word's start.
+        place = np.arange(len(raw))
+        fresh = np.zeros(len(raw), np.int64)
+        fresh[1:] = np.where(_SPACE[raw[:-1]], place[1:], 0)
+        first = np.maximum.accumulate(fresh)
+        power, inverse = chunks_powers(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((wide + np.uint64(1)) * power[: len(raw)], out=total[1:])
+        word = (total[place] - total[first]) * inverse[first]
+        into = (place - first)[coded]
+        self.gate = np.where(into == 0, 0, np.where(into < 3, 1, np.where(into < 6, 2, 3))).astype(np.uint8)
+        self.symbol = raw[coded - 1].astype(np.int32) << 8 | raw[coded]
+        self.contexts = [c[coded] for c in (two, four, word)]
+
+    def numbers(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each place's context t and symbol, one place of each number)."""
+        c = self.contexts[t]
+        if t == 0:  # 24 bits: the byte before that is shared by context and symbol
+            return numbered_small((c >> np.uint64(8) << np.uint64(16)).astype(np.int32) | self.symbol)
+        return numbered((c << np.uint64(16) if t < 2 else mix64(c)) ^ self.symbol.astype(np.uint64))
+
+    def slots(self, t: int, at: np.ndarray | slice, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the symbols at some places: places of their decisions in the code, and slots of context t."""
+        symbol = self.symbol[at]
+        per = code.size[symbol]
+        nth = chunks_ragged(code.start[symbol], per)
+        node = code.key[nth]
+        h = self.contexts[t][at] * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        if b > 32:
-            slots.append(mix64(np.repeat(h, per) ^ node) & np.uint64((1 << b) - 1))
-            continue
+        if bits > 32:
+            return nth, mix64(np.repeat(h, per) ^ node) & np.uint64((1 << bits) - 1)
         h = np.repeat((h >> np.uint64(32)).astype(np.uint32), per)
         h ^= node
-        h &= np.uint32((1 << b) - 1)
-        slots.append(h)
-    count = np.diff(np.concatenate(([0], done[np.cumsum(sizes) - 1])))
-    return count, code.bit[nth], slots, np.repeat(gate[coded], per)
+        h &= np.uint32((1 << bits) - 1)
+        return nth, h
+
+
+def chunks_ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start[i], ... start[i] + size[i] - 1 in turn."""
+    done = np.cumsum(size)
+    return np.repeat((start - (done - size)).astype(np.int32), size) + np.arange(int(done[-1]) if len(done) else 0, dtype=np.int32)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, a place of each number), equal keys having one number; by open addressing, all keys at once."""
+    n = len(keys)
+    size = 1 << max(10, n.bit_length())
+    at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int32)
+    slot = np.full(size, -1, np.int32)
+    slot[at] = np.arange(n, dtype=np.int32)  # of several at one slot the last stays
+    same = slot[at]
+    todo = np.flatnonzero(keys[same] != keys)
+    at = at[todo]
+    while len(todo):
+        at = (at + 1) & (size - 1)
+        got = slot[at]
+        free = got < 0
+        slot[at[free]] = todo[free]
+        got = slot[at]
+        hit = keys[got] == keys[todo]
+        same[todo[hit]] = got[hit]
+        todo, at = todo[~hit], at[~hit]
+    first = np.flatnonzero(same == np.arange(n, dtype=np.int32))
+    number = np.empty(n, np.int32)
+    number[first] = np.arange(len(first), dtype=np.int32)
+    return number[same], first
+
+
+_PLACES: list[np.ndarray] = []
+
+
+def numbered_small(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``numbered``, of keys under 2**24, by a table of that size."""
+    if not _PLACES:
+        _PLACES.append(np.zeros(1 << 24, np.int32))
+    table = _PLACES[0]
+    table[keys] = np.arange(len(keys), dtype=np.int32)
+    same = table[keys]
+    first = np.flatnonzero(same == np.arange(len(keys), dtype=np.int32))
+    table[keys[first]] = np.arange(len(first), dtype=np.int32)
+    return table[keys], first
+
+
+def decisions(texts: list[bytes], code: Code, bits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of texts in turn: number of decisions of each, the bits, the slots in each table, the gates."""
+    x = Symbols(texts)
+    per = code.size[x.symbol]
+    found = [x.slots(t, slice(None), code, b) for t, b in enumerate(bits)]
+    count = np.diff(np.concatenate(([0], np.cumsum(per)[np.cumsum(x.sizes) - 1])))
+    return count, code.bit[found[0][0]], [s for _, s in found], np.repeat(x.gate, per)
+
+
+def looked_up(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``decisions``, with what the tables hold of the slots in place of these."""
+    x = Symbols(texts)
+    per = code.size[x.symbol]
+    done = np.cumsum(per)
+    within = np.arange(int(done[-1]), dtype=np.int32) - np.repeat((done - per).astype(np.int32), per)
+    got = np.empty((len(bits), len(within)), np.int8)
+    for t, b in enumerate(bits):
+        number, first = x.numbers(t)
+        values = tables[t][x.slots(t, first, code, b)[1]]
+        size = code.size[x.symbol[first]]
+        got[t] = values[np.repeat((np.cumsum(size) - size).astype(np.int32)[number], per) + within]
+    bit = code.bit[np.repeat(code.start[x.symbol], per) + within]
+    count = np.diff(np.concatenate(([0], done[np.cumsum(x.sizes) - 1])))
+    return count, bit, got, np.repeat(x.gate, per)
 
 
 _POWERS: list[np.ndarray] = []
@@ -149,32 +230,34 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((ones + 0.3) / (zeros + 0.3))), -127, 127).astype(np.int8)
 
 
-def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Cost in nats of each decision, [decisions, lanes]; s: [3, decisions, lanes] log odds. Each lane learns by itself."""
+def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Cost in nats of each decision, [decisions, lanes]; s: [3, decisions, lanes] log odds in units of scale. Each lane learns by itself."""
     steps, lanes = bit.shape
     w = np.full((3, lanes * GATES), FIRST_WEIGHT, np.float32)
     refine = np.zeros(lanes * GATES * LEVELS, np.float32)
     lane = np.arange(lanes)
-    cost = np.zeros((steps, lanes), np.float32)
-    sign = bit.astype(np.float32) * 2 - 1
+    cost = np.zeros((lanes, steps), np.float32).T
     for t in range(0, steps, STEP):
-        part = s[:, t : t + STEP]
+        part = s[:, t : t + STEP] * np.float32(scale)
+        sign = bit[t : t + STEP] * np.float32(2) - np.float32(1)
         g = lane * GATES + gate[t : t + STEP]  # of each decision
-        x = np.einsum("ksl,ksl->sl", part, w[:, g])
+        x = part[0] * w[0][g]
+        for own, odd in zip(w[1:], part[1:]):
+            x += own[g] * odd
         np.clip(x, -9, 9, out=x)
         level = g * LEVELS + np.clip((x + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
-        shift = refine[level]
-        y = sign[t : t + STEP] * (x + shift)
+        y = sign * (x + refine[level])
         p = 1 / (1 + np.exp(-y))
         cost[t : t + STEP] = -np.log(p)
-        err = sign[t : t + STEP] * (1 - p)
+        err = sign * (1 - p)
+        g, level = g.ravel(), level.ravel()
         for own, odd in zip(w, part):
-            np.add.at(own, g.ravel(), (np.float32(RATE) * odd * err).ravel())
-        np.add.at(refine, level.ravel(), (np.float32(REFINE) * err).ravel())
+            own += np.bincount(g, (np.float32(RATE) * odd * err).ravel(), len(own)).astype(np.float32)
+        refine += np.bincount(level, (np.float32(REFINE) * err).ravel(), len(refine)).astype(np.float32)
     return cost
 
 
-def lengths(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: tuple[int, int, int]) -> np.ndarray:
+def lengths(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int, int]) -> np.ndarray:
     """Code length in nats of each text; texts of any length, a bounded number of decisions at a time."""
     out = np.zeros(len(texts))
     group, size = [], 0
@@ -186,20 +269,17 @@ def lengths(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: tupl
         for i in range(0, len(runs), LANES):
             some = runs[i : i + LANES]
             n = -(-len(some[0][1]) // STEP) * STEP
-            s, bit, gate = np.zeros((3, len(some), n), np.float32), np.zeros((len(some), n), np.uint8), np.zeros((len(some), n), np.uint8)
+            s, bit, gate = np.zeros((3, len(some), n), np.int8), np.zeros((len(some), n), np.uint8), np.zeros((len(some), n), np.uint8)
             for j, (_, b, x, g) in enumerate(some):
                 bit[j, : len(b)], gate[j, : len(b)], s[:, j, : len(b)] = b, g, x
-            s *= np.float32(1 / SCALE)
-            cost = mixed(np.ascontiguousarray(s.transpose(0, 2, 1)), np.ascontiguousarray(bit.T), np.ascontiguousarray(gate.T))
+            cost = mixed(s.transpose(0, 2, 1), bit.T, gate.T, 1 / SCALE)
             live = np.arange(n)[:, None] < np.array([len(r[1]) for r in some])[None, :]
-            total = np.where(live, cost, 0).sum(0, dtype=np.float64)
-            np.add.at(out, [r[0] for r in some], total)
+            np.add.at(out, [r[0] for r in some], np.where(live, cost, 0).sum(0, dtype=np.float64))
         runs = []
 
     def take() -> None:
         nonlocal group, size
-        count, bit, slots, gate = decisions([t for _, t in group], code, bits)
-        x = np.stack([t[s] for t, s in zip(tables, slots)])
+        count, bit, x, gate = looked_up([t for _, t in group], code, tables, bits)
         at = 0
         for (i, _), n in zip(group, count.tolist()):
             for lo in range(at, at + n, RUN):
@@ -213,7 +293,7 @@ def lengths(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: tupl
     for i, text in enumerate(texts):
         group.append((i, text))
         size += len(text)
-        if size >= 1 << 18:
+        if size >= AT_ONCE:
             take()
     if group:
         take()
@@ -225,19 +305,6 @@ def held_out(doc: int) -> bool:
     return zlib.crc32(b"" if doc == chunks.NO_DOC else str(doc).encode()) % 10 == 0
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
-    for ws in out.values():
-        ws.sort()
-    return out
-
-
 def range_bits(bits: int) -> int:
     """2 to this power is the number of ranges of a table of 2**bits slots."""
     return max(RANGES, bits - WIDE)
@@ -249,26 +316,28 @@ class Tally:
     def __init__(self, bits: int):
         self.kind = np.uint32 if bits <= 30 else np.uint64
         self.raw: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
         self.size = 0
         self.keys, self.counts = np.zeros(0, self.kind), np.zeros(0, np.int64)
 
-    def add(self, slots: np.ndarray, bit: np.ndarray | None) -> None:
+    def add(self, slots: np.ndarray, bit: np.ndarray | None, weight: np.ndarray | None = None) -> None:
         self.raw.append(slots.astype(self.kind) << self.kind(2) | (self.kind(2) if bit is None else bit))
+        self.weights.append(np.ones(len(slots), np.int64) if weight is None else weight)
         self.size += len(slots)
         if self.size >= RAW:
             self.close()
 
     def close(self) -> None:
-        key = np.sort(np.concatenate([*self.raw, self.keys[:0]]))
+        key, weight = np.concatenate([self.keys, *self.raw]), np.concatenate([self.counts, *self.weights])
+        if self.kind is np.uint32:  # both in one number, which sorts faster
+            both = np.sort(key.astype(np.uint64) << np.uint64(32) | weight.astype(np.uint64))
+            key, weight = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        else:
+            order = np.argsort(key)
+            key, weight = key[order], weight[order]
         start = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
-        keys, counts = key[start], np.diff(np.append(start, len(key)))
-        if len(self.keys):
-            keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, counts = keys[start], np.add.reduceat(counts, start)
-        self.raw, self.size, self.keys, self.counts = [], 0, keys, counts
+        self.raw, self.weights, self.size = [], [], 0
+        self.keys, self.counts = key[start], np.add.reduceat(weight, start) if len(start) else weight
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(slots in order, zeros, ones)."""
@@ -333,39 +402,33 @@ def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
         names = ["bucket", "chunk", "payload"]
         for batch in batches:
             for row in batch.to_pylist():
-                trained: Counter = Counter()
-                others: set[bytes] = set()
+                own = [(held_out(doc), text.lower()) for doc, text in chunks.texts_of(row)]
                 tallies = [Tally(b) for b in bits]
                 groups: dict[bool, list[bytes]] = {False: [], True: []}
 
                 def add(out: bool) -> None:
-                    _, bit, slots, _ = decisions(groups[out], code, bits)
-                    for tally, s in zip(tallies, slots):
-                        tally.add(s, None if out else bit)
+                    x = Symbols(groups[out])
+                    for t, (tally, b) in enumerate(zip(tallies, bits)):
+                        number, first = x.numbers(t)
+                        nth, slots = x.slots(t, first, code, b)
+                        tally.add(slots, None if out else code.bit[nth], None if out else np.repeat(np.bincount(number), code.size[x.symbol[first]]))
                     groups[out].clear()
 
                 size = {False: 0, True: 0}
-                for doc, text in chunks.texts_of(row):
-                    low, out = text.lower(), held_out(doc)
-                    if out:
-                        others.update(low.split())
-                    else:
-                        trained.update(low.split())
+                for out, low in own:
                     groups[out].append(low)
                     size[out] += len(low)
-                    if size[out] >= 1 << 18:
+                    if size[out] >= AT_ONCE:
                         add(out)
                         size[out] = 0
                 for out in groups:
                     if groups[out]:
                         add(out)
-                found = _by_bucket({*trained, *others}, buckets)
-                payload = []
-                for ws in found.values():
-                    counts = np.array([trained.get(w, 0) for w in ws], "<i8").tobytes()
-                    payload.append(chunks.squeeze(counts + b"\n".join(ws)))
-                n = [len(ws) for ws in found.values()]
-                payload = [k.to_bytes(8, "little") + p for k, p in zip(n, payload)]
+                known = words.Vocabulary([low for _, low in own])
+                learnt = np.repeat([not out for out, _ in own], known.count)
+                trained = np.bincount(known.number[learnt], minlength=len(known.words))
+                found = dict(known.by_bucket(buckets))
+                payload = [len(x).to_bytes(8, "little") + chunks.squeeze(trained[x].astype("<i8").tobytes() + b"\n".join([known.words[i] for i in x.tolist()])) for x in found.values()]
                 bucket = list(found)
                 for t, (tally, b) in enumerate(zip(tallies, bits)):
                     slots, zeros, ones = tally.table()
@@ -445,12 +508,11 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         pairs, ends, size = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for row in batch.to_pylist():
-                ids, sizes, blob = chunks.unpack(row)
-                raw = np.frombuffer(blob.lower(), np.uint8).astype(np.int32)
+                own = [t.lower() for doc, t in chunks.texts_of(row) if not held_out(doc)]
+                raw = np.frombuffer(b"".join([END + t for t in own]) + END, np.uint8).astype(np.int32)
                 pairs += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16)
-                size += len(raw) + len(ids)
-                ends += sum(not held_out(d) for d in ids.tolist())
-                pairs[0x2E00] += len(ids)  # texts close after a full stop, about
+                size += len(raw)
+                ends += len(own)
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*pairs[at].tolist(), ends, size], pa.int64())], ["k", "n"])
 
@@ -467,23 +529,21 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     pairs = seen.tobytes()
 
     def run(row: dict, own: list[dict]) -> Iterator[pa.Table]:
-        code, texts = code_of(pairs), list(chunks.texts_of(row))
-        count = {}
+        code, texts = code_of(pairs), [(doc, t.lower()) for doc, t in chunks.texts_of(row)]
         got = {r["bucket"]: r["payload"] for r in own}
         floor = math.log10(n + 0.1 * (v + 1))
-        value = lambda c: math.log10(c + 0.1) - floor
-        logs: dict[int, float] = {}
-        words = [_words(t) for _, t in texts]
-        for b, ws in _by_bucket(set().union(*words), buckets).items():
-            counts = np.frombuffer(chunks.unsqueeze(got[b]), "<i8").tolist()
-            count.update((w, logs[c] if c in logs else logs.setdefault(c, value(c))) for w, c in zip(ws, counts))
-        unknown, end = value(0), value(ends)
-        nats = lengths([t.lower() for _, t in texts], code, _replied(got, bits), bits)
+        known = words.Vocabulary([t for _, t in texts])
+        counts = np.zeros(len(known.words), np.int64)
+        for b, x in known.by_bucket(buckets):
+            counts[x] = np.frombuffer(chunks.unsqueeze(got[b]), "<i8")
+        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[known.number])))[np.concatenate(([0], np.cumsum(known.count)))])  # noqa: E731  of each text
+        logs = np.log10(counts + 0.1) - floor
+        end, base = math.log10(ends + 0.1) - floor, [math.fsum(x) for x in np.split(logs[known.number], np.cumsum(known.count)[:-1])]
+        seen = total((counts > 0).astype(np.int64)) + bool(ends)
+        nats = lengths([t for _, t in texts], code, _replied(got, bits), bits)
         rows = []
-        for (doc, text), ws, cost in zip(texts, words, nats.tolist()):
-            logs_of = list(map(count.__getitem__, ws))
-            logs_of.append(end)
-            rows.append((None if doc == chunks.NO_DOC else doc, held_out(doc), len(logs_of), len(logs_of) - logs_of.count(unknown), n, math.fsum(logs_of), -cost / math.log(10), cost / math.log(2) / (len(text) + 1)))
+        for (doc, text), size, k, x, cost in zip(texts, known.count.tolist(), seen.tolist(), base, nats.tolist()):
+            rows.append((None if doc == chunks.NO_DOC else doc, held_out(doc), size + 1, k, n, x + end, -cost / math.log(10), cost / math.log(2) / (len(text) + 1)))
         kinds = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))
         yield pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds, zip(*rows))})
 

@@ -10,10 +10,12 @@ import itertools
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 from quern.llm.common import mix64
 
 LONG = 15
+AT_ONCE = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 MARKS = b".,;:!?"
@@ -43,9 +45,9 @@ def parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Numbers:
     """Numbers 0, 1, ... of distinct words in order of first sight; ``new`` is told each new batch of words. Emptied at ``most`` words."""
 
-    def __init__(self, most: int, new: Callable[[list[bytes]], None], clear: Callable[[], None]):
+    def __init__(self, most: int, new: Callable[[list[bytes]], None], clear: Callable[[], None], start: int = 0):
         self.most, self.new, self.clear = most, new, clear
-        self.size = 1 << max(4, 2 * most - 1).bit_length()
+        self.size = 1 << max(4, 2 * (start or most) - 1).bit_length()
         self.empty()
 
     def empty(self) -> None:
@@ -53,18 +55,17 @@ class Numbers:
         self.slot = np.full(self.size, -1, np.int32)
         self.lo, self.hi = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
-    def _find(self, lo: np.ndarray, hi: np.ndarray, take: bool = False) -> np.ndarray:
-        """Numbers of words, -1 for unknown ones; with take unknown (distinct) words get the next numbers in turn."""
+    def _find(self, lo: np.ndarray, hi: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of words, -1 for unknown ones; with own these (distinct, unknown) words get the numbers own."""
         out = np.full(len(lo), -1, np.int32)
-        at = (mix64(lo ^ mix64(hi)) & np.uint64(self.size - 1)).astype(np.int64)
+        at = (hashes(lo, hi) & np.uint64(self.size - 1)).astype(np.int64)
         todo = np.arange(len(lo))
         while len(todo):
             got = self.slot[at]
-            if take:
+            if own is not None:
                 free = got < 0
-                self.slot[at[free]] = self.n + todo[free]  # of several at one slot the last stays
-                won = free & (self.slot[at] == self.n + todo)
-                left = ~won
+                self.slot[at[free]] = own[todo[free]]  # of several at one slot the last stays
+                left = ~(free & (self.slot[at] == own[todo]))
             else:
                 hit = (got >= 0) & (self.lo[got] == lo[todo]) & (self.hi[got] == hi[todo])
                 out[todo[hit]] = got[hit]
@@ -102,26 +103,57 @@ class Numbers:
         n = self.n + len(words) + len(more)
         if n > len(self.lo):
             self.lo, self.hi = (np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), np.uint64))) for x in (self.lo, self.hi))
-        if 2 * n > self.size:  # a batch with very many new words
-            self.size = 1 << (2 * n).bit_length()
-            self.slot, old, self.n = np.full(self.size, -1, np.int32), self.n, 0
-            keep = np.flatnonzero(self.hi[:old] != 0)  # long words have none
-            self._renumber(keep)
-            self.n = old
+        if 2 * n > self.size:
+            self.size = 1 << (4 * n).bit_length()
+            self.slot = np.full(self.size, -1, np.int32)
+            keep = np.flatnonzero(self.hi[: self.n] != 0).astype(np.int32)  # long words have none
+            self._find(self.lo[keep], self.hi[keep], keep)
         self.lo[self.n : self.n + len(words)], self.hi[self.n : self.n + len(words)] = lo[first], hi[first]
-        self._find(lo[first], hi[first], take=True)
+        self._find(lo[first], hi[first], np.arange(self.n, self.n + len(words), dtype=np.int32))
         for i, w in enumerate(more):
             self.long[w] = self.n + len(words) + i
         self.n = n
         self.new(words + list(more))
         return self(raw, starts, ends)
 
-    def _renumber(self, keep: np.ndarray) -> None:
-        at = (mix64(self.lo[keep] ^ mix64(self.hi[keep])) & np.uint64(self.size - 1)).astype(np.int64)
-        for i, a in zip(keep.tolist(), at.tolist()):
-            while self.slot[a] >= 0:
-                a = (a + 1) & (self.size - 1)
-            self.slot[a] = i
+
+def hashes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix64(lo ^ mix64(hi))
+
+
+class Vocabulary:
+    """The distinct words of a few MB of texts: ``number`` of each word in turn, ``count`` of words of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words: list[bytes] = []
+        self.numbers = Numbers(1 << 40, self.words.extend, lambda: None, 1 << 17)
+        number, count = [], []
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= AT_ONCE):
+                size += len(texts[hi])
+                hi += 1
+            raw = b" " + b" ".join(texts[lo:hi]) + b" " * 17
+            starts, ends = spans(np.frombuffer(raw, np.uint8))
+            number.append(self.numbers(raw, starts, ends))
+            edge = np.searchsorted(starts, 1 + np.cumsum([len(t) + 1 for t in texts[lo:hi]]))
+            count.append(np.diff(np.concatenate(([0], edge))))
+            lo = hi
+        self.number = np.concatenate(number) if number else np.zeros(0, np.int32)
+        self.count = np.concatenate(count) if count else np.zeros(0, np.int64)
+
+    def by_bucket(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """(bucket, numbers of its words); the order depends on the words alone."""
+        n, own = len(self.words), self.numbers
+        lo, hi = own.lo[:n].copy(), own.hi[:n].copy()
+        far = sorted((w, i) for w, i in own.long.items())
+        for k, (w, i) in enumerate(far):  # long words: a hash, and their order
+            lo[i], hi[i] = xxhash.xxh3_64_intdigest(w), k
+        bucket = hashes(lo, np.where(own.hi[:n] == 0, np.uint64(0), hi)) % np.uint64(buckets)
+        order = np.lexsort((hi, lo, bucket))
+        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+        return [(int(bucket[x[0]]), x) for x in np.split(order, cut)] if n else []
 
 
 class Lists:

@@ -313,10 +313,9 @@ def test_lm_bits_against_whole_tables(spark, rows):
     raw = {d: t.encode().lower() for d, t in rows}
     pairs = np.zeros(1 << 16, np.int64)
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
-    joined = np.frombuffer(b"".join(raw.values()), np.uint8).astype(np.int64)
+    joined = np.frombuffer(b"".join(b"\0" + t for d, t in raw.items() if not lm.held_out(d)) + b"\0", np.uint8).astype(np.int64)
     np.add.at(pairs, joined[:-1] << 8 | joined[1:], 1)
-    pairs[0x2E00] += len(rows)
-    code, bits = lm.Code(pairs), lm.table_bits(len(joined) + len(rows))
+    code, bits = lm.Code(pairs), lm.table_bits(len(joined))
     counts = [np.zeros((2, 1 << b), np.int64) for b in bits]
     for d, t in raw.items():
         if not lm.held_out(d):
@@ -327,6 +326,30 @@ def test_lm_bits_against_whole_tables(spark, rows):
     assert all(math.isclose(got[d], -w / math.log(10), rel_tol=1e-4) for d, w in zip(raw, want))
 
 
+def test_lm_learns_nothing_from_held_out_texts(spark, rows):
+    rows = rows[:60]
+    assert any(lm.held_out(d) for d, _ in rows)
+    scores = lambda made: {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    one, two = scores(rows), scores([(d, "zq xj " * 3000 if lm.held_out(d) else t) for d, t in rows])
+    for d, _ in rows:
+        if not lm.held_out(d):
+            assert math.isclose(one[d][0], two[d][0], rel_tol=1e-6) and one[d][1:] == two[d][1:]
+
+
+def test_lm_symbols_by_number_as_one_by_one():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab c\n") for _ in range(rng.randint(0, 300))).encode() for _ in range(40)]
+    code, bits = lm.Code(np.arange(1 << 16) % 977), (20, 21, 22)
+    tables = [np.random.default_rng(i).integers(-99, 99, 1 << b).astype(np.int8) for i, b in enumerate(bits)]
+    count, bit, slots, gate = lm.decisions(texts, code, bits)
+    got = lm.looked_up(texts, code, tables, bits)
+    assert (got[0] == count).all() and (got[1] == bit).all() and (got[3] == gate).all()
+    assert all((x == t[s]).all() for x, t, s in zip(got[2], tables, slots))
+    keys = np.random.default_rng(1).integers(0, 500, 5000).astype(np.uint64)
+    number, first = lm.numbered(keys)
+    assert (keys[first][number] == keys).all() and len(first) == len(np.unique(keys))
+
+
 def test_lm_awkward_rows(spark):
     got = lm.score(docs_of(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r.n_tokens for r in got if r.doc_id in (900, 901, 902)} == {1}

@@ -1,10 +1,10 @@
 """Operator 6: mixing sources to target weights by weighted fair queueing.
 
-Documents are shuffled by a hash of doc_id. In its source a document's copy e (0, 1, ...) ends at
-e * source_size + the running total of sizes up to it; that, divided by the source's target, is its virtual
-finish time. The mix is all copies in order of finish time (``stream``: range-sorted over the whole
-cluster), cut at virtual time 1, where the words taken add up to the budget: the document that a source
-then has in flight gives the words before the cut.
+Documents are shuffled by a hash of doc_id. In its source a document's copy e (0, 1, ...) begins at
+e * source_size + the running total of sizes before it. A copy is served in packets of ``PACKET`` words at most; the virtual finish time of a packet is
+the words of its source up to its end divided by the source's target. All packets of all sources are put in order of finish time, by
+ranges over the whole cluster, and the order is cut where its running total reaches the budget: packets in ranges below the cut are taken, those
+above are not, and the rows of the one range that the cut falls in are sorted. A source ends within about a packet of its target.
 
 Running totals are taken in two steps, over hash buckets of a source and then inside each bucket, so a
 source that holds most rows is spread over many tasks.
@@ -16,6 +16,8 @@ rows each count, ordered by text; an empty table gives an empty table; other col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from quern.llm.common import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2, "mix"
-#: Rows of one hash bucket of a source, about.
-BUCKET_ROWS = 20_000
+#: Words of a packet at most.
+PACKET = 100
+#: Rows of one hash bucket of a source or of one range of finish times, about; ranges at most.
+BUCKET_ROWS, MOST_RANGES = 20_000, 100_000
 
 
 def targets(sources: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
@@ -67,7 +71,7 @@ def placed(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     tie = [c for c in ("doc_id", "text_hash", "nth") if c in df.columns]
     inside = Window.partitionBy("source", "b").orderBy("key", *tie)
     df = df.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    keep = [F.col(f"d.{c}") for c in docs.columns]
+    keep = [F.col(f"d.{c}") for c in docs.columns if c not in ("b", "inside")]
     return df.alias("d").join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.b") == F.col("f.b"))).select(*keep, "f.source_size", "f.target", (F.col("f.before") + F.col("d.inside")).alias("start"))
 
 
@@ -80,28 +84,64 @@ def _nth(text_hash: str):
     return F.row_number().over(Window.partitionBy("doc_id", "source", text_hash).orderBy(text_hash))
 
 
-def _taken(most: int):
-    """Words of all copies before the cut at virtual time 1."""
-    copies = [F.least(F.greatest(F.floor("target") - e * F.col("source_size") - F.col("start"), F.lit(0)), F.col("size")) for e in range(most)]
-    return sum(copies[1:], copies[0]).cast("long")
+def _end(e: int, q) -> tuple:
+    """(words, finish time) of packet q of copy e of a row."""
+    to = F.least(F.col("size"), (q + 1) * PACKET)
+    return to - q * PACKET, F.try_divide(e * F.col("source_size") + F.col("start") + to, F.col("target"))
+
+
+def _range(finish, ranges: int):
+    """Its range: from virtual time 2 on the last."""
+    return F.floor(F.least(finish, F.lit(2.0)) * (ranges / 2)).cast("long")
+
+
+def _packets():
+    return F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / PACKET) - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def cut(rows: DataFrame, scratch: Scratch, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """Staged rows of ``placed`` with the words taken of each copy: taken_0, taken_1, ..."""
+    placed_ = scratch.stage(placed(rows, share, most, weights, seed), "placed")
+    total, packets = placed_.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("size") / PACKET)), F.lit(0))).first()
+    budget, ranges = math.floor(total * share), min(MOST_RANGES, max(16, packets * most // BUCKET_ROWS))
+    each = placed_.select("*", F.posexplode(F.array(*[F.lit(e) for e in range(most)])).alias("e", "copy")).drop("e").select("*", F.explode(_packets()).alias("q"))
+    ends = [_end(e, F.col("q")) for e in range(most)]
+    pick = lambda i: F.element_at(F.array(*[x[i] for x in ends]), F.col("copy") + 1)
+    each = each.select("source", "key", "start", "copy", "q", pick(0).alias("words"), pick(1).alias("finish")).withColumn("range", _range(F.col("finish"), ranges))
+    # The range that the budget ends in: at most MOST_RANGES + 1 rows in this window, two numbers to the driver.
+    sums = each.groupBy("range").agg(F.sum("words").alias("words")).withColumn("to", F.sum("words").over(Window.orderBy("range")))
+    last = sums.where(F.col("to") >= budget).orderBy("range").select("range", F.col("to") - F.col("words")).first()
+    at, before = (last[0], last[1]) if last else (ranges + 1, 0)
+    inside = each.where(F.col("range") == at).withColumn("to", F.sum("words").over(Window.partitionBy("range").orderBy("finish", "key", "start", "copy", "q").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("got", F.least(F.greatest(F.lit(budget - before) - F.col("to") + F.col("words"), F.lit(0)), F.col("words"))).where("got > 0")
+    inside = inside.groupBy("source", "start").agg(*[F.sum(F.when(F.col("copy") == e, F.col("got"))).alias(f"more_{e}") for e in range(most)])
+
+    def below(e: int):
+        return F.aggregate(_packets(), F.lit(0).cast("long"), lambda acc, q: acc + F.when(_range(_end(e, q)[1], ranges) < at, _end(e, q)[0]).otherwise(0))
+
+    # Rows with words are told apart by source and start.
+    same = F.col("p.source").eqNullSafe(F.col("i.source")) & (F.col("p.start") == F.col("i.start")) & (F.col("p.size") > 0)
+    whole = placed_.select("*", *[below(e).alias(f"below_{e}") for e in range(most)]).alias("p").join(inside.alias("i"), same, "left")
+    return whole.select("p.*", *[(F.col(f"below_{e}") + F.coalesce(f"more_{e}", F.lit(0))).cast("long").alias(f"taken_{e}") for e in range(most)]).drop(*[f"below_{e}" for e in range(most)])
 
 
 def taken(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """Per document (doc_id, size, source_size, target, taken)."""
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash"))
-    rows = Scratch(docs.sparkSession, "mixing").stage(rows, "sizes")  # so that texts are read once
-    return placed(rows, share, most, weights, seed).select("doc_id", "size", "source_size", "target", _taken(most).alias("taken"))
+    rows = scratch.stage(rows, "sizes")  # so that texts are read once
+    copies = [F.col(f"taken_{e}") for e in range(most)]
+    return cut(rows, scratch, share, most, weights, seed).select("doc_id", "size", "source_size", "target", sum(copies[1:], copies[0]).alias("taken"))
 
 
 def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix itself: docs' columns, size, copy, finish and taken, one row per copy that the cut leaves words, in order of finish time."""
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows = _keyed(sized(docs.select("doc_id", "source", "text")), seed).select("doc_id", "source", "size", "key", F.xxhash64("text").alias("text_hash")).withColumn("nth", _nth("text_hash"))
-    rows = Scratch(docs.sparkSession, "mixing").stage(rows, "sizes")
-    at = placed(rows, share, most, weights, seed)
-    at = at.select("doc_id", "source", "text_hash", "nth", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
-    begin = F.col("copy") * F.col("source_size") + F.col("start")
-    at = at.withColumn("finish", (begin + F.col("size")) / F.col("target")).withColumn("taken", F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")))
-    at = at.where("taken > 0").select("doc_id", "source", "text_hash", "nth", "size", "copy", "finish", "taken")
+    at = cut(scratch.stage(rows, "sizes"), scratch, share, most, weights, seed)
+    finish = [F.try_divide(e * F.col("source_size") + F.col("start") + F.col("size"), F.col("target")) for e in range(most)]
+    copies = F.array(*[F.struct(F.lit(e).alias("copy"), finish[e].alias("finish"), F.col(f"taken_{e}").alias("taken")) for e in range(most)])
+    at = at.select("doc_id", "source", "text_hash", "nth", "size", F.explode(F.filter(copies, lambda c: c["taken"] > 0)).alias("c")).select("doc_id", "source", "text_hash", "nth", "size", "c.*")
     own = docs.drop("size", "copy", "finish", "taken")
     numbered = own.withColumn("text_hash_", F.xxhash64("text")).withColumn("nth_", _nth("text_hash_"))
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.text_hash_") == F.col("t.text_hash")) & (F.col("d.nth_") == F.col("t.nth"))
@@ -127,9 +167,12 @@ fill AS (
   WHERE NOT done),
 f AS (SELECT * FROM fill WHERE done),
 g AS (SELECT source, source_size, CASE WHEN list_contains(f.full_, coalesce(source, chr(0))) THEN (2 * source_size)::DOUBLE ELSE (weight * f.rem)::DOUBLE / f.wide::DOUBLE END AS target FROM s, f),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (least(greatest(floor(target)::BIGINT - start, 0), size) + least(greatest(floor(target)::BIGINT - source_size - start, 0), size))::BIGINT AS taken
-FROM p
+p AS (SELECT d.doc_id, d.key, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, row_number() OVER (ORDER BY key, start) AS nr FROM p),
+c AS (SELECT nr, key, start, e, q, least(size, (q + 1) * 100) - q * 100 AS words, (e * source_size + start + least(size, (q + 1) * 100))::DOUBLE / target AS finish
+      FROM (SELECT *, unnest(range(0, (size + 99) // 100)) AS q FROM k), (VALUES (0), (1)) AS copies(e)),
+t AS (SELECT nr, words, sum(words) OVER (ORDER BY finish, key, start, e, q ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+m AS (SELECT nr, sum(least(greatest((SELECT floor(sum(size) * 1.5) FROM d) - upto + words, 0), words))::BIGINT AS taken FROM t GROUP BY nr)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM k LEFT JOIN m USING (nr)
 """

@@ -7,7 +7,7 @@ counted in the first of them alone, which its two lists of leaves tell, so no li
 written: a leaf gives sums per vector and a spanning forest of its links. Leaves of any size are
 processed: beyond ``BLOCK`` vectors they are cut into blocks and all pairs of blocks are compared.
 
-Equal vectors are one item from the start. Depth grows with the number of vectors; recall against brute force is tested.
+Equal vectors are one item from the start. Nodes are split until their leaves are small; recall against brute force is tested.
 
 Cases: null, zero, null or non-finite components: linked with nothing (n_links 0, a component of its own, kept); vectors of
 different lengths never link; repeated vec_ids are separate vectors with the same id; a null vec_id is left out of links and comes
@@ -28,48 +28,89 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch, components, release_shuffles
 
 TREES, LEAF, BLOCK, SAMPLE = 4, 512, 1024, 20_000
+#: Sampled vectors that a node needs for a threshold of its own; what a split leaves of a node, about; how the spill shrinks from level to level.
+LEAST, SHRINK, SPILL_DECAY, MOST_LEVELS = 32, 0.58, 0.8, 54
 THRESHOLD = 0.95
 
 
 class Forest:
-    """Directions and thresholds; the path of a node has a leading 1 and a bit for each level."""
+    """Directions and thresholds; the path of a node has a leading 1 and a bit for each level.
+
+    A node is split as long as the vectors that reach it, spill included, are more than ``leaf`` by what the sample says. Below the nodes that the sample
+    can tell (``LEAST`` sampled vectors) a node counts for SHRINK of the one above, and thresholds are those of the level. The spill shrinks with
+    the level, so a vector's copies in a tree are bounded, whatever the depth.
+    """
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, trees: int = TREES, leaf: int = LEAF):
         d = sample.shape[1]
-        self.depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
         rng = np.random.default_rng(41)
-        directions = rng.standard_normal((trees, self.depth, d))
-        self.directions = directions / np.maximum(np.linalg.norm(directions, axis=2, keepdims=True), 1e-300)
-        self.spill = 0.75 * math.sqrt(2 * (1 - threshold)) / math.sqrt(d)
-        self.cuts: list[list[dict[int, float]]] = []
-        self.rest = np.zeros((trees, self.depth))  # thresholds of nodes that the sample hardly reaches
-        for t in range(trees):
-            path, cuts = np.ones(len(sample), np.int64), []
-            for level in range(self.depth):
-                p = sample @ self.directions[t, level]
-                self.rest[t, level] = float(np.median(p)) if len(p) else 0.0
-                own = {}
-                order = np.argsort(path, kind="stable")
+        each = n / max(1, len(sample))  # vectors that one of the sample stands for
+        self.spill = [0.75 * math.sqrt(2 * (1 - threshold)) / math.sqrt(d) * SPILL_DECAY**level for level in range(MOST_LEVELS)]
+        self.directions: list[list[np.ndarray]] = []
+        self.cuts: list[list[dict[int, float]]] = []  # of a level: thresholds of the nodes that are split
+        self.rest: list[list[float]] = []  # of a level: threshold of nodes that the sample can't tell
+        self.deeper: list[dict[int, int]] = []  # such nodes with the levels that are still to come
+        for _ in range(trees):
+            directions, cuts, rest, deeper = [], [], [], {}
+            row, path = np.arange(len(sample)), np.ones(len(sample), np.int64)
+            while len(row) and len(directions) < MOST_LEVELS:
+                own, order = {}, np.argsort(path, kind="stable")
+                x = rng.standard_normal(d)
+                x /= max(float(np.linalg.norm(x)), 1e-300)
+                p = (sample @ x)[row]
                 for part in np.split(order, np.flatnonzero(np.diff(path[order])) + 1):
-                    if len(part) >= 16:
-                        own[int(path[part[0]])] = float(np.median(p[part]))
+                    if len(part) * each > leaf and np.ptp(p[part]) > 0:
+                        if len(part) >= LEAST:
+                            own[int(path[part[0]])] = float(np.median(p[part]))
+                        else:
+                            deeper[int(path[part[0]])] = math.ceil(math.log(len(part) * each / leaf) / -math.log(SHRINK))
+                if not own:
+                    break
+                spill = self.spill[len(directions)]
+                directions.append(x)
                 cuts.append(own)
-                path = 2 * path + (p >= np.array([own.get(int(x), self.rest[t, level]) for x in path]))
+                rest.append(float(np.median(p)))
+                live = np.array([int(v) in own for v in path])
+                row, path, p = row[live], path[live], p[live]
+                cut = np.array([own[int(v)] for v in path])
+                left, right = p < cut + spill, p >= cut - spill
+                row, path = np.concatenate((row[left], row[right])), np.concatenate((2 * path[left], 2 * path[right] + 1))
+            for k in range(max(deeper.values(), default=0) + 1 if deeper else 0):  # directions below the sample's reach
+                if len(directions) < MOST_LEVELS:
+                    x = rng.standard_normal(d)
+                    x /= max(float(np.linalg.norm(x)), 1e-300)
+                    directions.append(x)
+                    cuts.append({})
+                    rest.append(float(np.median(sample @ x)))
+            self.directions.append(directions)
             self.cuts.append(cuts)
+            self.rest.append(rest)
+            self.deeper.append(deeper)
+
+    @property
+    def depth(self) -> int:
+        return max(map(len, self.cuts), default=0)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf code) of unit vectors, by row and ascending code."""
         rows, codes = [], []
         for t in range(len(self.cuts)):
-            row, path = np.arange(len(x)), np.ones(len(x), np.int64)
-            for level in range(self.depth):
-                p = (x @ self.directions[t, level])[row]
+            row, path, left_over = np.arange(len(x)), np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
+            for level, direction in enumerate(self.directions[t]):
                 known, place = np.unique(path, return_inverse=True)
-                cut = np.array([self.cuts[t][level].get(int(k), self.rest[t, level]) for k in known])[place]
-                left, right = p < cut + self.spill, p >= cut - self.spill
-                row, path = np.concatenate((row[left], row[right])), np.concatenate((2 * path[left], 2 * path[right] + 1))
+                cut = np.array([self.cuts[t][level].get(int(k), np.nan) for k in known])[place]
+                more = np.array([self.deeper[t].get(int(k), 0) for k in known])[place]
+                left_over = np.maximum(left_over, more)
+                cut = np.where(np.isnan(cut) & (left_over > 0), self.rest[t][level], cut)
+                split = ~np.isnan(cut)
+                rows.append(row[~split])
+                codes.append(path[~split] + (t << 56))
+                row, path, cut, left_over = row[split], path[split], cut[split], np.maximum(left_over[split] - 1, 0)
+                p = (x @ direction)[row]
+                left, right = p < cut + self.spill[level], p >= cut - self.spill[level]
+                row, path, left_over = np.concatenate((row[left], row[right])), np.concatenate((2 * path[left], 2 * path[right] + 1)), np.concatenate((left_over[left], left_over[right]))
             rows.append(row)
-            codes.append(path + (t << 40))
+            codes.append(path + (t << 56))
         row, code = np.concatenate(rows), np.concatenate(codes)
         order = np.lexsort((code, row))
         return row[order], code[order]
@@ -145,7 +186,9 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | No
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(unit, pa.binary()), pa.array(length, pa.int32())], ["vec_id", "key", "v", "d"])
 
     rows = scratch.stage(vectors.select("vec_id", "embedding").mapInArrow(units, "vec_id long, key binary, v binary, d int"), "units")
-    items = scratch.stage(rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("d").alias("d")), "items")
+    # An item is a distinct vector, with a number of its own: one vec_id may stand for several.
+    items = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("d").alias("d"))
+    items = scratch.stage(items.withColumn("id", F.monotonically_increasing_id()), "items")
     totals, edges = None, None
     for d, n in sorted((r["d"], r["count"]) for r in items.groupBy("d").count().collect()):  # one forest for each length of vectors
         same = items.where(F.col("d") == d)
@@ -177,7 +220,9 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | No
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     comps = scratch.stage(components(edges, scratch), "components")
     sums = totals.groupBy("id").agg(F.sum("n").alias("links"))
-    facts = items.select("key", "id", "n").join(sums, "id", "left").join(comps, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    facts = items.select("key", "id", "n", "least").join(sums, "id", "left").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = facts.groupBy("c").agg(F.min("least").alias("component_id"))
+    facts = facts.join(named, "c").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     own = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
     out = own.join(facts, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return scratch.stage(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "out")

@@ -131,6 +131,31 @@ def test_forest_against_brute_force(spark):
     assert got[400].component_id == 0 and not got[400].kept
 
 
+@pytest.mark.parametrize("n", [10_000, 60_000])
+def test_forest_recall_and_copies_of_deep_trees(n):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((n // 10, 64))
+    base = x[: n // 10]
+    z -= (z * base).sum(1, keepdims=True) * base
+    c = rng.uniform(0.95, 0.97, (n // 10, 1))
+    x = np.concatenate((x, c * base + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)))
+    trees = forest.Forest(x[rng.choice(len(x), min(len(x), forest.SAMPLE), replace=False)], len(x), 0.95)
+    row, code = trees.leaves(x)
+    assert trees.depth >= 4 and len(row) <= 16 * len(x) and np.unique(code, return_counts=True)[1].max() <= 2 * forest.LEAF
+    at = np.searchsorted(row, np.arange(len(x) + 1))
+    met = [len(np.intersect1d(code[at[i] : at[i + 1]], code[at[n + i] : at[n + i + 1]])) > 0 for i in range(n // 10)]
+    assert sum(met) >= 0.95 * len(met)
+
+
+def test_forest_repeated_and_null_ids(spark):
+    made = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.01]), (None, [1.0, 0.0]), (7, [-1.0, 0.0])]
+    got = [tuple(r) for r in forest.near(spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumnRenamed("x", "leaf")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 0, None, True), (7, 0, 7, True)], key=str)
+    assert forest.near(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+
+
 def test_forest_large_leaves_and_small_ones(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK", 16)
     rng = np.random.default_rng(1)

@@ -149,7 +149,7 @@ class Pieces:
                         e = back[e][0]
                     yield from reversed(done)
                     last, window, i = done[0], window[cut:], i - cut
-                    back = [None] + [(j - cut, p) if j >= cut else None for j, p in back[cut + 1 :]]
+                    back = [None] + [(x[0] - cut, x[1]) if x and x[0] >= cut else None for x in back[cut + 1 :]]  # others lie on no path
         done, e = [], len(window)
         while e:
             done.append(back[e][1])

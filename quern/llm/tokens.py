@@ -40,7 +40,7 @@ END_ID = 2
 NO_DOC = -(1 << 63)  # stands for a null doc_id inside a file
 HEAD = struct.Struct("<4sIIIQQI")
 #: Distinct words whose ids a worker remembers; older ones are forgotten, which changes speed alone.
-WORD_CACHE = 2_000_000
+WORD_CACHE = 1_000_000
 #: Bytes of text whose words are looked up at once; parts of a data set.
 AT_ONCE, MOST_PARTS = 2 << 20, 10_000
 
@@ -67,7 +67,8 @@ class WordEncoder:
         self.ids = words.Lists("<u2")
 
     def _new(self, found: list[bytes]) -> None:
-        self.ids.extend([e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)])
+        for i in range(0, len(found), 4096):  # the library's results take much room
+            self.ids.extend([e.ids for e in self.tok.encode_batch_fast([w.decode() for w in found[i : i + 4096]], add_special_tokens=False)])
 
     def flat(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of each text's), with an end id after each text where one is given."""
@@ -222,7 +223,7 @@ def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 << 20) -> tuple[DataFrame, Table]:
     """Writes the files of docs (doc_id, text) and returns (the table of files (part, seq, n_ids, file), the frequency table).
 
-    Documents are dealt to parts by ranges of doc_id and sorted inside a part, which is then cut into files of ``per_shard`` ids at most, or of
+    Documents are dealt to parts by ranges of doc_id and sorted inside a part, which is then cut into files of ``per_shard`` bytes of 32-bit ids at most, or of
     one longer document. In the head of a file ``first`` counts from the start of its part.
     """
     spark = docs.sparkSession
@@ -245,6 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
                 lo = hi
 
     def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()  # a worker that has encoded need not remember words any more
         own: list[tuple[int, bytes]] = []
         state = {"part": None, "seq": 0, "first": 0, "size": 0}
 
@@ -258,7 +260,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
 
         for b in batches:
             for part, doc, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                if own and (part != state["part"] or 2 * state["size"] + len(ids) > per_shard):
+                if own and (part != state["part"] or 4 * state["size"] + 2 * len(ids) > per_shard):
                     yield row()
                 if part != state["part"]:
                     state.update(part=part, seq=0, first=0)
@@ -272,6 +274,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
     release_shuffles(spark)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():

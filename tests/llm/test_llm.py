@@ -64,6 +64,18 @@ def test_pieces_equal_the_library_and_round_trip(rows):
         assert own.decode(own.encode(t)) == t.replace("▁", " ")
 
 
+def test_pieces_of_long_units_and_blocks(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    monkeypatch.setattr(pieces, "BLOCK", 500)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(kind) for _ in range(rng.randint(1, 900))) for kind in ("etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éèaenst", "the\u0301 日本語x", "aA1_.,- \n", " ") for _ in range(40)]
+    got = own.encode_all([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [sp.encode(t) for t in texts]
+
+
 def test_pieces_stream_keeps_a_bounded_window():
     own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     text = "thequickbrownfox" * 500

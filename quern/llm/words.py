@@ -114,7 +114,10 @@ class Numbers:
             self.long[w] = self.n + len(words) + i
         self.n = n
         self.new(words + list(more))
-        return self(raw, starts, ends)
+        out[lost] = self._find(lo[lost], hi[lost])
+        for i in lost[size[lost] > LONG].tolist():
+            out[i] = self.long[raw[starts[i] : ends[i]]]
+        return out
 
 
 def hashes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ class Scratch:
     """Tables of one operator run; ``drop`` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}", set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,6 +42,7 @@ class Scratch:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns a scan of the written table: a cut of the lineage that survives lost executors."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -49,6 +50,12 @@ class Scratch:
         for name in names or ("",):
             path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        if gone := self.names.difference(names):
+            self.drop(*gone)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -179,7 +179,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
     # Documents with one key are copies: hot keys, in joins that Spark can split.
     ids = sizes.join(stand.join(of_key, "key", "left").select("key", F.coalesce("component_id", "rep").alias("of_key")), "key", "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("of_key")).otherwise(F.col("doc_id"))
-    return ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"))
+    out = scratch.stage(ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")), "out")
+    scratch.only("out")
+    return out
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

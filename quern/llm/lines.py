@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
     best = many.join(many.groupBy("c").agg(F.min("first").alias("best")), "c").select("key", "best")
     gone = places.join(best, "key").where("not (doc_id = best.doc_id and line = best.line)")
     gone = scratch.stage(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "gone")
-    scratch.drop("texts", "firsts", "candidates")
+    scratch.only("gone")
     release_shuffles(spark)
 
     def rebuilt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

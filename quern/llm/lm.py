@@ -38,7 +38,7 @@ RATE, REFINE, FIRST_WEIGHT = 0.02, 0.02, 0.4
 GATES, LEVELS = 4, 8
 PAD = 4
 END = b"\0"
-CHUNK = 12 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
+CHUNK = 8 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
 AT_ONCE = 1 << 19  # bytes of text whose symbols are numbered at once
 RANGES, WIDE = 5, 22  # of a table: 2**5 ranges at least, each of 2**22 slots at most
 RAW = 1 << 21  # slots of a chunk that are held before they are counted

@@ -82,6 +82,10 @@ def spread(spark: SparkSession, nbytes: int, per_part: int = 16 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // per_part), 1)
 
 
+#: Edges that a task of the stars unites, about.
+EDGES = 100_000
+
+
 def components(nodes_edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """Connected components by alternating large and small stars; edges (a long, b long) in any direction.
 
@@ -90,7 +94,8 @@ def components(nodes_edges: DataFrame, scratch: Scratch, tag: str = "cc") -> Dat
     that Spark can split; rounds grow as the logarithm of the number of vertices. Nothing is collected.
     """
     edges = nodes_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, k = scratch.stage(edges, f"{tag}-0"), 0
+    tasks = max(1, -(-nodes_edges.count() // EDGES))  # few files for few edges
+    edges, k = scratch.stage(edges.coalesce(tasks), f"{tag}-0"), 0
     while True:
         # Done when the edges are stars: each vertex has one edge to its root, and no root has any.
         ends = edges.select(F.col("u").alias("x")).unionByName(edges.select(F.col("v").alias("x")).distinct())
@@ -106,10 +111,10 @@ def components(nodes_edges: DataFrame, scratch: Scratch, tag: str = "cc") -> Dat
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = scratch.stage(small, f"{tag}-{k}")
+        edges = scratch.stage(small.coalesce(tasks), f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    return scratch.stage(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.coalesce(tasks)), f"{tag}-out")
 
 
 class Unions:

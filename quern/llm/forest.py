@@ -218,7 +218,7 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | No
         totals, edges = (one, two) if totals is None else (totals.unionByName(one), edges.unionByName(two))
     if totals is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    comps = scratch.stage(components(edges, scratch), "components")
+    comps = components(edges, scratch)
     sums = totals.groupBy("id").agg(F.sum("n").alias("links"))
     facts = items.select("key", "id", "n", "least").join(sums, "id", "left").join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     named = facts.groupBy("c").agg(F.min("least").alias("component_id"))

@@ -177,7 +177,7 @@ def link(found: DataFrame, texts: DataFrame, prepare: Callable[[bytes], np.ndarr
     edges = scratch.stage(compared(tried, texts, prepare, num, den), "links")
     scratch.drop("tried")
     release_shuffles(spark)
-    comps = scratch.stage(components(edges, scratch, "cc"), "components")
+    comps = components(edges, scratch, "cc")
     scratch.drop("links")
     more = scratch.stage(across(members, comps, texts, prepare, num, den, scratch), "across")
     scratch.drop("members", "clusters")
@@ -185,8 +185,8 @@ def link(found: DataFrame, texts: DataFrame, prepare: Callable[[bytes], np.ndarr
     if more.isEmpty():
         return comps
     edges = comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    out = scratch.stage(components(edges, scratch, "cd"), "components-2")
-    scratch.drop("components", "across")
+    out = components(edges, scratch, "cd")
+    scratch.drop("cc-out", "across")
     return out
 
 

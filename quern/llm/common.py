@@ -30,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_CACHES: list = []
+
+
+def remembered(cached):
+    """Registers what a Python worker remembers from task to task (an ``lru_cache``)."""
+    _CACHES.append(cached)
+    return cached
+
+
+def alone(own=None) -> None:
+    """Lets the worker forget what operators other than the one of ``own`` have left in it."""
+    for cached in _CACHES:
+        if cached is not own:
+            cached.cache_clear()
+
+
 class Scratch:
     """Tables of one operator run; ``drop`` removes those that nothing reads any more."""
 

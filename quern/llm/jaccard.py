@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import links
-from quern.llm.common import Scratch, mix64, release_shuffles, spread, u64, utf8
+from quern.llm.common import Scratch, alone, mix64, release_shuffles, remembered, spread, u64, utf8
 
 #: Distinct words whose hashes a worker remembers; beyond it the memory is emptied, which changes speed alone.
 WORD_CACHE = 300_000
@@ -45,6 +45,7 @@ def _factors(n: int) -> np.ndarray:
     return u64(7 * n + 1, n) | np.uint64(1)
 
 
+@remembered
 @functools.lru_cache(2)
 def shingler_of(n: int) -> Shingler:
     """One per Python worker: the hashes that it remembers serve all of the worker's tasks."""
@@ -138,6 +139,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
     buckets = spread(spark, nbytes, 8 << 20)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(shingler_of)
         shingles, enum, seen = shingler_of(n), PartEnum(num, den), set()
         send = links.Sender(buckets, TaskContext.get().partitionId())
         for b in batches:

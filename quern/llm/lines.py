@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import links
-from quern.llm.common import Scratch, mix64, release_shuffles, spread, u64, utf8
+from quern.llm.common import Scratch, alone, mix64, release_shuffles, spread, u64, utf8
 
 GRAM, BANDS, ROWS = 5, 16, 6
 NUM, DEN = 80, 100
@@ -103,6 +103,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
     buckets = spread(spark, nbytes, 8 << 20)
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         send, seen = links.Sender(buckets, TaskContext.get().partitionId()), set()
         wait, keys, size = [], [], 0
         for b in batches:

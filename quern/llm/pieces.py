@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import words
-from quern.llm.common import utf8
+from quern.llm.common import alone, remembered, utf8
 
 SPACE = "▁"
 #: Distinct units and pairs of pieces that a worker remembers; beyond it the memory is emptied, which changes speed alone.
-UNIT_CACHE, PAIR_CACHE = 2_500_000, 400_000
+UNIT_CACHE, PAIR_CACHE = 1_500_000, 300_000
 #: Bytes of text whose units are looked up at once.
 BLOCK = 1 << 20
 
 
+@remembered
 @functools.lru_cache(1)
 def pieces_of(path: str) -> Pieces:
     """One per Python worker: what it remembers serves all of the worker's tasks."""
@@ -242,6 +243,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = (), with_ids: bo
     last = (["ids"] if with_ids else []) + ["ids_crc32", "restored"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(pieces_of)
         pieces = pieces_of(model)
         for b in batches:
             for i in range(0, b.num_rows, 256):  # small batches: ids take more room than their texts

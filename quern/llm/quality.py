@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import utf8
+from quern.llm.common import alone, utf8
 
 TRAIN_DOCS = 2_000
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
@@ -149,6 +149,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_columns: b
     own = [c for c in docs.columns if c.lower() not in out.names] if keep_columns else ["doc_id"]
 
     def verdicts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for b in batches:
             rows = []
             for text in utf8(b.column("text")):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words
-from quern.llm.common import Scratch, release_shuffles, utf8
+from quern.llm.common import Scratch, alone, release_shuffles, remembered, utf8
 
 BLOCK, LANES = 16_384, 32
 BITS = 20  # of the quantised frequencies: they sum to 2**BITS
@@ -91,6 +91,7 @@ class WordEncoder:
         return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
+@remembered
 @functools.lru_cache(1)
 def encoder_of(path: str) -> WordEncoder:
     """One per Python worker: what it remembers serves all of the worker's tasks."""
@@ -231,6 +232,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
     cuts = np.array(_cuts(docs, 4 * per_shard), np.int64)  # at most MOST_PARTS numbers
 
     def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(encoder_of)
         encoder = encoder_of(vocabulary)
         for b in batches:
             texts, lo = utf8(b.column("text")), 0
@@ -246,7 +248,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
                 lo = hi
 
     def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder_of.cache_clear()  # a worker that has encoded need not remember words any more
+        alone()  # a worker that has encoded need not remember words any more
         own: list[tuple[int, bytes]] = []
         state = {"part": None, "seq": 0, "first": 0, "size": 0}
 
@@ -274,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str, out: Scratch, per_shard: int = 8 <<
     release_shuffles(spark)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder_of.cache_clear()
+        alone()
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():

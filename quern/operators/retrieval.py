@@ -14,6 +14,8 @@ from quern.functions import vector as V
 
 RRF_K = 60
 MAX_BROADCAST_ROWS = 10_000
+#: Queries up to which what the arms found is broadcast without counting it.
+FEW_QUERIES = 2_000
 #: Floors of kinds, in the order in which they are served.
 FLOORS = (("en", 4), ("de", 4), ("es", 2), ("fr", 3))
 
@@ -94,12 +96,14 @@ def rerank(picks: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search(rows: DataFrame, queries: DataFrame, top: int = 12, limit: int = 40) -> DataFrame:
     """(query_id, place, id, kind, score, rerank): rows (id, kind, text, embedding), queries (query_id, text, vector)."""
+    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    bounded = F.broadcast if few else lambda df: df  # at most FEW_QUERIES * 2 * limit rows of three numbers
     fused = fuse(vector_arm(rows, queries, limit), lexical_arm(token_index(rows), queries, limit))
     kinds = rows.select("id", "kind")
     # The arms give at most 2 * limit rows a query: their ids select from the large side.
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    ordered = kinds.join(small(fused), "id").withColumn("pos", pos)
+    ordered = kinds.join(bounded(fused), "id").withColumn("pos", pos)
     wide = balance(ordered, 3 * top).drop("place")
-    scored = rerank(wide, rows.join(small(wide.select("id").distinct()), "id", "left_semi").select("id", "text"), queries)
+    scored = rerank(wide, rows.join(bounded(wide.select("id").distinct()), "id", "left_semi").select("id", "text"), queries)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank"), "pos"))
     return balance(scored.withColumn("pos", best), top).select("query_id", "place", "id", "kind", "score", "rerank")

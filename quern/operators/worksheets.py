@@ -14,38 +14,44 @@ from quern.functions import text as T
 # References that an answer may name.
 VERSE = r"\b(\d{1,3}:\d{1,3})\b"
 COLLECTION = r"(?i)\b(Bukhari|Abu\s?Dawud|Tirmidhi|Nasa'?i|Ibn\s?Majah|Muwatta|Bayhaqi|Darimi)\b"
-AMBIGUOUS = r"(?i)\b(?:Sahih|Musnad|narrated\s+(?:by|in)|reported\s+(?:by|in)|related\s+by|collected\s+(?:by|in))\s+(Muslim|Ahmad)\b"
-NUMBERED = r"(?i)\b(Muslim|Ahmad)\s+\d{1,3}:\d{1,4}\b"
+AMBIGUOUS = r"(?i)(?:\b(?:Sahih|Musnad|narrated\s+(?:by|in)|reported\s+(?:by|in)|related\s+by|collected\s+(?:by|in))\s+(Muslim|Ahmad)\b)|\b(Muslim|Ahmad)\s+\d{1,3}:\d{1,4}\b"
+# The lines of a worksheet that hold a passage and a citation.
+PASSAGE = r"(?m)^### Passage (\d+) —[\s\S]*?^- kind: .*? chunk: (\d+)\s*$"
+CITATION = r'(?m)^\s*(\d+)\.\s*passage=(\d+)\s+quote="([\s\S]*?)"\s*$'
+_BLANK = " \n\t\r"
 
 
 def section(c: Column, name: str) -> Column:
-    """Text under ``## name`` up to the next heading of that level, comments taken out."""
-    return F.trim(T.sub(F.regexp_extract(c, rf"(?ms)^## {re.escape(name)}[^\n]*\n(.*?)(?=^## |\z)", 1), r"(?s)<!--.*?-->"), F.lit(" \n\t\r"))
+    """Text of the first section whose heading is ``name``, up to the next heading of that level, comments taken out; '' without one."""
+    body = F.regexp_extract(c, rf"(?ms)^## [ \t]*{re.escape(name)}[ \t]*$(.*?)(?=^## |\z)", 1)
+    return F.trim(T.sub(body, r"(?s)<!--.*?-->"), F.lit(_BLANK))
+
+
+def _rows(df: DataFrame, c: Column, pattern: str, names: dict[str, str]) -> DataFrame:
+    """One row of df's slug for each match of pattern in c, its groups cast to the kinds of names."""
+    x = df.select("slug", F.explode(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).alias("m"))
+    return x.select("slug", *[F.trim(F.regexp_extract("m", pattern, i), F.lit(_BLANK)).cast(kind).alias(n) for i, (n, kind) in enumerate(names.items(), 1)])
 
 
 def passages(df: DataFrame) -> DataFrame:
-    """(slug, number, chunk_id) of lines ``### [n] chunk:id``."""
-    found = F.regexp_extract_all("text", F.lit(r"(?m)^### \[(\d+)\][^\n]*chunk:(\d+)"), F.lit(0))
-    x = df.select("slug", F.explode(found).alias("m"))
-    return x.select("slug", F.regexp_extract("m", r"\[(\d+)\]", 1).cast("int").alias("number"), F.regexp_extract("m", r"chunk:(\d+)", 1).cast("long").alias("chunk_id"))
+    """(slug, number, chunk_id) of worksheets (slug, text): the passages that were retrieved. Null text has none."""
+    return _rows(df, F.col("text"), PASSAGE, {"number": "int", "chunk_id": "long"})
 
 
 def citations(df: DataFrame) -> DataFrame:
-    """(slug, ordinal, passage, quote) of lines ``[n] passage m: "quote"``."""
-    pattern = r'(?m)^\[(\d+)\] passage (\d+): "([^\n]*)"'
-    x = df.select("slug", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m"))
-    part = lambda i: F.regexp_extract("m", pattern, i)
-    return x.select("slug", part(1).cast("int").alias("ordinal"), part(2).cast("int").alias("passage"), part(3).alias("quote"))
+    """(slug, ordinal, passage, quote) of the section Citations of worksheets (slug, text). Null text has none."""
+    return _rows(df, section(F.col("text"), "Citations"), CITATION, {"ordinal": "int", "passage": "int", "quote": "string"})
 
 
 def unverified(answer: Column, cited: Column) -> Column:
-    """References that an answer names but that stand in none of its cited texts and titles (an array)."""
-    fold = lambda c: T.sub(T.squeeze(F.lower(c)), r"\bab[uio]\b", "abu")
-    flat = T.squeeze(answer)
-    haystack, sources = T.squeeze(F.array_join(cited, " ")), fold(F.array_join(cited, " "))
-    verses = F.filter(F.regexp_extract_all(flat, F.lit(VERSE), F.lit(1)), lambda r: ~F.contains(haystack, r))
-    named = F.concat(*[F.regexp_extract_all(flat, F.lit(p), F.lit(1)) for p in (COLLECTION, AMBIGUOUS, NUMBERED)])
-    return F.array_distinct(F.concat(verses, F.filter(named, lambda r: ~F.contains(sources, fold(r)))))
+    """References that an answer names but that stand in none of its cited texts and titles (an array), each once whatever its case."""
+    fold = lambda c: T.sub(c, r"(?i)\bab[uio]\b", "abu")
+    sources = fold(T.squeeze(F.array_join(cited, "\n")))
+    found = lambda p: F.transform(F.regexp_extract_all(answer, F.lit(p), F.lit(0)), T.squeeze)
+    verses = F.filter(F.array_distinct(found(VERSE)), lambda r: ~F.contains(sources, r))
+    named = F.concat(found(COLLECTION), found(AMBIGUOUS))
+    first = F.filter(named, lambda r, i: F.array_position(F.transform(named, F.lower), F.lower(r)) == i + 1)
+    return F.concat(verses, F.filter(first, lambda r: ~F.contains(F.lower(sources), F.lower(fold(r)))))
 
 
 def uncited(answer: Column, cited: Column) -> Column:

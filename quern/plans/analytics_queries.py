@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import matching, tables
+from quern.operators import matching, retrieval, tables
 from quern.plans.base import Registry
 
 QUERIES = Registry()
@@ -44,7 +44,7 @@ def miss_rate(t):
 
 @query("SELECT user_id AS query, count(*) AS n, max(CASE WHEN event_id % 3 > 0 THEN value END) AS top_score, arg_max(event_id, (event_id % 3 > 0, CASE WHEN event_id % 3 > 0 THEN value ELSE 0 END, -event_id)) AS top_answer FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, top_score DESC NULLS LAST, query LIMIT 50")
 def miss_queue(t):
-    """The most asked misses with their best answer; groups without any score still have one."""
+    """The most asked misses with their best answer; groups without any score still have one."""
     score = F.when(F.col("event_id") % 3 > 0, F.col("value"))
     best = F.max_by("event_id", F.struct(score.isNotNull(), F.coalesce(score, F.lit(0.0)), -F.col("event_id")))
     q = t.events.where("event_type = 'error'").groupBy(F.col("user_id").alias("query")).agg(rows().alias("n"), F.max(score).alias("top_score"), best.alias("top_answer"))
@@ -132,7 +132,7 @@ def hydrate(t):
 
 @query("SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN quality END AS answer_quality, text FROM conversations LEFT JOIN labels ON doc_id = conv_id")
 def thread_rebuild(t):
-    """J4, F15."""
+    """J4."""
     lab = t.labels.select(F.col("doc_id").alias("conv_id"), "quality")
     return t.conversations.join(lab, "conv_id", "left").select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.col("quality")).alias("answer_quality"), "text")
 
@@ -157,16 +157,20 @@ def citation_resolution(t):
 
 @query("WITH c AS (SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', '', 'g')) AS q FROM benchmark), m AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM c JOIN documents ON contains(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', '', 'g')), q)) SELECT item_id, doc_id FROM m WHERE n = 1")
 def rebind_unique(t):
-    """J10, J11, F11, A.10: a quote is bound again only if exactly one text holds its words.
+    """J11, F11, A.10: a quote is bound again only if exactly one text holds its words.
 
-    Candidates meet by shingle first (every text that holds the quote holds its first five words), so no pair is tried in vain.
+    Candidates of quotes of five words or more meet by words 2 to 4, which are whole words in every text that holds the quote, even one that
+    begins and ends it inside a word. Shorter quotes, a checked set, are tried against all texts.
     """
     bare = lambda c: T.sub(F.lower(c), r"[^\p{L}\p{N}\s]")
     words = lambda c: F.filter(F.split(bare(c), r"\s+"), lambda w: w != "")
-    q = t.benchmark.select("item_id", bare(F.col("text")).alias("q"), F.xxhash64(F.slice(F.filter(F.split(bare(F.col("text")), r"\s+"), lambda w: w != ""), 2, 3)).alias("h"))
+    q = t.benchmark.select("item_id", bare(F.col("text")).alias("q"), F.xxhash64(F.slice(words(F.col("text")), 2, 3)).alias("h"), F.size(words(F.col("text"))).alias("n")).where("q is not null")
+    every = t.documents.select("doc_id", bare(F.col("text")).alias("body"))
     d = t.documents.select("doc_id", bare(F.col("text")).alias("body"), words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     grams = d.select("doc_id", F.explode(F.array_distinct(T.let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))))).alias("h"))
-    pairs = grams.join(q, "h").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("q")))
+    long = grams.join(q.where("n >= 5").select("item_id", "q", "h"), "h").join(every, "doc_id").where(F.contains("body", F.col("q")))
+    short = every.join(retrieval.small(q.where("n < 5").select("item_id", "q")), F.contains("body", F.col("q")))
+    pairs = long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
     return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).where("n = 1").select("item_id", "doc_id")
 
 
@@ -317,7 +321,7 @@ def phrasing_sync(t):
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 't' || o_custkey END, md5(o_orderkey::VARCHAR)) AS token FROM orders")
 def share_tokens(t):
-    """A token once given stays."""
+    """A token once given stays."""
     old = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("t"), "o_custkey"))
     return t.orders.select("o_orderkey", F.coalesce(old, F.md5(F.col("o_orderkey").cast("string"))).alias("token"))
 
@@ -332,7 +336,7 @@ def kind_histogram(t):
 
 @query("SELECT event_type AS query_text, user_id, min(ts) AS first_ts, count(*) AS asked FROM events GROUP BY ALL HAVING count(*) > 1")
 def repeated_queries(t):
-    """D11 read back: appended log rows, repeated texts."""
+    """Reads back appended log rows, repeated texts."""
     return t.events.groupBy(F.col("event_type").alias("query_text"), "user_id").agg(F.min("ts").alias("first_ts"), rows().alias("asked")).where("asked > 1")
 
 

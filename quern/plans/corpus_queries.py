@@ -23,7 +23,7 @@ def _pair_sides(t):
 
 @query(_CAND + "SELECT item_id AS passage_id, doc_id AS text_id, count(*) AS hits FROM ps JOIN ds USING (s) GROUP BY ALL HAVING count(*) >= 2")
 def shingle_candidates(t):
-    """J16, A19, J21."""
+    """J16, A19."""
     return linkage.candidates(*_pair_sides(t))
 
 
@@ -143,24 +143,41 @@ def daily_miss_rate(t):
     return misses.daily_miss_rate(log).withColumn("rate", F.round("rate", 6))
 
 
-SHEETS = [("s", '## Answer\nBody [1] <!-- no -->\n## Passages\n### [1] ref chunk:42\n### [2] ref chunk:43\n## Citations\n[1] passage 1: "some words"\n[2] passage 3: "others"\n')]
+_SHEET_SQL = r"""WITH s AS (SELECT 's' || item_id AS slug, item_id, trim(regexp_replace(left(text, 40), '["\s]+', ' ', 'g')) AS quote FROM benchmark)
+SELECT slug, 1::INT AS ordinal, quote, (item_id * 10 + 1)::BIGINT AS chunk_id FROM s
+UNION ALL SELECT slug, 2::INT, 'quoted of ' || slug, (item_id * 10 + 2)::BIGINT FROM s WHERE item_id % 3 = 0
+UNION ALL SELECT slug, 2::INT, 'quoted of ' || slug, NULL::BIGINT FROM s WHERE item_id % 3 <> 0"""
 
 
-@query("SELECT * FROM (VALUES ('s', 1::INT, 'some words', 42::BIGINT), ('s', 2::INT, 'others', NULL)) v(slug, ordinal, quote, chunk_id)")
+def _sheets(t):
+    """A worksheet for each item of benchmark; two of three lack their second passage. A heading that only begins alike is another section."""
+    slug, quote = F.concat(F.lit("s"), "item_id"), F.trim(T.sub(F.substring("text", 1, 40), r'["\s]+', " "))
+    number = lambda n: F.concat(F.lit(f"### Passage {n} — item "), "item_id", F.lit("\n\n- kind: text · chunk: "), (F.col("item_id") * 10 + n).cast("string"), F.lit("\n\n> "), "text", F.lit("\n\n"))
+    second = F.when(F.col("item_id") % 3 == 0, number(2)).otherwise("")
+    cited = F.concat(F.lit('## Citations old\n1. passage=1 quote="no"\n## Citations\n<!-- one a line -->\n1. passage=1 quote="'), quote, F.lit('"\n 2. passage=2 quote=" quoted of '), slug, F.lit('"\n'))
+    return t.benchmark.select(slug.alias("slug"), F.concat(F.lit("## Answer\nBody [1] <!-- no -->\n## Passages\n"), number(1), second, cited).alias("text"))
+
+
+@query(_SHEET_SQL)
 def worksheet_citations(t):
     """Citations of a worksheet with the chunk of their passage; a passage it lacks is null."""
-    df = t.spark.createDataFrame(SHEETS, "slug string, text string")
+    df = _sheets(t)
     p = worksheets.passages(df).select("slug", F.col("number").alias("passage"), "chunk_id")
     return worksheets.citations(df).join(p, ["slug", "passage"], "left").select("slug", "ordinal", "quote", "chunk_id")
 
 
-ANSWERS = [(1, "See 2:255 and 3:1; Tirmidhi, Sahih\nMuslim and a Muslim.", ["on 2:255", "Sunan Abi Dawud"]), (2, "x " * 300, []), (3, "Abi Dawud", ["abu  dawud 5"])]
+_GROUND_SQL = """WITH a AS (SELECT o_orderkey AS id, (o_orderkey % 114 + 1) || ':' || (o_custkey % 200 + 1) AS v, o_orderkey % 3 AS k FROM orders)
+SELECT id, CASE k WHEN 0 THEN 'Tirmidhi|Muslim 300:4000' WHEN 1 THEN v || '|Tirmidhi|Sahih Muslim|Muslim 300:4000' ELSE v || '|Tirmidhi|Abu Dawud|Sahih Muslim|Muslim 300:4000' END AS unverified, k = 2 AS uncited FROM a"""
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '3:1|Tirmidhi|Muslim', false), (2::BIGINT, '', true), (3::BIGINT, '', false)) v(id, unverified, uncited)")
+@query(_GROUND_SQL)
 def grounding(t):
-    """H30, U9, A.8: references that stand in no cited text."""
-    df = t.spark.createDataFrame(ANSWERS, "id long, answer string, cited array<string>")
+    """H30, A.8: references that stand in no cited text; a name counts as a whole, whatever its case and line breaks."""
+    verse = F.concat_ws(":", F.col("o_orderkey") % 114 + 1, F.col("o_custkey") % 200 + 1)
+    kind = F.col("o_orderkey") % 3
+    answer = F.concat(F.lit("See "), verse, F.lit(" and "), verse, F.lit("; Tirmidhi, Abu Dawud and\nTIRMIDHI say; Sahih\nMuslim, a Muslim, Muslim 300:4000. "), F.when(kind == 2, F.repeat(F.lit("more "), 100)).otherwise(""))
+    cited = F.when(kind == 0, F.array(F.concat(F.lit("on "), verse), F.lit("sahih  muslim"), F.lit("Sunan Abi Dawud 3"))).when(kind == 1, F.array(F.lit("a muslim author"), F.lit("abu dawud"))).otherwise(F.array().cast("array<string>"))
+    df = t.orders.select(F.col("o_orderkey").alias("id"), answer.alias("answer"), cited.alias("cited"))
     return df.select("id", F.array_join(worksheets.unverified(F.col("answer"), F.col("cited")), "|").alias("unverified"), worksheets.uncited(F.col("answer"), F.col("cited")).alias("uncited"))
 
 

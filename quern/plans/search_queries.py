@@ -14,15 +14,15 @@ QUERIES = Registry()
 query = QUERIES.query
 
 _E = "embedding::DOUBLE[]"
-_KNN = f"WITH q AS (SELECT vec_id AS query_id, {_E} AS v FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id AS id, label, list_cosine_distance({_E}, v) AS dist FROM embeddings, q), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY dist, id) AS k FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM k WHERE k <= 20) "
+_KNN = f"WITH q AS (SELECT vec_id AS query_id, {_E} AS v FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query_id, vec_id AS id, label, list_cosine_distance({_E}, v) AS dist FROM embeddings, q), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY dist, id) AS k FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM k WHERE k <= 20) "
 
 
 def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding")
 
 
-def _probes(t, n=5):
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _probes(t):
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(_KNN + "SELECT query_id, id, rank::INT AS rank, round(dist, 6) AS dist FROM r WHERE rank <= 40")
@@ -50,21 +50,20 @@ def knn_label_accuracy(t):
     return best.groupBy(F.col("want").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("want") == F.col("got")).alias("right_"))
 
 
-@query(f"WITH d AS (SELECT b.label AS answer_id, b.vec_id, list_cosine_distance(a.{_E}, b.{_E}) AS dist FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id > 0) SELECT answer_id, arg_min(vec_id, (dist, vec_id)) AS phrasing, round(min(dist), 6) AS dist FROM d GROUP BY answer_id")
+@query(f"WITH d AS (SELECT a.vec_id AS query_id, b.label AS answer_id, b.vec_id, list_cosine_distance(a.{_E}, b.{_E}) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT query_id, answer_id, arg_min(vec_id, (dist, vec_id)) AS phrasing, round(min(dist), 6) AS dist FROM d GROUP BY ALL")
 def best_phrasing_per_answer(t):
     """A6."""
-    q = _probes(t, 1)
-    d = t.embeddings.where("vec_id > 0").crossJoin(F.broadcast(q)).select(F.col("label").alias("answer_id"), "vec_id", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-    best = d.groupBy("answer_id").agg(F.min(F.struct("dist", "vec_id")).alias("b"))
-    return best.select("answer_id", F.col("b.vec_id").alias("phrasing"), F.round("b.dist", 6).alias("dist"))
+    d = t.embeddings.crossJoin(retrieval.small(_probes(t))).where("vec_id <> query_id").select("query_id", F.col("label").alias("answer_id"), "vec_id", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
+    best = d.groupBy("query_id", "answer_id").agg(F.min(F.struct("dist", "vec_id")).alias("b"))
+    return best.select("query_id", "answer_id", F.col("b.vec_id").alias("phrasing"), F.round("b.dist", 6).alias("dist"))
 
 
 _W = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_LEX = "WITH q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5), qt AS (SELECT query_id, unnest(list_distinct(" + _W.format("text") + ")) AS token FROM q), ix AS (SELECT token, id, count(*) AS n FROM (SELECT doc_id AS id, unnest(" + _W.format("text") + ") AS token FROM documents) GROUP BY ALL), lex AS (SELECT query_id, id, sum(n)::DOUBLE * 0.1::DOUBLE AS score FROM ix JOIN qt USING (token) GROUP BY ALL), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex)"
+_LEX = "WITH q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0), qt AS (SELECT query_id, unnest(list_distinct(" + _W.format("text") + ")) AS token FROM q), ix AS (SELECT token, id, count(*) AS n FROM (SELECT doc_id AS id, unnest(" + _W.format("text") + ") AS token FROM documents) GROUP BY ALL), lex AS (SELECT query_id, id, sum(n)::DOUBLE * 0.1::DOUBLE AS score FROM ix JOIN qt USING (token) GROUP BY ALL), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex)"
 
 
-def _questions(t, n=5):
-    return t.benchmark.where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+def _questions(t):
+    return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _documents(t):
@@ -77,7 +76,7 @@ def lexical_or_rank(t):
     return retrieval.lexical_arm(retrieval.token_index(_documents(t)), _questions(t)).withColumn("score", F.round("score", 6))
 
 
-_ARMS = _LEX + f", qv AS (SELECT vec_id AS query_id, {_E} AS v FROM embeddings WHERE vec_id < 5), vd AS (SELECT query_id, vec_id AS id, lang AS kind, list_cosine_distance({_E}, v) AS dist FROM embeddings JOIN documents ON doc_id = vec_id, qv), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY dist, id) AS k FROM vd), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM vk WHERE k <= 20), fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM vr WHERE rank <= 40 UNION ALL SELECT query_id, id, rank FROM lr WHERE rank <= 40) GROUP BY ALL)"
+_ARMS = _LEX + f", qv AS (SELECT vec_id AS query_id, {_E} AS v FROM embeddings WHERE vec_id IN (SELECT query_id FROM q)), vd AS (SELECT query_id, vec_id AS id, lang AS kind, list_cosine_distance({_E}, v) AS dist FROM embeddings JOIN documents ON doc_id = vec_id, qv), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY dist, id) AS k FROM vd), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM vk WHERE k <= 20), fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM vr WHERE rank <= 40 UNION ALL SELECT query_id, id, rank FROM lr WHERE rank <= 40) GROUP BY ALL)"
 
 
 def _corpus(t):
@@ -151,7 +150,7 @@ def _ranked(t):
 
 @query(_MATCH + " SELECT query_id, CASE WHEN NOT miss THEN answer_id END AS answer_id, score, CASE WHEN miss THEN 'miss' ELSE 'hit' END AS outcome, NOT miss AND score >= 0.5 AS confident, CASE WHEN miss THEN [] ELSE coalesce(alternatives, []) END AS alternatives FROM f")
 def match_ladder(t):
-    """A11, F4, W14 and the decisions of section 3.2."""
+    """A11, W14 and the decisions of section 3.2."""
     return matching.decide(_ranked(t))
 
 

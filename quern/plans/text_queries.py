@@ -246,7 +246,7 @@ def tier_flag(t):
 
 @query(r"SELECT page_id, lower(regexp_extract(url, 'https?://([^/]+)', 1)) AS host, len(regexp_extract_all(html, '<[^<>\n]{1,300}>'))::INT AS tags, trim(regexp_replace(regexp_replace(html, '<[^<>\n]{1,300}>', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM pages")
 def inline_noise(t):
-    """Bounded tags go, text stays."""
+    """Bounded tags go, text stays."""
     c = F.col("html")
     tag = r"<[^<>\n]{1,300}>"
     return t.pages.select("page_id", F.lower(F.regexp_extract("url", "https?://([^/]+)", 1)).alias("host"), F.regexp_count(c, F.lit(tag)).alias("tags"), F.trim(T.sub(T.sub(c, tag, " "), r"\s+", " ")).alias("bare"))

@@ -45,13 +45,13 @@ def test_line_files_and_writers(spark, tmp_path):
 
 
 def test_worksheet_and_grounding(spark):
-    text = '## Answer\nBody [1] <!-- no -->\n## Passages\n### [1] ref chunk:42\n## Citations\n[1] passage 1: "some words"\n'
+    text = '## Answer\nBody [1] <!-- no -->\n## Passages\n### Passage 1 — ref\n\n- kind: x · chunk: 42\n\n> text\n\n## Citations\n1. passage=1 quote="some words"\n'
     df = spark.createDataFrame([("s", text)], "slug string, text string")
     assert df.select(worksheets.section(F.col("text"), "Answer").alias("a")).first().a == "Body [1]"
     assert [tuple(r) for r in worksheets.passages(df).collect()] == [("s", 1, 42)]
     assert [tuple(r) for r in worksheets.citations(df).collect()] == [("s", 1, 1, "some words")]
     a = spark.createDataFrame([("See 2:255 and 3:1, Abi Dawud aside; Tirmidhi, Sahih\nMuslim and a Muslim.", ["on 2:255", "Sunan Abi Dawud"])], "t string, c array<string>")
-    assert a.select(worksheets.unverified(F.col("t"), F.col("c")).alias("u")).first().u == ["3:1", "Tirmidhi", "Muslim"]
+    assert a.select(worksheets.unverified(F.col("t"), F.col("c")).alias("u")).first().u == ["3:1", "Tirmidhi", "Sahih Muslim"]
 
 
 def test_inline_nodes_lose_nothing(spark):

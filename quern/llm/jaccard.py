@@ -159,9 +159,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
 
     found = links.candidates(docs.mapInArrow(sets, links.PACKED), scratch)
     release_shuffles(spark)
+    tasks = links.tasks_of(found)
     sizes = links.facts(found, "doc_id", "n_shingles", "key")
     # The document that stands for each set.
-    stand = scratch.stage(sizes.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "stand")
+    stand = scratch.stage(sizes.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")).coalesce(tasks), "stand")
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler_of(n)
@@ -171,7 +172,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
 
     # Sets of the candidates; another text under the same doc_id has another key and is left out.
     wanted = links.items(found).withColumnRenamed("id", "key").join(stand, "key").withColumnRenamed("rep", "doc_id")
-    grams = scratch.stage(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("key", "text").mapInArrow(chosen, "id long, text binary").dropDuplicates(["id"]), "grams")
+    grams = scratch.stage(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("key", "text").mapInArrow(chosen, "id long, text binary").dropDuplicates(["id"]).coalesce(tasks), "grams")
     release_shuffles(spark)
     comps = links.link(found, grams, lambda t: np.frombuffer(t, np.uint64), num, den, scratch)
     scratch.drop("grams")
@@ -181,7 +182,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Sc
     # Documents with one key are copies: hot keys, in joins that Spark can split.
     ids = sizes.join(stand.join(of_key, "key", "left").select("key", F.coalesce("component_id", "rep").alias("of_key")), "key", "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("of_key")).otherwise(F.col("doc_id"))
-    out = scratch.stage(ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")), "out")
+    out = scratch.stage(ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")).coalesce(tasks), "out")
     scratch.only("out")
     return out
 

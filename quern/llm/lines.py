@@ -131,8 +131,9 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
 
     found = links.candidates(narrow.mapInArrow(entries, links.PACKED), scratch)
     release_shuffles(spark)
+    tasks = links.tasks_of(found)
     places = links.facts(found, "doc_id", "line", "key")
-    firsts = scratch.stage(places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    firsts = scratch.stage(places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).coalesce(tasks), "firsts")
 
     # Texts of the candidates, each from its first place.
     keys = links.items(found).withColumnRenamed("id", "key")
@@ -150,7 +151,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
                         ts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ts, pa.binary())], ["id", "text"])
 
-    texts = scratch.stage(narrow.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "lines").mapInArrow(cut_out, "id long, text binary").dropDuplicates(["id"]), "texts")
+    texts = scratch.stage(narrow.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "lines").mapInArrow(cut_out, "id long, text binary").dropDuplicates(["id"]).coalesce(tasks), "texts")
     release_shuffles(spark)
     comps = links.link(found, texts, grams, NUM, DEN, scratch)
 
@@ -158,7 +159,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
     many = firsts.join(comps.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").select("key", "first", F.coalesce("component", "key").alias("c"))
     best = many.join(many.groupBy("c").agg(F.min("first").alias("best")), "c").select("key", "best")
     gone = places.join(best, "key").where("not (doc_id = best.doc_id and line = best.line)")
-    gone = scratch.stage(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "gone")
+    gone = scratch.stage(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("gone")).coalesce(tasks), "gone")
     scratch.only("gone")
     release_shuffles(spark)
 

@@ -34,6 +34,8 @@ SIGNED = 6
 BLOCK, COLUMNS = 1024, 2048
 #: Rows of a task that compares, and pairs of one item in a task.
 ROWS, PAIRS = 2_000, 250
+#: Candidates and facts of a task that writes what follows from them.
+PER_FILE = 50_000
 NO_ID = -(1 << 63)  # stands for a null among facts
 PACKED = "bucket int, fact boolean, payload binary"
 
@@ -126,6 +128,11 @@ def candidates(sent: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stage(sent.groupBy("bucket").applyInArrow(_groups, "kind int, bucket int, a long, b long, c long, payload binary"), "candidates")
 
 
+def tasks_of(found: DataFrame) -> int:
+    """Tasks, and so files, of a table that has a row for each candidate or fact at most."""
+    return max(1, -(-found.count() // PER_FILE))
+
+
 def facts(found: DataFrame, a: str, b: str, c: str) -> DataFrame:
     return found.where("kind = 3").select(F.col("a").alias(a), F.col("b").alias(b), F.col("c").alias(c))
 
@@ -167,19 +174,19 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def link(found: DataFrame, texts: DataFrame, prepare: Callable[[bytes], np.ndarray], num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, component) of all items that have a link. found: from ``candidates``; texts: (id, text) of its items; prepare: a text to its set."""
-    spark = found.sparkSession
+    spark, tasks = found.sparkSession, tasks_of(found)
     weights = found.where("kind = 2").select("bucket", F.col("a").alias("id"), F.sum("b").over(Window.partitionBy("a")).alias("w"))
     hubs = found.where("kind = 1").select("bucket", "payload").groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(_hubs, "g long, id long, w long")
-    members = scratch.stage(hubs.groupBy("g", "id").agg(F.max("w").alias("w")), "members")
+    members = scratch.stage(hubs.groupBy("g", "id").agg(F.max("w").alias("w")).coalesce(tasks), "members")
     first = members.groupBy("id").agg(F.max(F.struct("w", "g")).alias("m")).select(F.col("m.g").alias("a"), F.col("id").alias("b"))
-    tried = scratch.stage(first.unionByName(found.where("kind = 0").select("a", "b")).distinct(), "tried")
+    tried = scratch.stage(first.unionByName(found.where("kind = 0").select("a", "b")).distinct().coalesce(tasks), "tried")
     release_shuffles(spark)
-    edges = scratch.stage(compared(tried, texts, prepare, num, den), "links")
+    edges = scratch.stage(compared(tried, texts, prepare, num, den).coalesce(tasks), "links")
     scratch.drop("tried")
     release_shuffles(spark)
     comps = components(edges, scratch, "cc")
     scratch.drop("links")
-    more = scratch.stage(across(members, comps, texts, prepare, num, den, scratch), "across")
+    more = scratch.stage(across(members, comps, texts, prepare, num, den, scratch, tasks).coalesce(tasks), "across")
     scratch.drop("members", "clusters")
     release_shuffles(spark)
     if more.isEmpty():
@@ -256,12 +263,12 @@ def possible(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np
     return (m @ n.T) * (num + den) >= num * (sx[:, None] + sy[None, :])
 
 
-def across(members: DataFrame, comps: DataFrame, texts: DataFrame, prepare: Callable[[bytes], np.ndarray], num: int, den: int, scratch: Scratch) -> DataFrame:
+def across(members: DataFrame, comps: DataFrame, texts: DataFrame, prepare: Callable[[bytes], np.ndarray], num: int, den: int, scratch: Scratch, files: int) -> DataFrame:
     """Links (a, b) between components inside clusters (g: hub, id), as far as they join some."""
     c = comps.select("id", F.col("component").alias("c"))
     every = members.select("g", "id").unionByName(members.select("g", F.col("g").alias("id")).distinct()).join(c, "id", "left").withColumn("c", F.coalesce("c", "id"))
     homes = members.select("g").distinct().join(c.withColumnRenamed("id", "g"), "g", "left").select("g", F.coalesce("c", "g").alias("home"))
-    every = scratch.stage(every.join(homes, "g").withColumn("away", F.col("c") != F.col("home")), "clusters")
+    every = scratch.stage(every.join(homes, "g").withColumn("away", F.col("c") != F.col("home")).coalesce(files), "clusters")
     sizes = every.groupBy("g").agg(F.count_if("away").alias("r"), F.count_if(~F.col("away")).alias("l")).where("r > 0")
     sizes = sizes.select("g", F.ceil(F.col("r") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("l") / BLOCK).cast("int").alias("nl"))
     cut = every.join(sizes, "g").withColumn("block", F.when(F.col("away"), F.pmod(F.xxhash64("id"), "nr")).otherwise(F.col("nr") + F.pmod(F.xxhash64("id"), "nl")).cast("int"))

@@ -6,6 +6,7 @@ names in ``spark.checkpoint.dir`` (a folder of our own only where that is unset,
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -40,10 +41,13 @@ def remembered(cached):
 
 
 def alone(own=None) -> None:
-    """Lets the worker forget what operators other than the one of ``own`` have left in it."""
+    """Lets the worker forget, and give back, what operators other than the one of ``own`` have left in it."""
     for cached in _CACHES:
         if cached is not own:
             cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # else freed memory stays with the worker
+        libc.malloc_trim(0)
 
 
 class Scratch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import chunks, words
-from quern.llm.common import Scratch, mix64, release_shuffles, spread
+from quern.llm.common import Scratch, alone, mix64, release_shuffles, spread
 
 RUN, STEP, LANES = 4096, 32, 1024
 SCALE = 12.0  # steps of a log odds of 1 in the tables
@@ -401,6 +401,7 @@ def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         code = code_of(pairs)
         names = ["bucket", "chunk", "payload"]
+        alone()
         for batch in batches:
             for row in batch.to_pylist():
                 own = [(held_out(doc), text.lower()) for doc, text in chunks.texts_of(row)]

@@ -199,7 +199,7 @@ def quote_highlight(t):
     return df.select("doc_id", hit.alias("found"), F.when(hit, F.expr("left(text, s - 1)")).otherwise(F.col("text")).alias("before"), F.when(hit, F.expr("substr(text, s, length(q))")).alias("hit"))
 
 
-@query("WITH x AS (SELECT l_orderkey AS k, l_linenumber * 3 AS lo, l_linenumber * 3 + floor(l_quantity)::INT % 6 AS hi FROM lineitem), m AS (SELECT *, max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x), g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k, min(lo)::INT AS first_place, max(hi)::INT AS end_place FROM g GROUP BY k, island")
+@query("WITH x AS (SELECT DISTINCT l_orderkey AS k, l_linenumber * 3 AS lo, l_linenumber * 3 + floor(l_quantity)::INT % 6 AS hi FROM lineitem), m AS (SELECT *, max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x), g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k, min(lo)::INT AS first_place, max(hi)::INT AS end_place FROM g GROUP BY k, island")
 def interval_merge(t):
     """Touching and overlapping intervals are one."""
     x = t.lineitem.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 3).alias("lo"), (F.col("l_linenumber") * 3 + F.floor("l_quantity").cast("int") % 6).alias("hi"))

@@ -42,6 +42,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(sub(c, SPACE + "+", " "))
 
 
+def trimmed(c: Column) -> Column:
+    """No white space at the ends, line breaks and tabs included."""
+    return sub(c, f"^{SPACE}+|{SPACE}+$")
+
+
 def normalize_arabic(c: Column, composed: bool = False) -> Column:
     """Search form of a text; idempotent, '' for null. composed: the input is known to be in NFC."""
     c = F.coalesce(c, F.lit(""))
@@ -68,6 +73,15 @@ def quote_words(c: Column) -> Column:
     return squeeze(sub(F.lower(c), r"[^\p{L}\p{N}\s]", ""))
 
 
+def database_words(c: Column) -> Column:
+    """As ``quote_words``, but a space at either end stays: what the database's own expression compares."""
+    return sub(sub(F.lower(c), r"[^\p{L}\p{N}\s]"), r"\s+", " ")
+
+
+def iso_time(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of each word padded with two spaces before and one after."""
     padded = F.transform(F.filter(F.split(sub(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

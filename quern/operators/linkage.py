@@ -33,6 +33,15 @@ def candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
     return p.join(t, "s").groupBy("passage_id", "text_id").agg(F.sum(F.col("np") * F.col("nt")).alias("hits")).where(F.col("hits") >= MIN_HITS)
 
 
+def permitted(pairs: DataFrame, passages: DataFrame, texts: DataFrame, slices: DataFrame) -> DataFrame:
+    """Pairs whose text's edition is one that the passage's source may quote: passages (passage_id, source), texts (text_id, edition), slices (source, edition).
+
+    A collection is linked with its own edition, a commentary with those it comments on; a source that slices do not name with none.
+    """
+    own = pairs.join(passages.select("passage_id", "source"), "passage_id").join(texts.select("text_id", "edition"), "text_id")
+    return own.join(slices.distinct(), ["source", "edition"], "left_semi").select(pairs.columns)
+
+
 def verified(pairs: DataFrame, min_coverage: float = 0.60, min_run: int = 8, min_block: int = 4) -> DataFrame:
     """(passage_id, text_id, coverage, start, span, matched) of pairs (passage_id, text_id, passage, text) that pass.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import english as E
 from quern.functions import text as T
 from quern.functions import vector as V
 
@@ -48,17 +49,52 @@ def token_index(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(T.words(F.lower("text"))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lexical_arm(index: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
-    """(query_id, id, rank, score): rows that hold any token of a query (query_id, text).
+def lexical_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): rows that hold any token of a query (query_id, text).
 
     Cover density of an OR query: each matching place is a cover of its own and counts 0.1.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
-    hits = index.join(small(q), "token").groupBy("query_id", "id").agg((F.sum("n") * 0.1).alias("score"))
+    return index.join(small(q), "token").groupBy("query_id", "id").agg((F.sum("n") * 0.1).alias("score"))
+
+
+def lexical_arm(index: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
+    """(query_id, id, rank, score): the best of ``lexical_hits``."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return lexical_hits(index, queries).withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
+
+
+def english_arm(rows: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
+    """As ``lexical_arm`` with English stems and without stop words; cover density of an OR query: each place of a lexeme is a cover and counts 0.1."""
+    index = rows.select("id", F.explode(E.tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
+    asked = E.stemmed(queries.select("query_id", F.explode(F.array_distinct(E.tokens(F.col("text")))).alias("token"))).select("query_id", "lexeme").distinct()
+    # Words of the corpus that any query asks for, by stem; only their places are summed.
+    wanted = E.stemmed(index.select("token").distinct()).join(small(asked), "lexeme").select("token", "query_id")
+    hits = index.join(wanted, "token").groupBy("query_id", "id").agg((F.sum("n") * 0.1).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
 
 
+def answer_arm(hits: DataFrame, phrasings: DataFrame, answers: DataFrame, limit: int = 25) -> DataFrame:
+    """(query_id, answer_id, rank, score): of phrasings (id, answer_id) that hits (query_id, id, score) found, the best of each published answer (id, status)."""
+    from quern.operators.bank import published
+
+    live = phrasings.join(published(answers).select(F.col("id").alias("answer_id")), "answer_id", "left_semi")
+    best = hits.join(live, "id").groupBy("query_id", "answer_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "answer_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "answer_id", "rank", "score")
+
+
+def explained(vector: DataFrame, lexical: DataFrame, net: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, id, vec, lex, fused, candidate, rerank): where each arm put what it found, its place after fusion, and whether it was reranked."""
+    fused = fuse(vector, lexical)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    key = ["query_id", "id"]
+    df = fused.withColumn("fused", place).join(vector.select(*key, F.col("rank").alias("vec")), key, "left").join(lexical.select(*key, F.col("rank").alias("lex")), key, "left")
+    df = df.join(net.select(*key, F.lit(True).alias("candidate")), key, "left").join(scores.select(*key, F.col("score").alias("rerank")), key, "left")
+    return df.select(*key, "vec", "lex", "fused", F.coalesce("candidate", F.lit(False)).alias("candidate"), "rerank")
+
+
 def fuse(*arms: DataFrame) -> DataFrame:
     """(query_id, id, score): reciprocal rank fusion."""
     every = arms[0].select("query_id", "id", "rank")

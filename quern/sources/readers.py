@@ -120,3 +120,41 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def listed(path: str) -> list[dict]:
+    """The entries of a YAML or JSON list, a bounded file of settings read on the driver; a mapping's list under ``entries`` will do, too."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        got = json.loads(text)
+    except ValueError:
+        import yaml
+
+        got = yaml.safe_load(text)
+    return got.get("entries", []) if isinstance(got, dict) else list(got or [])
+
+
+def questions(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """(slug, question) of a list of questions; raises ValueError on an entry without either and on a repeated slug."""
+    seen: set[str] = set()
+    for r in rows:
+        if not r.get("slug") or not r.get("question"):
+            raise ValueError(f"entry without slug or question: {r!r}")
+        if r["slug"] in seen:
+            raise ValueError(f"repeated slug: {r['slug']}")
+        seen.add(r["slug"])
+    return spark.createDataFrame([(r["slug"], r["question"]) for r in rows], "slug string, question string")
+
+
+def cached_lines(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(key, model, embedding) of JSON lines {key, embedding}: torn lines are skipped, of a repeated key any one counts."""
+    rows = spark.read.schema("key string, embedding array<float>").option("mode", "DROPMALFORMED").json(path)
+    return rows.where("key is not null and embedding is not null").dropDuplicates(["key"]).select("key", F.lit(model).alias("model"), "embedding")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Appends to a stored log or cache; a job that fails leaves nothing behind."""
+    df.write.mode("append").parquet(path)

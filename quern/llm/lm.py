@@ -39,7 +39,7 @@ GATES, LEVELS = 4, 8
 PAD = 4
 END = b"\0"
 CHUNK = 8 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
-AT_ONCE = 1 << 19  # bytes of text whose symbols are numbered at once
+AT_ONCE = 1 << 18  # bytes of text whose symbols are numbered at once
 RANGES, WIDE = 5, 22  # of a table: 2**5 ranges at least, each of 2**22 slots at most
 RAW = 1 << 21  # slots of a chunk that are held before they are counted
 _SPACE = np.zeros(256, bool)
@@ -195,16 +195,20 @@ def looked_up(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int
     x = Symbols(texts)
     per = code.size[x.symbol]
     done = np.cumsum(per)
-    within = np.arange(int(done[-1]), dtype=np.int32) - np.repeat((done - per).astype(np.int32), per)
+    owner = np.repeat(np.arange(len(per), dtype=np.int32), per)  # the symbol of each decision; taking by it is cheaper than repeating again
+    within = np.arange(len(owner), dtype=np.int32) - (done - per).astype(np.int32).take(owner)
     got = np.empty((len(bits), len(within)), np.int8)
     for t, b in enumerate(bits):
         number, first = x.numbers(t)
         values = tables[t][x.slots(t, first, code, b)[1]]
         size = code.size[x.symbol[first]]
-        got[t] = values[np.repeat((np.cumsum(size) - size).astype(np.int32)[number], per) + within]
-    bit = code.bit[np.repeat(code.start[x.symbol], per) + within]
+        at = (np.cumsum(size) - size).astype(np.int32)[number].take(owner)
+        at += within
+        values.take(at, out=got[t], mode="clip")  # all are places of values: clip saves a copy
+    at = code.start[x.symbol].take(owner)
+    at += within
     count = np.diff(np.concatenate(([0], done[np.cumsum(x.sizes) - 1])))
-    return count, bit, got, np.repeat(x.gate, per)
+    return count, code.bit.take(at), got, x.gate.take(owner)
 
 
 _POWERS: list[np.ndarray] = []
@@ -274,8 +278,8 @@ def lengths(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int,
             for j, (_, b, x, g) in enumerate(some):
                 bit[j, : len(b)], gate[j, : len(b)], s[:, j, : len(b)] = b, g, x
             cost = mixed(s.transpose(0, 2, 1), bit.T, gate.T, 1 / SCALE)
-            live = np.arange(n)[:, None] < np.array([len(r[1]) for r in some])[None, :]
-            np.add.at(out, [r[0] for r in some], np.where(live, cost, 0).sum(0, dtype=np.float64))
+            for (i, b, _, _), own in zip(some, cost.T):
+                out[i] += own[: len(b)].sum(dtype=np.float64)
         runs = []
 
     def take() -> None:
@@ -383,15 +387,19 @@ class Sparse:
         self.slots, self.values = slots.astype(kind), values
         self.mask = kind((1 << min(23, len(slots).bit_length() + 2)) - 1)
         self.at = np.zeros(int(self.mask) + 1, np.int32)
-        self.at[self.slots & self.mask] = np.arange(len(slots), dtype=np.int32)
+        low, own = self.slots & self.mask, np.arange(len(slots), dtype=np.int32)
+        self.at[low] = own
+        self.rest = np.flatnonzero(self.at[low] != own)  # slots whose place another one has
+        self.others = self.slots[self.rest]
 
     def __getitem__(self, slots: np.ndarray) -> np.ndarray:
         at = self.at[slots & self.mask]
         other = np.flatnonzero(self.slots[at] != slots)  # slots that share the low bits
         if len(other):
-            at[other] = np.minimum(np.searchsorted(self.slots, slots[other]), len(self.slots) - 1)
-            if (self.slots[at[other]] != slots[other]).any():
+            found = np.searchsorted(self.others, slots[other])
+            if not len(self.rest) or (self.others[np.minimum(found, len(self.others) - 1)] != slots[other]).any():
                 raise ValueError("a slot without a reply")
+            at[other] = self.rest[found]
         return self.values[at]
 
 

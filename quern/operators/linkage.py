@@ -16,21 +16,31 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 
 SHINGLE, STRIDE, MIN_HITS = 8, 3, 2
+MAX_SHINGLES = 200_000  # of passages that are broadcast, 28 bytes each
 
 
 def shingles(words: Column, stride: int = 1) -> Column:
+    """Hashes of the 8-word runs at each stride, 96 bits of two independent functions: no strings are built or exchanged."""
+
     def of(w: Column) -> Column:
         at = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(w, i, SHINGLE)).alias("a"), F.hash(F.slice(w, i, SHINGLE)).alias("b")))
 
     return T.let(words, of)
 
 
 def candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(passage_id, text_id, hits): hits counts places, as both sides' repeated shingles do."""
-    p = passages.select("passage_id", F.explode(shingles(T.words(F.lower("text")), STRIDE)).alias("s")).groupBy("passage_id", "s").agg(F.count(F.lit(1)).alias("np"))
-    t = texts.select("text_id", F.explode(shingles(T.words(F.lower("text")))).alias("s")).groupBy("text_id", "s").agg(F.count(F.lit(1)).alias("nt"))
-    return p.join(t, "s").groupBy("passage_id", "text_id").agg(F.sum(F.col("np") * F.col("nt")).alias("hits")).where(F.col("hits") >= MIN_HITS)
+    """(passage_id, text_id, hits): hits counts places, as both sides' repeated shingles do.
+
+    Where the passages' shingles are few they are broadcast, and only places that hit one are exchanged; else places are counted by text first.
+    """
+    p = passages.select("passage_id", F.explode(shingles(T.words(F.lower("text")), STRIDE)).alias("s")).groupBy("passage_id", "s.a", "s.b").agg(F.count(F.lit(1)).alias("np"))
+    t = texts.select("text_id", F.explode(shingles(T.words(F.lower("text")))).alias("s")).select("text_id", "s.a", "s.b")
+    if p.limit(MAX_SHINGLES + 1).count() <= MAX_SHINGLES:
+        hits = t.join(F.broadcast(p), ["a", "b"]).withColumn("n", F.col("np"))
+    else:
+        hits = p.join(t.groupBy("text_id", "a", "b").agg(F.count(F.lit(1)).alias("nt")), ["a", "b"]).withColumn("n", F.col("np") * F.col("nt"))
+    return hits.groupBy("passage_id", "text_id").agg(F.sum("n").alias("hits")).where(F.col("hits") >= MIN_HITS)
 
 
 def permitted(pairs: DataFrame, passages: DataFrame, texts: DataFrame, slices: DataFrame) -> DataFrame:

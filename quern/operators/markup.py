@@ -2,11 +2,14 @@
 
 ``line_kinds`` classifies lines with regular expressions; ``blocks`` parses a work in three window passes over its lines
 (paragraph islands, breadcrumbs, backward page fill), so a work is never gathered into one object; ``pack``
-folds blocks into chunks of a token budget, which is no window function and runs as a fold in SQL.
+folds blocks into chunks of a token budget, which is no window function and runs over sorted partitions in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def line_kinds(df: DataFrame) -> DataFrame:
     """kind and content of each line, the first rule that applies winning."""
     c = F.col("raw")
     noise = c.rlike(NOISE_LINE)
-    clean = F.when(noise, "").otherwise(T.sub(c, INLINE_NOISE, " "))
+    clean = F.when(noise, "").otherwise(T.sub(c, "(?U)" + INLINE_NOISE, " "))
     blank, was_blank = F.trim(F.col("clean")) == "", F.trim(c) == ""
     df = df.withColumn("clean", clean)
     k = F.col("clean")
@@ -89,7 +92,7 @@ def blocks(df: DataFrame, depths: int = 6) -> DataFrame:
     for d in range(1, depths + 1):
         at = F.last(F.when(F.col("depth") <= d, F.struct("line", "depth", title.alias("title"))), ignorenulls=True).over(upto)
         crumbs.append(F.when((at["depth"] == d), at["title"]))
-    df = df.withColumn("heading", F.concat_ws(" > ", *crumbs)).drop("_h")
+    df = df.withColumn("heading", F.concat_ws(" › ", *crumbs)).drop("_h")
     # Paragraph text, then pieces between inline marks.
     paras = df.groupBy("work", "para").agg(
         F.min("line").alias("line"), F.first("heading").alias("heading"), F.max(F.when(F.col("kind").isin("page", "heading"), F.col("clean"))).alias("mark"), F.max((F.col("kind") == "heading").cast("int")).alias("is_heading"),
@@ -110,24 +113,33 @@ def blocks(df: DataFrame, depths: int = 6) -> DataFrame:
 
 
 def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
-    """df (work, block, heading, cost) with chunk: in order, a new one where the heading changes or the budget would be passed.
+    """(work, block, run, part) of df (work, block, heading, cost): in order, a new part where the budget would be passed, a new run where the heading changes.
 
-    The budget's running sum starts anew at each flush, so it is a fold over the costs of one heading's run, not a window
-    function; runs, not whole works, are gathered.
+    The budget's running sum starts anew at each flush, so it is no window function: partitions sorted by (work, block) are folded in
+    Arrow batches with the state of one block, whatever the length of a work. A null cost counts nothing.
     """
-    order = Window.partitionBy("work").orderBy("block")
-    new = F.coalesce(F.lag("heading").over(order) != F.col("heading"), F.lit(True))
-    df = df.withColumn("_run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy("work", "_run").agg(F.sort_array(F.collect_list(F.struct("block", "cost"))).alias("xs"))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("k"), F.array().cast("array<struct<block:int,k:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (s["sum"] > 0) & (s["sum"] + x["cost"] > target)
-        k = F.when(over, s["k"] + 1).otherwise(s["k"])
-        total = F.when(over, x["cost"].cast("long")).otherwise(s["sum"] + x["cost"])
-        return F.struct(total.alias("sum"), k.alias("k"), F.concat(s["out"], F.array(F.struct(x["block"].alias("block"), k.alias("k")))).alias("out"))
-
-    return runs.select("work", "_run", F.explode(F.aggregate("xs", zero, step)["out"]).alias("o")).select("work", F.col("o.block").alias("block"), F.col("_run").alias("run"), F.col("o.k").alias("part"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work = heading = None
+        run = part = total = 0
+        started = False
+        for f in frames:
+            runs, parts = [], []
+            for w, h, c in zip(f["work"], f["heading"], f["cost"].fillna(0).astype(int)):
+                if not started or w != work:
+                    work, heading, run, part, total, started = w, h, 1, 0, 0, True
+                elif h != heading:
+                    heading, run, part, total = h, run + 1, 0, 0
+                if total > 0 and total + c > target:
+                    part, total = part + 1, 0
+                total += c
+                runs.append(run)
+                parts.append(part)
+            yield pd.DataFrame({"work": f["work"], "block": f["block"], "run": runs, "part": parts})
+
+    kinds = {x.name: x.dataType.simpleString() for x in df.schema}
+    rows = df.select("work", "block", F.coalesce("heading", F.lit("")).alias("heading"), "cost").repartition("work").sortWithinPartitions("work", "block")
+    return rows.mapInPandas(fold, f"work {kinds['work']}, block {kinds['block']}, run long, part int")
 
 
 def split_oversize(c: Column, cost: Column) -> Column:

@@ -79,10 +79,10 @@ def joined_phrasings(t):
     return t.conversations.groupBy("conv_id").agg(F.expr("listagg(text, ' ') within group (order by turn)").alias("joined"), rows().alias("turns"))
 
 
-@query("WITH k AS (SELECT lower(substring(text, 1, 12)) AS phrasing, source FROM documents) SELECT phrasing, count(DISTINCT source) AS answers, string_agg(DISTINCT source, ', ' ORDER BY source) AS slugs FROM k GROUP BY phrasing HAVING count(DISTINCT source) > 1")
+@query("WITH k AS (SELECT unnest(string_split(lower(text), chr(10))) AS phrasing, source FROM documents) SELECT phrasing, count(DISTINCT source) AS answers, string_agg(DISTINCT source, ', ' ORDER BY source) AS slugs FROM k WHERE phrasing <> '' GROUP BY phrasing HAVING count(DISTINCT source) > 1")
 def shared_phrasing(t):
-    """A8."""
-    k = t.documents.select(F.lower(F.substring("text", 1, 12)).alias("phrasing"), "source").distinct()
+    """Lines that several sources have."""
+    k = t.documents.select(F.explode(F.split(F.lower("text"), "\n")).alias("phrasing"), "source").where("phrasing <> ''").distinct()
     return k.groupBy("phrasing").agg(rows().alias("answers"), F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("slugs")).where("answers > 1")
 
 
@@ -120,10 +120,10 @@ def citation_counts(t):
     return t.orders.select("o_orderkey").join(c, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("citations"))
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name, c_name, n_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, p_name, c_name, n_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def hydrate(t):
     """Ids to rows over three parents."""
-    df = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     df = df.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
     df = df.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     df = df.join(t.customer.select("c_custkey", "c_name", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
@@ -182,14 +182,13 @@ def backfill_refs(t):
     return tables.backfill(df, facts, "c_nationkey", "c_name", F.col("c_acctbal") < 0).select("c_custkey", "c_name")
 
 
-@query("WITH f AS (SELECT source, doc_id FROM documents WHERE n_chars < 200 UNION ALL SELECT lang, doc_id FROM documents WHERE n_chars > 4000), c AS (SELECT source AS kind, count(*) AS n FROM f GROUP BY ALL) SELECT kind, n, doc_id FROM f JOIN c ON source = kind QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 25")
+@query("WITH f AS (SELECT source, doc_id FROM documents WHERE n_chars < 200 UNION ALL SELECT lang, doc_id FROM documents WHERE n_chars > 4000), c AS (SELECT source AS kind, count(*) AS n, count(DISTINCT doc_id) AS answers FROM f GROUP BY ALL) SELECT kind, n, answers, doc_id FROM f JOIN c ON source = kind QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 25")
 def findings_by_kind(t):
-    """Counts of findings with the first 25 of each kind."""
+    """Counts of findings and of the answers they affect, with the first 25 of each kind; only these are ranked after a group limit."""
     d = t.documents
     f = d.where("n_chars < 200").select(F.col("source").alias("kind"), "doc_id").unionByName(d.where("n_chars > 4000").select(F.col("lang").alias("kind"), "doc_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("kind"))
-    r = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))
-    return f.select("kind", n.alias("n"), "doc_id", r.alias("r")).where("r <= 25").drop("r")
+    first = f.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))).where("r <= 25").drop("r")
+    return first.join(f.groupBy("kind").agg(rows().alias("n"), F.countDistinct("doc_id").alias("answers")), "kind").select("kind", "n", "answers", "doc_id")
 
 
 @query(r"WITH x AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z@#~%$^&*_|\\]*[@#~%$^&*_|\\][A-Za-z@#~%$^&*_|\\]*')) AS tok FROM documents), y AS (SELECT lower(tok) AS token, doc_id, source FROM x WHERE length(tok) >= 2) SELECT token, count(*) AS n, count(DISTINCT source) AS books, min(doc_id) AS first_seen FROM y GROUP BY token ORDER BY n DESC, token LIMIT 20")
@@ -218,14 +217,21 @@ def page_spans(t):
 
 @query("SELECT event_type, p, list_sort(list(value))[(floor((count(*) - 1) * p) + 1)::INT] AS q FROM events, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) ps(p) GROUP BY event_type, p")
 def quantile_lower_index(t):
-    """The value at floor((n - 1) * p), found by rank so that no group is gathered into a list."""
+    """The value at floor((n - 1) * p): found by counts of whole numbers first, so only values that share one with the wanted place are ranked."""
     ps = t.spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "p double")
-    n = t.events.groupBy("event_type").agg(rows().alias("n")).crossJoin(F.broadcast(ps)).select("event_type", "p", (F.floor((F.col("n") - 1) * F.col("p")) + 1).alias("want"))
-    # Equal values are counted first: what is ranked is the distinct values of a type.
-    v = t.events.groupBy("event_type", "value").agg(rows().alias("k"))
-    upto = v.withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    j = upto.join(F.broadcast(n), "event_type").where((F.col("want") <= F.col("upto")) & (F.col("want") > F.col("upto") - F.col("k")))
-    return j.select("event_type", "p", F.col("value").alias("q"))
+    e = t.events.select("event_type", "value", F.floor("value").alias("whole"))
+    per = e.groupBy("event_type", "whole").agg(rows().alias("k"))
+    n = per.groupBy("event_type").agg(F.sum("k").alias("n")).crossJoin(F.broadcast(ps)).select("event_type", "p", (F.floor((F.col("n") - 1) * F.col("p")) + 1).alias("want"))
+
+    def found(counts, keys, order, wants):
+        """The row of counts that each wanted place falls in, and the place within it."""
+        c = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+        hit = c.join(wants, keys).where((F.col("want") <= F.col("upto")) & (F.col("want") > F.col("upto") - F.col("k")))
+        return hit.withColumn("want", F.col("want") - F.col("upto") + F.col("k"))
+
+    at = found(per, ["event_type"], "whole", n).select("event_type", "whole", "p", "want")
+    near = e.join(at.select("event_type", "whole").distinct(), ["event_type", "whole"], "left_semi").groupBy("event_type", "whole", "value").agg(rows().alias("k"))
+    return found(near, ["event_type", "whole"], "value", at).select("event_type", "p", F.col("value").alias("q"))
 
 
 @query("(SELECT o_orderkey, 1 AS pinned FROM orders WHERE o_orderkey % 97 = 0) UNION ALL (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 97 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)")
@@ -236,11 +242,12 @@ def conversation_list(t):
     return o.where("o_orderkey % 97 = 0").select("o_orderkey", F.lit(1).alias("pinned")).unionByName(newest.select("o_orderkey", F.lit(0).alias("pinned")))
 
 
-@query("SELECT text, min(doc_id) AS first_id, row_number() OVER (ORDER BY min(doc_id)) AS ordinal FROM (SELECT substring(text, 1, 3) AS text, doc_id FROM documents) GROUP BY text")
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents) SELECT doc_id, line, min(place)::INT AS first_place, row_number() OVER (PARTITION BY doc_id ORDER BY min(place))::INT AS ordinal FROM l GROUP BY doc_id, line")
 def dedupe_first_seen(t):
-    """Order-preserving dedupe with ordinals; the global rank sees one row for each distinct value."""
-    d = t.documents.groupBy(F.substring("text", 1, 3).alias("text")).agg(F.min("doc_id").alias("first_id"))
-    return d.withColumn("ordinal", F.row_number().over(Window.orderBy("first_id")))
+    """Order-preserving dedupe within each answer (here a text's lines), with ordinals."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    d = lines.groupBy("doc_id", "line").agg(F.min("place").alias("first_place"))
+    return d.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_place")))
 
 
 @query("SELECT l_orderkey, min_by(l_partkey, (p, l_linenumber, l_partkey)) AS part, min(p) AS owner FROM (SELECT *, l_linenumber % 3 AS p FROM lineitem) GROUP BY l_orderkey")

@@ -103,7 +103,7 @@ def quote_check(t):
     """Section 2.11: chunk gone, quote mismatch, the check of quotes before a commit; every quote against each twentieth text."""
     b = t.benchmark.select("item_id", F.col("text").alias("quote"))
     b = b.unionByName(b.select((F.col("item_id") + 1000).alias("item_id"), F.lit("").alias("quote"))).unionByName(b.select((F.col("item_id") + 2000).alias("item_id"), F.upper("quote").alias("quote")))
-    asked = t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("chunk_id")).crossJoin(retrieval.small(b))  # a stated set of quotes
+    asked = retrieval.against(t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("chunk_id")), b)  # a stated set of quotes
     return bank.checked_quotes(asked, t.documents.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))).select("item_id", "chunk_id", "verdict")
 
 

@@ -80,12 +80,12 @@ def chunk_packing(t):
     return p.groupBy("work", "part").agg(F.count(F.lit(1)).alias("blocks"), F.sum("cost").alias("cost"))
 
 
-@query(r"SELECT doc_id, len(CASE WHEN cost <= 900 THEN [text] ELSE string_split(regexp_replace(text, '([.!:])\s+', '\1' || chr(1), 'g'), chr(1)) END)::INT AS pieces FROM (SELECT doc_id, text, trunc(0.25::DOUBLE * length(text))::INT + 1 AS cost FROM documents) WHERE cost <= 900 OR len(string_split(regexp_replace(text, '([.!:])\s+', '\1' || chr(1), 'g'), chr(1))) > 1")
+@query(r"SELECT doc_id, len(CASE WHEN cost <= 900 THEN [text] WHEN len(string_split(regexp_replace(text, '([.!:])\s+', '\1' || chr(1), 'g'), chr(1))) > 1 THEN string_split(regexp_replace(text, '([.!:])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE range(0, len(string_split_regex(text, '\s+')), 382)::VARCHAR[] END)::INT AS pieces FROM (SELECT doc_id, text, trunc(0.25::DOUBLE * length(text))::INT + 1 AS cost FROM documents)")
 def oversize_split(t):
-    """W9, A.4: only paragraphs beyond the limit are cut (those of one sentence are tested apart)."""
+    """W9, A.4: only paragraphs beyond the limit are cut, those of one sentence into runs of words."""
     cost = T.estimate_tokens(F.col("text"))
     pieces = markup.split_oversize(F.col("text"), cost)
-    return t.documents.where((cost <= markup.OVERSIZE) | (F.size(T.sentences(F.col("text"))) > 1)).select("doc_id", F.size(pieces).alias("pieces"))
+    return t.documents.select("doc_id", F.size(pieces).alias("pieces"))
 
 
 WORK = """#META# title :: A Book

@@ -35,7 +35,7 @@ def knn_per_kind(t):
 def knn_top1(t):
     """The nearest other vector of each twentieth one."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    d = t.embeddings.crossJoin(retrieval.small(q)).where("vec_id <> query_id")  # a stated query set against all rows
+    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id")  # a stated query set against all rows
     d = d.select("query_id", "vec_id", "label", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
     best = d.groupBy("query_id").agg(F.min(F.struct("dist", "vec_id", "label")).alias("b"))
     return best.select("query_id", F.col("b.vec_id").alias("id"), F.col("b.label").alias("label"), F.round("b.dist", 6).alias("dist"))
@@ -45,7 +45,7 @@ def knn_top1(t):
 def knn_label_accuracy(t):
     """J23 with labels as the truth."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"), F.col("embedding").alias("vector"))
-    d = t.embeddings.crossJoin(retrieval.small(q)).where("vec_id <> query_id").select("query_id", "want", "vec_id", "label", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
+    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id").select("query_id", "want", "vec_id", "label", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
     best = d.groupBy("query_id", "want").agg(F.min_by("label", F.struct("dist", "vec_id")).alias("got"))
     return best.groupBy(F.col("want").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("want") == F.col("got")).alias("right_"))
 
@@ -53,7 +53,7 @@ def knn_label_accuracy(t):
 @query(f"WITH d AS (SELECT a.vec_id AS query_id, b.label AS answer_id, b.vec_id, list_cosine_distance(a.{_E}, b.{_E}) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT query_id, answer_id, arg_min(vec_id, (dist, vec_id)) AS phrasing, round(min(dist), 6) AS dist FROM d GROUP BY ALL")
 def best_phrasing_per_answer(t):
     """A6."""
-    d = t.embeddings.crossJoin(retrieval.small(_probes(t))).where("vec_id <> query_id").select("query_id", F.col("label").alias("answer_id"), "vec_id", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
+    d = retrieval.against(t.embeddings, _probes(t)).where("vec_id <> query_id").select("query_id", F.col("label").alias("answer_id"), "vec_id", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
     best = d.groupBy("query_id", "answer_id").agg(F.min(F.struct("dist", "vec_id")).alias("b"))
     return best.select("query_id", "answer_id", F.col("b.vec_id").alias("phrasing"), F.round("b.dist", 6).alias("dist"))
 
@@ -143,7 +143,7 @@ _MATCH = f"WITH q AS (SELECT vec_id AS query_id, {_E} AS v, label FROM embedding
 
 def _ranked(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    d = t.embeddings.crossJoin(retrieval.small(q)).where("vec_id <> query_id").select("query_id", F.col("label").cast("long").alias("answer_id"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
+    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id").select("query_id", F.col("label").cast("long").alias("answer_id"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
     best = d.groupBy("query_id", "answer_id").agg(F.round(1 - F.min("dist"), 6).alias("score"), F.min("dist").alias("dist"))
     return best.withColumn("nearest", F.round(F.min("dist").over(Window.partitionBy("query_id")), 6)).drop("dist")
 

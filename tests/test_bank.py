@@ -139,3 +139,10 @@ def test_old_tables_conform(spark):
     assert schemas.conform(spark.createDataFrame([(1, "s", "q", "b", None)], schemas.VERSIONS["answers"][0]), "answers").first().status == "draft"
     with pytest.raises(ValueError):
         schemas.conform(spark.createDataFrame([(1,)], "x int"), "answers")
+
+
+def test_against_in_blocks(spark):
+    rows, few = spark.range(7), spark.range(50).select(F.col("id").alias("q"))
+    for block in (50, 20, 3):
+        got = retrieval.against(rows, few, block)
+        assert got.count() == 350 == got.distinct().count()

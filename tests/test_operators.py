@@ -13,11 +13,11 @@ def test_parser_page_fill_and_breadcrumbs(spark):
     got = [(r.heading, r.text, r.volume, r.page) for r in markup.blocks(markup.line_kinds(markup.body(markup.lines(works)))).orderBy("block").collect()]
     assert got == [
         ("First", "one one two", 1, 1),
-        ("First > Inner", "three", 1, 2),
-        ("First > Inner", "four five", 2, 10),  # a rule line does not end a paragraph
-        ("First > Inner", "six", 2, 10),
-        ("First > Inner", "seven", 2, 10),
-        ("First > Inner", "entry", 2, 10),
+        ("First › Inner", "three", 1, 2),
+        ("First › Inner", "four five", 2, 10),  # a rule line does not end a paragraph
+        ("First › Inner", "six", 2, 10),
+        ("First › Inner", "seven", 2, 10),
+        ("First › Inner", "entry", 2, 10),
         ("Second", "last", 2, None),
     ]
 

@@ -12,9 +12,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Rows of new whose keys old lacks, the first of each key in the order given."""
+    """Rows of new whose keys old lacks, the first of each key in the order given; columns for the order alone are dropped."""
     once = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-    return old.unionByName(once.join(old.select(*keys), keys, "left_anti"))
+    return old.unionByName(once.join(old.select(*keys), keys, "left_anti").select(old.columns))
 
 
 def replace_parts(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
@@ -51,6 +51,15 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return sums.select(F.explode(F.create_map(*[x for k in rules for x in (F.lit(k), F.col(k))])).alias("rule", "n"))
 
 
+def difference(stored: DataFrame, produced: DataFrame) -> DataFrame:
+    """(stored, produced, extra, lacking), one row: counts of rows, of stored ones not produced and of produced ones not stored; repeated rows each count."""
+    key = F.xxhash64(*stored.columns), F.hash(*stored.columns)
+    side = lambda df, name: df.select(stored.columns).groupBy(key[0].alias("a"), key[1].alias("b")).agg(F.count(F.lit(1)).alias(name))
+    both = side(stored, "s").join(side(produced, "p"), ["a", "b"], "full").select(F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("p", F.lit(0)).alias("p"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return both.agg(total("s", "stored"), total("p", "produced"), total(F.greatest(F.col("s") - F.col("p"), F.lit(0)), "extra"), total(F.greatest(F.col("p") - F.col("s"), F.lit(0)), "lacking"))
+
+
 def changed_sets(old: DataFrame, new: DataFrame, key: str, member: str) -> DataFrame:
     """(key, added, removed) of keys whose sets of members differ."""
     a = old.groupBy(key).agg(F.collect_set(member).alias("a"))

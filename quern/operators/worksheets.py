@@ -58,25 +58,43 @@ def uncited(answer: Column, cited: Column) -> Column:
     return (F.length(F.trim(answer)) > 400) & (F.size(cited) == 0)
 
 
-_INLINE = re.compile(r"\*\*(?P<bold>[^*]+)\*\*|\*(?P<italic>[^*]+)\*|`(?P<code>[^`]+)`|\[(?P<cite>\d+)\]")
+# The inline marks. Emphasis may run over a line break but not over a blank line; bold may hold asterisks.
+_LINE = r"\n(?!\s*\n)"
+_INLINE = re.compile(rf"\*\*(?P<strong>(?:[^\n]|{_LINE})+?)\*\*(?!\*)|\*(?P<em>(?:[^*\n]|\*\*|{_LINE})+?)\*(?!\*)|`(?P<code>[^`]+?)`|\[(?P<cite>\d{{1,3}})\]")
+_ARABIC = re.compile("[\u0600-\u06FF\u0750-\u077F\uFB50-\uFDFF\uFE70-\uFEFF]")
+ARABIC_BLOCK_CHARS, INLINE_DEPTH = 60, 2
 
 
 def inline_nodes(df: DataFrame) -> DataFrame:
-    """(id, place, kind, text) of df (id, text): text, bold, italic, code and cite nodes in order; joined, they give back all characters but the marks."""
+    """(id, path, kind, text, block) of df (id, text): the nodes in order of their paths, two levels of emphasis deep.
+
+    path: places from the outermost node inwards, so ``[2, 0]`` is the first node in the third. kind: text, code, arabic (code in Arabic script; block
+    if it is long) and cite hold text; strong and em hold nodes. Joined, the texts give back all characters but the marks. Null and empty text: none.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for i, text in zip(f["id"], f["text"]):
-                at, n = 0, 0
-                for m in _INLINE.finditer(text or ""):
-                    if m.start() > at:
-                        out.append((i, n, "text", text[at : m.start()]))
-                        n += 1
-                    out.append((i, n, m.lastgroup, m[m.lastgroup]))
-                    n, at = n + 1, m.end()
-                if text and at < len(text):
-                    out.append((i, n, "text", text[at:]))
-            yield pd.DataFrame(out, columns=["id", "place", "kind", "text"])
-
-    return df.select("id", "text").mapInPandas(run, "id long, place int, kind string, text string")
+            out: list[tuple] = []
+            for i, whole in zip(f["id"], f["text"]):
+                todo: list[tuple[list[int], str]] = [([], whole or "")]
+                while todo:
+                    path, text = todo.pop()
+                    at, n = 0, 0
+                    for m in _INLINE.finditer(text) if len(path) <= INLINE_DEPTH else ():
+                        if m.start() > at:
+                            out.append((i, [*path, n], "text", text[at : m.start()], False))
+                            n += 1
+                        kind, inner = m.lastgroup, m[m.lastgroup]
+                        if kind in ("strong", "em"):
+                            out.append((i, [*path, n], kind, None, False))
+                            todo.append(([*path, n], inner))
+                        else:
+                            arabic = kind == "code" and bool(_ARABIC.search(inner))
+                            out.append((i, [*path, n], "arabic" if arabic else kind, inner, arabic and len(inner) > ARABIC_BLOCK_CHARS))
+                        n, at = n + 1, m.end()
+                    if at < len(text):
+                        out.append((i, [*path, n], "text", text[at:], False))
+            yield pd.DataFrame(out, columns=["id", "path", "kind", "text", "block"])
+
+    kind = df.schema["id"].dataType.simpleString()
+    return df.select("id", "text").mapInPandas(run, f"id {kind}, path array<int>, kind string, text string, block boolean")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import matching, retrieval, tables
 from quern.plans.base import Registry
+from quern.sources import readers
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -368,3 +369,66 @@ def latest_of_session(t):
     w = Window.partitionBy("user_id")
     x = matching.best_by(t.events.withColumn("first_value", F.first("value").over(w.orderBy("ts", "event_id"))), ["user_id"], [F.desc("ts"), F.desc("event_id")])
     return x.select("event_id", "value", "first_value")
+
+
+@query("WITH n AS (SELECT o_custkey AS id, o_orderpriority AS name FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT id, name FROM n WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def insert_missing(t):
+    """D3: on conflict nothing is done; of new rows with one key the first stays."""
+    old = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("name"), "o_orderdate", "o_orderkey")
+    return tables.insert_missing(old, new, ["id"], ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT a.p_size AS surah, a.p_partkey AS ayah, a.p_name AS text, coalesce(b.p_type, '') AS english FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey AND b.p_size % 3 <> 0")
+def verse_pairs(t):
+    """Verses with their translation, the empty string where there is none."""
+    arabic = t.part.select(F.col("p_size").alias("surah"), F.col("p_partkey").alias("ayah"), F.col("p_name").alias("text"))
+    english = t.part.where("p_size % 3 <> 0").select(F.col("p_size").alias("surah"), F.col("p_partkey").alias("ayah"), F.col("p_type").alias("text"))
+    return readers.with_translation(arabic, english)
+
+
+@query("SELECT * FROM (VALUES ('same', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), 0, 0), ('changed', (SELECT count(*) FROM part), (SELECT count(*) FROM part WHERE p_size > 3), (SELECT count(*) FROM part WHERE p_size <= 3), 0)) v(part, stored, produced, extra, lacking)")
+def stored_equals_produced(t):
+    """Rows stored and produced, and how many of each the other lacks."""
+    same = tables.difference(t.nation, t.nation).select(F.lit("same").alias("part"), "*")
+    return same.unionByName(tables.difference(t.part, t.part.where("p_size > 3")).select(F.lit("changed").alias("part"), "*"))
+
+
+@query("SELECT o_orderkey, count(p_partkey) AS shown, count(*) FILTER (WHERE l_orderkey IS NOT NULL AND p_partkey IS NULL) AS orphans FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 GROUP BY o_orderkey")
+def orphan_counts(t):
+    """Citations shown by the inner join, and those that it hides."""
+    c = t.lineitem.select("l_orderkey", "l_partkey").join(t.part.where("p_size > 10").select("p_partkey"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    n = c.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("p_partkey").alias("shown"), F.count_if(F.col("p_partkey").isNull()).alias("orphans"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t.orders.select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", zero("shown"), zero("orphans"))
+
+
+_UUID = "'^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$'"
+_ID = "CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE left(md5(o_orderkey::VARCHAR), 8) || '-' || substring(md5(o_orderkey::VARCHAR), 9, 4) || '-' || substring(md5(o_orderkey::VARCHAR), 13, 4) || '-' || substring(md5(o_orderkey::VARCHAR), 17, 4) || '-' || substring(md5(o_orderkey::VARCHAR), 21, 12) END"
+
+
+@query(f"SELECT o_orderkey, regexp_matches({_ID}, {_UUID}) AS is_id, starts_with(lower(o_orderpriority), '1') AND regexp_matches(o_custkey::VARCHAR, '^[0-9]+$') AS listed FROM orders")
+def id_shapes(t):
+    """The shape of an id; a prefix in any case with digits alone."""
+    h = F.md5(F.col("o_orderkey").cast("string"))
+    cut = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    own = F.when(F.col("o_orderkey") % 3 == 0, h).otherwise(cut)
+    listed = F.lower("o_orderpriority").startswith("1") & F.col("o_custkey").cast("string").rlike("^[0-9]+$")
+    return t.orders.select("o_orderkey", own.rlike(_UUID.strip("'")).alias("is_id"), listed.alias("listed"))
+
+
+@query("SELECT l_orderkey AS book, arg_min(l_suppkey, l_linenumber) FILTER (WHERE l_suppkey % 3 <> 0) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey) AS r FROM lineitem) WHERE r = 1 GROUP BY l_orderkey")
+def first_volume(t):
+    """The first volume in order that is not null."""
+    volume = F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey"))
+    once = matching.best_by(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_partkey"])
+    x = once.select(F.col("l_orderkey").alias("book"), volume.alias("volume"), F.when(volume.isNotNull(), F.col("l_linenumber")).alias("at"))
+    return x.groupBy("book").agg(F.min_by("volume", "at").alias("volume"))
+
+
+@query("SELECT c_custkey, force FROM customer, (VALUES (true), (false)) f(force) WHERE c_nationkey <> 3 AND (force OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))")
+def still_to_draft(t):
+    """published ones are always left out, drafted ones unless forced."""
+    todo = t.customer.where("c_nationkey <> 3").select("c_custkey")
+    drafted = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return todo.withColumn("force", F.lit(True)).unionByName(todo.join(drafted, "c_custkey", "left_anti").withColumn("force", F.lit(False)))

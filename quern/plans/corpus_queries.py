@@ -181,9 +181,18 @@ def grounding(t):
     return df.select("id", F.array_join(worksheets.unverified(F.col("answer"), F.col("cited")), "|").alias("unverified"), worksheets.uncited(F.col("answer"), F.col("cited")).alias("uncited"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations")
+_TURN = "WITH t AS (SELECT doc_id AS id, regexp_replace(text, '[*`\\[\\]]', '_', 'g') AS x FROM documents), l AS (SELECT id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1)::INT - 1 AS i FROM t WHERE x <> ''), k AS (SELECT id, i * 2 AS spot, line, i % 4 AS turn FROM l WHERE line <> '')"
+
+
+@query(_TURN + " SELECT id, spot, '' || spot AS path, CASE turn WHEN 0 THEN 'strong' WHEN 1 THEN 'em' WHEN 2 THEN 'code' ELSE 'text' END AS kind, CASE WHEN turn >= 2 THEN line END AS text FROM k UNION ALL SELECT id, spot, spot || '.0', 'text', line FROM k WHERE turn < 2 UNION ALL SELECT id, spot + 1, '' || (spot + 1), 'cite', '7' FROM k")
 def inline_markup(t):
-    """Plain turns are one text node each; the grammar is tested apart."""
-    df = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", r"[*`\[\]]", "_").alias("text"))
-    nodes = worksheets.inline_nodes(df).where("kind = 'text'")
-    return t.conversations.select("conv_id", "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id")).join(nodes.select("id"), "id").select("conv_id", "turn", "text")
+    """Every line of a text in another mark, each followed by a citation; nodes come back nested."""
+    lines = F.split(F.regexp_replace("text", r"[*`\[\]]", "_"), "\n")
+    df = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(lines).alias("i", "line")).where("line <> ''")
+    mark = F.element_at(F.array(F.lit("**"), F.lit("*"), F.lit("`"), F.lit("")), F.col("i") % 4 + 1)
+    # Lines are parsed one by one here, so that a place in the text can be told from the line's number.
+    one = df.select((F.col("id") * 1_000_000 + F.col("i")).alias("id"), F.concat(mark, "line", mark, F.lit("[7]")).alias("text"))
+    n = worksheets.inline_nodes(one)
+    at = F.col("id") % 1_000_000 * 2 + F.col("path")[0]
+    path = F.array_join(F.concat(F.array(at.cast("string")), F.transform(F.slice("path", 2, 3), lambda x: x.cast("string"))), ".")
+    return n.select(F.floor(F.col("id") / 1_000_000).alias("id"), at.cast("int").alias("spot"), path.alias("path"), "kind", "text")
\ No newline at end of file

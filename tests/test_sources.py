@@ -54,10 +54,18 @@ def test_worksheet_and_grounding(spark):
     assert a.select(worksheets.unverified(F.col("t"), F.col("c")).alias("u")).first().u == ["3:1", "Tirmidhi", "Sahih Muslim"]
 
 
-def test_inline_nodes_lose_nothing(spark):
-    df = spark.createDataFrame([(1, "a **b** *c* `d` [2] e"), (2, ""), (3, None)], "id long, text string")
-    got = [(r.kind, r.text) for r in worksheets.inline_nodes(df).orderBy("id", "place").collect()]
-    assert got == [("text", "a "), ("bold", "b"), ("text", " "), ("italic", "c"), ("text", " "), ("code", "d"), ("text", " "), ("cite", "2"), ("text", " e")]
+def test_inline_nodes(spark):
+    long = "ب" * 61
+    rows = [(1, "a **b** *c* `d` [2] e"), (2, ""), (3, None), (4, "**lead *in* `ا`**"), (5, "*two\nlines* *not\n\nthese*"), (6, "**ends *so***"), (7, f"`{long}` [1234]")]
+    got: dict[int, list] = {}
+    for r in worksheets.inline_nodes(spark.createDataFrame(rows, "id long, text string")).orderBy("id", "path").collect():
+        got.setdefault(r.id, []).append((r.path, r.kind, r.text))
+    assert [x[1:] for x in got[1]] == [("text", "a "), ("strong", None), ("text", "b"), ("text", " "), ("em", None), ("text", "c"), ("text", " "), ("code", "d"), ("text", " "), ("cite", "2"), ("text", " e")]
+    assert 2 not in got and 3 not in got
+    assert got[4] == [([0], "strong", None), ([0, 0], "text", "lead "), ([0, 1], "em", None), ([0, 1, 0], "text", "in"), ([0, 2], "text", " "), ([0, 3], "arabic", "ا")]
+    assert got[5] == [([0], "em", None), ([0, 0], "text", "two\nlines"), ([1], "text", " *not\n\nthese*")]
+    assert got[6] == [([0], "strong", None), ([0, 0], "text", "ends "), ([0, 1], "em", None), ([0, 1, 0], "text", "so")]
+    assert got[7] == [([0], "arabic", long), ([1], "text", " [1234]")]
 
 
 def test_daily_miss_rate(spark):

@@ -63,6 +63,8 @@ class Automaton:
         self.ends: list[list[tuple[int, int]]] = [list(x) for x in own]
         for s in sorted(range(1, len(self.len)), key=lambda s: -self.len[s]):
             self.ends[self.link[s]] += self.ends[s]
+        for ends in self.ends:
+            ends.sort()  # by template, then place: the first place after a chain's end is the nearest
 
     def _extend(self, last: int, w: bytes, own: list) -> int:
         nxt, link, length = self.next, self.link, self.len

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from quern.llm import forest, jaccard, licences, lines, lm, mixing, pieces, quality, repeats, tokens
+from quern.llm import forest, jaccard, kdmeans, licences, lines, lm, mixing, pieces, quality, repeats, spelling, tokens
 
 
 def pipeline(spark, sf_dir):
@@ -26,9 +26,11 @@ def queries() -> dict[str, Callable]:
         "op8_quality": quality.op8_quality,
         "op9_token_ids": tokens.op9_token_ids,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op12_centroids": kdmeans.op12_centroids,
+        "op13_spelling": spelling.op13_spelling,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": forest.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL}
+    return {"op4_embeddings": forest.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL, "op12_centroids": kdmeans.OP12_SQL, "op13_spelling": spelling.OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from quern.llm import forest, jaccard, kdmeans, licences, lines, lm, mixing, pieces, quality, repeats, spelling, tokens
+from quern.llm import forest, jaccard, kdmeans, language, licences, lines, lm, mixing, pieces, quality, repeats, spelling, tokens
 
 
 def pipeline(spark, sf_dir):
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable]:
         "op8_quality": quality.op8_quality,
         "op9_token_ids": tokens.op9_token_ids,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op11_language": language.op11_language,
         "op12_centroids": kdmeans.op12_centroids,
         "op13_spelling": spelling.op13_spelling,
         "pipeline": pipeline,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import english as E
 from quern.functions import text as T
-from quern.functions import vector as V
+from quern.operators import positions, vectors
 
 RRF_K = 60
 MAX_BROADCAST_ROWS = 10_000
@@ -42,47 +42,42 @@ def per_kind(limit: int) -> int:
     return max(8, (limit + 1) // 2)
 
 
-def vector_arm(rows: DataFrame, queries: DataFrame, limit: int = 40, cap: int | None = None) -> DataFrame:
+def vector_arm(rows: DataFrame, queries: DataFrame, limit: int = 40, cap: int | None = None, index: vectors.VectorIndex | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, id, rank, dist): nearest rows (id, kind, embedding) for each query (query_id, vector): at most ``cap`` of a kind, at most limit.
 
-    Zero vectors mean not embedded and are never near. Window group limits keep what is shuffled to the
-    best rows of each task.
+    Zero vectors mean not embedded and are never near. With a stored index only the cells that queries probe are read.
     """
-    d = V.cosine_distance(F.col("embedding"), F.col("vector"))
-    near = against(rows.where(~V.unembedded(F.col("embedding"))), queries).select("query_id", "id", "kind", d.alias("dist")).where("dist is not null")
-    kind_rank = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("dist", "id"))
-    kept = near.withColumn("k", kind_rank).where(F.col("k") <= (cap or per_kind(limit)))
+    k = cap or per_kind(limit)
+    kept = index.search(queries, k, probes) if index else vectors.nearest(rows, queries, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "dist")
 
 
-def token_index(rows: DataFrame) -> DataFrame:
-    """(token, id, n) of rows (id, text): the inverted index, with the number of places."""
-    return rows.select("id", F.explode(T.words(F.lower("text"))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
+def lexical_hits(source: DataFrame | positions.PositionIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): texts that hold any token of a query (query_id, text). source: rows (id, text), or their stored index.
 
-
-def lexical_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): rows that hold any token of a query (query_id, text).
-
-    Cover density of an OR query: each matching place is a cover of its own and counts 0.1.
+    Cover density of an OR query: each matching place is a cover of its own and counts 0.1. Only places of the queries' tokens are exchanged.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
-    return index.join(small(q), "token").groupBy("query_id", "id").agg((F.sum("n") * 0.1).alias("score"))
+    q = positions.any_of(queries).select("query_id", "token")
+    if isinstance(source, positions.PositionIndex):
+        return positions.matched(source, q)
+    places = source.select("id", F.explode(T.words(F.lower("text"))).alias("token")).join(small(q), "token")
+    return places.groupBy("query_id", "id").agg((F.count(F.lit(1)) * 0.1).alias("score"))
 
 
-def lexical_arm(index: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
+def lexical_arm(source: DataFrame | positions.PositionIndex, queries: DataFrame, limit: int = 40) -> DataFrame:
     """(query_id, id, rank, score): the best of ``lexical_hits``."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return lexical_hits(index, queries).withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
+    return lexical_hits(source, queries).withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
 
 
 def english_arm(rows: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
     """As ``lexical_arm`` with English stems and without stop words; cover density of an OR query: each place of a lexeme is a cover and counts 0.1."""
-    index = rows.select("id", F.explode(E.tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
+    places = rows.select("id", F.explode(E.tokens(F.col("text"))).alias("token"))
     asked = E.stemmed(queries.select("query_id", F.explode(F.array_distinct(E.tokens(F.col("text")))).alias("token"))).select("query_id", "lexeme").distinct()
-    # Words of the corpus that any query asks for, by stem; only their places are summed.
-    wanted = E.stemmed(index.select("token").distinct()).join(small(asked), "lexeme").select("token", "query_id")
-    hits = index.join(wanted, "token").groupBy("query_id", "id").agg((F.sum("n") * 0.1).alias("score"))
+    # Words of the corpus that any query asks for, by stem; only their places are exchanged.
+    wanted = E.stemmed(places.select("token").distinct()).join(small(asked), "lexeme").select("token", "query_id")
+    hits = places.join(small(wanted), "token").groupBy("query_id", "id").agg((F.count(F.lit(1)) * 0.1).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
 
@@ -142,11 +137,14 @@ def rerank(picks: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
     return picks.join(p, "id").join(q, "query_id").withColumn("rerank", F.round(T.jaccard(F.col("_q"), F.col("_p")), 6)).drop("_q", "_p")
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = 12, limit: int = 40) -> DataFrame:
-    """(query_id, place, id, kind, score, rerank): rows (id, kind, text, embedding), queries (query_id, text, vector)."""
+def search(rows: DataFrame, queries: DataFrame, top: int = 12, limit: int = 40, index: positions.PositionIndex | None = None, cells: vectors.VectorIndex | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, place, id, kind, score, rerank): rows (id, kind, text, embedding), queries (query_id, text, vector).
+
+    With the stored indexes of words and vectors each arm reads only what its queries touch.
+    """
     few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
     bounded = F.broadcast if few else lambda df: df  # at most FEW_QUERIES * 2 * limit rows of three numbers
-    fused = fuse(vector_arm(rows, queries, limit), lexical_arm(token_index(rows), queries, limit))
+    fused = fuse(vector_arm(rows, queries, limit, index=cells, probes=probes), lexical_arm(index or rows, queries, limit))
     kinds = rows.select("id", "kind")
     # The arms give at most 2 * limit rows a query: their ids select from the large side.
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

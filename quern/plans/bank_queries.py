@@ -26,7 +26,7 @@ def published_answers(t):
     """The best phrasing of each published answer; drafts are never served."""
     phrasings = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("answer_id"))
     answers = phrasings.select(F.col("answer_id").alias("id"), F.when(F.col("answer_id") % 3 == 0, bank.DRAFT).otherwise(bank.PUBLISHED).alias("status")).distinct()
-    hits = retrieval.lexical_hits(retrieval.token_index(search_queries._documents(t)), search_queries._questions(t))
+    hits = retrieval.lexical_hits(search_queries._documents(t), search_queries._questions(t))
     return retrieval.answer_arm(hits, phrasings, answers).withColumn("score", F.round("score", 6))
 
 
@@ -161,7 +161,7 @@ def match_explained(t):
     """Section 2.11: why a candidate was found, where each step put it."""
     rows, asked = search_queries._corpus(t), search_queries._asked(t)
     vector = retrieval.vector_arm(rows.where("embedding is not null"), asked)
-    lexical = retrieval.lexical_arm(retrieval.token_index(rows), asked)
+    lexical = retrieval.lexical_arm(rows, asked)
     net = matching.candidate_net(vector, retrieval.fuse(vector, lexical))
     scores = retrieval.rerank(net.select("query_id", "id"), rows.select("id", "text"), asked).select("query_id", "id", F.col("rerank").alias("score"))
     return retrieval.explained(vector, lexical, net, scores)

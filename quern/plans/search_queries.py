@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions import text as T
-from quern.functions import vector as V
-from quern.operators import matching, retrieval
+from quern.operators import matching, positions, retrieval, vectors
 from quern.plans.base import Registry
+from quern.sources.shared import folder
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -31,31 +30,33 @@ def knn_per_kind(t):
     return retrieval.vector_arm(_vectors(t), _probes(t)).withColumn("dist", F.round("dist", 6))
 
 
+@query(_KNN + "SELECT query_id, id, rank::INT AS rank, round(dist, 6) AS dist FROM r WHERE rank <= 40")
+def knn_indexed(t):
+    """The same answer from a stored index, exact by the bounds of codes and cells."""
+    index = vectors.build(_vectors(t), folder(t.spark, "vectors"))
+    return retrieval.vector_arm(None, _probes(t), index=index).withColumn("dist", F.round("dist", 6))
+
+
 @query(f"WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, list_cosine_distance(a.{_E}, b.{_E}) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, id, label, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) = 1")
 def knn_top1(t):
     """The nearest other vector of each twentieth one."""
-    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id")  # a stated query set against all rows
-    d = d.select("query_id", "vec_id", "label", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-    best = d.groupBy("query_id").agg(F.min(F.struct("dist", "vec_id", "label")).alias("b"))
-    return best.select("query_id", F.col("b.vec_id").alias("id"), F.col("b.label").alias("label"), F.round("b.dist", 6).alias("dist"))
+    best = vectors.nearest(_vectors(t), _probes(t), 1, others=True).groupBy("query_id").agg(F.min(F.struct("dist", "id", "kind")).alias("b"))
+    return best.select("query_id", "b.id", F.col("b.kind").alias("label"), F.round("b.dist", 6).alias("dist"))
 
 
 @query(f"WITH d AS (SELECT a.vec_id AS query_id, a.label AS want, b.label AS got, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.{_E}, b.{_E}), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT want AS label, count(*) AS n, count(*) FILTER (WHERE want = got) AS right_ FROM d WHERE r = 1 GROUP BY want")
 def knn_label_accuracy(t):
     """J23 with labels as the truth."""
-    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"), F.col("embedding").alias("vector"))
-    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id").select("query_id", "want", "vec_id", "label", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-    best = d.groupBy("query_id", "want").agg(F.min_by("label", F.struct("dist", "vec_id")).alias("got"))
-    return best.groupBy(F.col("want").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("want") == F.col("got")).alias("right_"))
+    best = vectors.nearest(_vectors(t), _probes(t), 1, others=True).groupBy("query_id").agg(F.min_by("kind", F.struct("dist", "id")).alias("got"))
+    want = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
+    return best.join(want, "query_id").groupBy(F.col("want").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("want") == F.col("got")).alias("right_"))
 
 
 @query(f"WITH d AS (SELECT a.vec_id AS query_id, b.label AS answer_id, b.vec_id, list_cosine_distance(a.{_E}, b.{_E}) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) SELECT query_id, answer_id, arg_min(vec_id, (dist, vec_id)) AS phrasing, round(min(dist), 6) AS dist FROM d GROUP BY ALL")
 def best_phrasing_per_answer(t):
     """A6."""
-    d = retrieval.against(t.embeddings, _probes(t)).where("vec_id <> query_id").select("query_id", F.col("label").alias("answer_id"), "vec_id", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-    best = d.groupBy("query_id", "answer_id").agg(F.min(F.struct("dist", "vec_id")).alias("b"))
-    return best.select("query_id", "answer_id", F.col("b.vec_id").alias("phrasing"), F.round("b.dist", 6).alias("dist"))
+    best = vectors.nearest(_vectors(t), _probes(t), 1, others=True)
+    return best.select("query_id", F.col("kind").alias("answer_id"), F.col("id").alias("phrasing"), F.round("dist", 6).alias("dist"))
 
 
 _W = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -73,7 +74,36 @@ def _documents(t):
 @query(_LEX + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM lr WHERE rank <= 40")
 def lexical_or_rank(t):
     """OR match, ranked by cover density; an empty question matches nothing."""
-    return retrieval.lexical_arm(retrieval.token_index(_documents(t)), _questions(t)).withColumn("score", F.round("score", 6))
+    return retrieval.lexical_arm(_documents(t), _questions(t)).withColumn("score", F.round("score", 6))
+
+
+@query(_LEX + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM lr WHERE rank <= 40")
+def lexical_indexed(t):
+    """The same from the stored index, of which only the questions' folders are read."""
+    index = positions.build(_documents(t), folder(t.spark, "postings"))
+    return retrieval.lexical_arm(index, _questions(t)).withColumn("score", F.round("score", 6))
+
+
+_COVER = (
+    f"WITH d AS (SELECT doc_id AS id, {_W.format('text')} AS w FROM documents), ix AS (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM d), b AS (SELECT item_id AS query_id, {_W.format('text')} AS w FROM benchmark WHERE item_id % 20 = 0), "
+    "q AS (SELECT query_id, w[2] AS a, w[3] AS b, w[1] AS c, w[6] AS d FROM b WHERE len(w) >= 6), n AS (SELECT DISTINCT query_id, id, p FROM q, ix WHERE token IN (a, b, c, d)), "
+    "o AS (SELECT q.query_id, x.id, x.p AS s, y.p AS e, 0 AS k FROM q JOIN ix x ON x.token = q.a JOIN ix y ON y.id = x.id AND y.p = x.p + 1 AND y.token = q.b UNION ALL SELECT q.query_id, id, p, p, 1 FROM q JOIN ix ON token = c OR token = d), "
+    "r AS (SELECT query_id, id, e, max(least(s0, s1)) AS begin_ FROM (SELECT query_id, id, e, max(CASE WHEN k = 0 THEN s END) OVER u AS s0, max(CASE WHEN k = 1 THEN s END) OVER u AS s1 FROM o WINDOW u AS (PARTITION BY query_id, id ORDER BY e RANGE UNBOUNDED PRECEDING)) WHERE s0 IS NOT NULL AND s1 IS NOT NULL GROUP BY ALL), "
+    "c AS (SELECT * FROM r QUALIFY lag(begin_) OVER (PARTITION BY query_id, id ORDER BY e) IS NULL OR begin_ > lag(begin_) OVER (PARTITION BY query_id, id ORDER BY e)), "
+    "m AS (SELECT c.query_id, c.id, c.begin_, c.e, count(*) AS n FROM c JOIN n ON n.query_id = c.query_id AND n.id = c.id AND n.p BETWEEN c.begin_ AND c.e GROUP BY ALL) "
+    "SELECT query_id, id, round(sum(0.1::DOUBLE / (1 + e - begin_ + 1 - n)), 6) AS score FROM m GROUP BY ALL"
+)
+
+
+@query(_COVER)
+def cover_density(t):
+    """A phrase of the question's second and third words and its first or sixth word, by minimal covers of the stored index."""
+    words = positions.default_tokens(F.col("text"))
+    q = _questions(t).select("query_id", words.alias("w")).where("size(w) >= 6")
+    some = lambda *at: q.select("query_id", F.concat_ws(" ", *[F.col("w")[i] for i in at]).alias("text"))
+    index = positions.build(_documents(t), folder(t.spark, "postings"))
+    terms = positions.both(positions.phrase(some(1, 2)), positions.any_of(some(0, 5)))
+    return positions.ranked(index, terms).withColumn("score", F.round("score", 6))
 
 
 _ARMS = _LEX + f", qv AS (SELECT vec_id AS query_id, {_E} AS v FROM embeddings WHERE vec_id IN (SELECT query_id FROM q)), vd AS (SELECT query_id, vec_id AS id, lang AS kind, list_cosine_distance({_E}, v) AS dist FROM embeddings JOIN documents ON doc_id = vec_id, qv), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY dist, id) AS k FROM vd), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM vk WHERE k <= 20), fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM vr WHERE rank <= 40 UNION ALL SELECT query_id, id, rank FROM lr WHERE rank <= 40) GROUP BY ALL)"
@@ -91,7 +121,7 @@ def _asked(t):
 def _fused(t):
     rows, asked = _corpus(t), _asked(t)
     v = retrieval.vector_arm(rows.where("embedding is not null"), asked)
-    return v, retrieval.fuse(v, retrieval.lexical_arm(retrieval.token_index(rows), asked))
+    return v, retrieval.fuse(v, retrieval.lexical_arm(rows, asked))
 
 
 @query(_ARMS + " SELECT query_id, id, score FROM fused")
@@ -142,9 +172,8 @@ _MATCH = f"WITH q AS (SELECT vec_id AS query_id, {_E} AS v, label FROM embedding
 
 
 def _ranked(t):
-    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    d = retrieval.against(t.embeddings, q).where("vec_id <> query_id").select("query_id", F.col("label").cast("long").alias("answer_id"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-    best = d.groupBy("query_id", "answer_id").agg(F.round(1 - F.min("dist"), 6).alias("score"), F.min("dist").alias("dist"))
+    best = vectors.nearest(_vectors(t), _probes(t), 1, others=True).select("query_id", F.col("kind").cast("long").alias("answer_id"), "dist")
+    best = best.withColumn("score", F.round(1 - F.col("dist"), 6))
     return best.withColumn("nearest", F.round(F.min("dist").over(Window.partitionBy("query_id")), 6)).drop("dist")
 
 
@@ -165,11 +194,9 @@ def eval_outcomes(t):
     return d.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH f(form) AS (VALUES ('phrasing'), ('question phrasing'), ('question phrasing body')), d AS (SELECT item_id, form, CASE form WHEN 'phrasing' THEN left(text, 40) WHEN 'question phrasing' THEN CASE WHEN left(text, 40) = left(text, 30) THEN left(text, 40) ELSE left(text, 30) || ' ' || left(text, 40) END ELSE left(text, 30) || ' ' || left(text, 40) || ' ' || regexp_replace(left(text, 200), '[#*\n]+', ' ', 'g') END AS doc FROM benchmark, f) SELECT form, count(*) AS n, round(avg(length(doc)), 6) AS mean_length, max(len(" + _TOK.format("doc") + "))::INT AS most_tokens FROM d GROUP BY form")
-def rerank_forms(t):
-    """Alternative texts of an answer for the reranker."""
-    forms = t.spark.createDataFrame([("phrasing",), ("question phrasing",), ("question phrasing body",)], "form string")
-    q, p = F.substring("text", 1, 30), F.substring("text", 1, 40)
-    doc = F.when(F.col("form") == "phrasing", p).when(F.col("form") == "question phrasing", F.when(p == q, p).otherwise(F.concat_ws(" ", q, p))).otherwise(F.concat_ws(" ", q, p, T.sub(F.substring("text", 1, 200), "[#*\n]+", " ")))
-    d = t.benchmark.crossJoin(F.broadcast(forms)).withColumn("doc", doc)  # three forms
-    return d.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("doc")), 6).alias("mean_length"), F.max(F.size(T.stub_tokens(F.col("doc")))).alias("most_tokens"))
+@query(_HYBRID + " SELECT query_id, place::INT AS place, id, kind, score, rerank FROM " + _sql_balance("p", 12, "CASE WHEN 12 >= 13 THEN floor_ ELSE greatest(1, floor(floor_ * 12 / 13.0 + 0.5)) END", "query_id, id, kind, score, rerank, pos"))
+def hybrid_indexed(t):
+    """Section 3.1 from the stored indexes of words and vectors."""
+    rows = _corpus(t)
+    index, cells = positions.build(rows, folder(t.spark, "postings")), vectors.build(rows.where("embedding is not null"), folder(t.spark, "vectors"))
+    return retrieval.search(rows, _asked(t), index=index, cells=cells)

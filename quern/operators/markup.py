@@ -1,15 +1,17 @@
 """From marked-up works to page-cited chunks.
 
-``line_kinds`` classifies lines with regular expressions; ``blocks`` parses a work in three window passes over its lines
-(paragraph islands, breadcrumbs, backward page fill), so a work is never gathered into one object; ``pack``
-folds blocks into chunks of a token budget, which is no window function and runs over sorted partitions in Arrow batches.
+``line_kinds`` classifies lines with regular expressions. ``blocks`` parses works in two folds over sorted partitions, with one exchange: forward through the
+lines with the stack of titles and the open paragraph, then backward through the blocks with the next page mark. ``classical_chunks`` packs blocks into chunks of a token
+budget in a third fold, which carries heading, pages and cost. Each fold goes on over the edges of its Arrow batches and holds one paragraph or one chunk, whatever the length of a work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ INLINE_NOISE = (
     r"%~%|\bms\d+\b|@Q[BE]@|_{4,}|^\|+|Page(?:End)?V\d*[A-Za-z]\w*P\w+|Page(?:End)?V\d+P\w*[A-Za-z]\w*"
     r"|<[^<>\n]{1,300}>|@[A-Za-z]{2,12}@"
 )
+# Runs of letters and marks that the parser should have consumed in a text of another script, and characters of a sample.
+SUSPECT, CONTEXT = r"[A-Za-z@#~%$^&*_|\\]{2,}", 90
 META = r"^#META#\s*(.+?)\s*::\s*(.*)$"
 META_END = "#META#Header#End#"
 ABSENT = ("NODATA", "NOTGIVEN", "NOCODE", "")
@@ -58,7 +62,7 @@ def line_kinds(df: DataFrame) -> DataFrame:
     c = F.col("raw")
     noise = c.rlike(NOISE_LINE)
     clean = F.when(noise, "").otherwise(T.sub(c, "(?U)" + INLINE_NOISE, " "))
-    blank, was_blank = F.trim(F.col("clean")) == "", F.trim(c) == ""
+    blank, was_blank = ~F.col("clean").rlike(r"(?U)\S"), ~c.rlike(r"(?U)\S")
     df = df.withColumn("clean", clean)
     k = F.col("clean")
     kind = (
@@ -73,43 +77,119 @@ def line_kinds(df: DataFrame) -> DataFrame:
     return df.withColumn("content", content).withColumn("depth", F.when(F.col("kind") == "heading", F.length(F.regexp_extract(k, HEADING, 1))))
 
 
-def blocks(df: DataFrame, depths: int = 6) -> DataFrame:
-    """(work, block, heading, text, volume, page) of classified lines.
+SEPARATOR = " › "
+_PAGE = re.compile(PAGE)
+
+
+def folded(df: DataFrame, order: list[Column], step: Callable, schema: pa.Schema, types: str) -> DataFrame:
+    """What step yields over the rows of each work in order: step(state, row) gives (state, rows); state and row are None before and after a work.
+
+    df's partitions hold works whole. State goes on over the edges of batches.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, work, started = None, None, False
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                if started and row["work"] != work:
+                    out += ({"work": work} | r for r in step(state, None)[1])
+                    state = None
+                work, started = row["work"], True
+                state, made = step(state, row)
+                out += ({"work": work} | r for r in made)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if started:
+            yield pa.RecordBatch.from_pylist([{"work": work} | r for r in step(state, None)[1]], schema)
+
+    return df.sortWithinPartitions("work", *order).mapInArrow(run, types)
+
+
+def _lines_step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]:
+    """Titles in force, lines of the open paragraph, the last volume, the number of pieces so far; gives blocks, which have no page yet, and marks in document order."""
+    s = state or {"crumbs": [], "open": [], "volume": None, "n": 0}
+    out: list[dict] = []
+
+    def piece(**values) -> None:
+        s["n"] += 1
+        out.append({"n": s["n"], "heading": None, "text": None, "volume": None, "page": None} | values)
+
+    def marks(text: str) -> None:
+        for volume, page in _PAGE.findall(text):
+            if int(volume) or int(page):  # (0, 0) stands for text without pages
+                s["volume"] = int(volume)
+                piece(volume=s["volume"], page=int(page))
+
+    def close() -> None:
+        body, s["open"] = " ".join(t for t in map(str.strip, s["open"]) if t), []
+        at = 0
+        for m in [*_PAGE.finditer(body), None]:
+            if text := body[at : m.start() if m else None].strip():
+                piece(heading=SEPARATOR.join(s["crumbs"]), text=text, volume=s["volume"])
+            if m:
+                marks(m.group())
+                at = m.end()
+
+    kind = row["kind"] if row else "blank"
+    if kind not in ("more", "text"):
+        close()
+    if kind == "page":
+        marks(row["clean"])
+    elif kind == "heading":
+        marks(row["content"])
+        title = _PAGE.sub(" ", row["content"]).strip().strip("|").strip()
+        s["crumbs"] = s["crumbs"][: row["depth"] - 1] + ([title] if title else [])  # no padding for depths that are skipped
+    elif kind != "blank":
+        s["open"].append(row["content"])
+    return s, out
+
+
+def _pages_step(mark: tuple[int, int] | None, row: dict | None) -> tuple[tuple[int, int] | None, list[dict]]:
+    """Backward: a block takes the mark that follows it; what follows the last mark keeps the volume it has, and no page."""
+    if row is None:
+        return None, []
+    if row["page"] is not None:
+        return (row["volume"], row["page"]), []
+    own = {c: row[c] for c in ("n", "heading", "text", "volume")}
+    return mark, [own | dict(zip(("volume", "page"), mark or (row["volume"], None)))]
+
+
+def blocks(df: DataFrame, together: bool = False) -> DataFrame:
+    """(work, block, heading, text, volume, page) of classified lines; block numbers rise in document order.
 
     A block takes the next real page mark in document order, standing alone, inside a line or in a heading; text after the
-    last mark has the last volume and no page. (0, 0) ends a piece of text but numbers nothing.
+    last mark has the last volume and no page. (0, 0) ends a piece of text but numbers nothing. together: partitions hold works whole already.
     """
-    order = Window.partitionBy("work").orderBy("line")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    df = df.where("kind <> 'skip'")
-    # Paragraphs: a boundary opens a new island.
-    opens = F.col("kind").isin("page", "entry", "heading", "blank", "start")
-    df = df.withColumn("para", F.sum(opens.cast("int")).over(upto))
-    # Breadcrumbs: the last title at each depth since the last heading above it; no padding for skipped depths.
-    title = F.nullif(F.trim(T.sub(T.sub(F.col("content"), PAGE, " "), r"^[|\s]+|[|\s]+$")), F.lit(""))
-    df = df.withColumn("_h", F.when(F.col("kind") == "heading", F.struct("line", "depth", title.alias("title"))))
-    crumbs = []
-    for d in range(1, depths + 1):
-        at = F.last(F.when(F.col("depth") <= d, F.struct("line", "depth", title.alias("title"))), ignorenulls=True).over(upto)
-        crumbs.append(F.when((at["depth"] == d), at["title"]))
-    df = df.withColumn("heading", F.concat_ws(" › ", *crumbs)).drop("_h")
-    # Paragraph text, then pieces between inline marks.
-    paras = df.groupBy("work", "para").agg(
-        F.min("line").alias("line"), F.first("heading").alias("heading"), F.max(F.when(F.col("kind").isin("page", "heading"), F.col("clean"))).alias("mark"), F.max((F.col("kind") == "heading").cast("int")).alias("is_heading"),
-        F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.when(~F.col("kind").isin("page", "heading", "blank"), F.struct("line", F.trim("content").alias("t"))))), lambda x: x["t"]), lambda t: t != ""), " ").alias("text"),
-    )
-    # A paragraph that a page mark or heading opens starts with that mark.
-    whole = F.concat_ws(" ", F.array_join(F.regexp_extract_all(F.coalesce("mark", F.lit("")), F.lit(PAGE), F.lit(0)), " "), "text")
-    cut = paras.select("work", "para", "heading", F.posexplode(F.split(whole, f"(?={PAGE})|(?<=P\\d{{1,9}})(?!\\d)")).alias("i", "piece"))
-    piece = F.trim("piece")
-    v, p = F.regexp_extract(piece, PAGE, 1).cast("int"), F.regexp_extract(piece, PAGE, 2).cast("int")
-    is_mark = piece.rlike(f"^{PAGE}$")
-    seq = Window.partitionBy("work").orderBy("para", "i")
-    cut = cut.withColumn("at", F.when(is_mark & ~((v == 0) & (p == 0)), F.struct(v.alias("volume"), p.alias("page"))))
-    nxt = F.first("at", ignorenulls=True).over(seq.rowsBetween(0, Window.unboundedFollowing))
-    last = F.last("at", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, 0))
-    cut = cut.withColumn("nxt", nxt).withColumn("last", last).where(~is_mark & (piece != ""))
-    return cut.select("work", F.row_number().over(seq).alias("block"), "heading", piece.alias("text"), F.coalesce("nxt.volume", "last.volume").alias("volume"), F.col("nxt.page").alias("page"))
+    kind = df.schema["work"].dataType.simpleString()
+    rows = df.where("kind <> 'skip'").select("work", "line", "kind", "clean", "content", "depth")
+    arrow = pa.schema([("work", _arrow(df, "work")), ("n", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("volume", pa.int32()), ("page", pa.int32())])
+    types = f"work {kind}, n int, heading string, text string, volume int, page int"
+    pieces = folded(rows if together else rows.repartition("work"), ["line"], _lines_step, arrow, types)
+    return folded(pieces, [F.desc("n")], _pages_step, arrow, types).withColumnRenamed("n", "block")
+
+
+def parse(df: DataFrame) -> DataFrame:
+    """``blocks`` of lines (work, line, raw), header included: one exchange."""
+    return blocks(line_kinds(body(df.repartition("work"))), together=True)
+
+
+def audit(df: DataFrame, show: int = 15, worst: int = 5) -> DataFrame:
+    """(part, name, n, work, sample) of blocks: how many suspect runs there are and how many differ, the most frequent with the first place of each, the works that have most, and the blocks with and without a page."""
+    runs = df.select("work", "block", "text", F.explode(F.regexp_extract_all("text", F.lit(SUSPECT), F.lit(0))).alias("run")).withColumn("name", F.lower("run"))
+    found = runs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("work", "block", F.substring("text", 1, CONTEXT).alias("sample"))).alias("at"))
+    none, words = F.lit(None).cast(df.schema["work"].dataType), F.lit(None).cast("string")
+    top = found.orderBy(F.desc("n"), "name").limit(show).select(F.lit("artifact").alias("part"), "name", "n", F.col("at.work").alias("work"), F.col("at.sample").alias("sample"))
+    works = runs.groupBy("work").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "work").limit(worst).select(F.lit("work").alias("part"), words.alias("name"), "n", "work", words.alias("sample"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("artifacts"), F.count(F.lit(1)).alias("distinct"))
+    pages = df.agg(F.count(F.lit(1)).alias("blocks"), F.count("page").alias("paged"))
+    line = lambda t, *names: t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names])).alias("x")).select(F.lit("total").alias("part"), "x.name", "x.n", none.alias("work"), words.alias("sample"))
+    return top.unionByName(works).unionByName(line(total, "artifacts", "distinct")).unionByName(line(pages, "blocks", "paged"))
+
+
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
@@ -142,6 +222,63 @@ def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
     return rows.mapInPandas(fold, f"work {kinds['work']}, block {kinds['block']}, run long, part int")
 
 
+def classical_chunks(df: DataFrame, titles: DataFrame, target: int = TARGET, together: bool = True) -> DataFrame:
+    """(work, ordinal, ref, volume, heading, content, embed_text, token_count) of blocks (work, block, heading, text, volume, page) and titles (work, title).
+
+    A chunk never spans headings; oversize blocks are cut and packed again with their page. Its reference names the first volume and the span of
+    pages, or the title alone where no page reached it. together: df comes from ``blocks``, whose partitions hold works whole.
+    """
+    from quern.operators import prose
+
+    def step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]:
+        s = state or {"n": 0, "texts": [], "cost": 0, "heading": "", "pages": [], "volume": None}
+        out: list[dict] = []
+
+        def close() -> None:
+            if s["texts"]:
+                low, high = (min(s["pages"]), max(s["pages"])) if s["pages"] and s["volume"] is not None else (None, None)
+                out.append({"ordinal": s["n"], "heading": s["heading"], "body": "\n\n".join(s["texts"]), "volume": s["volume"] if low is not None else None, "low": low, "high": high})
+                s.update(n=s["n"] + 1, texts=[], cost=0, pages=[], volume=None)
+
+        if row is None or (s["texts"] and row["heading"] != s["heading"]):
+            close()
+        for text in prose.pieces(row["text"].strip()) if row and row["text"].strip() else ():
+            cost = prose.cost(text)
+            if s["cost"] + cost > target:
+                close()
+            if not s["texts"]:
+                s["heading"] = row["heading"]
+            s["texts"].append(text)
+            s["cost"] += cost
+            s["pages"] += [row["page"]] if row["page"] is not None else []
+            s["volume"] = row["volume"] if s["volume"] is None else s["volume"]
+        return s, out
+
+    kind = df.schema["work"].dataType.simpleString()
+    arrow = pa.schema([("work", _arrow(df, "work")), ("ordinal", pa.int32()), ("heading", pa.string()), ("body", pa.string()), ("volume", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+    types = f"work {kind}, ordinal int, heading string, body string, volume int, low int, high int"
+    rows = df.select("work", "block", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("text", F.lit("")).alias("text"), "volume", "page")
+    made = folded(rows if together else rows.repartition("work"), ["block"], step, arrow, types).join(titles, "work")
+    span = F.concat(F.lit(" "), F.col("volume").cast("string"), F.lit(":"), F.col("low").cast("string"), F.when(F.col("low") != F.col("high"), F.concat(F.lit("-"), F.col("high").cast("string"))).otherwise(""))
+    ref = F.concat("title", F.coalesce(span, F.lit("")))
+    none = F.lit(None).cast("string")
+    parts = prose.assembled(ref, F.when(F.col("heading") != "", F.concat(F.lit(" — "), "heading")), none, F.col("body"), none)
+    return made.select("work", "ordinal", ref.alias("ref"), "volume", "heading", *[c.alias(n) for n, c in parts.items()]).withColumn("token_count", T.estimate_tokens(F.col("content")))
+
+
+def volume_ref(title: Column, volume: Column) -> Column:
+    """Name of the document that a volume of a work is; volume 0 is a work of one unnumbered volume, which is not a work without pages."""
+    return F.when(volume.isNull(), F.concat(title, F.lit(" (unpaginated)"))).when(volume == 0, title).otherwise(F.concat(title, F.lit(" vol. "), volume.cast("string")))
+
+
+def volumes(chunks: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(work, volume, ref, ordinal, chunks) of each volume's document, unpaginated text last; and the names of a work that several documents would share, which refuse it."""
+    own = chunks.groupBy("work", "volume").agg(F.count(F.lit(1)).alias("chunks")).join(titles, "work").withColumn("ref", volume_ref(F.col("title"), F.col("volume")))
+    order = Window.partitionBy("work").orderBy(F.col("volume").isNull(), "volume")
+    clash = own.groupBy("ref").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
+    return own.select("work", "volume", "ref", (F.row_number().over(order) - 1).alias("ordinal"), "chunks"), clash
+
+
 def split_oversize(c: Column, cost: Column) -> Column:
     """Pieces of a paragraph whose cost passes the limit: sentences, or runs of words where there is one sentence; others stay whole."""
     s = T.sentences(c)

@@ -192,11 +192,11 @@ def findings_by_kind(t):
     return first.join(f.groupBy("kind").agg(rows().alias("n"), F.countDistinct("doc_id").alias("answers")), "kind").select("kind", "n", "answers", "doc_id")
 
 
-@query(r"WITH x AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z@#~%$^&*_|\\]*[@#~%$^&*_|\\][A-Za-z@#~%$^&*_|\\]*')) AS tok FROM documents), y AS (SELECT lower(tok) AS token, doc_id, source FROM x WHERE length(tok) >= 2) SELECT token, count(*) AS n, count(DISTINCT source) AS books, min(doc_id) AS first_seen FROM y GROUP BY token ORDER BY n DESC, token LIMIT 20")
+@query(r"WITH x AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z@#~%$^&*_|\\]{2,}')) AS tok FROM documents), y AS (SELECT lower(tok) AS token, doc_id, source FROM x) SELECT token, count(*) AS n, count(DISTINCT source) AS books, min(doc_id) AS first_seen FROM y GROUP BY token ORDER BY n DESC, token LIMIT 20")
 def markup_audit_top(t):
-    """Suspect marks, most frequent first."""
-    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z@#~%$^&*_|\\]*[@#~%$^&*_|\\][A-Za-z@#~%$^&*_|\\]*"), F.lit(0))
-    x = t.documents.select("doc_id", "source", F.explode(found).alias("tok")).where(F.length("tok") >= 2)
+    """Suspect runs of whole texts, most frequent first."""
+    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z@#~%$^&*_|\\]{2,}"), F.lit(0))
+    x = t.documents.select("doc_id", "source", F.explode(found).alias("tok"))
     per = x.groupBy(F.lower("tok").alias("token"), "source").agg(rows().alias("k"), F.min("doc_id").alias("d"))
     return per.groupBy("token").agg(F.sum("k").alias("n"), rows().alias("books"), F.min("d").alias("first_seen")).orderBy(F.desc("n"), "token").limit(20)
 

@@ -35,15 +35,6 @@ def linkage_verified(t):
     return linkage.resolved(linkage.verified(pairs))
 
 
-_LINES = "WITH l AS (SELECT page_id AS work, unnest(string_split(html, chr(10))) AS raw, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS line FROM pages)"
-
-
-@query(_LINES + r" SELECT work, line::INT AS line, CASE WHEN regexp_matches(raw, '^#####+\s*$|^\s*[_\-=~]{4,}\s*$') THEN 'skip' WHEN trim(c) = '' AND trim(raw) <> '' THEN 'skip' WHEN trim(c) = '' THEN 'blank' WHEN regexp_matches(c, '^~~') THEN 'more' WHEN regexp_matches(c, '^#\s+') THEN 'start' ELSE 'text' END AS kind FROM (SELECT work, line, raw, regexp_replace(raw, '<[^<>\n]{1,300}>|_{4,}|^\|+', ' ', 'g') AS c FROM l)")
-def line_classes(t):
-    """Lines of web pages, which hold no page marks or headings of the grammar."""
-    return markup.line_kinds(markup.lines(t.pages.select(F.col("page_id").alias("work"), F.col("html").alias("text")))).select("work", "line", "kind")
-
-
 _DOCL = "WITH l AS (SELECT doc_id AS work, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"
 
 
@@ -88,38 +79,6 @@ def oversize_split(t):
     return t.documents.select("doc_id", F.size(pieces).alias("pieces"))
 
 
-WORK = """#META# title :: A Book
-#META# author :: NODATA
-#META#Header#End#
-### | First
-# one one
-~~two
-PageV01P001
-### || Inner
-three PageV01P002 four
-=====
-five
-
-# six PageV00P000 seven
-### $ entry
-PageV02P010
-### | Second PageV02P011
-last"""
-
-
-@query()
-def parsed_work(t):
-    """The parser on a small work; expected rows are in the tests."""
-    works = t.spark.createDataFrame([(1, WORK)], "work long, text string")
-    return markup.blocks(markup.line_kinds(markup.body(markup.lines(works))))
-
-
-@query("SELECT 1::BIGINT AS work, 'title' AS key, 'A Book' AS value")
-def meta_header(t):
-    """Marks for absent values are dropped."""
-    return markup.meta(markup.lines(t.spark.createDataFrame([(1, WORK)], "work long, text string")))
-
-
 @query("SELECT page_id, (ceil(page_id / 25.0) * 25)::BIGINT AS bucket, ext, 'v' || lpad((ceil(page_id / 25.0) * 25)::INT::VARCHAR, 4, '0') || '/' || page_id || ext AS candidate FROM pages, (VALUES ('.a'), ('.b'), ('.c')) e(ext)")
 def candidate_urls(t):
     """Every identifier with every spelling of its address."""

@@ -8,9 +8,9 @@ FLAGSHIP = "hybrid_search"
 
 
 def modules() -> list:
-    from quern.plans import analytics_queries, bank_queries, corpus_queries, search_queries, text_queries
+    from quern.plans import analytics_queries, bank_queries, corpus_queries, markup_queries, search_queries, text_queries
 
-    return [search_queries, text_queries, analytics_queries, corpus_queries, bank_queries]
+    return [search_queries, text_queries, analytics_queries, corpus_queries, bank_queries, markup_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -1,25 +1,73 @@
 """Operators that the tables of the queries can't show: the parser, linkage, searches, tables, text functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, linkage, markup, matching, retrieval, tables
 
 
-def test_parser_page_fill_and_breadcrumbs(spark):
-    from quern.plans.corpus_queries import WORK
-
-    works = spark.createDataFrame([(1, WORK)], "work long, text string")
-    got = [(r.heading, r.text, r.volume, r.page) for r in markup.blocks(markup.line_kinds(markup.body(markup.lines(works)))).orderBy("block").collect()]
-    assert got == [
-        ("First", "one one two", 1, 1),
-        ("First › Inner", "three", 1, 2),
-        ("First › Inner", "four five", 2, 10),  # a rule line does not end a paragraph
-        ("First › Inner", "six", 2, 10),
-        ("First › Inner", "seven", 2, 10),
-        ("First › Inner", "entry", 2, 10),
-        ("Second", "last", 2, None),
-    ]
+HEAD = "#META# 010.AuthorNAME\t:: A\n#META# 020.BookTITLE\t:: B\n#META# 020.BookTITLESUB\t:: NODATA\n#META#Header#End#\n"
+# (work, blocks as (heading, text, volume, page)): every kind of line and of page mark, and depths that are skipped.
+WORKS = [
+    ("### | First\n# one one\n~~two\nPageV01P001\n### || Inner\nthree PageV01P002 four\n=====\nfive\n\n# six PageV00P000 seven\n### $ entry\nPageV02P010\n### | Second PageV02P011\nlast", [
+        ("First", "one one two", 1, 1), ("First › Inner", "three", 1, 2), ("First › Inner", "four five", 2, 10), ("First › Inner", "six", 2, 10), ("First › Inner", "seven", 2, 10), ("First › Inner", "entry", 2, 10), ("Second", "last", 2, None),
+    ]),
+    ("### | One\n### |||| Deep\n### ||| Mid\ntext\n### || Up\nmore", [("One › Deep › Mid", "text", None, None), ("One › Up", "more", None, None)]),
+    ("### ||| First at three\na\n\n### || Then two\nb\n### |||||||| Eight\nc\n### ||\nd", [("First at three", "a", None, None), ("First at three › Then two", "b", None, None), ("First at three › Then two › Eight", "c", None, None), ("First at three", "d", None, None)]),
+    ("a\nb\n\nc PageEndV01P408 d\nPageV01P409\ntail", [("", "a b", 1, 408), ("", "c", 1, 408), ("", "d", 1, 409), ("", "tail", 1, None)]),
+    ("### |EDITOR|\n# x %~% y ms12 @QB@ q @QE@\nms0100\n# z ____\n#####\n<div id='x'>\n# p <b>q</b> r PageV0MP001\n</div>\nPageV02P007", [("EDITOR", "x   y   q", 2, 7), ("EDITOR", "z", 2, 7), ("EDITOR", "p  q  r", 2, 7)]),
+    ("### || Book\n### $ one\n### $ two\nPageV01P003\n|| ( 1 shown )\n# the psalms 12 and hakams 3 remain", [("Book", "one", 1, 3), ("Book", "two", 1, 3), ("Book", "( 1 shown )", 1, None), ("Book", "the psalms 12 and hakams 3 remain", 1, None)]),
+    ("### | A PageV01P005\ntext\n### | B PageV01P006 C PageV03P001\nmore\n \t \nend", [("A", "text", 1, 6), ("B   C", "more", 3, None), ("B   C", "end", 3, None)]),
+    ("", []), ("PageV01P001\n\n=====", []),
+]
+
+
+@pytest.mark.parametrize("header", [HEAD, HEAD.replace("#META#Header#End#\n", ""), ""])
+def test_parser_of_all_cases(spark, header):
+    works = spark.createDataFrame([(i, header + text) for i, (text, _) in enumerate(WORKS)] + [(99, None)], "work long, text string")
+    lines = markup.lines(works)
+    got = {}
+    for r in markup.parse(lines).orderBy("work", "block").collect():
+        got.setdefault(r.work, []).append((r.heading, " ".join(r.text.split()), r.volume, r.page))
+    tidy = lambda rows: [(" ".join(h.split()), " ".join(t.split()), v, p) for h, t, v, p in rows]
+    assert {k: [(" ".join(h.split()), t, v, p) for h, t, v, p in rows] for k, rows in got.items()} == {i: tidy(b) for i, (_, b) in enumerate(WORKS) if b}
+    meta = {(r.key, r.value) for r in markup.meta(lines).collect()}
+    assert meta == ({("010.AuthorNAME", "A"), ("020.BookTITLE", "B")} if header else set())
+
+
+def test_parser_goes_on_over_batches(spark):
+    text = "### | T\n" + "\n".join(f"# p{i}\n~~q{i}\nPageV01P{i + 1}" for i in range(300)) + "\n# end"
+    works = spark.createDataFrame([(1, text), (2, text)], "work long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [(r.work, r.text, r.page) for r in markup.parse(markup.lines(works)).orderBy("work", "block").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(w, *x) for w in (1, 2) for x in [*((f"p{i} q{i}", i + 1) for i in range(300)), ("end", None)]]
+
+
+def test_parser_has_one_exchange(spark):
+    lines = markup.lines(spark.createDataFrame([(1, "x")], "work long, text string"))
+    assert markup.parse(lines)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_classical_chunks_carry_pages_over_cuts(spark):
+    long = " ".join(f"{i} " + "a" * 400 + "." for i in range(20))
+    rows = [(1, 1, "H", "first", 1, 3), (1, 2, "H", "second", 1, 5), (1, 3, "I", long, 2, 7), (1, 4, "I", "end", 2, 7), (1, 5, "I", "  ", 2, 8), (2, 1, None, "no page", 3, None), (3, 1, "", "front", 0, 12), (4, 1, "", None, 1, 1)]
+    blocks = spark.createDataFrame(rows, "work long, block int, heading string, text string, volume int, page int")
+    titles = spark.createDataFrame([(i, f"W{i}") for i in range(1, 5)], "work long, title string")
+    got = markup.classical_chunks(blocks, titles, together=False).orderBy("work", "ordinal").collect()
+    refs = [(r.work, r.ordinal, r.ref, r.heading) for r in got]
+    assert refs[0] == (1, 0, "W1 1:3-5", "H") and {r[2] for r in refs[1:-2]} == {"W1 2:7"} and refs[-2:] == [(2, 0, "W2", ""), (3, 0, "W3 0:12", "")]
+    assert [r[1] for r in refs[:-2]] == list(range(len(refs) - 2)) and all(r.token_count < 720 for r in got)
+    body = lambda r: r.content.split("Arabic:\n")[1]
+    assert got[0].content == "W1 1:3-5 — H\n\nArabic:\nfirst\n\nsecond"
+    assert " ".join(body(r) for r in got[1:-2]).replace("\n\n", " ") == long + " end"
+    found, clash = markup.volumes(markup.classical_chunks(blocks, titles, together=False), titles)
+    assert sorted((r.work, r.ref, r.ordinal) for r in found.collect()) == [(1, "W1 vol. 1", 0), (1, "W1 vol. 2", 1), (2, "W2 (unpaginated)", 0), (3, "W3", 0)] and clash.count() == 0
+    same = spark.createDataFrame([(2, "W"), (3, "W (unpaginated)")], "work long, title string")
+    assert [r.ref for r in markup.volumes(markup.classical_chunks(blocks, same, together=False), same)[1].collect()] == ["W (unpaginated)"]
 
 
 def test_pack_starts_anew_at_headings_and_budget(spark):

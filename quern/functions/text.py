@@ -135,25 +135,3 @@ def markers(c: Column) -> Column:
 def stem(c: Column) -> Column:
     """Audit stemmer: a few suffixes, doubled last letters and a last e."""
     return sub(sub(sub(sub(c, "(ies)$", "y"), "(ing|ed|es|s)$"), "(.)\\1$", "$1"), "e$")
-
-
-def gloss(c: Column, table: dict[str, str]) -> Column:
-    """c with the distinct expansions of the terms it holds in brackets: whole words, longest first, any case."""
-    terms = sorted(table, key=lambda t: (-len(t), t))
-    pattern = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(map(_quoted, terms)) + ")(?![\\p{L}\\p{N}])"
-    lookup = F.create_map(*[F.lit(x) for t in terms for x in (t.lower(), table[t])])
-    found = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda t: F.element_at(lookup, F.lower(t))))
-    return F.when(F.size(found) > 0, F.concat(c, F.lit(" ("), F.array_join(found, "; "), F.lit(")"))).otherwise(c)
-
-
-def merged(*tables: dict[str, str]) -> dict[str, str]:
-    """One dictionary; where keys collide, expansions are joined in order."""
-    out: dict[str, str] = {}
-    for t in tables:
-        for k, v in t.items():
-            out[k] = f"{out[k]}, {v}" if k in out else v
-    return out
-
-
-def _quoted(term: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)

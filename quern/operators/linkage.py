@@ -8,12 +8,14 @@ equi join whose larger partitions Spark splits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.automata import Passage, matching_blocks
 
 SHINGLE, STRIDE, MIN_HITS = 8, 3, 2
 MAX_SHINGLES = 200_000  # of passages that are broadcast, 28 bytes each
@@ -55,23 +57,24 @@ def permitted(pairs: DataFrame, passages: DataFrame, texts: DataFrame, slices: D
 def verified(pairs: DataFrame, min_coverage: float = 0.60, min_run: int = 8, min_block: int = 4) -> DataFrame:
     """(passage_id, text_id, coverage, start, span, matched) of pairs (passage_id, text_id, passage, text) that pass.
 
-    Blocks are the standard library's matching blocks of words; coverage is the share of the passage's words in blocks of min_block or more.
+    Blocks are the longest common run of words, then the longest on either side of it, and so on; coverage is the share of the passage's words in blocks of min_block or more.
+    A passage's automaton is built once for its pairs of a task, and each text is read along it in linear time.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = lru_cache(maxsize=256)(lambda passage: Passage(passage.split(" ")))
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
                 a, b = r.passage.split(" "), r.text.split(" ")
-                blocks = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size >= min_block]
+                blocks = [x for x in matching_blocks(a, b, automaton(r.passage)) if x[2] >= min_block]
                 if not blocks:
                     continue
-                longest = max(blocks, key=lambda x: x.size)
-                coverage = sum(x.size for x in blocks) / len(a)
-                if coverage >= min_coverage and longest.size >= min_run:
-                    span = blocks[-1].b + blocks[-1].size - blocks[0].b
-                    out.append((r.passage_id, r.text_id, round(coverage, 4), blocks[0].b, span, " ".join(b[longest.b : longest.b + longest.size])))
+                longest = max(blocks, key=lambda x: x[2])
+                coverage = sum(x[2] for x in blocks) / len(a)
+                if coverage >= min_coverage and longest[2] >= min_run:
+                    span = blocks[-1][1] + blocks[-1][2] - blocks[0][1]
+                    out.append((r.passage_id, r.text_id, round(coverage, 4), blocks[0][1], span, " ".join(b[longest[1] : longest[1] + longest[2]])))
             yield pd.DataFrame(out, columns=["passage_id", "text_id", "coverage", "start", "span", "matched"])
 
     words = lambda c: F.array_join(T.words(F.lower(c)), " ")
@@ -80,9 +83,15 @@ def verified(pairs: DataFrame, min_coverage: float = 0.60, min_run: int = 8, min
 
 
 def resolved(matches: DataFrame) -> DataFrame:
-    """Of each text's matches by (-coverage, start): one goes if more than half of it overlaps any kept one."""
+    """Of each text's matches by (-coverage, start): one goes if more than half of it overlaps any kept one.
+
+    Matches that no chain of overlaps connects don't touch each other, so each such island is resolved on its own.
+    """
+    order = Window.partitionBy("text_id").orderBy("start", "span", "passage_id")
+    reach = F.max(F.col("start") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = matches.withColumn("_new", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     xs = F.sort_array(F.collect_list(F.struct((-F.col("coverage")).alias("rank"), "start", "span", "passage_id", "coverage", "matched")))
-    g = matches.groupBy("text_id").agg(xs.alias("xs"))
+    g = own.groupBy("text_id", "island").agg(xs.alias("xs"))
     kind = "array<struct<rank:double,start:bigint,span:bigint,passage_id:bigint,coverage:double,matched:string>>"
 
     def step(kept: Column, m: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import matching, retrieval, tables
+from quern.operators import matching, retrieval, similar, tables
 from quern.plans.base import Registry
 from quern.sources import readers
 
@@ -156,23 +156,30 @@ def citation_resolution(t):
     return df.select("o_orderkey", F.coalesce("a", "b").alias("chunk")).where("chunk is not null")
 
 
-@query("WITH c AS (SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', '', 'g')) AS q FROM benchmark), m AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM c JOIN documents ON contains(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', '', 'g')), q)) SELECT item_id, doc_id FROM m WHERE n = 1")
+_DW = r"regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g')"
+
+
+@query("WITH c AS (SELECT item_id, " + _DW.format("text") + " AS q FROM benchmark), d AS (SELECT doc_id, " + _DW.format("text") + " AS x FROM documents), m AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM c JOIN d ON contains(x, q) WHERE trim(q) <> '') SELECT item_id, doc_id FROM m WHERE n = 1")
 def rebind_unique(t):
-    """J11, F11, A.10: a quote is bound again only if exactly one text holds its words.
-
-    Candidates of quotes of five words or more meet by words 2 to 4, which are whole words in every text that holds the quote, even one that
-    begins and ends it inside a word. Shorter quotes, a checked set, are tried against all texts.
-    """
-    bare = lambda c: T.sub(F.lower(c), r"[^\p{L}\p{N}\s]")
-    words = lambda c: F.filter(F.split(bare(c), r"\s+"), lambda w: w != "")
-    q = t.benchmark.select("item_id", bare(F.col("text")).alias("q"), F.xxhash64(F.slice(words(F.col("text")), 2, 3)).alias("h"), F.size(words(F.col("text"))).alias("n")).where("q is not null")
-    every = t.documents.select("doc_id", bare(F.col("text")).alias("body"))
-    d = t.documents.select("doc_id", bare(F.col("text")).alias("body"), words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = d.select("doc_id", F.explode(F.array_distinct(T.let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))))).alias("h"))
-    long = grams.join(q.where("n >= 5").select("item_id", "q", "h"), "h").join(every, "doc_id").where(F.contains("body", F.col("q")))
-    short = every.join(retrieval.small(q.where("n < 5").select("item_id", "q")), F.contains("body", F.col("q")))
-    pairs = long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
-    return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).where("n = 1").select("item_id", "doc_id")
+    """F11, A.10: a quote is bound again only if exactly one text holds its words."""
+    met = similar.containing(t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t.documents.select(F.col("doc_id").alias("text_id"), "text"))
+    one = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("quote_id"))).where("n = 1")
+    return one.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
+
+
+_CITED = "array_to_string(string_split(text, ' ')[(doc_id % 7 + 1):(doc_id % 7 + doc_id % 12 + 1)], ' ')"
+
+
+@query(f"WITH c AS (SELECT doc_id AS cite_id, source AS ref, '«' || {_CITED} || '.' AS quote FROM documents), k AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS ref, " + _DW.format("text") + " AS x FROM documents), q AS (SELECT *, " + _DW.format("quote") + " AS q FROM c), m AS (SELECT cite_id, chunk_id, count(*) OVER (PARTITION BY cite_id) AS n FROM q JOIN k ON k.ref = q.ref AND contains(x, q) WHERE trim(q) <> '') SELECT cite_id, CASE WHEN n = 1 THEN chunk_id END AS chunk_id, n FROM m QUALIFY row_number() OVER (PARTITION BY cite_id ORDER BY chunk_id) = 1")
+def rebind_by_ref(t):
+    """Citations of 1 to 12 words that lost their chunk meet chunks of the same effective reference; bound where exactly one holds the words."""
+    quote = F.concat(F.lit("«"), F.array_join(F.slice(F.split("text", " "), (F.col("doc_id") % 7 + 1).cast("int"), (F.col("doc_id") % 12 + 1).cast("int")), " "), F.lit("."))
+    cites = t.documents.select(F.col("doc_id").alias("quote_id"), F.col("source").alias("ref"), quote.alias("quote"))
+    # A chunk's own reference stands before that of its document.
+    own = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("")
+    chunks = t.documents.select(F.col("doc_id").alias("text_id"), T.effective_ref(own, F.col("source")).alias("ref"), "text")
+    met = similar.containing(cites, chunks, by_ref=True).groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("one"))
+    return met.select(F.col("quote_id").alias("cite_id"), F.when(F.col("n") == 1, F.col("one")).alias("chunk_id"), "n")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN coalesce('nation ' || n_name, '') ELSE c_name END AS c_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vector as V
-from quern.operators import answers, glossary, retrieval
+from quern.operators import answers, glossary, retrieval, similar
 from quern.plans.base import Registry
 
 QUERIES = Registry()
@@ -72,13 +72,9 @@ _TRI = r"list_distinct(flatten(list_transform(list_filter(string_split(regexp_re
 @query("WITH q AS (SELECT item_id, text AS q FROM benchmark WHERE item_id % 20 = 0), p AS (SELECT q.item_id, b.item_id AS other, " + _TRI.format("q.q") + " AS x, " + _TRI.format("b.text") + " AS y FROM q, benchmark b WHERE q.item_id <> b.item_id) SELECT item_id, other, round(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1), 6) AS similarity FROM p WHERE len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1) >= 0.3")
 def trigram_similarity(t):
     """A stated set of queries (a twentieth of the items) against all items."""
-    b = t.benchmark.withColumn("y", T.trigrams(F.col("text")))
-    q = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id"), T.trigrams(F.col("text")).alias("x"))
-    # Candidates share a trigram: an equi join, so the pairs that share none are never made.
-    pairs = q.withColumn("g", F.explode("x")).join(b.select(F.col("item_id").alias("other"), F.explode("y").alias("g"), F.size("y").alias("ny")), "g").where("item_id <> other")
-    both = pairs.groupBy("item_id", "other", F.size("x").alias("nx"), "ny").agg(F.count(F.lit(1)).alias("both"))
-    s = F.col("both") / F.greatest(F.col("nx") + F.col("ny") - F.col("both"), F.lit(1))
-    return both.where(s >= 0.3).select("item_id", "other", F.round(s, 6).alias("similarity"))
+    sets = t.benchmark.select(F.col("item_id").alias("id"), T.trigrams(F.col("text")).alias("members"))
+    pairs = similar.similar(sets.where("id % 20 = 0"), sets, 0.3).where("left_id <> right_id")
+    return pairs.select(F.col("left_id").alias("item_id"), F.col("right_id").alias("other"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT doc_id, (CAST(trunc(0.35::DOUBLE * (length(text) - length(regexp_replace(text, '{T.ARABIC_BLOCK}', '', 'g'))) + 0.25::DOUBLE * length(regexp_replace(text, '{T.ARABIC_BLOCK}', '', 'g'))) AS INT) + 1) AS tokens FROM documents")
@@ -164,17 +160,35 @@ def audit_stems(t):
     return w.where(~bare.rlike("(.)\\1$")).select("w", T.stem(F.col("w")).alias("stem"))
 
 
-_G = glossary.TERMS
-_GP = "|".join(sorted(_G, key=lambda k: (-len(k), k)))
+_WORDS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_GLOSS = rf"""WITH RECURSIVE b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), r AS (SELECT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS term, unnest(range(1, len(w) - k + 2)) AS spot FROM b, (VALUES (2), (3)) s(k) WHERE len(w) >= k),
+g AS (SELECT term, string_agg('item ' || item_id, ', ' ORDER BY item_id, spot, k) AS expansion FROM r GROUP BY term), gt AS (SELECT regexp_extract_all(term, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]') AS ts, term, expansion FROM g),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]') AS x FROM documents), p AS (SELECT doc_id, x, unnest(x) AS tok, generate_subscripts(x, 1) AS i FROM d),
+m AS (SELECT doc_id, i, max(len(ts)) AS n, arg_max(expansion, len(ts)) AS expansion FROM p JOIN gt ON tok = ts[1] AND x[i + 2] = ts[3] AND x[i:i + len(ts) - 1] = ts GROUP BY doc_id, i),
+s AS (SELECT doc_id, i, first_value(m.i IGNORE NULLS) OVER w AS spot, first_value(m.n IGNORE NULLS) OVER w AS n, first_value(m.expansion IGNORE NULLS) OVER w AS expansion FROM (SELECT doc_id, i FROM p) q LEFT JOIN m USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f(doc_id, i, spot, expansion) AS (SELECT doc_id, spot + n, spot, expansion FROM s WHERE i = 1 AND spot IS NOT NULL UNION ALL SELECT s.doc_id, s.spot + s.n, s.spot, s.expansion FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i WHERE s.spot IS NOT NULL),
+e AS (SELECT doc_id, expansion, min(spot) AS spot FROM f GROUP BY ALL), o AS (SELECT doc_id, count(*)::INT AS n, string_agg(expansion, '; ' ORDER BY spot) AS expansions FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS n_glosses, md5(coalesce(expansions, '')) AS expansions FROM documents LEFT JOIN o USING (doc_id)"""
 
 
-@query("WITH g(k, v) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _G.items()) + f"), x AS (SELECT doc_id, text, list_distinct(list_transform(regexp_extract_all(lower(left(text, 400)), '(?:^|[^\\p{{L}}\\p{{N}}])((?:{_GP}))(?:$|[^\\p{{L}}\\p{{N}}])', 1), lambda m: m)) AS ms FROM documents), u AS (SELECT doc_id, list_sort(list_distinct(list(v))) AS e FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents) JOIN g ON k = w GROUP BY doc_id) SELECT d.doc_id, coalesce(len(u.e), 0)::INT AS n_glosses, coalesce(array_to_string(u.e, '; '), '') AS expansions FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id")
+def _glossary(t):
+    """Every run of two and three words of the items, with the items it is from."""
+    w = t.benchmark.select("item_id", T.words(F.lower("text")).alias("w"))
+
+    def of(k: int):
+        terms = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+        return w.where(F.size("w") >= k).select("item_id", F.lit(k).alias("k"), F.posexplode(terms).alias("at", "term"))
+
+    runs = [of(2), of(3)]
+    return runs[0].unionByName(runs[1]).select("term", F.concat(F.lit("item "), "item_id").alias("expansion"), F.struct("item_id", "at", "k").alias("place"))
+
+
+@query(_GLOSS)
 def gloss_query(t):
-    """Expansions found in each text, once each."""
-    glossed = T.gloss(F.col("text"), _G)
-    tail = F.when(F.length(glossed) > F.length("text"), glossed.substr(F.length("text") + F.lit(3), F.length(glossed) - F.length("text") - F.lit(3))).otherwise("")
-    e = F.filter(F.sort_array(F.split(tail, "; ")), lambda x: x != "")
-    return t.documents.select("doc_id", F.size(e).alias("n_glosses"), F.array_join(e, "; ").alias("expansions"))
+    """Thousands of terms found in every text, leftmost and longest, each expansion once."""
+    e = glossary.finder(_glossary(t))(F.col("text"))
+    df = t.documents.select("doc_id", e.alias("e"))
+    return df.select("doc_id", F.size("e").alias("n_glosses"), F.md5(F.array_join("e", "; ")).alias("expansions"))
 
 
 @query(r"SELECT o_orderkey, list_sort(list_distinct(list_transform(regexp_extract_all('see [' || o_orderkey % 7 || '] and [' || o_custkey % 5 || '] or [' || o_orderkey % 7 || ']', '\[(\d+)\]', 1), lambda x: x::INT))) AS markers FROM orders")

@@ -2,7 +2,7 @@
 
 A backend is a factory without arguments, called once in each worker process, that returns a function of a batch: texts to vectors, or
 (query, texts) pairs to scores. Batches have at most ``BATCH`` inputs. A failed batch fails its task, which Spark tries again.
-Null and blank texts have no vector (null), which the search takes for not embedded.
+A batch that runs out of memory is halved, down to one input, and the smaller size stays for the rest of the task. Null and blank texts have no vector (null), which the search takes for not embedded.
 """
 
 from __future__ import annotations
@@ -29,6 +29,28 @@ def _loaded(factory: Callable):
     return _LOADED[key]
 
 
+def _out_of_memory(error: Exception) -> bool:
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
+def halving(model: Callable, inputs: Sequence, batch: int) -> list:
+    """model's results of inputs, in batches that are halved where they run out of memory; other errors, and one input that does not fit, are raised."""
+    out: list = []
+    while len(out) < len(inputs):
+        some = inputs[len(out) : len(out) + batch]
+        try:
+            got = model(some)
+        except Exception as error:  # backends have errors of their own kinds
+            if not _out_of_memory(error) or len(some) == 1:
+                raise
+            batch = len(some) // 2
+            continue
+        if len(got) != len(some):
+            raise ValueError(f"the backend gave {len(got)} results for {len(some)} inputs")
+        out += got
+    return out
+
+
 def offline(dimensions: int = DIMENSIONS) -> Callable[[Sequence[str]], list[list[float]]]:
     """Vectors without meaning, the same for the same text: normal numbers seeded by the text's SHA-256, of length one."""
 
@@ -51,13 +73,10 @@ def embedder(factory: Callable, dimensions: int = DIMENSIONS, batch: int = BATCH
         model = _loaded(factory)
         for s in series:
             texts = [t for t in dict.fromkeys(s) if isinstance(t, str) and t.strip()]
-            vectors: dict[str, list[float]] = {}
-            for i in range(0, len(texts), batch):
-                some = texts[i : i + batch]
-                got = model(some)
-                if len(got) != len(some) or any(len(v) != dimensions for v in got):
-                    raise ValueError(f"the backend gave {len(got)} vectors of {sorted({len(v) for v in got})} numbers for {len(some)} texts of {dimensions}")
-                vectors.update(zip(some, got))
+            got = halving(model, texts, batch)
+            if any(len(v) != dimensions for v in got):
+                raise ValueError(f"the backend gave vectors of {sorted({len(v) for v in got})} numbers for {dimensions}")
+            vectors = dict(zip(texts, got))
             yield s.map(lambda t: vectors.get(t) if isinstance(t, str) else None)
 
     return embed
@@ -80,9 +99,7 @@ def reranker(factory: Callable, batch: int = BATCH) -> Callable[[Column, Column]
         for q, t in series:
             pairs = [(a, b) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(q, t)]
             live = [p for p in pairs if p]
-            scores = [x for i in range(0, len(live), batch) for x in model(live[i : i + batch])]
-            if len(scores) != len(live):
-                raise ValueError(f"the backend gave {len(scores)} scores for {len(live)} pairs")
+            scores = halving(model, live, batch)
             done = iter(scores)
             yield pd.Series([float(next(done)) if p else None for p in pairs], dtype="float64")
 

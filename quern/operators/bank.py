@@ -104,6 +104,18 @@ def checked_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.withColumn("verdict", verdict).drop("_q", "_c", "_here")
 
 
+def translation_findings(translations: DataFrame, chunks: DataFrame, own_kind: str = "quran") -> DataFrame:
+    """(id, finding) of translations (id, chunk_id, matched, coverage, english) that break a rule of chunks (chunk_id, kind, text): the run that was matched is empty or not in its
+    chunk, the share is none, the English is empty, or the chunk is of a kind that has a translation of its own."""
+    own = chunks.select("chunk_id", "kind", T.quote_words(F.coalesce("text", F.lit(""))).alias("_t"))
+    df = translations.withColumn("_m", T.quote_words(F.coalesce("matched", F.lit("")))).join(own, "chunk_id", "left")
+    rules = {
+        "empty run": F.col("_m") == "", "not in the chunk": (F.col("_m") != "") & ~F.coalesce(F.contains("_t", F.col("_m")), F.lit(False)), "coverage": ~F.coalesce((F.col("coverage") > 0) & (F.col("coverage") <= 1), F.lit(False)),
+        "no English": F.trim(F.coalesce("english", F.lit(""))) == "", "translated already": F.coalesce(F.col("kind") == own_kind, F.lit(False)),
+    }
+    return df.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("finding"))
+
+
 def phrasing_findings(answers: DataFrame, phrasings: DataFrame) -> DataFrame:
     """(id, finding, n) of answers without phrasings, or with n phrasings that are not embedded."""
     per = phrasings.groupBy(F.col("answer_id").alias("id")).agg(F.count(F.lit(1)).alias("all"), F.count_if(V.unembedded(F.col("embedding"))).alias("bare"))

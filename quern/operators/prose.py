@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quern.functions import text as T
 from quern.operators.markup import OVERSIZE, TARGET, WORDS_PER_WRAP
 
+# The overlap of chunks, the Arabic block, and the marks that end a sentence.
 OVERLAP = 100
 _ARABIC = re.compile("[؀-ۿ]")
 _SENTENCE = re.compile(r"(?<=[.؟!؛۔:،])\s+")
@@ -75,6 +76,22 @@ def assembled(ref: Column, extra: Column, english: Column, arabic: Column, sourc
     }
 
 
+def verse_chunks(verses: DataFrame, source: str) -> DataFrame:
+    """(ref, content, embed_text, token_count): one chunk a verse (ref, surah, name, ayah, arabic, english), however long."""
+    head = F.concat(F.lit(" — Surah "), "name", F.lit(", verse "), "ayah", F.lit(" of chapter "), "surah")
+    made = assembled(F.col("ref"), head, F.col("english"), F.col("arabic"), F.lit(source))
+    return verses.select("ref", *[c.alias(n) for n, c in made.items()]).withColumn("token_count", T.estimate_tokens(F.col("content")))
+
+
+def collection_chunks(rows: DataFrame) -> DataFrame:
+    """The same of a collection (ref, collection, book, narrator, grading, arabic, english): its header names what the source says, and no grading that it does not."""
+    named = lambda c, label="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    parts = F.concat_ws("; ", named("book"), named("narrator", "narrated by "), named("grading", "grading: "))
+    head = F.concat(F.lit(" — "), "collection", F.when(parts != "", F.concat(F.lit(" ("), parts, F.lit(")"))).otherwise(""))
+    made = assembled(F.col("ref"), head, F.col("english"), F.col("arabic"), F.lit(None).cast("string"))
+    return rows.select("ref", *[c.alias(n) for n, c in made.items()]).withColumn("token_count", T.estimate_tokens(F.col("content")))
+
+
 def chunk_prose(sections: DataFrame) -> DataFrame:
     """(work, section, part, content, embed_text, token_count) of sections (work, section, ref, heading, body).
 

@@ -115,6 +115,12 @@ def scaled_floors(budget: int, floors=FLOORS) -> list[tuple[str, int]]:
     return list(floors) if budget >= total else [(k, max(1, int(n * budget / total + 0.5))) for k, n in floors]
 
 
+def floor_of(budget: Column, floor: Column, floors=FLOORS) -> Column:
+    """``scaled_floors`` of budgets that a table holds."""
+    total = sum(n for _, n in floors)
+    return F.when(budget >= total, floor).otherwise(F.greatest(F.lit(1), F.floor(floor * budget / total + 0.5))).cast("int")
+
+
 def balance(ordered: DataFrame, budget: int, floors=FLOORS, final: list[Column] | None = None) -> DataFrame:
     """Of (query_id, id, kind, pos, ...) the picks of each query, with column place.
 
@@ -137,6 +143,23 @@ def rerank(picks: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
     return picks.join(p, "id").join(q, "query_id").withColumn("rerank", F.round(T.jaccard(F.col("_q"), F.col("_p")), 6)).drop("_q", "_p")
 
 
+def best_by_tokens(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k rows (id, text) of most alike tokens for each query (query_id, text), by score, then id.
+
+    Rows meet queries by tokens, and only tokens of queries are exchanged. Rows that share none have a score of 0: of those the first ids will do, as fewer than k rows come before them.
+    """
+    q = queries.select("query_id", T.stub_tokens(F.col("text")).alias("x")).select("query_id", "x", F.size("x").alias("nx"))
+    d = rows.select("id", T.stub_tokens(F.col("text")).alias("y")).select("id", "y", F.size("y").alias("ny"))
+    met = d.select("id", "ny", F.explode("y").alias("token")).join(small(q.select("query_id", "nx", F.explode("x").alias("token"))), "token")
+    both = met.groupBy("query_id", "id", "nx", "ny").agg(F.count(F.lit(1)).alias("n"))
+    shared = both.select("query_id", "id", (F.col("n") / F.greatest(F.col("nx") + F.col("ny") - F.col("n"), F.lit(1))).alias("score"))
+    first = rows.select("id").orderBy("id").limit(2 * k).crossJoin(small(q.select("query_id")))  # 2k rows
+    none = first.select("query_id", "id", F.lit(0.0).alias("score"))
+    every = shared.unionByName(none).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def search(rows: DataFrame, queries: DataFrame, top: int = 12, limit: int = 40, index: positions.PositionIndex | None = None, cells: vectors.VectorIndex | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, place, id, kind, score, rerank): rows (id, kind, text, embedding), queries (query_id, text, vector).
 

@@ -61,13 +61,21 @@ def difference(stored: DataFrame, produced: DataFrame) -> DataFrame:
 
 
 def changed_sets(old: DataFrame, new: DataFrame, key: str, member: str) -> DataFrame:
-    """(key, added, removed) of keys whose sets of members differ."""
-    a = old.groupBy(key).agg(F.collect_set(member).alias("a"))
-    b = new.groupBy(key).agg(F.collect_set(member).alias("b"))
-    none = F.array().cast("array<string>")
-    both = a.join(b, key, "full").select(key, F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    out = both.select(key, F.sort_array(F.array_except("b", "a")).alias("added"), F.sort_array(F.array_except("a", "b")).alias("removed"))
-    return out.where((F.size("added") > 0) | (F.size("removed") > 0))
+    """(key, added, removed) of keys whose sets of members differ; only members that one side lacks are gathered."""
+    side = lambda df, name: df.select(key, member).distinct().withColumn(name, F.lit(True))
+    one = side(old, "_old").join(side(new, "_new"), [key, member], "full").where("_old is null or _new is null")
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c), F.col(member))))
+    return one.groupBy(key).agg(listed("_new").alias("added"), listed("_old").alias("removed"))
+
+
+def in_list(column: Column, values: list | None) -> Column:
+    """Rows of a list of values; of all where there is no list."""
+    return F.lit(True) if values is None else column.isin(values)
+
+
+def is_or_all(column: Column, value: str, every: str = "all") -> Column:
+    """Rows of one value, or of all by the value that stands for them."""
+    return F.lit(True) if value == every else column == value
 
 
 def after_transition(answers: DataFrame, action: str, reviewer: Column, ready: Column) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -278,11 +280,14 @@ def version_ranking(t):
     return g.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("r <= 6").drop("r")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_nationkey IN (1, 2)) AND length(trim(c_name)) BETWEEN 1 AND 1000 AND contains(lower(c_name), '1') AND regexp_matches(c_name, '^[A-Za-z]+#[0-9]+$')")
+@query("WITH g AS (SELECT * FROM customer WHERE length(trim(c_name)) BETWEEN 1 AND 1000 AND contains(lower(c_name), '1') AND regexp_matches(c_name, '^[A-Za-z]+#[0-9]+$')) SELECT 'no list, all' AS asked, c_custkey, c_name FROM g UNION ALL SELECT 'list, all', c_custkey, c_name FROM g WHERE c_nationkey IN (1, 2) UNION ALL SELECT 'no list, one', c_custkey, c_name FROM g WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'list, one', c_custkey, c_name FROM g WHERE c_nationkey IN (1, 2) AND c_mktsegment = 'BUILDING'")
 def guarded_filters(t):
-    """Optional lists, sentinels, guards, shapes and substrings in one pushed-down filter."""
+    """A list that may be left out, the value that stands for all, guards, shapes and substrings in one pushed-down filter."""
     c = F.col("c_name")
-    return t.customer.where((F.col("c_mktsegment") == "BUILDING") | F.col("c_nationkey").isin(1, 2)).where(F.length(F.trim(c)).between(1, 1000) & F.lower(c).contains("1") & c.rlike("^[A-Za-z]+#[0-9]+$")).select("c_custkey", "c_name")
+    rows_ = t.customer.where(F.length(F.trim(c)).between(1, 1000) & F.lower(c).contains("1") & c.rlike("^[A-Za-z]+#[0-9]+$"))
+    asked = {"no list, all": (None, "all"), "list, all": ([1, 2], "all"), "no list, one": (None, "BUILDING"), "list, one": ([1, 2], "BUILDING")}
+    each = [rows_.where(tables.in_list(F.col("c_nationkey"), kinds) & tables.is_or_all(F.col("c_mktsegment"), status)).select(F.lit(name).alias("asked"), "c_custkey", "c_name") for name, (kinds, status) in asked.items()]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 10 > 0 UNION ALL SELECT p_partkey, upper(p_name), p_size + 1 FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT -p_partkey, p_name, 0 FROM part WHERE p_partkey % 50 = 0")

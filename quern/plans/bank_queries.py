@@ -98,13 +98,29 @@ def cite_from_join(t):
 _QW = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("WITH b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000, '' FROM benchmark UNION ALL SELECT item_id + 2000, upper(text) FROM benchmark), q AS (SELECT item_id, doc_id AS chunk_id, b.text AS quote, d.text AS content, doc_id % 9 = 0 AS gone FROM b, documents d WHERE d.doc_id % 20 = 0) SELECT item_id, chunk_id, CASE WHEN quote = '' THEN 'BAD' WHEN gone THEN 'GONE' WHEN contains(" + _QW.format("content") + ", " + _QW.format("quote") + ") THEN 'ok' ELSE 'MISS' END AS verdict FROM q")
+_CUT = "array_to_string(string_split(text, ' ')[(doc_id % 9 + 1):(doc_id % 9 + doc_id % 14 + 1)], ' ')"
+
+
+@query(f"WITH q AS (SELECT doc_id * 3 AS quote_id, doc_id AS chunk_id, '«' || {_CUT} || '»' AS quote FROM documents UNION ALL SELECT doc_id * 3 + 1, doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE {_CUT} || ' zzyzx' END FROM documents UNION ALL SELECT doc_id * 3 + 2, doc_id, b.text FROM documents d JOIN benchmark b ON item_id = doc_id % 50), k AS (SELECT doc_id AS chunk_id, text AS content FROM documents WHERE doc_id % 9 <> 0) SELECT quote_id, q.chunk_id, CASE WHEN quote = '' THEN 'BAD' WHEN k.chunk_id IS NULL THEN 'GONE' WHEN contains(" + _QW.format("content") + ", " + _QW.format("quote") + ") THEN 'ok' ELSE 'MISS' END AS verdict FROM q LEFT JOIN k ON k.chunk_id = q.chunk_id")
 def quote_check(t):
-    """Section 2.11: chunk gone, quote mismatch, the check of quotes before a commit; every quote against each twentieth text."""
-    b = t.benchmark.select("item_id", F.col("text").alias("quote"))
-    b = b.unionByName(b.select((F.col("item_id") + 1000).alias("item_id"), F.lit("").alias("quote"))).unionByName(b.select((F.col("item_id") + 2000).alias("item_id"), F.upper("quote").alias("quote")))
-    asked = retrieval.against(t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("chunk_id")), b)  # a stated set of quotes
-    return bank.checked_quotes(asked, t.documents.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))).select("item_id", "chunk_id", "verdict")
+    """Section 2.11: chunk gone, quote mismatch, the check of quotes before a commit; three quotes of every document, each against the chunk that it names."""
+    d = t.documents
+    cut = F.array_join(F.slice(F.split("text", " "), (F.col("doc_id") % 9 + 1).cast("int"), (F.col("doc_id") % 14 + 1).cast("int")), " ")
+    part = lambda df, i, quote: df.select((F.col("doc_id") * 3 + i).alias("quote_id"), F.col("doc_id").alias("chunk_id"), quote.alias("quote"))
+    items = t.benchmark.select(F.col("item_id").alias("_i"), F.col("text").alias("_b"))
+    quotes = part(d, 0, F.concat(F.lit("«"), cut, F.lit("»"))).unionByName(part(d, 1, F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(cut, F.lit(" zzyzx"))))).unionByName(part(d.join(items, F.col("doc_id") % 50 == F.col("_i")), 2, F.col("_b")))
+    return bank.checked_quotes(quotes, d.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))).select("quote_id", "chunk_id", "verdict")
+
+
+@query(f"WITH x AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'zzyzx ' || {_CUT} ELSE {_CUT} END AS m, (doc_id % 13) / 11.0::DOUBLE AS c, CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE lang END AS e, doc_id % 11 = 0 AS own, doc_id % 17 = 0 AS gone, text FROM documents), y AS (SELECT id, {_QW.format('m')} AS m, c, e, own AND NOT gone AS own, NOT gone AND contains({_QW.format('text')}, {_QW.format('m')}) AS there FROM x) SELECT id, unnest(list_filter([CASE WHEN m = '' THEN 'empty run' END, CASE WHEN m <> '' AND NOT there THEN 'not in the chunk' END, CASE WHEN NOT (c > 0 AND c <= 1) THEN 'coverage' END, CASE WHEN trim(e) = '' THEN 'no English' END, CASE WHEN own THEN 'translated already' END], lambda f: f IS NOT NULL)) AS finding FROM y")
+def translation_invariants(t):
+    """Section 2.11: a translation's run stands in its chunk, its share is one, its English is there, and its chunk has none of its own."""
+    d = t.documents
+    cut = F.array_join(F.slice(F.split("text", " "), (F.col("doc_id") % 9 + 1).cast("int"), (F.col("doc_id") % 14 + 1).cast("int")), " ")
+    matched = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 6 == 1, F.concat(F.lit("zzyzx "), cut)).otherwise(cut)
+    own = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_id"), matched.alias("matched"), (F.col("doc_id") % 13 / 11.0).alias("coverage"), F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("lang")).alias("english"))
+    chunks = d.where("doc_id % 17 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 11 == 0, "quran").otherwise("hadith").alias("kind"), "text")
+    return bank.translation_findings(own, chunks)
 
 
 @query("WITH p AS (SELECT o_custkey AS id, count(*) AS k, count(*) FILTER (WHERE o_totalprice < 60000) AS bare FROM orders WHERE o_orderkey % 6 = 0 GROUP BY ALL) SELECT c_custkey AS id, CASE WHEN k IS NULL THEN 'no-phrasings' ELSE 'unembedded' END AS finding, coalesce(bare, 0) AS n FROM customer LEFT JOIN p ON id = c_custkey WHERE k IS NULL OR bare > 0")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import linkage, markup, worksheets
+from quern.operators import answers, linkage, markup, worksheets
 from quern.plans.base import Registry
-from quern.streaming import misses
+from quern.sources import readers
+from quern.sources.shared import folder
+from quern.streaming import appends, misses
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -79,12 +81,27 @@ def oversize_split(t):
     return t.documents.select("doc_id", F.size(pieces).alias("pieces"))
 
 
-@query("SELECT page_id, (ceil(page_id / 25.0) * 25)::BIGINT AS bucket, ext, 'v' || lpad((ceil(page_id / 25.0) * 25)::INT::VARCHAR, 4, '0') || '/' || page_id || ext AS candidate FROM pages, (VALUES ('.a'), ('.b'), ('.c')) e(ext)")
+@query("WITH u AS (SELECT lpad((page_id % 60)::VARCHAR, 4, '0') AS y, 'Author' || page_id AS a, page_id FROM pages), v AS (SELECT *, y || a || '.Book.V' || page_id || '-x1' AS uri FROM u), n AS (SELECT *, i, (y::INT + d) AS year FROM v, (VALUES (0, 0), (1, 25), (2, -25)) k(i, d) WHERE y::INT + d > 0), e AS (SELECT * FROM n, (VALUES (0, '.mARkdownSimple'), (1, '.mARkdown'), (2, '.completed'), (3, '.inProgress'), (4, '')) x(j, ext)) SELECT uri, (row_number() OVER (PARTITION BY uri ORDER BY i, j))::INT AS rank, 'base/' || lpad((ceil(year / 25.0) * 25)::INT::VARCHAR, 4, '0') || 'AH/master/data/' || y || a || '/' || y || a || '.Book/' || uri || ext AS address FROM e")
 def candidate_urls(t):
-    """Every identifier with every spelling of its address."""
-    bucket = (F.ceil(F.col("page_id") / 25) * 25).cast("long")
-    df = t.pages.select("page_id", bucket.alias("bucket"), F.explode(F.array(*map(F.lit, (".a", ".b", ".c")))).alias("ext"))
-    return df.withColumn("candidate", F.concat(F.lit("v"), F.lpad(F.col("bucket").cast("string"), 4, "0"), F.lit("/"), "page_id", "ext"))
+    """Every spelling of a version's address in three buckets, best first."""
+    year = F.lpad((F.col("page_id") % 60).cast("string"), 4, "0")
+    return readers.candidate_addresses(t.pages.select(F.concat(year, F.lit("Author"), "page_id", F.lit(".Book.V"), "page_id", F.lit("-x1")).alias("uri")), "base")
+
+
+@query("WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN (turn + 1) || '. ' || role || turn END AS banner, 's' || turn % 4 AS slug FROM conversations), w AS (SELECT conv_id, turn, banner, slug, last_value(banner IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS at_ FROM l) SELECT conv_id AS file, slug, arg_max(split_part(at_, '. ', 1)::INT, turn) AS number, arg_max(split_part(at_, '. ', 2), turn) AS title FROM w WHERE banner IS NULL AND at_ IS NOT NULL GROUP BY conv_id, slug")
+def sections_by_slug(t):
+    """Lines of banners and slugs; each slug with the last banner above it."""
+    raw = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("#  "), (F.col("turn") + 1).cast("string"), F.lit(". "), "role", "turn", F.lit("  "))).otherwise(F.concat(F.lit("- slug: s"), F.col("turn") % 4))
+    return answers.sections(t.conversations.select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), raw.alias("raw")))
+
+
+@query("SELECT event_id, user_id, 'events' AS stream, event_id % 4 AS batch FROM events")
+def log_appends(t):
+    """The log stored in four batches, each handed over twice."""
+    path = folder(t.spark, "log")
+    for k in (0, 1, 2, 3, 2, 0, 3, 1):
+        appends.append_once(t.events.where(F.col("event_id") % 4 == k).select("event_id", "user_id"), path, "events", k)
+    return appends.stored_rows(t.spark, path)
 
 
 @query("SELECT conv_id, turn, CASE WHEN text = '-' THEN NULL ELSE string_split(text, ' ')[1] END AS first_word, len(string_split(text, ' '))::INT AS n FROM conversations WHERE NOT starts_with(text, '#') AND trim(text) <> ''")

@@ -151,11 +151,12 @@ def balanced_topk(t):
     return retrieval.balance(ordered, 6).select("query_id", "place", "id", "kind")
 
 
-@query("SELECT b::INT AS budget, kind, turn::INT AS turn, CASE WHEN b >= 13 THEN floor_ ELSE greatest(1, floor(floor_ * b / 13.0 + 0.5)) END::INT AS floor FROM range(1, 37) r(b), (VALUES ('en', 0, 4), ('de', 1, 4), ('es', 2, 2), ('fr', 3, 3)) fl(kind, turn, floor_)")
+@query("WITH b AS (SELECT conv_id, count(*) AS b FROM conversations GROUP BY conv_id) SELECT conv_id, b::INT AS budget, kind, CASE WHEN b >= 13 THEN floor_ ELSE greatest(1, floor(floor_ * b / 13.0 + 0.5)) END::INT AS floor FROM b, (VALUES ('en', 4), ('de', 4), ('es', 2), ('fr', 3)) fl(kind, floor_)")
 def scaled_floors(t):
-    """W12."""
-    rows = [(b, k, i, n) for b in range(1, 37) for i, (k, n) in enumerate(retrieval.scaled_floors(b))]
-    return t.spark.createDataFrame(rows, "budget int, kind string, turn int, floor int")
+    """Each conversation's turns as a budget."""
+    budgets = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("budget"))
+    floors = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in retrieval.FLOORS]))
+    return budgets.select("conv_id", "budget", floors.alias("f")).select("conv_id", "budget", "f.kind", retrieval.floor_of(F.col("budget"), F.col("f.n")).alias("floor"))
 
 
 _TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 2))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vector as V
-from quern.operators import answers, glossary, retrieval, similar
+from quern.operators import answers, glossary, prose, retrieval, similar
 from quern.plans.base import Registry
 
 QUERIES = Registry()
@@ -50,10 +50,14 @@ def normalize_text(t):
     return own.unionByName(t.documents.select((F.col("doc_id") + 100).alias("id"), F.md5(T.normalize_arabic(F.col("text"))).alias("normal"), T.has_arabic(F.col("text")).alias("arabic")))
 
 
-@query(f"WITH {_sql_samples()}, z AS (SELECT id, regexp_replace(nfc_normalize(coalesce(raw, '')), '{T.ZERO_WIDTH}', '', 'g') AS z FROM samples) SELECT id, CASE WHEN regexp_matches(z, '{T.ARABIC_SCRIPT}') THEN {_sql_normal('z')} ELSE trim(regexp_replace(z, '{T.SPACE}+', ' ', 'g')) END AS q FROM z")
+_ASKED = "text || CASE turn % 3 WHEN 0 THEN ' ' || chr(1608) || chr(1614) || chr(1573) || chr(1616) || chr(1584) || chr(1614) || chr(1575) || chr(8203) || '  ' || chr(1641) WHEN 1 THEN chr(8288) || ' x' || chr(160) || 'y' ELSE '' END"
+
+
+@query(f"WITH z AS (SELECT conv_id, turn, regexp_replace(nfc_normalize(coalesce({_ASKED}, '')), '{T.ZERO_WIDTH}', '', 'g') AS z FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(z, '{T.ARABIC_SCRIPT}') THEN {_sql_normal('z')} ELSE trim(regexp_replace(z, '{T.SPACE}+', ' ', 'g')) END AS q FROM z")
 def normalize_query(t):
-    """H3."""
-    return samples(t).select("id", T.normalize_query(F.col("raw")).alias("q"))
+    """H3: every turn, a third with marked Arabic, a third with spaces and marks of no width."""
+    more = F.when(F.col("turn") % 3 == 0, " \u0648\u064e\u0625\u0650\u0630\u064e\u0627\u200b  \u0669").when(F.col("turn") % 3 == 1, "\u2060 x\u00a0y").otherwise("")
+    return t.conversations.select("conv_id", "turn", T.normalize_query(F.concat("text", more)).alias("q"))
 
 
 _QW = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '" + T.SPACE.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
@@ -100,12 +104,22 @@ def passage_ref_projection(t):
     return df.select("p_partkey", T.effective_ref(F.col("own"), F.col("p_name")).alias("ref"), T.chapter_level(F.col("own")).alias("chapter_level"), T.passage(doc, content).alias("passage"))
 
 
-@query("SELECT n_nationkey, concat_ws(chr(10), n_name, '', nullif('Region ' || n_regionkey, 'Region 0'), 'Translation (' || r_name || '):', lower(n_name)) AS content, n_name || ' ' || n_regionkey || ':' || n_nationkey AS ref FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _trim(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{T.SPACE}+', ''), '{T.SPACE}+$', '')"
+
+
+_HEADS = "SELECT doc_id, 'verse' AS form, source || ' ' || doc_id AS ref, ' — Surah ' || source || ', verse ' || doc_id || ' of chapter ' || (doc_id % 114 + 1) AS head, text AS english, '' AS arabic, 'Translation (T):' AS label FROM documents UNION ALL SELECT doc_id, 'collection', source || ' ' || doc_id, ' — ' || source || CASE doc_id % 4 WHEN 0 THEN ' (' || lang || '; narrated by n' || doc_id || ')' WHEN 1 THEN ' (grading: good)' WHEN 2 THEN ' (' || lang || '; grading: good)' ELSE '' END, '', text, '' FROM documents"
+
+
+@query(f"WITH h AS ({_HEADS}), c AS (SELECT doc_id, form, ref || head || CASE WHEN english <> '' THEN chr(10) || chr(10) || label || chr(10) || {_trim('english')} ELSE '' END || CASE WHEN arabic <> '' THEN chr(10) || chr(10) || 'Arabic:' || chr(10) || {_trim('arabic')} ELSE '' END AS content, ref || head || CASE WHEN english <> '' THEN chr(10) || chr(10) || {_trim('english')} ELSE '' END || CASE WHEN arabic <> '' THEN chr(10) || chr(10) || {_sql_normal('arabic')} ELSE '' END AS embed_text FROM h) SELECT doc_id, form, md5(content) AS content, md5(embed_text) AS embed_text, (trunc(0.35::DOUBLE * (length(content) - length(regexp_replace(content, '{T.ARABIC_BLOCK}', '', 'g'))) + 0.25::DOUBLE * length(regexp_replace(content, '{T.ARABIC_BLOCK}', '', 'g')))::INT + 1) AS token_count FROM c")
 def chunk_assembly(t):
-    """Header lines that have nothing to say are left out."""
-    df = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
-    head = F.when(F.col("n_regionkey") != 0, F.concat(F.lit("Region "), "n_regionkey"))
-    return df.select("n_nationkey", F.concat_ws("\n", "n_name", F.lit(""), head, F.format_string("Translation (%s):", "r_name"), F.lower("n_name")).alias("content"), F.format_string("%s %s:%s", "n_name", "n_regionkey", "n_nationkey").alias("ref"))
+    """Each document as a verse and as an entry of a collection; a header has only what the source says."""
+    d = t.documents.withColumn("ref", F.concat("source", F.lit(" "), "doc_id"))
+    verses = d.select("ref", (F.col("doc_id") % 114 + 1).alias("surah"), F.col("source").alias("name"), F.col("doc_id").alias("ayah"), F.lit("").alias("arabic"), F.col("text").alias("english"))
+    k = F.col("doc_id") % 4
+    rows = d.select("ref", F.col("source").alias("collection"), F.when(k.isin(0, 2), F.col("lang")).alias("book"), F.when(k == 0, F.concat(F.lit("n"), "doc_id")).otherwise("").alias("narrator"), F.when(k.isin(1, 2), "good").alias("grading"), F.col("text").alias("arabic"), F.lit("").alias("english"))
+    both = prose.verse_chunks(verses, "T").withColumn("form", F.lit("verse")).unionByName(prose.collection_chunks(rows).withColumn("form", F.lit("collection")))
+    return both.select(F.substring_index("ref", " ", -1).cast("long").alias("doc_id"), "form", F.md5("content").alias("content"), F.md5("embed_text").alias("embed_text"), "token_count")
 
 
 @query(r"SELECT c_custkey, nullif(regexp_extract(c_name || ' ' || c_nationkey || ':' || c_custkey, ' (\d+):[^ ]*$', 1), '')::INT AS volume, CASE WHEN c_nationkey = 0 THEN c_name || ', vol. 0' WHEN c_nationkey < 5 THEN c_name ELSE c_name || ', vol. ' || c_nationkey END AS label FROM customer")
@@ -122,11 +136,9 @@ _TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'),
 @query("WITH q AS (SELECT item_id, " + _TOK.format("text") + " AS x FROM benchmark WHERE item_id % 20 = 0) SELECT item_id, doc_id, round(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1), 6) AS score FROM q, (SELECT doc_id, " + _TOK.format("text") + " AS y FROM documents) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1) DESC, doc_id) <= 10")
 def rerank_jaccard(t):
     """The ten best documents for each twentieth item."""
-    q = t.benchmark.where("item_id % 20 = 0").select("item_id", T.stub_tokens(F.col("text")).alias("x"))
-    d = t.documents.select("doc_id", T.stub_tokens(F.col("text")).alias("y"))
-    s = retrieval.against(d, q).withColumn("s", T.jaccard(F.col("x"), F.col("y")))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("s"), "doc_id"))
-    return s.select("item_id", "doc_id", "s", rank.alias("r")).where("r <= 10").select("item_id", "doc_id", F.round("s", 6).alias("score"))
+    q = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    best = retrieval.best_by_tokens(t.documents.select(F.col("doc_id").alias("id"), "text"), q, 10)
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT)"
@@ -244,18 +256,52 @@ def json_metadata(t):
     return t.conversations.select("conv_id", "turn", F.sha2("text", 256).alias("key"), made.alias("metadata")).withColumn("second_id", F.element_at(back["ids"], 2))
 
 
-@query("SELECT o_orderkey, CASE WHEN b <= 0 AND a > 0 THEN 'MOVED' WHEN b <= 0 THEN 'same' WHEN a / b >= 1.5 THEN 'MOVED' WHEN a / b <= 0.67 THEN 'REGRESSED' WHEN a <> b THEN 'shifted' ELSE 'same' END AS verdict FROM (SELECT o_orderkey, (o_totalprice % 100)::DOUBLE AS a, (o_custkey % 100)::DOUBLE AS b FROM orders)")
+_LW = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_AUDIT = rf"""WITH b AS (SELECT item_id, {_LW} AS w FROM benchmark), g AS (SELECT w[2] AS term, string_agg(w[5] || ' ' || w[6], ', ' ORDER BY item_id) AS expansion FROM b WHERE len(w) >= 6 GROUP BY term),
+qq AS (SELECT item_id, text FROM benchmark WHERE item_id % 20 = 0), qt AS (SELECT item_id, unnest(ks) AS tok, generate_subscripts(ks, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ks FROM qq)),
+e AS (SELECT item_id, expansion, min(i) AS i FROM qt JOIN g ON tok = term GROUP BY ALL), x AS (SELECT item_id, string_agg(expansion, '; ' ORDER BY i) AS ex FROM e GROUP BY item_id),
+asked AS (SELECT item_id AS query_id, 0 AS side, text FROM qq JOIN x USING (item_id) UNION ALL SELECT item_id, 1, text || ' (' || ex || ')' FROM qq JOIN x USING (item_id)), tk AS (SELECT query_id, side, unnest(list_distinct({_LW})) AS token FROM asked),
+ix AS (SELECT token, id, count(*) AS n FROM (SELECT doc_id AS id, unnest({_LW}) AS token FROM documents) GROUP BY ALL), s AS (SELECT query_id, side, id, round(sum(n)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM tk JOIN ix USING (token) GROUP BY ALL),
+h AS (SELECT query_id, side, score, lang AS kind, source AS ref FROM s JOIN documents ON doc_id = id QUALIFY row_number() OVER (PARTITION BY query_id, side ORDER BY score DESC, id) = 1)
+SELECT a.query_id, a.kind AS before_kind, a.ref AS before_ref, a.score AS before_score, z.kind AS after_kind, z.ref AS after_ref, z.score AS after_score, round(z.score / nullif(a.score, 0), 6) AS ratio, CASE WHEN a.kind IN ('en', 'es') AND z.kind NOT IN ('en', 'es') THEN 'MOVED' WHEN a.kind NOT IN ('en', 'es') AND z.kind IN ('en', 'es') THEN 'REGRESSED' WHEN a.ref <> z.ref THEN 'shifted' ELSE 'same' END AS verdict
+FROM h a JOIN h z ON z.query_id = a.query_id AND a.side = 0 AND z.side = 1"""
+
+
+@query(_AUDIT)
+def gloss_audit(t):
+    """H44, section 2.11: the best hit of each question that the glossary touches, without and with it."""
+    w = t.benchmark.select("item_id", T.words(F.lower("text")).alias("w")).where("size(w) >= 6")
+    find = glossary.finder(w.select(F.col("w")[1].alias("term"), F.concat_ws(" ", F.col("w")[4], F.col("w")[5]).alias("expansion"), F.col("item_id").alias("place")))
+    asked = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text", find("text").alias("e")).where("size(e) > 0")
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text")
+
+    def best(text):
+        hits = retrieval.lexical_arm(rows, asked.select("query_id", text.alias("text")), 1)
+        return hits.join(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("ref")), "id").select("query_id", "kind", "ref", F.round("score", 6).alias("score"))
+
+    audit = answers.gloss_audit(best(F.col("text")), best(glossary.glossed(F.col("text"), F.col("e"))), ("en", "es"))
+    return audit.withColumn("ratio", F.round("ratio", 6))
+
+
+_KIND = "CASE {0} % 3 WHEN 0 THEN 'quran' WHEN 1 THEN 'tafsir' ELSE 'fiqh' END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN ({_KIND.format('o_orderkey')}) IN ('quran', 'tafsir') AND ({_KIND.format('o_custkey')}) = 'fiqh' THEN 'MOVED' WHEN ({_KIND.format('o_orderkey')}) = 'fiqh' AND ({_KIND.format('o_custkey')}) <> 'fiqh' THEN 'REGRESSED' WHEN o_orderkey % 5 <> o_custkey % 5 THEN 'shifted' ELSE 'same' END AS verdict FROM orders")
 def score_verdict(t):
-    """H44."""
-    return t.orders.select("o_orderkey", answers.verdict(before=(F.col("o_custkey") % 100).cast("double"), after=(F.col("o_totalprice") % 100).cast("double")).alias("verdict"))
+    """By the kinds and references of the best hits."""
+    kind = lambda c: F.when(F.col(c) % 3 == 0, "quran").when(F.col(c) % 3 == 1, "tafsir").otherwise("fiqh")
+    ref = lambda c: F.col(c) % 5
+    return t.orders.select("o_orderkey", answers.verdict(kind("o_orderkey"), kind("o_custkey"), ref("o_orderkey"), ref("o_custkey")).alias("verdict"))
 
 
-@query("SELECT o_orderkey, coalesce(nullif(left(o_orderpriority, 1), '5'), 'A') AS tier, CASE WHEN coalesce(nullif(left(o_orderpriority, 1), '5'), 'A') <> '3' AND o_orderstatus <> 'F' AND o_custkey % 2 = 0 AND o_totalprice % 1 < 0.15 THEN 'CHECK' ELSE '' END AS flag FROM orders")
+@query(f"SELECT o_orderkey, tier, CASE WHEN tier <> 'C' AND section <> 's3' AND (kind = 'quran' OR (kind = 'tafsir' AND source NOT IN ('w1', 'w2'))) AND score < 0.15 THEN 'CHECK' ELSE 'ok' END AS flag FROM (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '3' THEN 'C' WHEN '5' THEN 'A' ELSE left(o_orderpriority, 1) END AS tier, 's' || o_custkey % 4 AS section, {_KIND.format('o_orderkey')} AS kind, 'w' || o_custkey % 5 AS source, (o_orderkey % 100) / 400.0::DOUBLE AS score FROM orders)")
 def tier_flag(t):
-    """H45, H46."""
-    tier = F.coalesce(F.nullif(F.substring("o_orderpriority", 1, 1), F.lit("5")), F.lit("A"))
-    check = (tier != "3") & (F.col("o_orderstatus") != "F") & (F.col("o_custkey") % 2 == 0) & (F.col("o_totalprice") % 1 < 0.15)
-    return t.orders.select("o_orderkey", tier.alias("tier"), F.when(check, "CHECK").otherwise("").alias("flag"))
+    """Practical questions whose best hit is weak scripture; works of law and sections that scripture answers are no miss."""
+    first = F.substring("o_orderpriority", 1, 1)
+    tier = F.when(first == "3", "C").when(first == "5", "A").otherwise(first)
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "quran").when(F.col("o_orderkey") % 3 == 1, "tafsir").otherwise("fiqh")
+    flag = answers.tier_flag(tier, F.concat(F.lit("s"), F.col("o_custkey") % 4), kind, F.concat(F.lit("w"), F.col("o_custkey") % 5), F.col("o_orderkey") % 100 / 400.0, ("w1", "w2"), ("s3",))
+    return t.orders.select("o_orderkey", tier.alias("tier"), flag.alias("flag"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, 'https?://([^/]+)', 1)) AS host, len(regexp_extract_all(html, '<[^<>\n]{1,300}>'))::INT AS tags, trim(regexp_replace(regexp_replace(html, '<[^<>\n]{1,300}>', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM pages")

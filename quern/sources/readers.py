@@ -6,7 +6,7 @@ avoided by anti joins against what is stored, not by side files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -31,6 +31,23 @@ def version_parts(uri: Column) -> dict[str, Column]:
     return {"year": year, "author": part(2), "book": part(3), "bucket": (F.ceil(year / 25) * 25).cast("int")}
 
 
+# Years of a bucket, and the spellings of a version's address, best first.
+BUCKET_YEARS = 25
+SPELLINGS = (".mARkdownSimple", ".mARkdown", ".completed", ".inProgress", "")
+
+
+def candidate_addresses(versions: DataFrame, base: str) -> DataFrame:
+    """(uri, rank, address) of versions (uri): every spelling in the bucket of the year, then in the next and the one before, where there is one; addresses that are none of a version have no candidates."""
+    own = versions.select("uri", *[F.regexp_extract("uri", r"^(\d{4})([A-Za-z]\w*)\.(\w+)\.(.+)$", i).alias(n) for i, n in enumerate(("year", "author", "book"), 1)]).where("year <> ''")
+    years = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("year").cast("int") + d).alias("y")) for i, d in enumerate((0, BUCKET_YEARS, -BUCKET_YEARS))])
+    near = own.select("uri", "year", "author", "book", F.explode(years).alias("b")).where("b.y > 0")
+    near = near.select("*", F.posexplode(F.array(*map(F.lit, SPELLINGS))).alias("e", "spelling"))
+    bucket = F.concat(F.lpad((F.ceil(F.col("b.y") / BUCKET_YEARS) * BUCKET_YEARS).cast("string"), 4, "0"), F.lit("AH"))
+    author, book = F.concat("year", "author"), F.concat("year", "author", F.lit("."), "book")
+    rank = F.row_number().over(Window.partitionBy("uri").orderBy("b.i", "e"))
+    return near.select("uri", rank.alias("rank"), F.concat(F.lit(base + "/"), bucket, F.lit("/master/data/"), author, F.lit("/"), book, F.lit("/"), "uri", "spelling").alias("address"))
+
+
 def manifest(spark: SparkSession, rows: list[dict], defaults: dict) -> DataFrame:
     """The rows of a manifest with defaults; raises on a missing id, title or licence, an unknown kind, neither uri nor path, a repeated id."""
     names = [f.split()[0] for f in MANIFEST.split(", ")]

@@ -90,6 +90,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, or name with underscores, as none of columns is called."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ counted in the first of them alone, which its two lists of leaves tell, so no li
 written: a leaf gives sums per vector and a spanning forest of its links. Leaves of any size are
 processed: beyond ``BLOCK`` vectors they are cut into blocks and all pairs of blocks are compared.
 
-Equal vectors are one item from the start. Nodes are split until their leaves are small; recall against brute force is tested.
+Equal vectors are one item from the start. Nodes are split until their leaves are small, and trees are added until the pairs that the forest is tried on meet; recall against brute force is tested.
 
 Cases: null, zero, null or non-finite components: linked with nothing (n_links 0, a component of its own, kept); vectors of
 different lengths never link; repeated vec_ids are separate vectors with the same id; a null vec_id is left out of links and comes
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, components, release_shuffles
 
-TREES, LEAF, BLOCK, SAMPLE = 4, 512, 1024, 20_000
+LEAF, BLOCK, SAMPLE = 512, 1024, 20_000
+#: Trees at least and at most; the share of made pairs at the threshold that must meet, and how many are made.
+TREES, MOST_TREES, RECALL, PAIRS = 4, 64, 0.95, 2_000
 #: Sampled vectors that a node needs for a threshold of its own; what a split leaves of a node, about; how the spill shrinks from level to level.
 LEAST, SHRINK, SPILL_DECAY, MOST_LEVELS = 32, 0.58, 0.8, 54
 THRESHOLD = 0.95
@@ -38,7 +40,8 @@ class Forest:
 
     A node is split as long as the vectors that reach it, spill included, are more than ``leaf`` by what the sample says. Below the nodes that the sample
     can tell (``LEAST`` sampled vectors) a node counts for SHRINK of the one above, and thresholds are those of the level. The spill shrinks with
-    the level, so a vector's copies in a tree are bounded, whatever the depth.
+    the level, so a vector's copies in a tree are bounded, whatever the depth. As deeper trees part more pairs, trees are added until ``RECALL`` of made pairs meet:
+    sampled vectors with partners exactly at the threshold, in random directions, which are the hardest pairs that count.
     """
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, trees: int = TREES, leaf: int = LEAF):
@@ -50,7 +53,10 @@ class Forest:
         self.cuts: list[list[dict[int, float]]] = []  # of a level: thresholds of the nodes that are split
         self.rest: list[list[float]] = []  # of a level: threshold of nodes that the sample can't tell
         self.deeper: list[dict[int, int]] = []  # such nodes with the levels that are still to come
-        for _ in range(trees):
+        base = sample[np.linspace(0, len(sample) - 1, min(PAIRS, len(sample))).astype(np.int64)] if len(sample) else sample
+        partners = self.partners(base, threshold, np.random.default_rng(43))
+        met = np.zeros(len(base), bool)
+        while len(self.cuts) < trees or (len(base) and met.mean() < RECALL and len(self.cuts) < max(trees, MOST_TREES)):
             directions, cuts, rest, deeper = [], [], [], {}
             row, path = np.arange(len(sample)), np.ones(len(sample), np.int64)
             while len(row) and len(directions) < MOST_LEVELS:
@@ -86,15 +92,29 @@ class Forest:
             self.cuts.append(cuts)
             self.rest.append(rest)
             self.deeper.append(deeper)
+            if len(base) and d > 1:
+                row, code = self.leaves(np.concatenate((base, partners)), len(self.cuts) - 1)
+                half = row < len(base)
+                own = set(zip(row[half].tolist(), code[half].tolist()))
+                met[[r - len(base) for r, c in zip(row[~half].tolist(), code[~half].tolist()) if (r - len(base), c) in own]] = True
+            else:
+                met[:] = True
+
+    @staticmethod
+    def partners(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+        """For each unit vector one at the threshold's cosine."""
+        z = rng.standard_normal(x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        return threshold * x + math.sqrt(1 - threshold**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
 
     @property
     def depth(self) -> int:
         return max(map(len, self.cuts), default=0)
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf code) of unit vectors, by row and ascending code."""
+    def leaves(self, x: np.ndarray, tree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf code) of unit vectors, by row and ascending code; of one tree or of all."""
         rows, codes = [], []
-        for t in range(len(self.cuts)):
+        for t in range(len(self.cuts)) if tree is None else (tree,):
             row, path, left_over = np.arange(len(x)), np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
             for level, direction in enumerate(self.directions[t]):
                 known, place = np.unique(path, return_inverse=True)

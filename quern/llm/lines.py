@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import links
-from quern.llm.common import Scratch, alone, mix64, release_shuffles, spread, u64, utf8
+from quern.llm.common import Scratch, alone, free, mix64, release_shuffles, spread, u64, utf8
 
 GRAM, BANDS, ROWS = 5, 16, 6
 NUM, DEN = 80, 100
@@ -163,10 +163,12 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
     scratch.only("gone")
     release_shuffles(spark)
 
+    mark = free("gone", own)
+
     def rebuilt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, total, removed = [], [], []
-            for null, text, gone_ in zip(b.column("text").is_null().to_pylist(), utf8(b.column("text")), b.column("gone").to_pylist()):
+            for null, text, gone_ in zip(b.column("text").is_null().to_pylist(), utf8(b.column("text")), b.column(mark).to_pylist()):
                 line = text.split(b"\n") if text else []
                 drop = {g["line"] for g in gone_ or () if g["line"] < len(line) and key_of(line[g["line"]].strip()) == g["key"] & 0xFFFFFFFFFFFFFFFF}
                 kept.append(None if null else b"\n".join([x for i, x in enumerate(line) if i not in drop]).decode())
@@ -176,7 +178,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, short: bool = False)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*own, "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_removed long"])
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*own, "gone").mapInArrow(rebuilt, schema)
+    return docs.join(gone.withColumnRenamed("gone", mark).hint("shuffle_hash"), "doc_id", "left").select(*own, mark).mapInArrow(rebuilt, schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch
+from quern.llm.common import Scratch, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -143,8 +143,9 @@ def stream(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     copies = F.array(*[F.struct(F.lit(e).alias("copy"), finish[e].alias("finish"), F.col(f"taken_{e}").alias("taken")) for e in range(most)])
     at = at.select("doc_id", "source", "text_hash", "nth", "size", F.explode(F.filter(copies, lambda c: c["taken"] > 0)).alias("c")).select("doc_id", "source", "text_hash", "nth", "size", "c.*")
     own = docs.drop("size", "copy", "finish", "taken")
-    numbered = own.withColumn("text_hash_", F.xxhash64("text")).withColumn("nth_", _nth("text_hash_"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.text_hash_") == F.col("t.text_hash")) & (F.col("d.nth_") == F.col("t.nth"))
+    hash_, nth = free("text_hash", own.columns), free("nth", own.columns)
+    numbered = own.withColumn(hash_, F.xxhash64("text")).withColumn(nth, _nth(hash_))
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{hash_}") == F.col("t.text_hash")) & (F.col(f"d.{nth}") == F.col("t.nth"))
     mixed = numbered.alias("d").join(at.alias("t"), same).select(*[F.col(f"d.`{c}`") for c in own.columns], "t.size", "t.copy", "t.finish", "t.taken")
     return mixed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
 

@@ -161,6 +161,20 @@ def test_forest_recall_and_copies_of_deep_trees(n):
     assert sum(met) >= 0.95 * len(met)
 
 
+@pytest.mark.parametrize("n", [10**7, 10**9])
+def test_forest_recall_of_tables_of_any_size(n):
+    """Of a table that is simulated by its number of rows: the depth is that of n vectors, pairs and copies are measured."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    trees = forest.Forest(unit(rng.standard_normal((forest.SAMPLE, 64))), n, 0.95)
+    base = unit(rng.standard_normal((1500, 64)))
+    row, code = trees.leaves(np.concatenate((base, forest.Forest.partners(base, 0.95, rng))))
+    own = set(zip(row.tolist(), code.tolist()))
+    met = np.zeros(1500, bool)
+    met[[r for r, c in own if r < 1500 and (r + 1500, c) in own]] = True
+    assert met.mean() >= 0.9 and len(trees.cuts) <= forest.MOST_TREES and len(row) <= 80 * len(base) * 2
+
+
 def test_forest_repeated_and_null_ids(spark):
     made = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.01]), (None, [1.0, 0.0]), (7, [-1.0, 0.0])]
     got = [tuple(r) for r in forest.near(spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumnRenamed("x", "leaf")).collect()]
@@ -529,6 +543,16 @@ def test_partenum_shares_a_signature():
                 assert set(enum(x).tolist()) & set(enum(y).tolist())
 
 
+def test_clashing_columns(spark):
+    rows = [(i, "the same line of some length here\nother %d" % i, "s", "kept", i + 100, i + 200) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, text_hash long, nth long")
+    out = {r.doc_id: r for r in lines.dedup(docs, short=True).collect()}
+    assert all(r.gone == "kept" and r.n_lines == 2 for r in out.values()) and sum(r.n_removed for r in out.values()) >= 5
+    mixed = mixing.stream(docs.withColumnRenamed("gone", "text_hash_").withColumnRenamed("nth", "nth_")).collect()
+    assert mixed and all((r.text_hash_, r.text_hash, r.nth_) == ("kept", r.doc_id + 100, r.doc_id + 200) for r in mixed)
+    assert all((r.text_hash, r.nth) == (r.doc_id + 100, r.doc_id + 200) for r in mixing.stream(docs).collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "c")).collect()}

@@ -75,7 +75,7 @@ def embedder(factory: Callable, dimensions: int = DIMENSIONS, batch: int = BATCH
             texts = [t for t in dict.fromkeys(s) if isinstance(t, str) and t.strip()]
             got = halving(model, texts, batch)
             if any(len(v) != dimensions for v in got):
-                raise ValueError(f"the backend gave vectors of {sorted({len(v) for v in got})} numbers for {dimensions}")
+                raise ValueError(f"the backend gave vectors of {sorted({len(v) for v in got})} numbers for {len(texts)} texts of {dimensions}")
             vectors = dict(zip(texts, got))
             yield s.map(lambda t: vectors.get(t) if isinstance(t, str) else None)
 

@@ -12,7 +12,8 @@ them on every path, whatever comes: texts are cut there into units, and what ``s
 the next time that it comes. A text is read in blocks of bounded size; beside a block and the window only the ids grow with the text.
 
 Cases: null and empty text have no ids; characters outside the vocabulary become byte pieces; U+2581 in a text
-decodes to a space, as in the library, and is reported as not restored; an empty table gives an empty table.
+decodes to a space, as in the library, and is reported as not restored; repeated rows each give a row; a null doc_id comes back null; columns
+that are not to be kept are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

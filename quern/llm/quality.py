@@ -2,11 +2,11 @@
 
 A linear-chain conditional random field labels a document's lines as content or boilerplate (Viterbi
 decoding); the share of words in content lines decides. It is trained here on a bounded sample of labelled
-documents (``TRAIN_DOCS``, a parameter): each line takes its document's quality as label. Hard rules come first.
+documents (``TRAIN_DOCS``, a parameter): each line takes its document's quality as label, and documents are cut into runs of 32 lines for the fit. Hard rules come first.
 
 Cases: null and empty text: no words, so it fails the word rule; lines without a word are skipped;
 no usable labels (none, or one class): ``DEFAULT`` weights; labels that contradict each other or name no document: ignored or
-averaged by the fit; an empty table gives an empty table; other columns are ignored or,
+averaged by the fit; repeated rows each give a row; an empty table gives an empty table; other columns are ignored or,
 with keep_columns, stay, but those named like a result are replaced.
 """
 

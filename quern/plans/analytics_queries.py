@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import matching, retrieval, similar, tables
+from quern.operators import matching, similar, tables
 from quern.plans.base import Registry
 from quern.sources import readers
 

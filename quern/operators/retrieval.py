@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import english as E
 from quern.functions import text as T
 from quern.operators import positions, vectors
+from quern.sources.shared import folder, stored
 
 RRF_K = 60
 MAX_BROADCAST_ROWS = 10_000
@@ -155,12 +156,13 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 12, limit: int = 40,
     """
     few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
     bounded = F.broadcast if few else lambda df: df  # at most FEW_QUERIES * 2 * limit rows of three numbers
-    fused = fuse(vector_arm(rows, queries, limit, index=cells, probes=probes), lexical_arm(index or rows, queries, limit))
+    # Few rows for each query, stored because several steps read them: the arms run once.
+    fused = stored(fuse(vector_arm(rows, queries, limit, index=cells, probes=probes), lexical_arm(index or rows, queries, limit)), folder(queries.sparkSession, "fused"))
     kinds = rows.select("id", "kind")
     # The arms give at most 2 * limit rows a query: their ids select from the large side.
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     ordered = kinds.join(bounded(fused), "id").withColumn("pos", pos)
-    wide = balance(ordered, 3 * top).drop("place")
+    wide = stored(balance(ordered, 3 * top).drop("place"), folder(queries.sparkSession, "wide"))
     scored = rerank(wide, rows.join(bounded(wide.select("id").distinct()), "id", "left_semi").select("id", "text"), queries)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank"), "pos"))
     return balance(scored.withColumn("pos", best), top).select("query_id", "place", "id", "kind", "score", "rerank")

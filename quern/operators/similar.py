@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.retrieval import small
+from quern.sources.shared import folder, stored
 
 GRAM = 3
 
@@ -37,10 +38,10 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("similarity", T.jaccard(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold).drop("_a", "_b")
 
 
-def _grams(words: Column) -> Column:
-    """Distinct runs of GRAM words, and single words."""
-    runs = T.let(words, lambda w: F.when(F.size(w) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), lambda i: F.array_join(F.slice(w, i, GRAM), " "))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(words, runs))
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words."""
+    none = F.array().cast("array<bigint>")
+    return T.let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))).otherwise(none))
 
 
 def containing(quotes: DataFrame, texts: DataFrame, by_ref: bool = False) -> DataFrame:
@@ -55,10 +56,13 @@ def containing(quotes: DataFrame, texts: DataFrame, by_ref: bool = False) -> Dat
     q = q.withColumn("inner", inner)
     words = d.select("text_id", *ref, F.filter(F.split("body", " "), lambda w: w != "").alias("w"))
     # Quotes with whole words meet by the rarest of their runs; only runs that a quote has are counted and exchanged.
-    runs = F.when(F.size("inner") >= GRAM, F.transform(F.sequence(F.lit(1), F.size("inner") - GRAM + 1), lambda i: F.array_join(F.slice("inner", i, GRAM), " "))).otherwise(F.col("inner"))
+    runs = F.when(F.size("inner") >= GRAM, _runs(F.col("inner"), GRAM)).otherwise(_runs(F.col("inner"), 1))
     asked = q.where(F.size("inner") > 0).select("quote_id", F.explode(F.array_distinct(runs)).alias("gram"))
-    places = words.select("text_id", *ref, F.explode(_grams(F.col("w"))).alias("gram"))
-    df = places.join(small(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    singles = not q.where(F.size("inner").between(1, GRAM - 1)).isEmpty()
+    held = F.concat(_runs(F.col("w"), 1), _runs(F.col("w"), GRAM)) if singles else _runs(F.col("w"), GRAM)
+    places = words.select("text_id", *ref, F.explode(F.array_distinct(held)).alias("gram")).join(small(asked.select("gram").distinct()), "gram", "left_semi")
+    places = stored(places, folder(quotes.sparkSession, "grams"))
+    df = places.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # A run that no text has ends its quote.
     anchor = asked.join(df, "gram", "left").groupBy("quote_id").agg(F.min_by(F.struct("gram", "df"), F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("a")).where("a.df is not null").select("quote_id", F.col("a.gram").alias("gram"))
     own = anchor.join(q.drop("inner"), "quote_id")

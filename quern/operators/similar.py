@@ -71,7 +71,7 @@ def containing(quotes: DataFrame, texts: DataFrame, by_ref: bool = False) -> Dat
     few = q.where(F.size("inner") == 0).drop("inner")
     if by_ref:
         met = met.unionByName(few.join(d.select("text_id", "ref"), "ref").select("quote_id", "text_id", "q"))
-    else:
+    elif not few.isEmpty():
         part = F.split(F.trim("q"), " ")
         first, second = part[0], F.get(part, F.lit(1))
         side = few.select("quote_id", "q", F.when(second.isNull() | (F.length(first) > F.length(second)), first).otherwise(second).alias("part"), second.isNull().alias("single"), (F.length(first) > F.length(second)).alias("ends"))

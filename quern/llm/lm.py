@@ -40,8 +40,9 @@ PAD = 4
 END = b"\0"
 CHUNK = 8 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
 AT_ONCE = 1 << 18  # bytes of text whose symbols are numbered at once
-RANGES, WIDE = 5, 22  # of a table: 2**5 ranges at least, each of 2**22 slots at most
-RAW = 1 << 21  # slots of a chunk that are held before they are counted
+RANGES, WIDE = 5, 20  # of a table: 2**5 ranges at least, each of 2**20 slots at most
+RAW = 1 << 20  # slots of a chunk that are held before they are counted
+PIECE = 1 << 16  # slots of a range whose log odds are taken at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
 
@@ -320,28 +321,40 @@ class Tally:
 
     def __init__(self, bits: int):
         self.kind = np.uint32 if bits <= 30 else np.uint64
-        self.raw: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.raw: list = []
         self.size = 0
-        self.keys, self.counts = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        self.keys, self.counts = np.zeros(0, self.kind), np.zeros(0, np.uint32)
 
     def add(self, slots: np.ndarray, bit: np.ndarray | None, weight: np.ndarray | None = None) -> None:
-        self.raw.append(slots.astype(self.kind) << self.kind(2) | (self.kind(2) if bit is None else bit))
-        self.weights.append(np.ones(len(slots), np.int64) if weight is None else weight)
+        key = slots.astype(self.kind) << self.kind(2) | (self.kind(2) if bit is None else bit)
+        self.raw.append(self._joint(key, np.ones(len(slots), np.uint32) if weight is None else weight.astype(np.uint32)))
         self.size += len(slots)
         if self.size >= RAW:
             self.close()
 
+    def _joint(self, key: np.ndarray, weight: np.ndarray):
+        """Of keys of 32 bits: both in one number, which sorts faster and is held once."""
+        if self.kind is np.uint64:
+            return key, weight
+        both = key.astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= weight
+        return both
+
     def close(self) -> None:
-        key, weight = np.concatenate([self.keys, *self.raw]), np.concatenate([self.counts, *self.weights])
-        if self.kind is np.uint32:  # both in one number, which sorts faster
-            both = np.sort(key.astype(np.uint64) << np.uint64(32) | weight.astype(np.uint64))
-            key, weight = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if self.kind is np.uint32:
+            both = np.concatenate([self._joint(self.keys, self.counts), *self.raw])
+            self.raw, self.keys, self.counts = [], None, None
+            both.sort()
+            key = (both >> np.uint64(32)).astype(np.uint32)
+            weight = both.astype(np.uint32)  # the low half
+            del both
         else:
+            key, weight = (np.concatenate(x) for x in zip((self.keys, self.counts), *self.raw))
             order = np.argsort(key)
             key, weight = key[order], weight[order]
         start = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
-        self.raw, self.weights, self.size = [], [], 0
+        self.raw, self.size = [], 0
         self.keys, self.counts = key[start], np.add.reduceat(weight, start) if len(start) else weight
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +362,7 @@ class Tally:
         self.close()
         slot, kind = self.keys >> self.kind(2), self.keys & self.kind(3)
         fresh = np.concatenate((slot[:1] == slot[:1], slot[1:] != slot[:-1]))
-        place = np.cumsum(fresh) - 1
+        place = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         out = np.zeros((2, int(fresh.sum())), np.int64)
         for k in (0, 1):
             out[k, place[kind == k]] = self.counts[kind == k]
@@ -453,20 +466,33 @@ def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
     return run
 
 
+def summed_slots(payloads: list[bytes], size: int) -> list[bytes]:
+    """The log odds of all payloads together, for the slots of each; each payload is opened once, and only its slots are held in place of it."""
+    zeros, ones = np.zeros((2, size), np.int64)
+    own = []
+    for i, p in enumerate(payloads):
+        at, x, y = _open(p, "<u4", "<u4")
+        zeros[at] += x
+        ones[at] += y
+        own.append(at.astype(np.uint32))
+        payloads[i] = b""
+    values = np.concatenate([odds(zeros[lo : lo + PIECE], ones[lo : lo + PIECE]) for lo in range(0, size, PIECE)])
+    del zeros, ones
+    return [_shut(at, values[at]) for at in own]
+
+
 def _summed(bits: tuple[int, int, int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
+        if _PLACES or _POWERS:  # of counting, in the same worker
+            _PLACES.clear()
+            _POWERS.clear()
+            alone()
         payloads = table.column("payload").to_pylist()
         chunk = table.column("chunk").to_pylist()
         if bucket < 0:
             b = bits[(-1 - bucket) % 3]
-            zeros, ones = np.zeros((2, 1 << b - range_bits(b)), np.int64)
-            for p in payloads:
-                at, x, y = _open(p, "<u4", "<u4")
-                zeros[at] += x
-                ones[at] += y
-            values = odds(zeros, ones)
-            reply = [_shut(at, values[at]) for p in payloads for at in _open(p, "<u4", "<u4")[:1]]
+            reply = summed_slots(payloads, 1 << b - range_bits(b))
             n, v = [0] * len(reply), [0] * len(reply)
         else:
             total: dict[bytes, int] = {}

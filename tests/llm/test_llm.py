@@ -571,3 +571,27 @@ def test_pipeline_stages(spark):
         if k < len(cp.STAGES) - 1:
             assert docs.columns == before.columns
     assert sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and docs.where("not restored").count() == 0
+
+
+def test_lm_slots_of_a_range_against_plain_sums():
+    rng, size = np.random.default_rng(5), 1 << 17
+    sent = []
+    for n in (1, 7, 900, 40_000):
+        at = np.sort(rng.choice(size, n, replace=False))
+        sent.append((at, rng.integers(0, 1 << 20, n), rng.integers(0, 1 << 20, n)))
+    zeros, ones = np.zeros((2, size), np.int64)
+    for at, x, y in sent:
+        zeros[at] += x
+        ones[at] += y
+    got = lm.summed_slots([lm._shut(at, x.astype("<u4"), y.astype("<u4")) for at, x, y in sent], size)
+    for (at, _, _), reply in zip(sent, got, strict=True):
+        slots, values = lm._open(reply, "i1")
+        assert (slots == at).all() and (values == lm.odds(zeros[at], ones[at])).all()
+
+
+def test_lm_documents_longer_than_a_chunk(spark, rows, monkeypatch):
+    made = [(d, t) for d, t, *_ in rows[:60]] + [(10**6, "long words of a text " * 2000), (10**6 + 1, None)]
+    scores = lambda: sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs_of(spark, [(*r, "en", "s") for r in made])).collect())
+    whole = scores()
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    assert scores() == whole and len(whole) == len(made)

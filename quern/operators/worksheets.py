@@ -19,6 +19,8 @@ AMBIGUOUS = r"(?i)(?:\b(?:Sahih|Musnad|narrated\s+(?:by|in)|reported\s+(?:by|in)
 PASSAGE = r"(?m)^### Passage (\d+) —[\s\S]*?^- kind: .*? chunk: (\d+)\s*$"
 CITATION = r'(?m)^\s*(\d+)\.\s*passage=(\d+)\s+quote="([\s\S]*?)"\s*$'
 _BLANK = " \n\t\r"
+# What a new worksheet says before its passages.
+SHEET = "## Answer\n\n<!-- The answer, with marks [1], [2] for its citations. -->\n\n## Citations\n\n<!-- A line each: number, passage and the exact words quoted. -->\n\n## Passages\n\n"
 
 
 def section(c: Column, name: str) -> Column:
@@ -27,6 +29,30 @@ def section(c: Column, name: str) -> Column:
     return F.trim(T.sub(body, r"(?s)<!--.*?-->"), F.lit(_BLANK))
 
 
+def rendered(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """(slug, value): a worksheet to fill in for each question that has hits, in the form that ``passages`` and ``citations`` read.
+
+    asked: (slug, question, also: array of further queries, note, decline); hits: (slug, query: 0 for the question, n for the n-th further one, rank,
+    chunk_id, kind, ref, title, text, paged), the top of each query, so those of a slug are few. A chunk that several queries found
+    stands where the first of them has it. Null also, note and decline: none; null paged: has pages; other nulls are empty; a null slug has no worksheet.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    facts = [text("kind").alias("kind"), text("ref").alias("ref"), text("title").alias("title"), F.trim(text("text"), F.lit(_BLANK)).alias("text"), F.coalesce("paged", F.lit(True)).alias("paged")]
+    first = hits.where("slug IS NOT NULL AND chunk_id IS NOT NULL").groupBy("slug", "chunk_id").agg(F.min(F.struct("query", "rank", *facts)).alias("h"))
+    found = first.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("h.query", "h.rank", "chunk_id", *[f"h.{c}" for c in ("kind", "ref", "title", "text", "paged")]))).alias("found"))
+
+    def passage(h: Column, i: Column) -> Column:
+        via = F.when(h["query"] > 0, F.concat(F.lit('- found via: "'), F.coalesce(F.get("also", h["query"] - 1), F.lit("")), F.lit('"\n'))).otherwise("")
+        head = F.concat(F.lit("### Passage "), (i + 1).cast("string"), F.lit(" — "), h["ref"], F.when(h["paged"], "").otherwise(" (chapter-level, no page)"))
+        facts = F.concat(F.lit("\n\n- kind: "), h["kind"], F.lit(" · source: "), h["title"], F.lit(" · chunk: "), h["chunk_id"].cast("string"), F.lit("\n"))
+        return F.concat(head, facts, via, F.lit("\n```\n"), h["text"], F.lit("\n```\n"))
+
+    decline = F.when(F.col("decline"), "> Expected to decline: say who can help, give no ruling, cite only what the question touches.\n\n").otherwise("")
+    note = F.when(F.col("note") != "", F.concat(F.lit("> Reviewer note: "), "note", F.lit("\n\n"))).otherwise("")
+    top = F.concat(F.lit("# "), text("question"), F.lit("\n\n"), decline, note, F.lit(SHEET))
+    return asked.join(found, "slug").select("slug", F.concat(top, F.array_join(F.transform("found", passage), "\n")).alias("value"))
+
+
 def _rows(df: DataFrame, c: Column, pattern: str, names: dict[str, str]) -> DataFrame:
     """One row of df's slug for each match of pattern in c, its groups cast to the kinds of names."""
     x = df.select("slug", F.explode(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).alias("m"))

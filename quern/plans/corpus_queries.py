@@ -142,6 +142,25 @@ def worksheet_citations(t):
     return worksheets.citations(df).join(p, ["slug", "passage"], "left").select("slug", "ordinal", "quote", "chunk_id")
 
 
+_RENDER_SQL = """WITH h AS (SELECT l_orderkey AS o, l_partkey AS c, min({'q': l_linenumber % 3, 'r': l_linenumber}) AS f FROM lineitem GROUP BY ALL),
+p AS (SELECT o, c, f, row_number() OVER (PARTITION BY o ORDER BY f.q, f.r, c) AS i FROM h),
+b AS (SELECT o, string_agg('### Passage ' || i || ' — part ' || c || CASE WHEN c % 4 = 0 THEN ' (chapter-level, no page)' ELSE '' END || chr(10) || chr(10) || '- kind: ' || p_brand || ' · source: ' || p_type || ' · chunk: ' || c || chr(10)
+  || CASE f.q WHEN 0 THEN '' WHEN 1 THEN '- found via: "' || o_orderpriority || '"' || chr(10) ELSE '- found via: "' || o_orderstatus || '"' || chr(10) END || chr(10) || '```' || chr(10) || p_name || chr(10) || '```' || chr(10), chr(10) ORDER BY i) AS body
+  FROM p JOIN part ON p_partkey = c JOIN orders ON o_orderkey = o GROUP BY o)
+SELECT 'o' || o AS slug, '# order ' || o || chr(10) || chr(10) || CASE WHEN o_custkey % 5 = 0 THEN '> Expected to decline: say who can help, give no ruling, cite only what the question touches.' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN o_orderstatus = 'F' THEN '> Reviewer note: ' || o_orderpriority || chr(10) || chr(10) ELSE '' END || '__SHEET__' || body AS value FROM b JOIN orders ON o_orderkey = o""".replace("__SHEET__", worksheets.SHEET)
+
+
+@query(_RENDER_SQL)
+def worksheet_rendered(t):
+    """A worksheet for each order, its parts as passages found by three queries; a part found twice stands where it was first."""
+    slug = lambda c: F.concat(F.lit("o"), c).alias("slug")
+    asked = t.orders.select(slug("o_orderkey"), F.concat(F.lit("order "), "o_orderkey").alias("question"), F.array("o_orderpriority", "o_orderstatus").alias("also"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("note"), (F.col("o_custkey") % 5 == 0).alias("decline"))
+    found = t.lineitem.select(slug("l_orderkey"), (F.col("l_linenumber") % 3).alias("query"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("chunk_id"))
+    parts = t.part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("kind"), F.concat(F.lit("part "), "p_partkey").alias("ref"), F.col("p_type").alias("title"), F.col("p_name").alias("text"), (F.col("p_partkey") % 4 != 0).alias("paged"))
+    return worksheets.rendered(asked, found.join(parts, "chunk_id"))
+
+
 _GROUND_SQL = """WITH a AS (SELECT o_orderkey AS id, (o_orderkey % 114 + 1) || ':' || (o_custkey % 200 + 1) AS v, o_orderkey % 3 AS k FROM orders)
 SELECT id, CASE k WHEN 0 THEN 'Tirmidhi|Muslim 300:4000' WHEN 1 THEN v || '|Tirmidhi|Sahih Muslim|Muslim 300:4000' ELSE v || '|Tirmidhi|Abu Dawud|Sahih Muslim|Muslim 300:4000' END AS unverified, k = 2 AS uncited FROM a"""
 

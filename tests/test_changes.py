@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import answers, backends, bank, prose, retrieval, tables
+from quern.operators import answers, backends, bank, prose, retrieval, tables, worksheets
 from quern.sources import readers
 from quern.streaming import appends
 
@@ -130,3 +130,18 @@ def test_best_by_tokens(spark):
         order = sorted(texts, key=lambda t: (-(len(a & sets(t[1])) / max(len(a | sets(t[1])), 1)), t[0]))
         want |= {(k, i) for i, _ in order[:7]}
     assert {(r.query_id, r.id) for r in retrieval.best_by_tokens(rows, q, 7).collect()} == want
+
+
+def test_rendered_worksheets_are_read_back(spark, tmp_path):
+    asked = spark.createDataFrame([("a", "Why?", ["how"], "look again", True), ("b", None, None, None, None), ("c", "no hits", [], "", False)], "slug string, question string, also array<string>, note string, decline boolean")
+    hits = [("a", 0, 2, 7, "verse", "1:2", "T", " two \n", True), ("a", 1, 1, 7, "verse", "1:2", "T", " two \n", True), ("a", 1, 2, 5, "prose", "p. 3", "U", "five", False)]
+    hits += [("a", 0, 1, 9, None, None, None, None, None), ("b", 0, 1, 4, "verse", "2:1", "T", "four", True), (None, 0, 1, 4, "verse", "2:1", "T", "four", True)]
+    made = worksheets.rendered(asked, spark.createDataFrame(hits, "slug string, query int, rank int, chunk_id long, kind string, ref string, title string, text string, paged boolean"))
+    value = {r.slug: r.value for r in made.collect()}
+    assert sorted(value) == ["a", "b"] and "(chapter-level, no page)" in value["a"] and '- found via: "how"' in value["a"] and "Reviewer note: look again" in value["a"] and "found via" not in value["b"]
+    sheets = made.select("slug", made.value.alias("text"))
+    assert sorted(map(tuple, worksheets.passages(sheets).collect())) == [("a", 1, 9), ("a", 2, 7), ("a", 3, 5), ("b", 1, 4)]
+    assert worksheets.citations(sheets).count() == 0
+    readers.write_new(made, str(tmp_path / "sheets"))
+    with pytest.raises(Exception, match="already exists"):
+        readers.write_new(made, str(tmp_path / "sheets"))

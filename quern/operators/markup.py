@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.shared import folder, stored
 
 # The line grammar.
 PAGE = r"Page(?:End)?V(\d+)P(\d+)"
@@ -26,9 +27,9 @@ START = r"^#\s+(.*)$"
 CONTINUATION = r"^~~\s?(.*)$"
 NOISE_LINE = r"^#####+\s*$|^\s*[_\-=~]{4,}\s*$"
 INLINE_NOISE = (
-    r"%~%|\bms\d+\b|@Q[BE]@|_{4,}|^\|+|Page(?:End)?V\d*[A-Za-z]\w*P\w+|Page(?:End)?V\d+P\w*[A-Za-z]\w*"
-    r"|<[^<>\n]{1,300}>|@[A-Za-z]{2,12}@"
-)
+    r"(?=[%m@_|P<])(?:%~%|\bms\d+\b|@Q[BE]@|_{4,}|^\|+|Page(?:End)?V\d*[A-Za-z]\w*P\w+|Page(?:End)?V\d+P\w*[A-Za-z]\w*"
+    r"|<[^<>\n]{1,300}>|@[A-Za-z]{2,12}@)"
+)  # the look ahead names the first characters, so that other places fail at once
 # Runs of letters and marks that the parser should have consumed in a text of another script, and characters of a sample.
 SUSPECT, CONTEXT = r"[A-Za-z@#~%$^&*_|\\]{2,}", 90
 META = r"^#META#\s*(.+?)\s*::\s*(.*)$"
@@ -51,6 +52,15 @@ def body(df: DataFrame) -> DataFrame:
     return df.withColumn("_from", F.coalesce(end, last, F.lit(-1))).where(F.col("line") > F.col("_from")).drop("_from")
 
 
+def whole_bodies(works: DataFrame) -> DataFrame:
+    """``body`` of the ``lines`` of works (work, text), a row each: lines stay in order in their work's partition, so nothing is exchanged after the texts and nothing is sorted."""
+    cut = works.repartition("work").select("work", F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n").alias("_lines"), F.contains("text", F.lit("#META#")).alias("_header"))
+    end = F.nullif(F.array_position(F.transform("_lines", lambda x: F.trim(x)), META_END), F.lit(0)) - 1
+    last = F.array_max(F.transform("_lines", lambda x, i: F.when(x.startswith("#META#"), i)))
+    at = cut.select("work", "_lines", F.coalesce(F.when(F.col("_header"), F.coalesce(end, last)), F.lit(-1)).alias("_from"))
+    return at.select("work", "_from", F.posexplode("_lines").alias("line", "raw")).where(F.col("line") > F.col("_from")).drop("_from")
+
+
 def meta(df: DataFrame) -> DataFrame:
     """(work, key, value) of header lines; values that stand for nothing are left out."""
     m = df.select("work", "line", F.regexp_extract("raw", META, 1).alias("key"), F.trim(F.regexp_extract("raw", META, 2)).alias("value"))
@@ -81,28 +91,31 @@ SEPARATOR = " › "
 _PAGE = re.compile(PAGE)
 
 
-def folded(df: DataFrame, order: list[Column], step: Callable, schema: pa.Schema, types: str) -> DataFrame:
+def folded(df: DataFrame, order: list[Column] | None, step: Callable, schema: pa.Schema, types: str) -> DataFrame:
     """What step yields over the rows of each work in order: step(state, row) gives (state, rows); state and row are None before and after a work.
 
-    df's partitions hold works whole. State goes on over the edges of batches.
+    df's partitions hold works whole. State goes on over the edges of batches. Without an order the rows come in theirs.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, work, started = None, None, False
         for b in batches:
             out: list[dict] = []
-            for row in b.to_pylist():
+            names = b.schema.names
+            for values in zip(*(c.to_pandas().tolist() if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns)):
+                row = dict(zip(names, values))
                 if started and row["work"] != work:
                     out += ({"work": work} | r for r in step(state, None)[1])
                     state = None
                 work, started = row["work"], True
                 state, made = step(state, row)
-                out += ({"work": work} | r for r in made)
-            yield pa.RecordBatch.from_pylist(out, schema)
+                if made:
+                    out += ({"work": work} | r for r in made)
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
         if started:
             yield pa.RecordBatch.from_pylist([{"work": work} | r for r in step(state, None)[1]], schema)
 
-    return df.sortWithinPartitions("work", *order).mapInArrow(run, types)
+    return (df if order is None else df.sortWithinPartitions("work", *order)).mapInArrow(run, types)
 
 
 def _lines_step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]:
@@ -123,7 +136,7 @@ def _lines_step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]
     def close() -> None:
         body, s["open"] = " ".join(t for t in map(str.strip, s["open"]) if t), []
         at = 0
-        for m in [*_PAGE.finditer(body), None]:
+        for m in [*(_PAGE.finditer(body) if "Page" in body else ()), None]:
             if text := body[at : m.start() if m else None].strip():
                 piece(heading=SEPARATOR.join(s["crumbs"]), text=text, volume=s["volume"])
             if m:
@@ -134,7 +147,7 @@ def _lines_step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]
     if kind not in ("more", "text"):
         close()
     if kind == "page":
-        marks(row["clean"])
+        marks(row["content"])
     elif kind == "heading":
         marks(row["content"])
         title = _PAGE.sub(" ", row["content"]).strip().strip("|").strip()
@@ -161,7 +174,7 @@ def blocks(df: DataFrame, together: bool = False) -> DataFrame:
     last mark has the last volume and no page. (0, 0) ends a piece of text but numbers nothing. together: partitions hold works whole already.
     """
     kind = df.schema["work"].dataType.simpleString()
-    rows = df.where("kind <> 'skip'").select("work", "line", "kind", "clean", "content", "depth")
+    rows = df.where("kind <> 'skip'").select("work", "line", "kind", "content", "depth")
     arrow = pa.schema([("work", _arrow(df, "work")), ("n", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("volume", pa.int32()), ("page", pa.int32())])
     types = f"work {kind}, n int, heading string, text string, volume int, page int"
     pieces = folded(rows if together else rows.repartition("work"), ["line"], _lines_step, arrow, types)
@@ -173,13 +186,50 @@ def parse(df: DataFrame) -> DataFrame:
     return blocks(line_kinds(body(df.repartition("work"))), together=True)
 
 
+def _whole_step(state: dict | None, row: dict | None) -> tuple[dict, list[dict]]:
+    """Both folds at once: blocks wait for the next mark, at most until their work ends."""
+    s = state or {"lines": None, "wait": [], "n": 0}
+    out: list[dict] = []
+    if row is not None and row["kind"] == "skip":
+        return s, out
+    s["lines"], made = _lines_step(s["lines"], row)
+
+    def flush(mark: tuple[int, int] | None) -> None:
+        for b in s["wait"]:
+            s["n"] += 1
+            out.append(b | {"n": s["n"]} | dict(zip(("volume", "page"), mark or (b["volume"], None))))
+        s["wait"] = []
+
+    for b in made:
+        if b["page"] is None:
+            s["wait"].append(b)
+        else:
+            flush((b["volume"], b["page"]))
+    if row is None:
+        flush(None)
+    return s, out
+
+
+def parse_whole(works: DataFrame) -> DataFrame:
+    """``parse`` of works (work, text), a row each: one exchange of texts, no sort; blocks are numbered from 1 and come in order. A task holds one work's blocks that wait for a page mark."""
+    kind = works.schema["work"].dataType.simpleString()
+    rows = line_kinds(whole_bodies(works)).select("work", "kind", "content", "depth")  # lines to skip go to the fold: a filter here would classify each line twice
+    arrow = pa.schema([("work", _arrow(works, "work")), ("n", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("volume", pa.int32()), ("page", pa.int32())])
+    return folded(rows, None, _whole_step, arrow, f"work {kind}, n int, heading string, text string, volume int, page int").withColumnRenamed("n", "block")
+
+
 def audit(df: DataFrame, show: int = 15, worst: int = 5) -> DataFrame:
     """(part, name, n, work, sample) of blocks: how many suspect runs there are and how many differ, the most frequent with the first place of each, the works that have most, and the blocks with and without a page."""
-    runs = df.select("work", "block", "text", F.explode(F.regexp_extract_all("text", F.lit(SUSPECT), F.lit(0))).alias("run")).withColumn("name", F.lower("run"))
-    found = runs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("work", "block", F.substring("text", 1, CONTEXT).alias("sample"))).alias("at"))
+    own = F.regexp_extract_all("text", F.lit(SUSPECT), F.lit(0))
+    runs = df.select("work", F.explode(own).alias("run")).withColumn("name", F.lower("run"))
+    # Counts and first works by name keep no text; only the first works of the names shown are read again for their samples.
+    found = stored(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("work").alias("work")), folder(df.sparkSession, "runs"))
+    shown = F.broadcast(found.orderBy(F.desc("n"), "name").limit(show))
+    again = df.join(F.broadcast(shown.select("work").distinct()), "work", "left_semi").select("work", "block", F.substring("text", 1, CONTEXT).alias("sample"), F.explode(F.array_distinct(F.transform(own, F.lower))).alias("name"))
+    samples = again.join(shown, ["name", "work"]).groupBy("name", "n", "work").agg(F.min(F.struct("block", "sample")).alias("at"))
     none, words = F.lit(None).cast(df.schema["work"].dataType), F.lit(None).cast("string")
-    top = found.orderBy(F.desc("n"), "name").limit(show).select(F.lit("artifact").alias("part"), "name", "n", F.col("at.work").alias("work"), F.col("at.sample").alias("sample"))
-    works = runs.groupBy("work").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "work").limit(worst).select(F.lit("work").alias("part"), words.alias("name"), "n", "work", words.alias("sample"))
+    top = samples.select(F.lit("artifact").alias("part"), "name", "n", "work", F.col("at.sample").alias("sample"))
+    works = df.select("work", F.size(own).cast("long").alias("n")).where("n > 0").groupBy("work").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "work").limit(worst).select(F.lit("work").alias("part"), words.alias("name"), "n", "work", words.alias("sample"))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("artifacts"), F.count(F.lit(1)).alias("distinct"))
     pages = df.agg(F.count(F.lit(1)).alias("blocks"), F.count("page").alias("paged"))
     line = lambda t, *names: t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names])).alias("x")).select(F.lit("total").alias("part"), "x.name", "x.n", none.alias("work"), words.alias("sample"))
@@ -222,11 +272,12 @@ def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
     return rows.mapInPandas(fold, f"work {kinds['work']}, block {kinds['block']}, run long, part int")
 
 
-def classical_chunks(df: DataFrame, titles: DataFrame, target: int = TARGET, together: bool = True) -> DataFrame:
-    """(work, ordinal, ref, volume, heading, content, embed_text, token_count) of blocks (work, block, heading, text, volume, page) and titles (work, title).
+def classical_chunks(df: DataFrame, titles: DataFrame | Column, target: int = TARGET, together: bool = True, ordered: bool = False) -> DataFrame:
+    """(work, ordinal, ref, volume, heading, content, embed_text, token_count) of blocks (work, block, heading, text, volume, page) and titles (work, title), or titles as an expression of work.
 
     A chunk never spans headings; oversize blocks are cut and packed again with their page. Its reference names the first volume and the span of
-    pages, or the title alone where no page reached it. together: df comes from ``blocks``, whose partitions hold works whole.
+    pages, or the title alone where no page reached it. together: df comes from ``blocks``, whose partitions hold works whole;
+    ordered: from ``parse_whole``, whose blocks also come in order.
     """
     from quern.operators import prose
 
@@ -258,7 +309,8 @@ def classical_chunks(df: DataFrame, titles: DataFrame, target: int = TARGET, tog
     arrow = pa.schema([("work", _arrow(df, "work")), ("ordinal", pa.int32()), ("heading", pa.string()), ("body", pa.string()), ("volume", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
     types = f"work {kind}, ordinal int, heading string, body string, volume int, low int, high int"
     rows = df.select("work", "block", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("text", F.lit("")).alias("text"), "volume", "page")
-    made = folded(rows if together else rows.repartition("work"), ["block"], step, arrow, types).join(titles, "work")
+    made = folded(rows if together or ordered else rows.repartition("work"), None if ordered else ["block"], step, arrow, types)
+    made = made.join(titles, "work") if isinstance(titles, DataFrame) else made.withColumn("title", titles)
     span = F.concat(F.lit(" "), F.col("volume").cast("string"), F.lit(":"), F.col("low").cast("string"), F.when(F.col("low") != F.col("high"), F.concat(F.lit("-"), F.col("high").cast("string"))).otherwise(""))
     ref = F.concat("title", F.coalesce(span, F.lit("")))
     none = F.lit(None).cast("string")
@@ -273,7 +325,8 @@ def volume_ref(title: Column, volume: Column) -> Column:
 
 def volumes(chunks: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(work, volume, ref, ordinal, chunks) of each volume's document, unpaginated text last; and the names of a work that several documents would share, which refuse it."""
-    own = chunks.groupBy("work", "volume").agg(F.count(F.lit(1)).alias("chunks")).join(titles, "work").withColumn("ref", volume_ref(F.col("title"), F.col("volume")))
+    counted = stored(chunks.groupBy("work", "volume").agg(F.count(F.lit(1)).alias("chunks")), folder(chunks.sparkSession, "volumes"))  # read three times
+    own = counted.join(titles, "work").withColumn("ref", volume_ref(F.col("title"), F.col("volume")))
     order = Window.partitionBy("work").orderBy(F.col("volume").isNull(), "volume")
     clash = own.groupBy("ref").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
     return own.select("work", "volume", "ref", (F.row_number().over(order) - 1).alias("ordinal"), "chunks"), clash

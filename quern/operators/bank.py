@@ -128,13 +128,15 @@ def unsearchable_terms(answers: DataFrame, skip: list[str]) -> DataFrame:
     """(id, absent) of answers (id, slug, phrasings): words of the slug whose stem is in no stem of the phrasings, nor holds one of four letters or more."""
     words = lambda c: F.filter(F.split(T.sub(F.lower(c), "['’]"), "[^a-z]+"), lambda w: w != "")
     terms = F.filter(F.split("slug", "-"), lambda w: (F.length(w) > 3) & ~w.isin(skip))
-    df = answers.where(F.coalesce("phrasings", F.lit("")) != "").select("id", F.array_distinct(terms).alias("terms"), F.array_distinct(F.transform(words(F.col("phrasings")), T.stem)).alias("stems"))
+    df = answers.where(F.coalesce("phrasings", F.lit("")) != "").select("id", F.array_distinct(terms).alias("terms"), F.array_distinct(words(F.col("phrasings"))).alias("words"))
+    # Each distinct word is stemmed once, not again for each word that it meets: the optimizer would copy a column's expression into the lambda.
+    terms = F.transform("terms", lambda w: F.struct(w.alias("word"), T.stem(w).alias("stem")))
 
-    def found(t: Column) -> Column:
-        return F.exists("stems", lambda s: F.contains(s, t) | ((F.length(s) >= 4) & F.contains(t, s)))
+    def found(stems: Column, t: Column) -> Column:
+        return F.exists(stems, lambda s: F.contains(s, t) | ((F.length(s) >= 4) & F.contains(t, s)))
 
-    absent = F.filter("terms", lambda w: (F.length(T.stem(w)) >= 3) & ~found(T.stem(w)))
-    return df.select("id", absent.alias("absent")).where(F.size("absent") > 0)
+    absent = T.let(F.array_distinct(F.transform("words", T.stem)), lambda stems: F.filter(terms, lambda w: (F.length(w["stem"]) >= 3) & ~found(stems, w["stem"])))
+    return df.select("id", F.transform(absent, lambda w: w["word"]).alias("absent")).where(F.size("absent") > 0)
 
 
 def forms(question: Column, phrasing: Column, body: Column) -> dict[str, Column]:

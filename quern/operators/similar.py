@@ -2,13 +2,19 @@
 
 ``similar`` keeps the pairs whose sets are alike: members are put in order of rarity, a pair over the threshold shares one of the rarest members of both sides, the prefix,
 and sizes of alike sets are bounded by each other; what meets is compared exactly. ``containing`` finds the texts that hold a quote word for word: each quote meets
-texts by its rarest run of whole words alone, and within one reference where references are given.
+texts by its rarest run of whole words alone, and within one reference where references are given. ``counted`` only counts them, so nothing is exchanged for a short quote
+but what a batch of texts counts, however many texts hold it.
 
 Cases: empty and null sets are alike to nothing; null and wordless quotes are contained in nothing; repeated ids are one set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,12 @@ from quern.operators.retrieval import small
 from quern.sources.shared import folder, stored
 
 GRAM = 3
+#: Code points of a quote that texts are looked up by; code points of texts that are looked up at once.
+SPAN, BLOCK = 16, 1 << 16
+#: Bits of the filter that every task holds: for each quote, and at most (32 MB; beyond, more of what meets is dropped by the join).
+BITS_EACH, MOST_BITS = 32, 1 << 28
+_STEP, _CODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PROBES = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def prefixes(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
@@ -80,3 +92,119 @@ def containing(quotes: DataFrame, texts: DataFrame, by_ref: bool = False) -> Dat
         whole = vocabulary.join(small(side), fits).select("quote_id", "q", "word")
         met = met.unionByName(words.select("text_id", F.explode(F.array_distinct("w")).alias("word")).join(small(whole), "word").select("quote_id", "text_id", "q"))
     return met.distinct().join(d.select("text_id", "body"), "text_id").where(F.contains("body", F.col("q"))).select("quote_id", "text_id")
+
+
+def _blocks(refs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts with a line break after each, their rows, where they start, hash of the reference of each code point), BLOCK code points or a text at a time."""
+    seeds, rows, parts, n = {}, [], [], 0
+
+    def block() -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) for p in parts])
+        return "".join(parts), np.array(rows), np.cumsum(sizes) - sizes, np.repeat(np.array([seeds[refs[i].as_py()] for i in rows], np.uint64), sizes)
+
+    for i in range(len(texts)):
+        ref = refs[i].as_py()
+        if ref not in seeds:
+            seeds[ref] = xxhash.xxh3_64_intdigest(ref.encode())
+        rows.append(i)
+        parts.append(texts[i].as_py() + "\n")
+        n += len(parts[-1])
+        if n >= BLOCK:
+            yield block()
+            rows, parts, n = [], [], 0
+    if parts:
+        yield block()
+
+
+def _spans(codes: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the code points from each place and their reference), for lengths to SPAN."""
+    own = (codes.astype(np.uint64) + np.uint64(1)) * _CODE
+    h = np.zeros(len(own), np.uint64)
+    for n in range(1, min(SPAN, len(own)) + 1):
+        h = h[: len(own) - n + 1]
+        h *= _STEP
+        h += own[n - 1 :]
+        yield n, h ^ seeds[: len(h)]
+
+
+def _slots(keys: np.ndarray, probe: np.uint64, bits: int) -> np.ndarray:
+    return (keys * probe) >> np.uint64(64 - bits)
+
+
+def _held(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Places whose key may be in the table."""
+    at = None
+    for probe in _PROBES:
+        slot = _slots(keys if at is None else keys[at], probe, bits)
+        hit = np.flatnonzero((table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+        at = hit if at is None else at[hit]
+    return at
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _filter(starts: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of starts (ref, s): its size is bounded, whatever their number."""
+    bits = max(10, min(MOST_BITS, BITS_EACH * starts.count()).bit_length())
+    bits = min(bits, MOST_BITS.bit_length() - 1)
+
+    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, _, at, seeds in _blocks(b.column("ref"), b.column("s")):
+                sizes = np.diff(np.append(at, len(text))) - 1
+                for n, keys in _spans(_codes(text), seeds):
+                    own = keys[at[sizes == n]]
+                    for probe in _PROBES:
+                        yield pa.RecordBatch.from_arrays([pa.array(_slots(own, probe, bits).astype(np.int32), pa.int32())], ["slot"])
+
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    slot = starts.mapInArrow(slots, "slot int").distinct().toArrow().column("slot").to_numpy()  # at most MOST_BITS numbers
+    np.bitwise_or.at(table, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+    return table, bits
+
+
+def counted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(quote_id, n, one): how many texts (text_id, ref, text) of its reference hold the words of a quote (quote_id, ref, quote), as ``containing`` compares them, and the smallest of them.
+
+    Texts are looked up place by place in a filter of the quotes' first SPAN code points. Whole quotes are counted by batches of texts, so the texts that hold a common word are
+    not exchanged; only longer quotes are compared with the texts where they start.
+    """
+    spark = quotes.sparkSession
+    q = quotes.select("quote_id", "ref", T.database_words(F.col("quote")).alias("q")).where((F.trim("q") != "") & F.col("ref").isNotNull())
+    q = stored(q.withColumn("s", F.substring("q", 1, SPAN)), folder(spark, "quotes"))
+    d = texts.select("text_id", "ref", T.database_words(F.col("text")).alias("body")).where(F.col("body").isNotNull() & F.col("ref").isNotNull())
+    shared = spark.sparkContext.broadcast(_filter(q.select("ref", "s").distinct()))
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = shared.value
+        for b in batches:
+            refs, ids, held, starts = b.column("ref").to_pylist(), b.column("text_id").to_pylist(), {}, []
+            for text, rows, begin, seeds in _blocks(b.column("ref"), b.column("body")):
+                codes = _codes(text)
+                for n, keys in _spans(codes, seeds):
+                    at = _held(table, bits, keys)
+                    own = np.searchsorted(begin, at, "right") - 1
+                    if n <= 2:  # of one text and one letter or two: the first place
+                        pair = codes[at].astype(np.int64) | (codes[at + n - 1].astype(np.int64) << 21) | (own << 42)
+                        first = np.unique(pair, return_index=True)[1]
+                        at, own = at[first], own[first]
+                    for row, s in set(zip(rows[own].tolist(), (text[i : i + n] for i in at.tolist()))):
+                        if n == SPAN:
+                            starts.append((refs[row], s, 1, ids[row]))
+                        elif (refs[row], s) in held:
+                            h = held[refs[row], s]
+                            h[0], h[1] = h[0] + 1, min(h[1], ids[row])
+                        else:
+                            held[refs[row], s] = [1, ids[row]]
+            out = list(zip(*starts, *((*k, *v) for k, v in held.items()))) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], b.schema.field("text_id").type)], ["ref", "s", "n", "one"])
+
+    found = stored(d.mapInArrow(look, f"ref string, s string, n long, one {kind}"), folder(spark, "starts"))
+    short, long = (q.where(c).select("ref", "q", "s").distinct() for c in (F.length("q") <= SPAN, F.length("q") > SPAN))
+    whole = short.join(found.groupBy("ref", "s").agg(F.sum("n").alias("n"), F.min("one").alias("one")), ["ref", "s"]).select("ref", "q", "n", "one")
+    met = long.join(found.where(F.length("s") == SPAN).select("ref", "s", F.col("one").alias("text_id")).distinct(), ["ref", "s"]).drop("s")
+    more = d.join(met, ["text_id", "ref"]).where(F.contains("body", F.col("q"))).groupBy("ref", "q").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("one"))
+    return q.join(whole.unionByName(more), ["ref", "q"]).groupBy("quote_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"))

@@ -180,7 +180,7 @@ def rebind_by_ref(t):
     # A chunk's own reference stands before that of its document.
     own = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("")
     chunks = t.documents.select(F.col("doc_id").alias("text_id"), T.effective_ref(own, F.col("source")).alias("ref"), "text")
-    met = similar.containing(cites, chunks, by_ref=True).groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("one"))
+    met = similar.counted(cites, chunks)
     return met.select(F.col("quote_id").alias("cite_id"), F.when(F.col("n") == 1, F.col("one")).alias("chunk_id"), "n")
 
 

@@ -16,6 +16,8 @@ DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
 FOLD_FROM, FOLD_TO = "آأإٱىةؤئ", "اااايهوي"
 DIGITS_FROM = "".join(chr(0x660 + i) for i in range(10)) + "".join(chr(0x6F0 + i) for i in range(10))
 DIGITS_TO = "0123456789" * 2
+# All that the search normalisation removes or replaces.
+FOLDED = r"[\x{0600}-\x{06FF}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{FD3E}\x{FD3F}]"
 ARABIC_SCRIPT = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 ARABIC_BLOCK = r"[\x{0600}-\x{06FF}]"
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -42,16 +44,25 @@ def squeeze(c: Column) -> Column:
     return F.trim(sub(c, SPACE + "+", " "))
 
 
+def ascii_only(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
 def trimmed(c: Column) -> Column:
-    """No white space at the ends, line breaks and tabs included."""
-    return sub(c, f"^{SPACE}+|{SPACE}+$")
+    """No white space at the ends, line breaks and tabs included; a text without is not searched for it."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(SPACE), sub(c, f"^{SPACE}+|{SPACE}+$")).otherwise(c)
 
 
 def normalize_arabic(c: Column, composed: bool = False) -> Column:
     """Search form of a text; idempotent, '' for null. composed: the input is known to be in NFC."""
     c = F.coalesce(c, F.lit(""))
-    c = sub(sub(sub(c if composed else nfc(c), ZERO_WIDTH), QURANIC_MARKS, " "), DIACRITICS)
-    return squeeze(F.translate(F.translate(c, FOLD_FROM, FOLD_TO), DIGITS_FROM, DIGITS_TO))
+    if not composed:
+        # Python gets only what may change: ASCII is composed.
+        c = F.coalesce(nfc(F.when(~ascii_only(c), c)), c)
+    folded = sub(sub(sub(c, ZERO_WIDTH), QURANIC_MARKS, " "), DIACRITICS)
+    folded = F.translate(F.translate(folded, FOLD_FROM, FOLD_TO), DIGITS_FROM, DIGITS_TO)
+    return squeeze(F.when(ascii_only(c), c).when(c.rlike(FOLDED), folded).otherwise(c))
 
 
 def has_arabic(c: Column) -> Column:
@@ -104,7 +115,7 @@ def stub_tokens(c: Column) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    arabic = F.length(c) - F.length(sub(c, ARABIC_BLOCK))
+    arabic = F.when(ascii_only(c), F.lit(0)).otherwise(F.length(c) - F.length(sub(c, ARABIC_BLOCK)))
     return (F.lit(0.35) * arabic + F.lit(0.25) * (F.length(c) - arabic)).cast("int") + 1
 
 

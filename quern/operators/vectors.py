@@ -27,8 +27,8 @@ from quern.sources.shared import folder, reopened, stored
 
 #: Queries that a task holds; beyond, blocks of queries meet blocks of rows. Rows of such a block.
 BLOCK, ROWS = 2_000, 20_000
-#: Pairs whose sums stay in a core's cache.
-PAIRS = 1 << 16
+#: Pairs whose sums stay in a core's cache; candidates that a task adds before those that are out go.
+PAIRS, ADDED = 1 << 16, 1 << 17
 #: Sample of the cells' fit, cells at most (their centres are broadcast), cells of a folder, rounds of the fit.
 SAMPLE, MOST_CELLS, FOLDER_CELLS, FIT_ROUNDS = 20_000, 4_096, 8, 8
 #: Rows of cell statistics that the driver reads; an index with more is searched without bounds of cells.
@@ -68,17 +68,23 @@ class Best:
     low and high bound the distance. Of equal vectors (one key) the k smallest ids stay; the others go once k are nearer for sure.
     """
 
-    def __init__(self, k: int):
-        self.k, self.kinds, self.parts, self.n = k, {}, [], 0
+    def __init__(self, k: int, queries: int):
+        self.queries = queries
+        self.k, self.kinds, self.parts, self.n, self.most, self.rows = k, {}, [], 0, ADDED, 0
+        #: By kind and query: a distance that k of those seen keep within.
+        self.limits: dict[int, np.ndarray] = {}
 
-    def codes(self, kinds: list) -> np.ndarray:
-        return np.array([self.kinds.setdefault(v, len(self.kinds)) for v in kinds], np.int64)
+    def codes(self, kinds: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        coded = (kinds.combine_chunks() if isinstance(kinds, pa.ChunkedArray) else kinds).dictionary_encode("encode")
+        own = np.array([self.kinds.setdefault(v, len(self.kinds)) for v in coded.dictionary.to_pylist()], np.int64)
+        return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
 
     def add(self, query: np.ndarray, kind: np.ndarray, ids: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         self.parts.append((query, kind, ids, key, low, high))
         self.n += len(query)
-        if self.n > 1 << 20:
+        if self.n > self.most:
             self.shrink()
+            self.most = self.n + ADDED
 
     def matrix(self, low: np.ndarray, high: np.ndarray, queries: np.ndarray, kind: np.ndarray, ids: np.ndarray, key: np.ndarray) -> None:
         """Adds the rows of (rows x queries) matrices; of each kind only those that its own rows leave."""
@@ -86,6 +92,8 @@ class Best:
             rows = np.flatnonzero(kind == code)
             l, h = low[rows], high[rows]
             least = np.partition(h, self.k - 1, axis=0)[self.k - 1] if len(rows) > self.k else np.full(h.shape[1], np.inf)
+            if code in self.limits:
+                least = np.minimum(least, self.limits[code][queries])
             r, q = np.nonzero(l <= least)
             self.add(queries[q], np.full(len(r), code), ids[rows[r]], key[rows[r]], l[r, q], h[r, q])
 
@@ -106,11 +114,15 @@ class Best:
         at = at[rank < self.k]
         query, kind, ids, key, low, high = (c[at] for c in (query, kind, ids, key, low, high))
         at, rank = place(ids, high, kind, query, group=2)
-        limit = {}
-        for q, c, h in zip(query[at[rank == self.k - 1]].tolist(), kind[at[rank == self.k - 1]].tolist(), high[at[rank == self.k - 1]].tolist()):
-            limit[q, c] = h
-        most = np.array([limit.get(p, np.inf) for p in zip(query.tolist(), kind.tolist())])
-        keep = low <= most
+        group, last = np.cumsum(rank == 0) - 1, rank == self.k - 1
+        limit = np.full(int((rank == 0).sum()), np.inf)
+        limit[group[last]] = high[at[last]]
+        for code in np.unique(kind[at[last]]):
+            own = at[last][kind[at[last]] == code]
+            known = self.limits.setdefault(code, np.full(self.queries, np.inf))
+            known[query[own]] = np.minimum(known[query[own]], high[own])
+        keep = np.empty(len(at), bool)
+        keep[at] = low[at] <= limit[group]
         self.parts = [tuple(c[keep] for c in (query, kind, ids, key, low, high))]
         self.n = int(keep.sum())
         return self.parts[0]
@@ -132,18 +144,23 @@ class Best:
         return [known[c] for c in kind.tolist()]
 
 
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _scan(best: Best, rows: pa.RecordBatch | pa.Table, query_ids: np.ndarray, q: np.ndarray, others: bool) -> None:
-    ids = np.asarray(rows.column("id").to_pylist(), np.int64)
-    kind = best.codes(rows.column("kind").to_pylist())
+    ids, kind = _numbers(rows.column("id")), best.codes(rows.column("kind"))
     column = rows.column("embedding")
     x = matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    # Many times k rows of a kind, where there are as many queries as a block has and ten kinds.
     step = max(best.k + 1, (1 << 21) // max(1, len(q)))
     for lo in range(0, len(ids), step):
         d = distances(x[lo : lo + step], q)
         own = ids[lo : lo + step]
         if others:
             d[own[:, None] == query_ids] = np.inf
-        best.matrix(d, d, np.arange(len(q)), kind[lo : lo + step], own, np.arange(len(own)) + lo)
+        best.matrix(d, d, np.arange(len(q)), kind[lo : lo + step], own, best.rows + np.arange(len(own)))
+        best.rows += len(own)  # each row has a key of its own, in later batches too
 
 
 def _result(best: Best, query_ids: np.ndarray, kind_type: pa.DataType) -> pa.Table:
@@ -166,7 +183,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, others: bool = False, b
         shared = rows.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in first], np.int64), np.array([r["vector"] for r in first], np.float64)))
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, kind = Best(k), pa.string()
+            best, kind = Best(k, len(shared.value[0])), pa.string()
             for b in batches:
                 kind = b.schema.field("kind").type
                 _scan(best, b, *shared.value, others)
@@ -177,7 +194,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, others: bool = False, b
         blocks, parts = -(-asked.count() // block), -(-live.count() // ROWS)
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            best, ids = Best(k), np.asarray(right.column("query_id").to_pylist(), np.int64)
+            ids = _numbers(right.column("query_id"))
+            best = Best(k, len(ids))
             if left.num_rows and right.num_rows:
                 _scan(best, left, ids, matrix(right.column("vector").combine_chunks()), others)
             return _result(best, ids, left.schema.field("kind").type)
@@ -257,16 +275,19 @@ class VectorIndex:
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, centres, who = shared.value
-            best, kinds = Best(k), None
+            best, kinds = Best(k, len(q)), None
             for b in batches:
                 kinds = b.schema.field("kind").type
-                cell, ids, key = (np.asarray(b.column(c).to_pylist(), np.int64) for c in ("cell", "id", "key"))
-                kind = best.codes(b.column("kind").to_pylist())
-                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(len(ids), -1)
+                if not b.num_rows:
+                    continue
+                cell, ids, key = (_numbers(b.column(c)) for c in ("cell", "id", "key"))
+                kind, held = best.codes(b.column("kind")), b.column("code").cast(pa.large_binary())
+                at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+                code = np.frombuffer(held.buffers()[2], np.int8)[at[0] : at[-1]].reshape(len(ids), -1)
                 scale, error = (b.column(c).to_numpy() for c in ("scale", "error"))
                 for c in np.unique(cell):
                     own, asked = np.flatnonzero(cell == c), who[int(c)]
-                    step = max(k + 1, (1 << 20) // len(asked))
+                    step = max(k + 1, (1 << 19) // len(asked))
                     for lo in range(0, len(own), step):
                         at = own[lo : lo + step]
                         about = 1 - (centres[c] + code[at] * scale[at, None]) @ q[asked].T

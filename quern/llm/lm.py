@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import chunks, words
 from quern.llm.common import Scratch, alone, mix64, release_shuffles, spread
+from quern.llm.words import numbered
 
 RUN, STEP, LANES = 4096, 32, 1024
 SCALE = 12.0  # steps of a log odds of 1 in the tables
@@ -38,13 +39,16 @@ RATE, REFINE, FIRST_WEIGHT = 0.02, 0.02, 0.4
 GATES, LEVELS = 4, 8
 PAD = 4
 END = b"\0"
-CHUNK = 8 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
-AT_ONCE = 1 << 18  # bytes of text whose symbols are numbered at once
+CHUNK = 12 << 20  # bytes of text: the larger, the fewer slots for each byte are exchanged
+SHARED = 12 << 20  # bytes of texts whose like pieces are held once
+AT_ONCE = 1 << 18  # bytes of pieces whose symbols are numbered at once
 RANGES, WIDE = 5, 20  # of a table: 2**5 ranges at least, each of 2**20 slots at most
 RAW = 1 << 20  # slots of a chunk that are held before they are counted
 PIECE = 1 << 16  # slots of a range whose log odds are taken at once
+HEAD, TAIL = 4, 16  # a word is cut after so many bytes
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
+_GATE = np.array([0, 1, 1, 2, 2, 2, 3], np.uint8)  # by bytes since the last white space
 
 
 def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -83,34 +87,30 @@ def code_of(counts: bytes) -> Code:
 
 
 class Symbols:
-    """The coded bytes of texts in turn, each with the byte before it: ``symbol`` (16 bits), ``gate``, and its three contexts.
+    """The coded bytes of some pieces, end to end, each with the byte before it: ``symbol`` (16 bits), ``gate``, and its three contexts.
 
+    A piece goes from ``begin`` on for ``size`` bytes of ``joined``, in the word that starts at ``word``; a word ends with its white space.
     Where a context and a symbol come again, so do their decisions and slots: ``numbers`` of a context tells them apart once.
     """
 
-    def __init__(self, texts: list[bytes]):
-        raw = np.frombuffer(b"".join([b"\0" * PAD + t + END for t in texts]), np.uint8)
-        self.sizes = np.array([len(t) + 1 for t in texts])
-        begin = np.cumsum(self.sizes + PAD) - self.sizes
-        coded = chunks_ragged(begin, self.sizes)
-        wide = raw.astype(np.uint64)
-        two = np.zeros(len(raw), np.uint64)
-        two[2:] = wide[1:-1] | wide[:-2] << np.uint64(8)
-        four = np.zeros(len(raw), np.uint64)
-        four[4:] = two[4:] | wide[1:-3] << np.uint64(16) | wide[:-4] << np.uint64(24)
-        # The word so far: bytes after the last white space; a polynomial over the text, cut at the word's start.
-        place = np.arange(len(raw))
-        fresh = np.zeros(len(raw), np.int64)
-        fresh[1:] = np.where(_SPACE[raw[:-1]], place[1:], 0)
-        first = np.maximum.accumulate(fresh)
-        power, inverse = chunks_powers(len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((wide + np.uint64(1)) * power[: len(raw)], out=total[1:])
-        word = (total[place] - total[first]) * inverse[first]
-        into = (place - first)[coded]
-        self.gate = np.where(into == 0, 0, np.where(into < 3, 1, np.where(into < 6, 2, 3))).astype(np.uint8)
-        self.symbol = raw[coded - 1].astype(np.int32) << 8 | raw[coded]
-        self.contexts = [c[coded] for c in (two, four, word)]
+    def __init__(self, joined: bytes, word: np.ndarray, begin: np.ndarray, size: np.ndarray):
+        raw = np.frombuffer(joined, np.uint8)
+        at = chunks_ragged(begin, size)
+        four = np.ndarray((len(joined) - 7,), ">u4", joined, strides=(1,))[at - 4].astype(np.uint32)  # the byte before is the lowest
+        into = at - np.repeat(word.astype(np.int32), size)
+        self.gate = _GATE[np.minimum(into, 6)]
+        self.symbol = (four & np.uint32(255)).astype(np.int32) << 8 | raw[at]
+        # The word so far: a polynomial over its bytes, from the word's start.
+        whole = begin - word + size
+        every = raw[chunks_ragged(word, whole)].astype(np.uint64)
+        power, inverse = chunks_powers(len(every))
+        total = np.zeros(len(every) + 1, np.uint64)
+        every += np.uint64(1)
+        every *= power[: len(every)]
+        np.cumsum(every, out=total[1:])
+        first = np.cumsum(whole) - whole
+        so_far = (total[chunks_ragged(first + begin - word, size)] - np.repeat(total[first], size)) * np.repeat(inverse[first], size)
+        self.contexts = [(four & np.uint32(0xFFFF)).astype(np.uint64), four.astype(np.uint64), so_far]
 
     def numbers(self, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of each place's context t and symbol, one place of each number)."""
@@ -142,31 +142,6 @@ def chunks_ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat((start - (done - size)).astype(np.int32), size) + np.arange(int(done[-1]) if len(done) else 0, dtype=np.int32)
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each key, a place of each number), equal keys having one number; by open addressing, all keys at once."""
-    n = len(keys)
-    size = 1 << max(10, n.bit_length())
-    at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int32)
-    slot = np.full(size, -1, np.int32)
-    slot[at] = np.arange(n, dtype=np.int32)  # of several at one slot the last stays
-    same = slot[at]
-    todo = np.flatnonzero(keys[same] != keys)
-    at = at[todo]
-    while len(todo):
-        at = (at + 1) & (size - 1)
-        got = slot[at]
-        free = got < 0
-        slot[at[free]] = todo[free]
-        got = slot[at]
-        hit = keys[got] == keys[todo]
-        same[todo[hit]] = got[hit]
-        todo, at = todo[~hit], at[~hit]
-    first = np.flatnonzero(same == np.arange(n, dtype=np.int32))
-    number = np.empty(n, np.int32)
-    number[first] = np.arange(len(first), dtype=np.int32)
-    return number[same], first
-
-
 _PLACES: list[np.ndarray] = []
 
 
@@ -182,34 +157,113 @@ def numbered_small(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[keys], first
 
 
+class Pieces:
+    """Words of texts cut after 4 and 16 bytes, and which of these pieces are alike: all their contexts and symbols are the same.
+
+    ``piece`` is the number of each piece in turn, ``count`` how many a text has. Equal first pieces agree in the 4 bytes before them too, equal
+    second ones in the whole word so far. What goes beyond 16 bytes of a word is a piece of its own.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.joined = b"".join([b"\0" * PAD + t + END for t in texts]) + b"\0" * TAIL
+        raw = np.frombuffer(self.joined, np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts])
+        begin = np.cumsum(self.sizes + PAD) - self.sizes
+        close = begin + self.sizes  # after the zero byte
+        before = _SPACE[raw]
+        for i in range(1, PAD):
+            before[begin - 1 - i] = False
+        before[close - 1] = False
+        before[close[-1] :] = False
+        word = np.flatnonzero(before) + 1
+        self.place = np.searchsorted(word, begin)  # of each text's first word
+        end = np.append(word[1:], close[-1])
+        end[np.append(self.place[1:], len(word)) - 1] = close
+        n = end - word
+        eight = np.ndarray((len(raw) - 7,), "<u8", self.joined, strides=(1,))
+        key = eight[word - 4] & words._MASK[np.minimum(n, HEAD) + 4]
+        heads, head = numbered(key)
+        long, far = np.flatnonzero(n > HEAD), np.flatnonzero(n > TAIL)
+        lo, hi = eight[word[long]], eight[word[long] + 8] & words._MASK[np.clip(n[long] - 8, 0, 8)]
+        lo &= words._MASK[np.minimum(n[long], 8)]
+        tails, tail = numbered(words.hashes(lo, hi))
+        odd = np.flatnonzero((lo[tail][tails] != lo) | (hi[tail][tails] != hi))  # other words of one hash
+        tails[odd] = len(tail) + np.arange(len(odd), dtype=np.int32)
+        tail = long[np.append(tail, odd)]
+        # First pieces, then second ones, then the rest.
+        self.word = np.concatenate((word[head], word[tail], word[far]))
+        self.begin = self.word + np.repeat([0, HEAD, TAIL], [len(head), len(tail), len(far)])
+        self.size = np.concatenate((np.minimum(n[head], HEAD), np.minimum(n[tail], TAIL) - HEAD, n[far] - TAIL))
+        per = 1 + (n > HEAD) + (n > TAIL)
+        at = np.cumsum(per) - per
+        self.piece = np.empty(int(per.sum()), np.int32)
+        self.piece[at] = heads
+        self.piece[at[long] + 1] = tails + np.int32(len(head))
+        self.piece[at[far] + 2] = np.arange(len(far), dtype=np.int32) + np.int32(len(head) + len(tail))
+        self.count = np.add.reduceat(per, self.place)
+
+    def blocks(self) -> Iterator[tuple[slice, Symbols]]:
+        """The distinct pieces in turn, some at once."""
+        done, lo = np.cumsum(self.size), 0
+        while lo < len(done):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            yield slice(lo, hi), Symbols(self.joined, self.word[lo:hi], self.begin[lo:hi], self.size[lo:hi])
+            lo = hi
+
+
+class Records:
+    """All decisions of texts: three log odds, and bit and gate, of each in one number of 32 bits, those of like pieces held once."""
+
+    def __init__(self, texts: list[bytes], code: Code, tables: list, bits: tuple[int, int, int]):
+        self.pieces = Pieces(texts)
+        flat, sizes = [], []
+        for own, x in self.pieces.blocks():
+            per = code.size[x.symbol]
+            done = np.cumsum(per)
+            owner = np.repeat(np.arange(len(per), dtype=np.int32), per)
+            within = np.arange(len(owner), dtype=np.int32) - (done - per).astype(np.int32).take(owner)
+            out = np.empty((len(owner), 4), np.int8)
+            for t, b in enumerate(bits):
+                number, first = x.numbers(t)
+                values = tables[t][x.slots(t, first, code, b)[1]]
+                size = code.size[x.symbol[first]]
+                at = (np.cumsum(size) - size).astype(np.int32)[number].take(owner)
+                at += within
+                out[:, t] = values.take(at)
+            at = code.start[x.symbol].take(owner)
+            at += within
+            out[:, 3] = code.bit.take(at) | (x.gate << 1).take(owner)
+            flat.append(out.view("<u4").ravel())
+            size = self.pieces.size[own]
+            sizes.append(np.add.reduceat(per, np.cumsum(size) - size))
+        self.flat = np.concatenate(flat)
+        self.size = np.concatenate(sizes)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32 if len(self.flat) < 1 << 31 else np.int64)
+        self.edge = np.concatenate(([0], np.cumsum(self.pieces.count)))  # of each text's pieces
+
+    def __getitem__(self, texts: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(number of decisions of each text, all their decisions)."""
+        edge = self.edge[texts.start : texts.stop + 1]
+        own = self.pieces.piece[edge[0] : edge[-1]]
+        size = self.size[own]
+        return np.add.reduceat(size, edge[:-1] - edge[0]), self.flat.take(chunks_ragged(self.start[own], size))
+
+
 def decisions(texts: list[bytes], code: Code, bits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of texts in turn: number of decisions of each, the bits, the slots in each table, the gates."""
-    x = Symbols(texts)
+    p = Pieces(texts)
+    x = Symbols(p.joined, p.word[p.piece], p.begin[p.piece], p.size[p.piece])
     per = code.size[x.symbol]
     found = [x.slots(t, slice(None), code, b) for t, b in enumerate(bits)]
-    count = np.diff(np.concatenate(([0], np.cumsum(per)[np.cumsum(x.sizes) - 1])))
+    count = np.diff(np.concatenate(([0], np.cumsum(per)[np.cumsum(p.sizes) - 1])))
     return count, code.bit[found[0][0]], [s for _, s in found], np.repeat(x.gate, per)
 
 
 def looked_up(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``decisions``, with what the tables hold of the slots in place of these."""
-    x = Symbols(texts)
-    per = code.size[x.symbol]
-    done = np.cumsum(per)
-    owner = np.repeat(np.arange(len(per), dtype=np.int32), per)  # the symbol of each decision; taking by it is cheaper than repeating again
-    within = np.arange(len(owner), dtype=np.int32) - (done - per).astype(np.int32).take(owner)
-    got = np.empty((len(bits), len(within)), np.int8)
-    for t, b in enumerate(bits):
-        number, first = x.numbers(t)
-        values = tables[t][x.slots(t, first, code, b)[1]]
-        size = code.size[x.symbol[first]]
-        at = (np.cumsum(size) - size).astype(np.int32)[number].take(owner)
-        at += within
-        values.take(at, out=got[t], mode="clip")  # all are places of values: clip saves a copy
-    at = code.start[x.symbol].take(owner)
-    at += within
-    count = np.diff(np.concatenate(([0], done[np.cumsum(x.sizes) - 1])))
-    return count, code.bit.take(at), got, x.gate.take(owner)
+    count, found = Records(texts, code, tables, bits)[0 : len(texts)]
+    x = found.view(np.int8).reshape(-1, 4)
+    return count, x[:, 3].view(np.uint8) & 1, x[:, :3].T, x[:, 3].view(np.uint8) >> 1
 
 
 _POWERS: list[np.ndarray] = []
@@ -236,74 +290,111 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((ones + 0.3) / (zeros + 0.3))), -127, 127).astype(np.int8)
 
 
-def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """Cost in nats of each decision, [decisions, lanes]; s: [3, decisions, lanes] log odds in units of scale. Each lane learns by itself."""
-    steps, lanes = bit.shape
-    w = np.full((3, lanes * GATES), FIRST_WEIGHT, np.float32)
-    refine = np.zeros(lanes * GATES * LEVELS, np.float32)
-    lane = np.arange(lanes)
-    cost = np.zeros((lanes, steps), np.float32).T
-    for t in range(0, steps, STEP):
-        part = s[:, t : t + STEP] * np.float32(scale)
-        sign = bit[t : t + STEP] * np.float32(2) - np.float32(1)
-        g = lane * GATES + gate[t : t + STEP]  # of each decision
-        x = part[0] * w[0][g]
-        for own, odd in zip(w[1:], part[1:]):
-            x += own[g] * odd
+class Mixer:
+    """Weights and refinement of lanes, each of which learns by itself."""
+
+    def __init__(self, lanes: int):
+        self.w = np.full((3, GATES, lanes), FIRST_WEIGHT, np.float32)
+        self.refine = np.zeros(lanes * GATES * LEVELS, np.float32)
+        self.lane = np.arange(lanes)
+
+    def keep(self, lanes: int) -> None:
+        """Lets all lanes go but the first."""
+        if lanes < len(self.lane):
+            self.w, self.lane, self.refine = np.ascontiguousarray(self.w[:, :, :lanes]), self.lane[:lanes], self.refine[: lanes * GATES * LEVELS]
+
+    def __call__(self, odds: list[np.ndarray], bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Probability that was given to each of the next decisions, [decisions, lanes]; odds: three log odds of each."""
+        sign = bit * np.float32(2) - np.float32(1)
+        g = gate * np.int64(len(self.lane)) + self.lane
+        x = odds[0] * self.w[0].take(g, mode="clip")
+        for own, odd in zip(self.w[1:], odds[1:]):
+            x += own.take(g, mode="clip") * odd
         np.clip(x, -9, 9, out=x)
-        level = g * LEVELS + np.clip((x + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
-        y = sign * (x + refine[level])
-        p = 1 / (1 + np.exp(-y))
-        cost[t : t + STEP] = -np.log(p)
-        err = sign * (1 - p)
-        g, level = g.ravel(), level.ravel()
-        for own, odd in zip(w, part):
-            own += np.bincount(g, (np.float32(RATE) * odd * err).ravel(), len(own)).astype(np.float32)
-        refine += np.bincount(level, (np.float32(REFINE) * err).ravel(), len(refine)).astype(np.float32)
-    return cost
+        level = x + np.float32(8)
+        level *= np.float32(0.5)
+        np.clip(level, 0, LEVELS - 1, out=level)
+        level = level.astype(np.int64)
+        level += (gate * np.int64(LEVELS)) + self.lane * (GATES * LEVELS)
+        x += self.refine.take(level, mode="clip")
+        x *= -sign
+        np.exp(x, out=x)
+        x += np.float32(1)
+        p = np.float32(1) / x
+        err = sign * (np.float32(1) - p)
+        g = g.ravel()
+        for own, odd in zip(self.w, odds):
+            own += np.bincount(g, (np.float32(RATE) * odd * err).ravel(), own.size).astype(np.float32).reshape(own.shape)
+        err *= np.float32(REFINE)
+        self.refine += np.bincount(level.ravel(), err.ravel(), len(self.refine)).astype(np.float32)
+        return p
+
+
+def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Cost in nats of each decision, [decisions, lanes]; s: [3, decisions, lanes] log odds."""
+    mixer = Mixer(bit.shape[1])
+    return -np.log(np.concatenate([mixer(list(s[:, t : t + STEP]), bit[t : t + STEP], gate[t : t + STEP]) for t in range(0, len(bit), STEP)]))
+
+
+def costs(runs: list[np.ndarray]) -> np.ndarray:
+    """Cost in nats of each run of ``Records``, longest first, side by side as lanes."""
+    size = np.array([len(r) for r in runs])
+    # Rows of a length that is no power of 2: steps of all lanes would share few lines of the cache.
+    held = np.zeros((len(runs), -(-int(size[0]) // STEP) * STEP + 16), np.uint32)
+    for own, r in zip(held, runs):
+        own[: len(r)] = r
+    mixer, out = Mixer(len(runs)), np.zeros(len(runs))
+    for t in range(0, int(size[0]), STEP):
+        live = int(np.searchsorted(-size, -t, "left"))  # runs that go on
+        mixer.keep(live)
+        part = np.ascontiguousarray(held[:live, t : t + STEP].T)
+        x = part.view(np.int8).reshape(STEP, live, 4)
+        high = x[:, :, 3].view(np.uint8)
+        p = mixer([x[:, :, i] * np.float32(1 / SCALE) for i in range(3)], high & np.uint8(1), high >> np.uint8(1))
+        if size[live - 1] < t + STEP:
+            p[np.arange(t, t + STEP)[:, None] >= size[:live]] = 1  # nothing beyond the end of a run
+        # Products of four: no smaller than a float can hold.
+        p = p.reshape(4, STEP // 4, live)
+        for cost in np.log(p[0] * p[1] * (p[2] * p[3])):  # in this order, whatever runs are beside
+            out[:live] -= cost
+    return out
 
 
 def lengths(texts: list[bytes], code: Code, tables: list, bits: tuple[int, int, int]) -> np.ndarray:
     """Code length in nats of each text; texts of any length, a bounded number of decisions at a time."""
     out = np.zeros(len(texts))
-    group, size = [], 0
-    runs: list[tuple] = []
+    runs: list[tuple[int, np.ndarray]] = []
 
-    def flush() -> None:
+    def flush(last: bool = False) -> None:
         nonlocal runs
-        runs.sort(key=lambda r: -len(r[1]))
-        for i in range(0, len(runs), LANES):
+        runs.sort(key=lambda r: -len(r[1]))  # the runs of a text keep their order: whole ones, then its last
+        for i in range(0, len(runs) if last else len(runs) // LANES * LANES, LANES):
             some = runs[i : i + LANES]
-            n = -(-len(some[0][1]) // STEP) * STEP
-            s, bit, gate = np.zeros((3, len(some), n), np.int8), np.zeros((len(some), n), np.uint8), np.zeros((len(some), n), np.uint8)
-            for j, (_, b, x, g) in enumerate(some):
-                bit[j, : len(b)], gate[j, : len(b)], s[:, j, : len(b)] = b, g, x
-            cost = mixed(s.transpose(0, 2, 1), bit.T, gate.T, 1 / SCALE)
-            for (i, b, _, _), own in zip(some, cost.T):
-                out[i] += own[: len(b)].sum(dtype=np.float64)
-        runs = []
-
-    def take() -> None:
-        nonlocal group, size
-        count, bit, x, gate = looked_up([t for _, t in group], code, tables, bits)
-        at = 0
-        for (i, _), n in zip(group, count.tolist()):
-            for lo in range(at, at + n, RUN):
-                hi = min(lo + RUN, at + n)
-                runs.append((i, bit[lo:hi], x[:, lo:hi], gate[lo:hi]))
-            at += n
-        group, size = [], 0
-        if len(runs) >= LANES:
-            flush()
-
-    for i, text in enumerate(texts):
-        group.append((i, text))
-        size += len(text)
-        if size >= AT_ONCE:
-            take()
-    if group:
-        take()
-    flush()
+            np.add.at(out, [j for j, _ in some], costs([r for _, r in some]))
+        runs = [] if last else [(i, r.copy()) for i, r in runs[len(runs) // LANES * LANES :]]
+
+    def some(lo: int, most: int, end: int) -> int:
+        """texts[lo:this] have so many bytes, or little more."""
+        size = 0
+        while lo < end and size < most:
+            size += len(texts[lo])
+            lo += 1
+        return lo
+
+    lo = 0
+    while lo < len(texts):
+        end = some(lo, SHARED, len(texts))
+        records, at = Records(texts[lo:end], code, tables, bits), lo
+        while at < end:
+            stop = some(at, AT_ONCE, end)
+            count, found = records[at - lo : stop - lo]
+            for i, own in zip(range(at, stop), np.split(found, np.cumsum(count)[:-1])):
+                runs += [(i, own[x : x + RUN]) for x in range(0, len(own), RUN)]
+            at = stop
+            if len(runs) >= LANES:
+                flush()
+        lo = end
+    flush(True)
     return out
 
 
@@ -419,49 +510,47 @@ class Sparse:
 def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
     """Of each chunk: words by bucket, and counts of slots by range (as buckets below 0)."""
 
+    names = ["bucket", "chunk", "payload"]
+
+    def of_chunk(row: dict, code: Code) -> pa.RecordBatch:
+        own = [(held_out(doc), text.lower()) for doc, text in chunks.texts_of(row)]
+        tallies = [Tally(b) for b in bits]
+        pieces = Pieces([low for _, low in own])
+        learnt = np.repeat([not out for out, _ in own], pieces.count)
+        times = np.bincount(pieces.piece[learnt], minlength=len(pieces.size))
+        for some, x in pieces.blocks():
+            weight = np.repeat(times[some], pieces.size[some])
+            for t, (tally, b) in enumerate(zip(tallies, bits)):
+                number, first = x.numbers(t)
+                n = np.bincount(number, weight).astype(np.int64)
+                nth, slots = x.slots(t, first, code, b)
+                n = np.repeat(n, code.size[x.symbol[first]])
+                out = n == 0  # of held-out texts alone
+                tally.add(slots[~out], code.bit[nth[~out]], n[~out])
+                if out.any():
+                    tally.add(slots[out], None)
+        del pieces
+        known = words.Vocabulary([low for _, low in own])
+        learnt = np.repeat([not out for out, _ in own], known.count)
+        trained = np.bincount(known.number[learnt], minlength=len(known.words))
+        found = dict(known.by_bucket(buckets))
+        payload = [len(x).to_bytes(8, "little") + chunks.squeeze(trained[x].astype("<i8").tobytes() + b"\n".join([known.words[i] for i in x.tolist()])) for x in found.values()]
+        bucket = list(found)
+        for t, (tally, b) in enumerate(zip(tallies, bits)):
+            slots, zeros, ones = tally.table()
+            shift = b - range_bits(b)
+            cut = np.searchsorted(slots, (np.arange((1 << range_bits(b)) + 1, dtype=np.uint64) << np.uint64(shift)))
+            for r in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[r], cut[r + 1])
+                bucket.append(-1 - 3 * r - t)
+                payload.append(_shut(slots[own].astype(np.int64) - (r << shift), zeros[own].astype("<u4"), ones[own].astype("<u4")))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(bucket), pa.int64()), pa.array(payload, pa.binary())], names)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        code = code_of(pairs)
-        names = ["bucket", "chunk", "payload"]
-        alone()
         for batch in batches:
             for row in batch.to_pylist():
-                own = [(held_out(doc), text.lower()) for doc, text in chunks.texts_of(row)]
-                tallies = [Tally(b) for b in bits]
-                groups: dict[bool, list[bytes]] = {False: [], True: []}
-
-                def add(out: bool) -> None:
-                    x = Symbols(groups[out])
-                    for t, (tally, b) in enumerate(zip(tallies, bits)):
-                        number, first = x.numbers(t)
-                        nth, slots = x.slots(t, first, code, b)
-                        tally.add(slots, None if out else code.bit[nth], None if out else np.repeat(np.bincount(number), code.size[x.symbol[first]]))
-                    groups[out].clear()
-
-                size = {False: 0, True: 0}
-                for out, low in own:
-                    groups[out].append(low)
-                    size[out] += len(low)
-                    if size[out] >= AT_ONCE:
-                        add(out)
-                        size[out] = 0
-                for out in groups:
-                    if groups[out]:
-                        add(out)
-                known = words.Vocabulary([low for _, low in own])
-                learnt = np.repeat([not out for out, _ in own], known.count)
-                trained = np.bincount(known.number[learnt], minlength=len(known.words))
-                found = dict(known.by_bucket(buckets))
-                payload = [len(x).to_bytes(8, "little") + chunks.squeeze(trained[x].astype("<i8").tobytes() + b"\n".join([known.words[i] for i in x.tolist()])) for x in found.values()]
-                bucket = list(found)
-                for t, (tally, b) in enumerate(zip(tallies, bits)):
-                    slots, zeros, ones = tally.table()
-                    shift = b - range_bits(b)
-                    cut = np.searchsorted(slots, (np.arange((1 << range_bits(b)) + 1, dtype=np.uint64) << np.uint64(shift)))
-                    for r in np.flatnonzero(np.diff(cut)).tolist():
-                        own = slice(cut[r], cut[r + 1])
-                        bucket.append(-1 - 3 * r - t)
-                        payload.append(_shut(slots[own].astype(np.int64) - (r << shift), zeros[own].astype("<u4"), ones[own].astype("<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(bucket), pa.int64()), pa.array(payload, pa.binary())], names)
+                alone()  # what the chunk before took is given back
+                yield of_chunk(row, code_of(pairs))
 
     return run
 
@@ -559,8 +648,8 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     buckets = spread(spark, nbytes, 16 << 20)
     sent = packed.mapInArrow(_gather(seen.tobytes(), bits, buckets), "bucket int, chunk long, payload binary")
     replies = scratch.stage(sent.groupBy("bucket").applyInArrow(_summed(bits), "bucket int, chunk long, payload binary, n long, v long"), "replies")
-    release_shuffles(spark)
     n, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    release_shuffles(spark)  # after another job: the end of the one before, which holds the counts as sent, has been dealt with
     n, v = n + ends, v + bool(ends)
     pairs = seen.tobytes()
 

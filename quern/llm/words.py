@@ -42,6 +42,31 @@ def parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, a place of each number), equal keys having one number; by open addressing, all keys at once."""
+    n = len(keys)
+    size = 1 << max(10, n.bit_length())
+    at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int32)
+    slot = np.full(size, -1, np.int32)
+    slot[at] = np.arange(n, dtype=np.int32)  # of several at one slot the last stays
+    same = slot[at]
+    todo = np.flatnonzero(keys[same] != keys)
+    at = at[todo]
+    while len(todo):
+        at = (at + 1) & (size - 1)
+        got = slot[at]
+        free = got < 0
+        slot[at[free]] = todo[free]
+        got = slot[at]
+        hit = keys[got] == keys[todo]
+        same[todo[hit]] = got[hit]
+        todo, at = todo[~hit], at[~hit]
+    first = np.flatnonzero(same == np.arange(n, dtype=np.int32))
+    number = np.empty(n, np.int32)
+    number[first] = np.arange(len(first), dtype=np.int32)
+    return number[same], first
+
+
 class Numbers:
     """Numbers 0, 1, ... of distinct words in order of first sight; ``new`` is told each new batch of words. Emptied at ``most`` words."""
 
@@ -76,9 +101,7 @@ class Numbers:
     def __call__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each word of raw, which goes on for 16 bytes after the last."""
         size = ends - starts
-        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        lo = eight[starts] & _MASK[np.minimum(size, 8)]
-        hi = eight[starts + 8] & _MASK[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        lo, hi = halves(raw, starts, size)
         out = self._find(lo, hi)
         far = np.flatnonzero(size > LONG)
         if len(far):
@@ -120,6 +143,12 @@ class Numbers:
         return out
 
 
+def halves(raw: bytes, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes 0 to 7 of each word, and bytes 8 to 14 with its size."""
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    return eight[starts] & _MASK[np.minimum(size, 8)], eight[starts + 8] & _MASK[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+
+
 def hashes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix64(lo ^ mix64(hi))
 
@@ -139,7 +168,13 @@ class Vocabulary:
                 hi += 1
             raw = b" " + b" ".join(texts[lo:hi]) + b" " * 17
             starts, ends = spans(np.frombuffer(raw, np.uint8))
-            number.append(self.numbers(raw, starts, ends))
+            # Like words once; long ones, and others of one hash, each by itself.
+            a, b = halves(raw, starts, ends - starts)
+            like, first = numbered(hashes(a, b))
+            own = np.flatnonzero((a[first][like] != a) | (b[first][like] != b) | (ends - starts > LONG))
+            like[own] = len(first) + np.arange(len(own), dtype=np.int32)
+            first = np.append(first, own)
+            number.append(self.numbers(raw, starts[first], ends[first])[like])
             edge = np.searchsorted(starts, 1 + np.cumsum([len(t) + 1 for t in texts[lo:hi]]))
             count.append(np.diff(np.concatenate(([0], edge))))
             lo = hi

@@ -595,3 +595,26 @@ def test_lm_documents_longer_than_a_chunk(spark, rows, monkeypatch):
     whole = scores()
     monkeypatch.setattr(lm, "CHUNK", 5000)
     assert scores() == whole and len(whole) == len(made)
+
+
+def test_lm_like_pieces_are_held_once():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc\0 \né") + "z" * rng.choice((0, 0, 3, 15, 16, 40)) for _ in range(rng.randint(0, 90))).encode() for _ in range(30)]
+    pieces, base = lm.Pieces(texts), 0x2545F4914F6CDD1D
+    x = lm.Symbols(pieces.joined, *(c[pieces.piece] for c in (pieces.word, pieces.begin, pieces.size)))
+    want = []
+    for text in texts:
+        whole, start = b"\0" * 4 + text + b"\0", 4
+        for i in range(4, len(whole)):
+            if i > 4 and whole[i - 1] in b"\t\n\v\f\r \0":
+                start = i
+            two, four = (int.from_bytes(whole[i - k : i], "big") for k in (2, 4))
+            word = sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(whole[start:i])) % (1 << 64)
+            want.append((whole[i - 1] << 8 | whole[i], sum(i - start >= k for k in (1, 3, 6)), two, four, word))
+    assert list(zip(x.symbol.tolist(), x.gate.tolist(), *(c.tolist() for c in x.contexts))) == want
+    code, tables = lm.Code(np.arange(1 << 16) % 977), [np.zeros(1 << 12, np.int8)] * 3
+    records = lm.Records([b"some words come again "] * 500, code, tables, (12, 12, 12))
+    count, found = records[0:500]
+    assert count.sum() == len(found) > 400 * len(records.flat)
+    cost = lm.costs([found[:4000], found[:4000], found[:70]])
+    assert cost[0] == cost[1] and cost[2] == lm.costs([found[:70]])[0]

@@ -35,6 +35,8 @@ BINS = BANDS * ROWS
 SEEN = 1_000_000
 #: Characters whose signatures are made at once.
 AT_ONCE = 400_000
+#: Grams of these that are hashed at once: their numbers stay in a core's cache.
+CACHED = 1 << 14
 _F = u64(505, GRAM) | np.uint64(1)
 _BAND = u64(506, BINS) | np.uint64(1)
 
@@ -70,14 +72,19 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     """Band hashes, one row for each line."""
     texts = [x.decode() for x in lines]
     sizes = np.array([len(t) for t in texts])
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
-    h = _hashes(points)
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    whole = owner[: len(h)] == owner[GRAM - 1 :]
-    h, owner = h[whole], owner[: len(h)][whole]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(len(lines) * BINS, none)
-    np.minimum.at(sig, owner * BINS + ((h >> np.uint64(33)) % np.uint64(BINS)).astype(np.int64), h)
+    place = np.repeat(np.arange(0, len(sig), BINS), sizes)
+    over = (np.cumsum(sizes)[:-1, None] - np.arange(GRAM - 1, 0, -1)).ravel()  # grams that go over the end of a line
+    n = len(points) - GRAM + 1
+    for lo in range(0, n, CACHED):
+        hi = min(lo + CACHED, n)
+        h = _hashes(points[lo : hi + GRAM - 1].astype(np.uint64))
+        h[over[slice(*np.searchsorted(over, (lo, hi)))] - lo] = none
+        high = (h >> np.uint64(33)).astype(np.uint32)
+        high -= high // np.uint32(BINS) * np.uint32(BINS)  # the remainder; numpy divides faster than it takes remainders
+        np.minimum.at(sig, place[lo:hi] + high, h)
     sig = sig.reshape(-1, BINS)
     row, col = np.nonzero(sig == none)
     first, attempt = sig.copy(), 0

@@ -618,3 +618,12 @@ def test_lm_like_pieces_are_held_once():
     assert count.sum() == len(found) > 400 * len(records.flat)
     cost = lm.costs([found[:4000], found[:4000], found[:70]])
     assert cost[0] == cost[1] and cost[2] == lm.costs([found[:70]])[0]
+
+
+def test_line_signatures_by_cached_blocks(monkeypatch):
+    rng = random.Random(6)
+    some = ["".join(rng.choice("ab cdñ") for _ in range(rng.choice((5, 6, 9, 40, 300)))).encode() for _ in range(60)]
+    want = np.concatenate([lines.signatures([x]) for x in some])
+    for block in (7, 100, 1 << 14):
+        monkeypatch.setattr(lines, "CACHED", block)
+        assert (lines.signatures(some) == want).all()

@@ -7,6 +7,7 @@ column expression does, so equal vectors have equal distances and ties go to the
 component of what the cell leaves, with the length of the error. ``search`` reads the codes of the cells that queries probe: a code bounds a
 distance from both sides, so a row goes only if k others of its kind are nearer for sure, and what is left is scored exactly from the vectors. With ``probes`` the
 answer comes from so many cells; without, cells whose sphere could still hold a nearer row are read in a second round, and the answer is exact.
+More queries than a block holds meet the codes in one exchange, each block of them each range of rows once; their exact answer takes no more jobs, however many they are.
 
 Cases: null and zero vectors mean not embedded and are never near; a query without a vector finds nothing; kinds may be null; repeated ids are rows of their own.
 """
@@ -27,6 +28,8 @@ from quern.sources.shared import folder, reopened, stored
 
 #: Queries that a task holds; beyond, blocks of queries meet blocks of rows. Rows of such a block.
 BLOCK, ROWS = 2_000, 20_000
+#: Rows of the index whose codes meet a block of queries at once; of them those that give the first limits.
+RANGE, FIRST_ROWS = 1 << 17, 2_048
 #: Pairs whose sums stay in a core's cache; candidates that a task adds before those that are out go.
 PAIRS, ADDED = 1 << 16, 1 << 17
 #: Sample of the cells' fit, cells at most (their centres are broadcast), cells of a folder, rounds of the fit.
@@ -66,13 +69,16 @@ class Best:
     """Of candidates (query, kind, id, key, low, high): those that may be among the k nearest of their query and kind.
 
     low and high bound the distance. Of equal vectors (one key) the k smallest ids stay; the others go once k are nearer for sure.
+    With limit those go too that so many of their query, at most k of a kind, are nearer than.
     """
 
-    def __init__(self, k: int, queries: int):
-        self.queries = queries
+    def __init__(self, k: int, queries: int, limit: int | None = None):
+        self.queries, self.limit = queries, limit
         self.k, self.kinds, self.parts, self.n, self.most, self.rows = k, {}, [], 0, ADDED, 0
         #: By kind and query: a distance that k of those seen keep within.
         self.limits: dict[int, np.ndarray] = {}
+        #: By query: a distance that ``limit`` of those seen keep within, at most k of a kind.
+        self.within = np.full(queries, np.inf)
 
     def codes(self, kinds: pa.Array | pa.ChunkedArray) -> np.ndarray:
         coded = (kinds.combine_chunks() if isinstance(kinds, pa.ChunkedArray) else kinds).dictionary_encode("encode")
@@ -94,9 +100,22 @@ class Best:
             least = np.partition(h, self.k - 1, axis=0)[self.k - 1] if len(rows) > self.k else np.full(h.shape[1], np.inf)
             if code in self.limits:
                 least = np.minimum(least, self.limits[code][queries])
-            r, q = np.nonzero(l <= least)
+            r, q = np.nonzero(l <= np.minimum(least, self.within[queries]))
             self.add(queries[q], np.full(len(r), code), ids[rows[r]], key[rows[r]], l[r, q], h[r, q])
 
+    def first(self, high: np.ndarray, kind: np.ndarray) -> None:
+        """Limits of some rows, of which only the upper bounds are given: (queries x rows)."""
+        least = []
+        for code in np.unique(kind):
+            own = high[:, kind == code]
+            if own.shape[1] >= self.k:
+                own = np.partition(own, self.k - 1, axis=1)[:, : self.k]
+                self.limits[code] = own[:, -1]
+            least.append(own)
+        least = np.concatenate(least, axis=1)
+        if self.limit and least.shape[1] >= self.limit:
+            self.within = np.partition(least, self.limit - 1, axis=1)[:, self.limit - 1]
+
     def shrink(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
             return ()
@@ -121,8 +140,15 @@ class Best:
             own = at[last][kind[at[last]] == code]
             known = self.limits.setdefault(code, np.full(self.queries, np.inf))
             known[query[own]] = np.minimum(known[query[own]], high[own])
+        if self.limit:
+            nearest = at[rank < self.k]
+            nearest = nearest[np.lexsort((high[nearest], query[nearest]))]
+            begin = np.flatnonzero(np.diff(query[nearest], prepend=-1))
+            last = begin[np.diff(begin, append=len(nearest)) >= self.limit] + self.limit - 1
+            own = nearest[last]
+            self.within[query[own]] = np.minimum(self.within[query[own]], high[own])
         keep = np.empty(len(at), bool)
-        keep[at] = low[at] <= limit[group]
+        keep[at] = low[at] <= np.minimum(limit[group], self.within[query[at]])
         self.parts = [tuple(c[keep] for c in (query, kind, ids, key, low, high))]
         self.n = int(keep.sum())
         return self.parts[0]
@@ -265,6 +291,23 @@ class VectorIndex:
         cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most MOST_CELLS
         self.spark, self.centres = spark, np.array([r["centre"] for r in cells], np.float64)
 
+    def _met(self, asked: DataFrame, blocks: int, k: int, limit: int | None) -> DataFrame:
+        """As ``_candidates``, of queries (q, vector, block): each block meets each range of rows once, all cells that it reaches."""
+        kind_type = self.rows.schema["kind"].dataType.simpleString()
+        shared, ranges = self.spark.sparkContext.broadcast(self.centres), max(1, -(-self.rows.count() // RANGE))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            number, best, kinds = _numbers(right.column("q")), Best(k, right.num_rows, limit), left.schema.field("kind").type
+            if left.num_rows and right.num_rows:
+                q = matrix(right.column("vector").combine_chunks())
+                _scan_codes(best, left, q / norms(q)[:, None], shared.value)
+            query, kind, ids, key, low, high = best.shrink() or (np.zeros(0, np.int64),) * 4 + (np.zeros(0),) * 2
+            return pa.table({"q": pa.array(number[query], pa.int64()), "id": pa.array(ids, pa.int64()), "kind": pa.array(best.names(kind), kinds), "key": pa.array(key, pa.int64()), "low": pa.array(low, pa.float64()), "high": pa.array(high, pa.float64())})
+
+        a = self.rows.select("id", "kind", "cell", "code", "scale", "error", "far", "key", F.pmod(F.xxhash64("id", "key"), F.lit(ranges)).cast("int").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        b = asked.select("q", "vector", "block", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("part"))
+        return a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInArrow(meet, f"q long, id long, kind {kind_type}, key long, low double, high double")
+
     def _candidates(self, q: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
         """(q, id, kind, key, low, high) of the cells that wanted (queries x cells) names: those that may be among the k nearest."""
         cells = np.flatnonzero(wanted.any(0)).tolist()
@@ -321,12 +364,19 @@ class VectorIndex:
             wanted[:, at] |= np.maximum(chord[:, at] - far - 1e-9, 0) ** 2 / 2 <= limit[:, None] + 1e-9
         return wanted
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, block: int = BLOCK, first: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, block: int = BLOCK, first: int = 4, limit: int | None = None) -> DataFrame:
         """(query_id, id, kind, dist): the k nearest rows of each kind for queries (query_id, vector).
 
-        With probes those of so many cells, nearest first; without, the exact answer. Queries go in blocks.
+        With probes those of so many cells, nearest first; without, the exact answer. Queries go in blocks. With limit, rows that are not
+        among so many nearest of a query, at most k of a kind, may be left out.
         """
         n = -(-queries.count() // block)
+        if n > 1 and probes is None:
+            path, live = folder(self.spark, "candidates"), queries.where(~V.unembedded(F.col("vector")))
+            asked = live.select(F.col("query_id").cast("long").alias("query_id"), V.doubles(F.col("vector")).alias("vector")).withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(n)).cast("int")).withColumn("q", F.monotonically_increasing_id())
+            asked = stored(asked, f"{path}/asked")
+            found = stored(self._met(asked, n, k, limit), f"{path}/met")
+            return _scored(self.rows, found, asked, k, limit)
         if n > 1:
             own = F.pmod(F.xxhash64("query_id", "vector"), F.lit(n))
             return reduce(DataFrame.unionByName, [self.search(queries.where(own == i), k, probes, 2 * block, first) for i in range(n)])
@@ -348,14 +398,61 @@ class VectorIndex:
             if (more & ~wanted).any():
                 found = stored(found.unionByName(self._candidates(q, more & ~wanted, k)), f"{path}/all")
                 wanted |= more
-        left = _limited(found, k).where("most is null or low <= most").select("q", "id", "key").distinct()
         asked = self.spark.createDataFrame([(i, int(v), x.tolist()) for i, (v, x) in enumerate(zip(ids, q))], "q int, query_id long, vector array<double>")
         cells = np.flatnonzero(wanted.any(0)).tolist()
-        vectors = self.rows.where(F.col("folder").isin(sorted({c // FOLDER_CELLS for c in cells})) & F.col("cell").isin(cells)).select("id", "key", "kind", "embedding")
-        scored = vectors.join(left, ["id", "key"]).join(F.broadcast(asked), "q")  # a block of queries
-        scored = scored.select("query_id", "id", "kind", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
-        rank = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("dist", "id"))
-        return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+        rows = self.rows.where(F.col("folder").isin(sorted({c // FOLDER_CELLS for c in cells})) & F.col("cell").isin(cells))
+        return _scored(rows, found, F.broadcast(asked), k)  # a block of queries
+
+
+def _scan_codes(best: Best, rows: pa.Table, q: np.ndarray, centres: np.ndarray) -> None:
+    """Adds the rows (id, kind, cell, code, scale, error, far, key) that may be near unit vectors q, cell by cell; a cell meets the queries whose limits reach it."""
+    cell, ids, key = (_numbers(rows.column(c)) for c in ("cell", "id", "key"))
+    scale, error, far = (rows.column(c).to_numpy() for c in ("scale", "error", "far"))
+    kind, d = best.codes(rows.column("kind")), q.shape[1]
+    code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(ids), d)
+    error = error + (d + 16) * 2.0**-23  # products are summed in single precision
+    columns = np.ascontiguousarray(q.T, np.float32)
+
+    def about(at: np.ndarray, asked: np.ndarray | slice) -> np.ndarray:
+        return 1 - (centres[cell[at]] + code[at] * scale[at, None]).astype(np.float32) @ columns[:, asked]
+
+    some = np.unique(np.linspace(0, len(ids) - 1, FIRST_ROWS).astype(np.int64))
+    best.first(np.ascontiguousarray((about(some, slice(None)) + error[some, None]).T), kind[some])
+    order = np.argsort(cell, kind="stable")
+    cells, begin = np.unique(cell[order], return_index=True)
+    groups, held, known = np.split(order, begin[1:]), None, -1
+    chord = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (centres[cells] ** 2).sum(1) - 2 * q @ centres[cells].T, 0))
+    for c in np.argsort(chord.mean(0)).tolist():
+        if held is not best.parts or known != best.most:
+            # After candidates went: a row of limits for each kind that has one, and one for the others.
+            held, known = best.parts, best.most
+            place = np.full(len(best.kinds), len(best.limits))
+            place[list(best.limits)] = np.arange(len(best.limits))
+            table = np.minimum(np.array([*best.limits.values(), np.full(len(q), np.inf)]), best.within)
+            least = table.astype(np.float32)
+        own = groups[c]
+        widest = table[np.unique(place[kind[own]])].max(0)
+        reached = np.flatnonzero(np.maximum(chord[:, c] - far[own].max() - 1e-9, 0) ** 2 / 2 <= widest + 1e-9)
+        if not len(reached):
+            continue
+        limits = least if len(reached) == len(q) else least[:, reached]
+        step = max(1, (1 << 19) // len(reached))
+        for lo in range(0, len(own), step):
+            at = own[lo : lo + step]
+            low = about(at, reached)
+            low -= error[at, None].astype(np.float32)
+            r, near = np.nonzero(low <= limits[place[kind[at]]])
+            l = low[r, near].astype(np.float64)
+            best.add(reached[near], kind[at[r]], ids[at[r]], key[at[r]], l, l + 2 * error[at[r]])
+
+
+def _scored(rows: DataFrame, found: DataFrame, asked: DataFrame, k: int, limit: int | None = None) -> DataFrame:
+    """(query_id, id, kind, dist): the k nearest rows of each kind, of the candidates found of queries (q, query_id, vector)."""
+    left = _limited(found, k, limit).where("most is null or low <= most").select("q", "id", "key").distinct()
+    scored = rows.select("id", "key", "kind", "embedding").join(left, ["id", "key"]).join(asked, "q")
+    scored = scored.select("query_id", "id", "kind", V.cosine_distance(F.col("embedding"), F.col("vector")).alias("dist"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("dist", "id"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -363,8 +460,13 @@ def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["query_id"] for r in rows], np.int64), q / norms(q)[:, None]
 
 
-def _limited(found: DataFrame, k: int) -> DataFrame:
-    """found with column most: the k-th smallest upper bound of its query and kind, null where there are fewer."""
+def _limited(found: DataFrame, k: int, limit: int | None = None) -> DataFrame:
+    """found with column most: the k-th smallest upper bound of its query and kind, or with limit that of so many of its query if it is smaller; null where there are fewer."""
     group = Window.partitionBy("q", "kind")
     rank = F.row_number().over(group.orderBy("high", "id"))
-    return found.withColumn("_r", rank).withColumn("most", F.max(F.when(F.col("_r") == k, F.col("high"))).over(group)).drop("_r")
+    out = found.withColumn("_r", rank).withColumn("most", F.max(F.when(F.col("_r") == k, F.col("high"))).over(group))
+    if limit:
+        place = F.count_if(F.col("_r") <= k).over(Window.partitionBy("q").orderBy("high", "id").rowsBetween(Window.unboundedPreceding, 0))
+        within = F.min(F.when(F.col("_p") >= limit, F.col("high"))).over(Window.partitionBy("q"))
+        out = out.withColumn("_p", place).withColumn("most", F.least("most", within)).drop("_p")
+    return out.drop("_r")

@@ -65,6 +65,32 @@ def test_index_is_exact_by_its_bounds(spark, some):
     assert got == by_hand(*some, 5)
 
 
+@pytest.mark.parametrize("limit", [None, 6])
+def test_blocks_of_queries_meet_the_index_in_one_exchange(spark, some, monkeypatch, limit):
+    """However many blocks there are, two tables are stored (knn_indexed); before, each block was a search of its own, of one table at least."""
+    x, kinds, q, q_ids = some
+    rng = np.random.default_rng(3)
+    q, q_ids = [*q, *rng.normal(0, 1, (30, 8))], [*q_ids, *range(2000, 2030)]
+    rows, queries = frames(spark, x, kinds, q, q_ids)
+    index, calls = vectors.build(rows, folder(spark, "t"), cells=20), []
+    monkeypatch.setattr(vectors, "RANGE", 150)  # several ranges
+    monkeypatch.setattr(vectors, "stored", lambda df, path, *parts, old=vectors.stored: calls.append(path) or old(df, path, *parts))
+    found = index.search(queries, 5, block=5, limit=limit)
+    assert len(calls) == 2
+    if limit is None:
+        assert {(r.query_id, r.id, r.kind) for r in found.collect()} == by_hand(x, kinds, q, q_ids, 5)
+    else:
+        got = [tuple(r) for r in retrieval.vector_arm(None, queries, limit, 5, index=index).select("query_id", "id", "rank").collect()]
+        kept, want = {}, {}
+        for r in found.collect():
+            kept.setdefault(r.query_id, []).append((r.dist, r.id))
+        for r in vectors.nearest(rows, queries, 5).collect():
+            want.setdefault(r.query_id, []).append((r.dist, r.id))
+        assert {(i, sorted(v)[n][1], n + 1) for i, v in want.items() for n in range(limit)} == set(got)
+        assert all([j for _, j in sorted(kept[i])[:limit]] == [j for _, j in sorted(v)[:limit]] for i, v in want.items())
+        assert sum(map(len, kept.values())) < sum(map(len, want.values()))  # the others are left out
+
+
 def test_index_recall_and_rows_read(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(0, 1, (200, 32))

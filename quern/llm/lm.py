@@ -33,7 +33,7 @@ from quern.llm import chunks, words
 from quern.llm.common import Scratch, alone, mix64, release_shuffles, spread
 from quern.llm.words import numbered
 
-RUN, STEP, LANES = 4096, 32, 1024
+RUN, STEP, LANES = 4096, 32, 512
 SCALE = 12.0  # steps of a log odds of 1 in the tables
 RATE, REFINE, FIRST_WEIGHT = 0.02, 0.02, 0.4
 GATES, LEVELS = 4, 8
@@ -291,49 +291,56 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Weights and refinement of lanes, each of which learns by itself."""
+    """Weights and refinement of lanes, each of which learns by itself. Odds are in steps of 1 / SCALE, so weights are divided by it."""
 
     def __init__(self, lanes: int):
-        self.w = np.full((3, GATES, lanes), FIRST_WEIGHT, np.float32)
+        self.w = np.full((3, lanes * GATES), FIRST_WEIGHT / SCALE, np.float32)
         self.refine = np.zeros(lanes * GATES * LEVELS, np.float32)
-        self.lane = np.arange(lanes)
+        self.lane = np.arange(lanes, dtype=np.uint32) * np.uint32(GATES)
 
     def keep(self, lanes: int) -> None:
         """Lets all lanes go but the first."""
         if lanes < len(self.lane):
-            self.w, self.lane, self.refine = np.ascontiguousarray(self.w[:, :, :lanes]), self.lane[:lanes], self.refine[: lanes * GATES * LEVELS]
+            self.w, self.lane, self.refine = np.ascontiguousarray(self.w[:, : lanes * GATES]), self.lane[:lanes], self.refine[: lanes * GATES * LEVELS]
 
-    def __call__(self, odds: list[np.ndarray], bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability that was given to each of the next decisions, [decisions, lanes]; odds: three log odds of each."""
-        sign = bit * np.float32(2) - np.float32(1)
-        g = gate * np.int64(len(self.lane)) + self.lane
-        x = odds[0] * self.w[0].take(g, mode="clip")
+    def __call__(self, odds: list[np.ndarray], one: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Probability that was given to each of the next decisions, [decisions, lanes]; odds: three of each, overwritten; one: the sign bit, where it is a one."""
+        g = (gate + self.lane).astype(np.int64)
+        x = self.w[0].take(g, mode="clip")
+        x *= odds[0]
         for own, odd in zip(self.w[1:], odds[1:]):
-            x += own.take(g, mode="clip") * odd
-        np.clip(x, -9, 9, out=x)
-        level = x + np.float32(8)
-        level *= np.float32(0.5)
-        np.clip(level, 0, LEVELS - 1, out=level)
-        level = level.astype(np.int64)
-        level += (gate * np.int64(LEVELS)) + self.lane * (GATES * LEVELS)
+            y = own.take(g, mode="clip")
+            y *= odd
+            x += y
+        np.minimum(x, np.float32(9), out=x)
+        np.maximum(x, np.float32(-9), out=x)
+        y = x + np.float32(8)
+        y *= np.float32(0.5)
+        np.minimum(y, np.float32(LEVELS - 1), out=y)
+        level = y.astype(np.int64)  # toward 0: the lowest from -10 on
+        level += g * np.int64(LEVELS)
         x += self.refine.take(level, mode="clip")
-        x *= -sign
+        flipped = x.view(np.uint32)
+        flipped ^= one
         np.exp(x, out=x)
         x += np.float32(1)
         p = np.float32(1) / x
-        err = sign * (np.float32(1) - p)
+        err = np.subtract(p, np.float32(1), out=x)
+        flipped ^= one
         g = g.ravel()
+        np.multiply(err, np.float32(REFINE), out=y)
+        self.refine += np.bincount(level.ravel(), y.ravel(), len(self.refine)).astype(np.float32)
+        err *= np.float32(RATE / SCALE**2)
         for own, odd in zip(self.w, odds):
-            own += np.bincount(g, (np.float32(RATE) * odd * err).ravel(), own.size).astype(np.float32).reshape(own.shape)
-        err *= np.float32(REFINE)
-        self.refine += np.bincount(level.ravel(), err.ravel(), len(self.refine)).astype(np.float32)
+            odd *= err
+            own += np.bincount(g, odd.ravel(), own.size).astype(np.float32)
         return p
 
 
 def mixed(s: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> np.ndarray:
     """Cost in nats of each decision, [decisions, lanes]; s: [3, decisions, lanes] log odds."""
-    mixer = Mixer(bit.shape[1])
-    return -np.log(np.concatenate([mixer(list(s[:, t : t + STEP]), bit[t : t + STEP], gate[t : t + STEP]) for t in range(0, len(bit), STEP)]))
+    mixer, s, one = Mixer(bit.shape[1]), s * np.float32(SCALE), bit.astype(np.uint32) << np.uint32(31)
+    return -np.log(np.concatenate([mixer(list(s[:, t : t + STEP]), one[t : t + STEP], gate[t : t + STEP]) for t in range(0, len(bit), STEP)]))
 
 
 def costs(runs: list[np.ndarray]) -> np.ndarray:
@@ -348,9 +355,9 @@ def costs(runs: list[np.ndarray]) -> np.ndarray:
         live = int(np.searchsorted(-size, -t, "left"))  # runs that go on
         mixer.keep(live)
         part = np.ascontiguousarray(held[:live, t : t + STEP].T)
-        x = part.view(np.int8).reshape(STEP, live, 4)
-        high = x[:, :, 3].view(np.uint8)
-        p = mixer([x[:, :, i] * np.float32(1 / SCALE) for i in range(3)], high & np.uint8(1), high >> np.uint8(1))
+        signed = part.view(np.int32)
+        odds = [((signed << np.int32(24 - 8 * i)) >> np.int32(24)).astype(np.float32) for i in range(3)]
+        p = mixer(odds, (part << np.uint32(7)) & np.uint32(1 << 31), part >> np.uint32(25))
         if size[live - 1] < t + STEP:
             p[np.arange(t, t + STEP)[:, None] >= size[:live]] = 1  # nothing beyond the end of a run
         # Products of four: no smaller than a float can hold.
@@ -454,18 +461,30 @@ class Tally:
         slot, kind = self.keys >> self.kind(2), self.keys & self.kind(3)
         fresh = np.concatenate((slot[:1] == slot[:1], slot[1:] != slot[:-1]))
         place = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
-        out = np.zeros((2, int(fresh.sum())), np.int64)
+        first = np.flatnonzero(fresh)
+        out = np.zeros((2, len(first)), np.uint32)
         for k in (0, 1):
-            out[k, place[kind == k]] = self.counts[kind == k]
-        return slot[fresh], *out
+            at = np.flatnonzero(kind == k)
+            out[k, place.take(at)] = self.counts.take(at)
+        return slot.take(first), *out
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """The lowest bytes of all numbers, then the next ones, and so on."""
+    return b"".join([(x >> x.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(x.itemsize)]) if x.itemsize > 1 else x.tobytes()
 
 
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    if size == 1:
+        return np.frombuffer(data, kind)
+    raw = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = raw[0].astype(kind)
+    for k in range(1, size):
+        high = raw[k].astype(kind)
+        high <<= high.dtype.type(8 * k)
+        out |= high
+    return out
 
 
 def _shut(at: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -485,26 +504,34 @@ def _open(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 class Sparse:
-    """What a chunk got for its slots, indexed by slots as a whole table would be."""
+    """What a chunk got for its slots, indexed by slots as a whole table would be: the low bits of a slot name a cell, which holds its other bits, a mark and its value of a byte."""
 
     def __init__(self, slots: np.ndarray, values: np.ndarray, kind: type):
-        self.slots, self.values = slots.astype(kind), values
-        self.mask = kind((1 << min(23, len(slots).bit_length() + 2)) - 1)
-        self.at = np.zeros(int(self.mask) + 1, np.int32)
-        low, own = self.slots & self.mask, np.arange(len(slots), dtype=np.int32)
-        self.at[low] = own
-        self.rest = np.flatnonzero(self.at[low] != own)  # slots whose place another one has
-        self.others = self.slots[self.rest]
+        bits = min(23, len(slots).bit_length() + 2)
+        self.mask, self.high = kind((1 << bits) - 1), kind(bits)
+        self.cell = np.uint32 if kind is np.uint32 and bits >= 9 else np.uint64  # the other bits of a slot are 23 at most
+        slots = slots.astype(kind)
+        low, own = slots & self.mask, self._marked(slots)
+        own |= values.view(np.uint8)
+        self.cells = np.zeros(int(self.mask) + 1, self.cell)
+        self.cells[low] = own
+        rest = np.flatnonzero(self.cells[low] != own)  # slots whose cell another one has
+        self.others, self.rest = slots[rest], values[rest]
+
+    def _marked(self, slots: np.ndarray) -> np.ndarray:
+        return (slots >> self.high).astype(self.cell) << self.cell(9) | self.cell(256)
 
     def __getitem__(self, slots: np.ndarray) -> np.ndarray:
-        at = self.at[slots & self.mask]
-        other = np.flatnonzero(self.slots[at] != slots)  # slots that share the low bits
+        got = self.cells.take((slots & self.mask).astype(np.int64))
+        got ^= self._marked(slots)
+        out = got.astype(np.uint8).view(self.rest.dtype)
+        other = np.flatnonzero(got > self.cell(255))  # slots that share the low bits
         if len(other):
             found = np.searchsorted(self.others, slots[other])
             if not len(self.rest) or (self.others[np.minimum(found, len(self.others) - 1)] != slots[other]).any():
                 raise ValueError("a slot without a reply")
-            at[other] = self.rest[found]
-        return self.values[at]
+            out[other] = self.rest[found]
+        return out
 
 
 def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
@@ -525,10 +552,10 @@ def _gather(pairs: bytes, bits: tuple[int, int, int], buckets: int):
                 n = np.bincount(number, weight).astype(np.int64)
                 nth, slots = x.slots(t, first, code, b)
                 n = np.repeat(n, code.size[x.symbol[first]])
-                out = n == 0  # of held-out texts alone
-                tally.add(slots[~out], code.bit[nth[~out]], n[~out])
-                if out.any():
-                    tally.add(slots[out], None)
+                seen = np.flatnonzero(n)
+                tally.add(slots.take(seen), code.bit.take(nth.take(seen)), n.take(seen))
+                if len(seen) < len(n):
+                    tally.add(slots[n == 0], None)  # of held-out texts alone
         del pieces
         known = words.Vocabulary([low for _, low in own])
         learnt = np.repeat([not out for out, _ in own], known.count)

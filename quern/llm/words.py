@@ -46,25 +46,25 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key, a place of each number), equal keys having one number; by open addressing, all keys at once."""
     n = len(keys)
     size = 1 << max(10, n.bit_length())
-    at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int32)
-    slot = np.full(size, -1, np.int32)
-    slot[at] = np.arange(n, dtype=np.int32)  # of several at one slot the last stays
-    same = slot[at]
-    todo = np.flatnonzero(keys[same] != keys)
-    at = at[todo]
+    at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).view(np.int64)
+    slot, every = np.full(size, -1, np.int32), np.arange(n, dtype=np.int32)
+    slot[at] = every  # of several at one slot the last stays
+    same = slot.take(at)
+    todo = np.flatnonzero(keys.take(same) != keys)
+    at = at.take(todo)
     while len(todo):
         at = (at + 1) & (size - 1)
-        got = slot[at]
-        free = got < 0
-        slot[at[free]] = todo[free]
-        got = slot[at]
-        hit = keys[got] == keys[todo]
+        free = np.flatnonzero(slot.take(at) < 0)
+        slot[at.take(free)] = todo.take(free)
+        got = slot.take(at)
+        hit = keys.take(got) == keys.take(todo)
         same[todo[hit]] = got[hit]
-        todo, at = todo[~hit], at[~hit]
-    first = np.flatnonzero(same == np.arange(n, dtype=np.int32))
+        left = np.flatnonzero(~hit)
+        todo, at = todo.take(left), at.take(left)
+    first = np.flatnonzero(same == every)
     number = np.empty(n, np.int32)
-    number[first] = np.arange(len(first), dtype=np.int32)
-    return number[same], first
+    number[first] = every[: len(first)]
+    return number.take(same), first
 
 
 class Numbers:
@@ -116,11 +116,13 @@ class Numbers:
             return self(raw, starts, ends)
         # Distinct new words, short ones first.
         short = lost[size[lost] <= LONG]
-        pair = np.stack((lo[short], hi[short]), 1)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        pair, short = pair[order], short[order]
-        fresh = np.concatenate((pair[:1, 0] == pair[:1, 0], (pair[1:] != pair[:-1]).any(1)))
-        first = short[fresh]
+        a, b = lo[short], hi[short]
+        like, first = numbered(hashes(a, b))
+        if (a[first][like] != a).any() or (b[first][like] != b).any():  # others of one hash
+            order = np.lexsort((b, a))
+            fresh = (np.diff(a[order], prepend=a[order[:1]] + np.uint64(1)) != 0) | (np.diff(b[order], prepend=b[order[:1]]) != 0)
+            first = order[fresh]
+        first = short[first]
         more = dict.fromkeys(raw[starts[i] : ends[i]] for i in lost[size[lost] > LONG].tolist())
         words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
         n = self.n + len(words) + len(more)

@@ -359,6 +359,18 @@ def test_lm_tables_grow_with_the_corpus():
                 lm.Sparse(at, values, s.dtype.type)[np.setdiff1d(s ^ s.dtype.type(2), at)]
 
 
+def test_lm_replies_are_one_cell_each():
+    """A slot, its mark and its value lie in one cell of 32 bits (op7_lm: one place is read for a slot, not three); slots that share a cell are found too."""
+    slots = np.unique(np.concatenate((np.random.default_rng(2).integers(0, 1 << 30, 3000), np.arange(40) << 14 | 5, [0])))
+    values = (slots % 251 - 125).astype(np.int8)
+    table = lm.Sparse(slots, values, np.uint32)
+    assert table.cells.dtype == np.uint32 and len(table.rest)
+    order = np.random.default_rng(3).permutation(len(slots))
+    assert (table[slots[order].astype(np.uint32)] == values[order]).all()
+    with pytest.raises(ValueError):
+        table[np.array([slots[-1] + 1], np.uint32)]
+
+
 def test_lm_bits_against_whole_tables(spark, rows):
     rows = [(i * 1000 + d, t) for i, (d, t) in enumerate(rows)]
     raw = {d: t.encode().lower() for d, t in rows}

@@ -2,8 +2,8 @@
 
 ``similar`` keeps the pairs whose sets are alike: members are put in order of rarity, a pair over the threshold shares one of the rarest members of both sides, the prefix,
 and sizes of alike sets are bounded by each other; what meets is compared exactly. ``containing`` finds the texts that hold a quote word for word: each quote meets
-texts by its rarest run of whole words alone, and within one reference where references are given. ``counted`` only counts them, so nothing is exchanged for a short quote
-but what a batch of texts counts, however many texts hold it.
+texts by its rarest run of whole words alone, and within one reference where references are given. ``counted`` only counts them, so nothing is exchanged for a quote but what
+a batch of texts counts, however many texts hold it.
 
 Cases: empty and null sets are alike to nothing; null and wordless quotes are contained in nothing; repeated ids are one set.
 """
@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.retrieval import small
+from quern.operators.retrieval import MAX_BROADCAST_ROWS, small
 from quern.sources.shared import folder, stored
 
 GRAM = 3
-#: Code points of a quote that texts are looked up by; code points of texts that are looked up at once.
-SPAN, BLOCK = 16, 1 << 16
-#: Bits of the filter that every task holds: for each quote, and at most (32 MB; beyond, more of what meets is dropped by the join).
-BITS_EACH, MOST_BITS = 32, 1 << 28
-_STEP, _CODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Code points at which every place of a text is looked up; code points of texts that are looked up at once, and that are counted at once; quotes whose counts a task holds.
+DENSE, BLOCK, PART, MOST_HELD = 4, 1 << 15, 1 << 21, 200_000
+#: Bits of a filter that every task holds: for each key, and at most (32 MB; beyond, more of what meets is dropped by the join). Keys of a quote, by rule of thumb; bits of a filter that are packed by one task, and bytes of them; cells, in bits, that repeated runs meet in.
+BITS_EACH, MOST_BITS, KEYS_EACH, SEGMENT, CELLS = 32, 1 << 28, 2, 20, 18
+SEGMENT_BYTES = 1 << (SEGMENT - 3)
+_STEP, _CODE, _TAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
 _PROBES = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -94,13 +95,12 @@ def containing(quotes: DataFrame, texts: DataFrame, by_ref: bool = False) -> Dat
     return met.distinct().join(d.select("text_id", "body"), "text_id").where(F.contains("body", F.col("q"))).select("quote_id", "text_id")
 
 
-def _blocks(refs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts with a line break after each, their rows, where they start, hash of the reference of each code point), BLOCK code points or a text at a time."""
+def _blocks(refs: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts with a line break after each, their rows, where they start and where the last ends, hashes of their references), ``most`` code points or a text at a time."""
     seeds, rows, parts, n = {}, [], [], 0
 
     def block() -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(p) for p in parts])
-        return "".join(parts), np.array(rows), np.cumsum(sizes) - sizes, np.repeat(np.array([seeds[refs[i].as_py()] for i in rows], np.uint64), sizes)
+        return "".join(parts), np.array(rows), np.cumsum([0, *map(len, parts)]), np.array([seeds[refs[i].as_py()] for i in rows], np.uint64)
 
     for i in range(len(texts)):
         ref = refs[i].as_py()
@@ -109,34 +109,32 @@ def _blocks(refs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray,
         rows.append(i)
         parts.append(texts[i].as_py() + "\n")
         n += len(parts[-1])
-        if n >= BLOCK:
+        if n >= most:
             yield block()
             rows, parts, n = [], [], 0
     if parts:
         yield block()
 
 
-def _spans(codes: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, hash of the code points from each place and their reference), for lengths to SPAN."""
-    own = (codes.astype(np.uint64) + np.uint64(1)) * _CODE
-    h = np.zeros(len(own), np.uint64)
-    for n in range(1, min(SPAN, len(own)) + 1):
-        h = h[: len(own) - n + 1]
-        h *= _STEP
-        h += own[n - 1 :]
-        yield n, h ^ seeds[: len(h)]
+def _level(n: int) -> bool:
+    """Whether places are left at this length where no quote goes on."""
+    return n >= DENSE and n & (n - 1) == 0
+
+
+def _keys(h: np.ndarray, seeds: np.ndarray, n: int, whole: bool) -> np.ndarray:
+    return (h ^ seeds) + np.uint64((2 * n + whole) * _TAG & 0xFFFFFFFFFFFFFFFF)
 
 
 def _slots(keys: np.ndarray, probe: np.uint64, bits: int) -> np.ndarray:
     return (keys * probe) >> np.uint64(64 - bits)
 
 
-def _held(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places whose key may be in the table."""
-    at = None
+    at, bits = None, len(table).bit_length() + 2
     for probe in _PROBES:
         slot = _slots(keys if at is None else keys[at], probe, bits)
-        hit = np.flatnonzero((table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+        hit = np.flatnonzero(table.take((slot >> np.uint64(3)).view(np.int64)) >> (slot.astype(np.uint8) & np.uint8(7)) & np.uint8(1))
         at = hit if at is None else at[hit]
     return at
 
@@ -145,66 +143,186 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _filter(starts: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of starts (ref, s): its size is bounded, whatever their number."""
-    bits = max(10, min(MOST_BITS, BITS_EACH * starts.count()).bit_length())
-    bits = min(bits, MOST_BITS.bit_length() - 1)
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) + np.uint64(1)) * _CODE
+
+
+def _filters(quotes: DataFrame, counts: tuple[int, int]) -> list[np.ndarray]:
+    """Two Bloom filters of quotes (ref, q): of their first DENSE code points and of whole shorter ones, and of longer starts and whole quotes. Their size is bounded, whatever the counts of keys."""
+    bits = [min(max(10, (BITS_EACH * n).bit_length()), MOST_BITS.bit_length() - 1) for n in counts]
 
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, _, at, seeds in _blocks(b.column("ref"), b.column("s")):
-                sizes = np.diff(np.append(at, len(text))) - 1
-                for n, keys in _spans(_codes(text), seeds):
-                    own = keys[at[sizes == n]]
-                    for probe in _PROBES:
-                        yield pa.RecordBatch.from_arrays([pa.array(_slots(own, probe, bits).astype(np.int32), pa.int32())], ["slot"])
-
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    slot = starts.mapInArrow(slots, "slot int").distinct().toArrow().column("slot").to_numpy()  # at most MOST_BITS numbers
-    np.bitwise_or.at(table, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
-    return table, bits
+            for text, _, begin, seeds in _blocks(b.column("ref"), b.column("q"), BLOCK):
+                own, sizes, at, n = _numbers(_codes(text)), np.diff(begin) - 1, begin[:-1], 0
+                h = np.zeros(len(at), np.uint64)
+                while len(at):
+                    n += 1
+                    h = h * _STEP + own[at + (n - 1)]
+                    done = sizes == n
+                    made = [(int(n >= DENSE), _keys(h[done], seeds[done], n, True))] + ([(int(n > DENSE), _keys(h, seeds, n, False))] if _level(n) else [])
+                    for table, keys in made:
+                        for probe in _PROBES if len(keys) else ():
+                            slot = np.unique(_slots(keys, probe, bits[table])).astype(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array((slot >> SEGMENT) + (table << 32)), pa.array((slot & ((1 << SEGMENT) - 1)).astype(np.int32))], ["segment", "slot"])
+                    h, at, seeds, sizes = h[~done], at[~done], seeds[~done], sizes[~done]
+
+    def packed(rows: pa.Table) -> pa.Table:
+        part = np.zeros(1 << SEGMENT, bool)
+        part[rows.column("slot").to_numpy()] = True
+        return pa.table([rows.column("segment").slice(0, 1), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["segment", "part"])
+
+    tables = [np.zeros(max(1 << (b - 3), SEGMENT_BYTES), np.uint8) for b in bits]
+    found = quotes.mapInArrow(slots, "segment long, slot int").distinct().groupBy("segment").applyInArrow(packed, "segment long, part binary")
+    for segment, part in found.collect():  # at most MOST_BITS bits of each
+        lo = (segment & 0xFFFFFFFF) * SEGMENT_BYTES
+        tables[segment >> 32][lo : lo + SEGMENT_BYTES] = np.frombuffer(part, np.uint8)
+    return [t[: 1 << (b - 3)] for t, b in zip(tables, bits)]
+
+
+def _dense(own: np.ndarray, seeds: np.ndarray, tables: list[np.ndarray], sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, keys) where a shorter quote may stand, and (DENSE, places, hashes) where a longer one may start: every place is looked up."""
+    h = np.zeros(len(own), np.uint64)
+    for n in range(1, min(DENSE, len(own)) + 1):
+        h = h[: len(own) - n + 1]
+        h *= _STEP
+        h += own[n - 1 :]
+        if n in sizes or n == DENSE:
+            keys = _keys(h, seeds[: len(h)], n, n < DENSE)
+            at = _held(tables[0], keys)
+            yield n, at, keys[at] if n < DENSE else h[at]
+
+
+def _hits(codes: np.ndarray, begin: np.ndarray, seeds: np.ndarray, tables: list[np.ndarray], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, keys) where a quote of that length may stand, by rising length; beyond the first lengths only places where a quote may go on are looked up."""
+    wanted, found, lo = set(sizes), {}, 0
+    while lo < len(begin) - 1:
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BLOCK, "right")) - 1)
+        for n, at, keys in _dense(_numbers(codes[begin[lo] : begin[hi]]), np.repeat(seeds[lo:hi], np.diff(begin[lo : hi + 1])), tables, wanted):
+            found.setdefault(n, []).append((at + begin[lo], keys))
+        lo = hi
+    for n in sorted(found):
+        at, h = (np.concatenate(x) for x in zip(*found[n]))
+        if n < DENSE:
+            yield n, at, h
+    if DENSE not in found:
+        return
+    own = np.repeat(seeds, np.diff(begin))[at]
+    for n in range(DENSE, sizes[-1] + 1):
+        if n > DENSE:
+            inside = np.searchsorted(at, len(codes) - n, "right")
+            at, h, own = at[:inside], h[:inside], own[:inside]
+            h = h * _STEP + _numbers(codes[at + (n - 1)])
+            if _level(n):
+                on = _held(tables[1], _keys(h, own, n, False))
+                at, h, own = at[on], h[on], own[on]
+        if not len(at):
+            return
+        if n in wanted:
+            keys = _keys(h, own, n, True)
+            hit = _held(tables[1], keys)
+            yield n, at[hit], keys[hit]
+
+
+def _exact(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n code points from each place as one number, n at most 3."""
+    return sum(codes[at + i].astype(np.int64) << (21 * i) for i in range(n))
+
+
+def _alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n code points from places a are those from places b."""
+    same = np.ones(len(a), bool)
+    for i in range(n):
+        same &= codes[a + i] == codes[b + i]
+    return same
+
+
+def _once(codes: np.ndarray, text: np.ndarray, at: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """One of the places of each text that hold the same n code points: of those that fall into one cell the last stays, its like are dropped, the others go on."""
+    left, kept, bits = np.arange(len(at), dtype=np.int32), [], min(CELLS, len(at).bit_length() + 2)
+    cell = ((keys ^ (text.astype(np.uint64) * _CODE)) * _PROBES[0] >> np.uint64(64 - bits)).view(np.int64)
+    last, short = np.empty(1 << bits, np.int32), n <= 3
+    own = _exact(codes, at, n) if short else keys
+    while len(left):
+        mine = cell[left]
+        last[mine] = left
+        first = last[mine]
+        won = first == left
+        kept.append(left[won])
+        left, first = left[~won], first[~won]
+        same = (own[first] == own[left]) & (text[first] == text[left])
+        if not short:
+            same[same] = _alike(codes, at[left[same]], at[first[same]], n)
+        left = left[~same]
+    return np.sort(np.concatenate(kept)) if kept else left
+
+
+def _counts(text: str, begin: np.ndarray, seeds: np.ndarray, tables: list[np.ndarray], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, texts, places, edges, same) of runs that may be quotes, each run of a text once, in groups of one key that start at the edges; same: the run and the reference are those of the group's first."""
+    codes = _codes(text)
+    texts = np.repeat(np.arange(len(seeds), dtype=np.int32), np.diff(begin))
+    for n, at, keys in _hits(codes, begin, seeds, tables, sizes):
+        if not len(at):
+            continue
+        one = _once(codes, texts[at], at, keys, n)
+        one = one[np.argsort(keys[one], kind="stable")]
+        at, keys, own = at[one], keys[one], texts[at[one]]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = np.repeat(edge, np.diff(np.append(edge, len(keys))))
+        yield n, own, at, edge, (seeds[own] == seeds[own[first]]) & _alike(codes, at, at[first], n)
 
 
 def counted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, n, one): how many texts (text_id, ref, text) of its reference hold the words of a quote (quote_id, ref, quote), as ``containing`` compares them, and the smallest of them.
 
-    Texts are looked up place by place in a filter of the quotes' first SPAN code points. Whole quotes are counted by batches of texts, so the texts that hold a common word are
-    not exchanged; only longer quotes are compared with the texts where they start.
+    Texts are read once and not exchanged: their places are looked up in a filter of the quotes and of their starts, and what may be a quote is counted by batches of texts. The counts
+    meet the quotes by the quote itself, so what only seems to be one is dropped.
     """
     spark = quotes.sparkSession
     q = quotes.select("quote_id", "ref", T.database_words(F.col("quote")).alias("q")).where((F.trim("q") != "") & F.col("ref").isNotNull())
-    q = stored(q.withColumn("s", F.substring("q", 1, SPAN)), folder(spark, "quotes"))
-    d = texts.select("text_id", "ref", T.database_words(F.col("text")).alias("body")).where(F.col("body").isNotNull() & F.col("ref").isNotNull())
-    shared = spark.sparkContext.broadcast(_filter(q.select("ref", "s").distinct()))
+    q = stored(q, folder(spark, "quotes"))
+    each = q.select("ref", "q").distinct()
+    starts, whole, sizes = each.agg(F.countDistinct("ref", F.substring("q", 1, DENSE)), F.count(F.lit(1)), F.sort_array(F.collect_set(F.length("q")))).first()
+    refs = each.select("ref").distinct()
+    own = texts.where(F.col("ref").isNotNull() & F.col("text").isNotNull())
+    if refs.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:  # texts of no quote's reference are not read through
+        own = own.join(F.broadcast(refs), "ref", "left_semi")
+    d = own.select("text_id", "ref", T.database_words(F.col("text")).alias("body"))
+    shared = spark.sparkContext.broadcast(_filters(each, (starts, KEYS_EACH * whole)))
     kind = texts.schema["text_id"].dataType.simpleString()
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = shared.value
+        held, field = {}, None
+
+        def out() -> pa.RecordBatch:
+            rows = list(zip(*((*k, *v) for k, v in held.items())))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], field.type)], ["ref", "q", "n", "one"])
+
+        def add(ref: str, q: str, n: int, one: object) -> None:
+            if (h := held.get((ref, q))) is None:
+                held[ref, q] = [n, one]
+            else:
+                h[0], h[1] = h[0] + n, min(h[1], one)
+
         for b in batches:
-            refs, ids, held, starts = b.column("ref").to_pylist(), b.column("text_id").to_pylist(), {}, []
-            for text, rows, begin, seeds in _blocks(b.column("ref"), b.column("body")):
-                codes = _codes(text)
-                for n, keys in _spans(codes, seeds):
-                    at = _held(table, bits, keys)
-                    own = np.searchsorted(begin, at, "right") - 1
-                    if n <= 2:  # of one text and one letter or two: the first place
-                        pair = codes[at].astype(np.int64) | (codes[at + n - 1].astype(np.int64) << 21) | (own << 42)
-                        first = np.unique(pair, return_index=True)[1]
-                        at, own = at[first], own[first]
-                    for row, s in set(zip(rows[own].tolist(), (text[i : i + n] for i in at.tolist()))):
-                        if n == SPAN:
-                            starts.append((refs[row], s, 1, ids[row]))
-                        elif (refs[row], s) in held:
-                            h = held[refs[row], s]
-                            h[0], h[1] = h[0] + 1, min(h[1], ids[row])
-                        else:
-                            held[refs[row], s] = [1, ids[row]]
-            out = list(zip(*starts, *((*k, *v) for k, v in held.items()))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], b.schema.field("text_id").type)], ["ref", "s", "n", "one"])
-
-    found = stored(d.mapInArrow(look, f"ref string, s string, n long, one {kind}"), folder(spark, "starts"))
-    short, long = (q.where(c).select("ref", "q", "s").distinct() for c in (F.length("q") <= SPAN, F.length("q") > SPAN))
-    whole = short.join(found.groupBy("ref", "s").agg(F.sum("n").alias("n"), F.min("one").alias("one")), ["ref", "s"]).select("ref", "q", "n", "one")
-    met = long.join(found.where(F.length("s") == SPAN).select("ref", "s", F.col("one").alias("text_id")).distinct(), ["ref", "s"]).drop("s")
-    more = d.join(met, ["text_id", "ref"]).where(F.contains("body", F.col("q"))).groupBy("ref", "q").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("one"))
-    return q.join(whole.unionByName(more), ["ref", "q"]).groupBy("quote_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+            field, refs, ids = b.schema.field("text_id"), b.column("ref").to_pylist(), b.column("text_id").to_pylist()
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            for text, rows, begin, seeds in _blocks(b.column("ref"), b.column("body"), PART):
+                for n, own, at, edge, same in _counts(text, begin, seeds, shared.value, sizes):
+                    place = rank[rows[own]]
+                    many, least = np.add.reduceat(same.astype(np.int64), edge), np.minimum.reduceat(np.where(same, place, len(ids)), edge)
+                    for row, i, k, one in zip(rows[own[edge]].tolist(), at[edge].tolist(), many.tolist(), least.tolist()):
+                        add(refs[row], text[i : i + n], k, ids[order[one]])
+                    for i in np.flatnonzero(~same).tolist():  # other code points of the same key
+                        add(refs[rows[own[i]]], text[at[i] : at[i] + n], 1, ids[rows[own[i]]])
+                if len(held) >= MOST_HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    found = d.mapInArrow(look, f"ref string, q string, n long, one {kind}").groupBy("ref", "q").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    found = stored(found, folder(spark, "counts"))
+    return q.join(found, ["ref", "q"]).groupBy("quote_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"))

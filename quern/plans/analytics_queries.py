@@ -175,7 +175,8 @@ _CITED = "array_to_string(string_split(text, ' ')[(doc_id % 7 + 1):(doc_id % 7 +
 @query(f"WITH c AS (SELECT doc_id AS cite_id, source AS ref, '«' || {_CITED} || '.' AS quote FROM documents), k AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS ref, " + _DW.format("text") + " AS x FROM documents), q AS (SELECT *, " + _DW.format("quote") + " AS q FROM c), m AS (SELECT cite_id, chunk_id, count(*) OVER (PARTITION BY cite_id) AS n FROM q JOIN k ON k.ref = q.ref AND contains(x, q) WHERE trim(q) <> '') SELECT cite_id, CASE WHEN n = 1 THEN chunk_id END AS chunk_id, n FROM m QUALIFY row_number() OVER (PARTITION BY cite_id ORDER BY chunk_id) = 1")
 def rebind_by_ref(t):
     """Citations of 1 to 12 words that lost their chunk meet chunks of the same effective reference; bound where exactly one holds the words."""
-    quote = F.concat(F.lit("«"), F.array_join(F.slice(F.split("text", " "), (F.col("doc_id") % 7 + 1).cast("int"), (F.col("doc_id") % 12 + 1).cast("int")), " "), F.lit("."))
+    first = F.split(F.substring_index("text", " ", 18), " ")  # no quote goes beyond the 18th word
+    quote = F.concat(F.lit("«"), F.array_join(F.slice(first, (F.col("doc_id") % 7 + 1).cast("int"), (F.col("doc_id") % 12 + 1).cast("int")), " "), F.lit("."))
     cites = t.documents.select(F.col("doc_id").alias("quote_id"), F.col("source").alias("ref"), quote.alias("quote"))
     # A chunk's own reference stands before that of its document.
     own = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("")
